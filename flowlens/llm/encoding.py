@@ -1,8 +1,10 @@
 """Token ids of whole texts through the tokenizers library, each distinct stretch between spaces encoded once.
 
 Both public vocabularies used here cut every text before a space or line feed that follows another character that is
-no white space, whatever stands further off. So a text's ids are those of its stretches one after the other, and a
-worker keeps the ids of the stretches it has met.
+no white space, and after a run of letters that an ASCII character other than a letter follows, whatever stands
+further off. So a text's ids are those of its stretches one after the other, and a
+worker keeps the ids of the stretches it has met lately. New stretches are encoded many at a time as one text, with a
+mark between two.
 """
 
 from __future__ import annotations
@@ -10,10 +12,16 @@ from __future__ import annotations
 import re
 from array import array
 
-#: Stretches kept by a worker, and the longest that is kept, in characters.
-KEPT, LONGEST = 500_000, 48
+import numpy as np
 
-_STRETCH = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: Stretches in either of a worker's two generations, the longest that is kept, in characters, and those encoded at a time.
+KEPT, LONGEST, AT_ONCE = 300_000, 40, 4096
+#: A character of private use, a token or tokens of its own between spaces; texts that hold it are encoded apart.
+MARK = ""
+
+_LETTERS = r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-@\[-`{-\x7f]|\Z)"
+_SOLID = re.compile(rf"{_LETTERS}|[^ \n]+")
+_STRETCH = re.compile(rf"[ \n]*{_LETTERS}|[ \n]*[^ \n]+|[ \n]+")
 #: Other white space before a space or line feed joins it in one token, so that such texts are encoded whole.
 _ODD = re.compile(r"[^\S \n][ \n]")
 _workers: dict[str, Encoder] = {}
@@ -25,7 +33,12 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.kept: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.mark = np.array(self._ids(f"a {MARK} a")[1:-1], dtype=np.uint32)
+        #: Some vocabularies drop white space, and fold the case of ASCII letters; then stretches can do without both.
+        self.drops = self._ids("x \n y") == self._ids("x") + self._ids("y")
+        self.folds = self._ids("AZ") == self._ids("az")
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -34,22 +47,55 @@ class Encoder:
             _workers[path] = Encoder(path)
         return _workers[path]
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> list[int]:
+        return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _together(self, stretches: list[str]) -> list[bytes]:
+        """Ids of stretches that begin with white space, or may, and end with none, from one text of them all."""
+        ids = np.array(self._ids((f" {MARK} " if self.drops else f" {MARK}").join(["", *stretches, ""])), dtype=np.uint32)
+        n, m = len(ids), len(self.mark)
+        hits = np.ones(n - m + 1, dtype=bool)
+        for k, x in enumerate(self.mark):
+            hits &= ids[k : n - m + 1 + k] == x
+        at = np.flatnonzero(hits)
+        if len(at) != len(stretches) + 1:
+            return [array("I", self._ids(s)).tobytes() for s in stretches]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip((4 * (at[:-1] + m)).tolist(), (4 * at[1:]).tolist(), strict=True)]
+
+    def _new(self, stretches: set[str]):
+        """(stretch, ids) of each."""
+        joint = [s for s in stretches if (self.drops or s[0] in " \n") and not s[-1].isspace() and MARK not in s]
+        for i in range(0, len(joint), AT_ONCE):
+            part = joint[i : i + AT_ONCE]
+            yield from zip(part, self._together(part), strict=True)
+        if len(joint) < len(stretches):
+            for s in stretches.difference(joint):
+                yield s, array("I", self._ids(s)).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        kept, cut = self.kept, [[t] if _ODD.search(t) else _STRETCH.findall(t) for t in texts]
-        new = list(set().union(*cut).difference(kept)) if cut else []
-        found = dict(zip(new, self._plain(new), strict=True))
-        short = {c: b for c, b in found.items() if len(c) <= LONGEST}
-        kept.update(short)
-        if len(short) < len(found):
-            return [b"".join([kept.get(c) or found.get(c, b"") for c in x]) for x in cut]
-        get = kept.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+        if len(self.young) > KEPT:
+            self.young, self.old = {}, self.young
+        if self.folds:
+            texts = [t.encode().lower().decode() for t in texts]
+        find = (_SOLID if self.drops else _STRETCH).findall
+        cut = [[t] if _ODD.search(t) else find(t) for t in texts]
+        get = self.young.get
+        out = [list(map(get, x)) for x in cut]
+        gaps = [k for k, x in enumerate(out) if None in x]
+        if not gaps:
+            return [b"".join(x) for x in out]
+        missed = {s for k in gaps for s, b in zip(cut[k], out[k], strict=True) if b is None}
+        old = {s: self.old[s] for s in missed.intersection(self.old)}
+        self.young.update(old)
+        self.young.update(self._new(missed.difference(old)))
+        for k in gaps:
+            out[k] = map(get, cut[k])
+        done = [b"".join(x) for x in out]
+        for s in [s for s in missed if len(s) > LONGEST]:
+            del self.young[s]
+        return done
 
 
 def portions(texts, most: int = 4_000_000):

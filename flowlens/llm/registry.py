@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, naming, packing, planes, quality
+from . import ctw, mixing, naming, neardup, packing, planes, quality
 from .common import scratch, table
 
 
@@ -17,6 +17,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op2_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "ids")
     planes.write_ids(table(spark, sf_dir, "documents"), folder, _vocabulary("word_bpe_49k.json"), end_id=2)
@@ -35,11 +39,15 @@ def op6_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(table(spark, sf_dir, "documents"), size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
 def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_id_planes, op4_sum_of_squares_packing, op5_source_mixing, op6_block_naming, op9_robust_outliers)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_context_tree_weighting, op2_id_planes, op4_sum_of_squares_packing, op5_source_mixing, op6_block_naming, op8_tensored_minhash, op9_robust_outliers)}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_block_naming": """
