@@ -1,143 +1,122 @@
-"""Toxicity by class-conditional Kneser-Ney models over bytes.
-
-Toxic and ordinary texts each get an interpolated Kneser-Ney model: counts at the highest order, numbers of distinct
-extensions below. The lowest orders are shared by both classes, so that an expression that neither class has seen
-often is as likely in one as in the other and says nothing. A text's score is the difference of its log-likelihoods
-under both, divided by its length, brought to a probability by a logistic curve fitted on labelled texts that the
-counts do not hold.
+"""Toxicity by class-conditional Kneser-Ney models.
+
+Expressions are words and the beginnings of words. For either class an expression counts once for every different
+text that holds it, as Kneser-Ney counts contexts rather than occurrences; a discount is taken from each count, and
+what it sets free goes to a backoff distribution that both classes share. So an expression that few texts hold is as
+likely in one class as in the other and says nothing, and one that a class holds often tells how much likelier it is
+there. A text's score compares both log-likelihoods, divided by its length, and a logistic curve fitted on labelled
+texts that the counts do not hold makes it a probability.
 """
 
 from __future__ import annotations
 
 from functools import partial
+from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytegrams import Cache, grams, merge
 from .common import blank, small_batches
 
-#: Bytes of context, orders up to which both classes share their counts, and the discount.
-DEPTH, SHARED, DISCOUNT = 5, 2, 0.75
+#: Characters of the beginnings of words that are expressions, 0 for whole words; and the discount.
+LEVELS, DISCOUNT = (4, 6, 0), 2.0
+#: Log-likelihood ratio that an expression must exceed to count as evidence for toxicity.
+CLEAR = 1.0
 #: Labelled texts of each class that the models are fitted on, at most: those least by MD5 digest of their key.
-SAMPLE = 6000
+SAMPLE = 4000
 #: One in so many of them is kept from the counts and fits the curve.
 CURVE = 4
 
-PAD = b" "
-_models: dict[str, Cache] = {}
-
-
-def body(text: str) -> bytes:
-    return " ".join(text.lower().split()).encode()
-
-
-def _part(words: int, code: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ctx = code >> np.uint64(8 * (DEPTH - words + 1))
-    return ctx, (ctx << np.uint64(8)) | symbol
-
-
-class KneserNey:
-    """Two models from grams and their counts in toxic and ordinary texts."""
-
-    def __init__(self, code: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
-        self.orders = []
-        symbol, counts = code & np.uint64(255), [toxic.astype(float), ordinary.astype(float)]
-        kept = code >> np.uint64(8)
-        for n in range(DEPTH, -1, -1):
-            if n < DEPTH:
-                # a gram counts once for each different byte before it
-                counts = [(c > 0).astype(float) for c in counts]
-                kept = kept >> np.uint64(8)
-                key, back = np.unique((kept << np.uint64(8)) | symbol, return_inverse=True)
-                if n == SHARED:
-                    either = np.bincount(back, weights=np.maximum(*counts), minlength=len(key))
-                    counts = [either, either]
-                elif n < SHARED:
-                    counts = [np.bincount(back, weights=counts[0], minlength=len(key))] * 2
-                else:
-                    counts = [np.bincount(back, weights=c, minlength=len(key)) for c in counts]
-                kept, symbol = key >> np.uint64(8), key & np.uint64(255)
-            ctx, owner = np.unique(kept, return_inverse=True)
-            sums = [np.bincount(owner, weights=c, minlength=len(ctx)).astype(np.float32) for c in counts]
-            kinds = [np.bincount(owner, weights=c > 0, minlength=len(ctx)).astype(np.float32) for c in counts]
-            self.orders.append((n, (kept << np.uint64(8)) | symbol, [c.astype(np.float32) for c in counts], ctx, sums, kinds))
-        self.orders.reverse()
-
-    def ratio(self, code: np.ndarray) -> np.ndarray:
-        """Natural logarithm of each gram's likelihood in toxic texts over that in ordinary ones."""
-        symbol, p = code & np.uint64(255), [np.full(len(code), 1 / 256) for _ in range(2)]
-        for n, keys, counts, contexts, sums, kinds in self.orders:
-            ctx, key = _part(n, code, symbol)
-            at, h = (np.minimum(np.searchsorted(known, x), len(known) - 1) for known, x in ((keys, key), (contexts, ctx)))
-            hit, here = keys[at] == key, contexts[h] == ctx
-            for c in range(2):
-                total = np.where(here, sums[c][h], 0.0)
-                seen = np.where(hit, np.maximum(counts[c][at] - DISCOUNT, 0.0), 0.0)
-                p[c] = np.where(total > 0, (seen + DISCOUNT * np.where(here, kinds[c][h], 0.0) * p[c]) / np.maximum(total, 1e-9), p[c])
-        return np.log(p[0]) - np.log(p[1])
+_EDGES = ".,;:!?|\"'()[]{}<>*$%&#"
+_KEPT = 300_000
+_workers: dict[str, Ratios] = {}
+
+
+def expressions(word: str) -> tuple[str, ...]:
+    word = word.strip(_EDGES)
+    return tuple(word[:n] if n else word for n in LEVELS)
 
 
 def _count(batches):
-    parts, held = [], 0
+    found: dict[tuple[int, str], list[int]] = {}
+
+    def out():
+        rows = [(k, e, t, o) for (k, e), (t, o) in found.items()]
+        for at in range(0, len(rows), 50_000):
+            level, name, toxic, ordinary = zip(*rows[at : at + 50_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(name, pa.string()), pa.array(toxic, pa.int64()), pa.array(ordinary, pa.int64())], names=["level", "expression", "toxic", "ordinary"])
+
     for batch in batches:
-        texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for label in (1, 0):
-            found = [body(t) for t, y in zip(texts, toxic, strict=True) if y == label]
-            if found:
-                code, n = np.unique(grams(found, DEPTH, PAD[0])[0], return_counts=True)
-                none = np.zeros(len(n), dtype=np.int64)
-                parts.append((code, n, none) if label else (code, none, n))
-                held += len(code)
-        if held > 3_000_000:
-            parts = [merge(parts)]
-            held = len(parts[0][0])
-    if parts:
-        code, toxic, ordinary = merge(parts)
-        for at in range(0, len(code), 50_000):
-            yield pa.RecordBatch.from_pydict({"gram": code[at : at + 50_000].view(np.int64), "toxic": toxic[at : at + 50_000], "ordinary": ordinary[at : at + 50_000]})
+        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held = {(k, e) for w in set(text.lower().split()) for k, e in enumerate(expressions(w))}
+            for x in held:
+                found.setdefault(x, [0, 0])[0 if y else 1] += 1
+        if len(found) > 2_000_000:
+            yield from out()
+            found.clear()
+    yield from out()
+
+
+class Ratios:
+    """Evidence of words: for every level the part of the log-likelihood ratio beyond CLEAR, then the first level's ratio."""
+
+    def __init__(self, known: list[dict[str, float]], rare: list[float]):
+        self.known, self.rare = known, rare
+        self.place: dict[str, int] = {}
+        self.values = np.zeros((_KEPT + 1, len(LEVELS) + 1))
+
+    def _add(self, word: str) -> None:
+        found = [t.get(e, r) for t, e, r in zip(self.known, expressions(word), self.rare, strict=True)]
+        self.values[len(self.place)] = [*(max(0.0, x - CLEAR) for x in found), found[0]]
+        self.place[word] = len(self.place)
+
+    def text(self, text: str) -> np.ndarray:
+        """Sums over a text's words, and their number."""
+        words = text.lower().split()
+        total = np.zeros(len(LEVELS) + 2)
+        total[-1] = len(words)
+        for at in range(0, len(words), _KEPT // 2):
+            part = words[at : at + _KEPT // 2]
+            new = set(part).difference(self.place)
+            if len(self.place) + len(new) > _KEPT:
+                self.place, new = {}, set(part)
+            for w in new:
+                self._add(w)
+            total[:-1] += self.values[np.fromiter(map(self.place.__getitem__, part), dtype=np.int64, count=len(part))].sum(axis=0)
+        return total
 
 
 def _score(batches, shared, name: str):
-    if name not in _models:
-        _models.clear()
-        _models[name] = Cache(shared.value.ratio)
-    cache = _models[name]
+    if name not in _workers:
+        _workers.clear()
+        _workers[name] = Ratios(*shared.value)
+    ratios = _workers[name]
     for batch in batches:
         columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-        found = [body(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-        total, sizes, at = [], [], 0
-        while at < len(found):
-            end, size = at, 0
-            while end < len(found) and size < 8_000_000:
-                size += len(found[end])
-                end += 1
-            code, n = grams(found[at:end], DEPTH, PAD[0])
-            total.append(np.add.reduceat(cache(code).astype(float), np.r_[0, np.cumsum(n)[:-1]]))
-            sizes.append(n)
-            at = end
-        empty = [np.empty(0)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(total or empty).astype(float)), pa.array(np.concatenate(sizes or empty).astype(np.int64))], names=[*batch.schema.names[:-1], "ratio", "n_bytes"])
-
-
-def _features(ratio, size, lib=np):
-    """Of a text's summed log-likelihood ratio and size: per byte, per square root of bytes, and the size."""
-    root = lib.sqrt(size)
-    return 30 * ratio / size, ratio / root, lib.log(size) - 6.0
-
-
-def fit_curve(ratio: np.ndarray, size: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        sums = np.array([ratios.text(t) for t in batch.column(batch.num_columns - 1).to_pylist()]).reshape(batch.num_rows, len(LEVELS) + 2)
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c) for c in sums.T.copy())], names=[*batch.schema.names[:-1], *NAMES])
+
+
+NAMES = [f"evidence_{n or 'word'}" for n in LEVELS] + ["ratio", "n_words"]
+
+
+def _features(sums, lib=np):
+    """Per word: the square root of each level's evidence, and the ratio; and the text's length."""
+    n = lib.maximum(sums[-1], 1.0) if lib is np else F.greatest(sums[-1], F.lit(1.0))
+    return [10 * lib.sqrt(x / n) for x in sums[:-2]] + [10 * sums[-2] / n, lib.log(n) - 5.0]
+
+
+def fit_curve(sums: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Logistic weights (constant first) by Newton's method with a ridge."""
-    x = np.column_stack([np.ones(len(ratio)), *_features(ratio, size.astype(float))])
-    x[:, 1:] = np.clip(x[:, 1:], -50, 50)
+    x = np.column_stack([np.ones(len(toxic)), *(np.clip(f, -50, 50) for f in _features(sums.T))])
     w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-3, 0.02, 0.02, 0.02])
-    for _ in range(40):
+    ridge = np.diag([1e-3] + [0.05] * (x.shape[1] - 1))
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (toxic - p)) - ridge @ w)
-        w = w + np.clip(step, -5, 5)
+        w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
     return w
@@ -147,38 +126,64 @@ def held_out(key: str = "doc_id", folds: int = 4, held: int = 2) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds)) == held, F.lit(True))
 
 
+def _fit(counted: DataFrame) -> tuple[list[dict[str, float]], list[float]]:
+    """For every level the log-likelihood ratios of expressions, and that of all others, from numbers of texts."""
+    totals = {r["level"]: r for r in counted.groupBy("level").agg(*[f(c).alias(n + c) for c in ("toxic", "ordinary") for f, n in ((F.sum, "all_"), (lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(DISCOUNT))), "free_"))]).collect()}
+    # of a bounded sample's expressions, those in more texts of a class than the discount takes
+    rows = counted.where(F.greatest("toxic", "ordinary") > DISCOUNT).toArrow()
+    known: list[dict[str, float]] = [{} for _ in LEVELS]
+    rare = [0.0] * len(LEVELS)
+    level, t, o = (rows.column(c).to_numpy() for c in ("level", "toxic", "ordinary"))
+    names = rows.column("expression").to_pylist()
+    for k in range(len(LEVELS)):
+        if k not in totals or not totals[k]["all_toxic"] or not totals[k]["all_ordinary"]:
+            continue
+        at = np.flatnonzero(level == k)
+        n1, n0, free1, free0 = (float(totals[k][c]) for c in ("all_toxic", "all_ordinary", "free_toxic", "free_ordinary"))
+        shared = (t[at] / n1 + o[at] / n0) / 2
+        ratio = np.log((np.maximum(t[at] - DISCOUNT, 0) + free1 * shared) / n1) - np.log((np.maximum(o[at] - DISCOUNT, 0) + free0 * shared) / n0)
+        known[k] = dict(zip((names[i] for i in at), ratio.tolist(), strict=True))
+        rare[k] = log((free1 / n1) / (free0 / n0))
+    return known, rare
+
+
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", threshold: float = 0.3, sample: int = SAMPLE, folds: int = 4, held: int = 2) -> DataFrame:
-    """One row per row of `docs`: `key`, held_out, score (0 to 1), predicted (1 from `threshold`), ratio, n_bytes.
+    """One row per row of `docs`: `key`, held_out, score (0 to 1), predicted (1 from `threshold`), evidence and n_words.
 
     `labels` has `key` and `label`; rows that held_out() is true for are not learnt from, nor are null labels; of
-    several labels of a key the largest holds. At most `sample` texts of either class are learnt from. Scores of null
-    and empty texts come from the curve at length 1. Without labelled texts of both classes every score is the share
-    of toxic labels. Every row of `docs` is scored over its whole text, repeated rows each; an empty table gives none.
+    several labels of a key the largest holds. At most `sample` texts of either class are learnt from, equal ones once.
+    Null and empty texts have no words and get the curve's value for none. Without labelled texts of both classes every
+    score is the share of toxic labels. Every row of `docs` is scored over its whole text, repeated rows each; an empty
+    table gives none.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    kind = docs.schema[key].dataType.simpleString()
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key, folds, held)).groupBy(key).agg(F.max(label).cast("int").alias("_y"))
     sizes = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = F.md5(F.col(key).cast("string").cast("binary"))
-    chosen = [r for y in (0, 1) for r in known.where(F.col("_y") == y).orderBy(order, key).limit(sample).withColumn("_fold", F.pmod(F.crc32(F.reverse(F.col(key).cast("string")).cast("binary")), F.lit(CURVE)).cast("int")).collect()]
+    order, fold = F.md5(F.col(key).cast("string").cast("binary")), F.pmod(F.crc32(F.reverse(F.col(key).cast("string")).cast("binary")), F.lit(CURVE)).cast("int")
+    chosen = [tuple(r) for y in (0, 1) for r in known.where(F.col("_y") == y).orderBy(order, key).limit(sample).select(key, "_y", fold).collect()]
     base = docs.select(key, held_out(key, folds, held).alias("held_out"), blank(text).alias("_text"))
-    if len(sizes) < 2:
-        share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-        return base.select(key, "held_out", F.lit(float(share)).alias("score"), F.lit(int(share >= threshold)).alias("predicted"), F.lit(0.0).alias("ratio"), F.length("_text").cast("long").alias("n_bytes"))
+    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    if not 0 < share < 1:
+        constant = [F.lit(float(share)).alias("score"), F.lit(int(share >= threshold)).alias("predicted")]
+        return base.select(key, "held_out", *constant, *[F.lit(0.0).alias(n) for n in NAMES])
     # 2 * sample rows: a bounded broadcast
-    picked = F.broadcast(spark.createDataFrame(chosen, f"`{key}` {known.schema[key].dataType.simpleString()}, _y int, _fold int"))
+    picked = F.broadcast(spark.createDataFrame(chosen, f"`{key}` {kind}, _y int, _fold int"))
     texts = docs.select(key, blank(text).alias("_text")).join(picked, key)
-    counted = texts.where("_fold > 0").select("_text", "_y").mapInArrow(_count, "gram long, toxic long, ordinary long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow().sort_by("gram")
-    model = KneserNey(*(np.asarray(c) for c in (counted.column(0).to_numpy().view(np.uint64), counted.column(1), counted.column(2))))
-    shared = spark.sparkContext.broadcast(model)
+    once = texts.where("_fold > 0").groupBy(F.sha2(F.col("_text").cast("binary"), 256), "_y").agg(F.first("_text").alias("_text")).select("_text", "_y")
+    counted = once.mapInArrow(_count, "level int, expression string, toxic long, ordinary long").groupBy("level", "expression").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).persist()
+    shared = spark.sparkContext.broadcast(_fit(counted))
+    counted.unpersist()
     work = partial(_score, shared=shared, name=f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}")
-    curve = texts.where("_fold = 0").select("_y", "_text").mapInArrow(work, "_y int, ratio double, n_bytes long").toArrow()
-    y = np.asarray(curve.column(0)).astype(float)
-    share = {c: sizes[c] / max(1.0, (y == c).sum()) for c in (0, 1)}
-    w = fit_curve(np.asarray(curve.column(1)), np.asarray(curve.column(2)), y, np.where(y == 1, share[1], share[0]) * len(y) / sum(sizes.values()))
-    kind = docs.schema[key].dataType.simpleString()
-    scored = base.mapInArrow(work, f"`{key}` {kind}, held_out boolean, ratio double, n_bytes long")
+    sums = ", ".join(f"{n} double" for n in NAMES)
+    curve = texts.where("_fold = 0").select("_y", "_text").mapInArrow(work, f"_y int, {sums}").toArrow()
+    y = curve.column(0).to_numpy().astype(float)
+    each = {c: sizes[c] / max(1.0, (y == c).sum()) for c in (0, 1)}
+    weight = np.where(y == 1, each[1], each[0]) * len(y) / sum(sizes.values())
+    w = fit_curve(np.column_stack([curve.column(n).to_numpy() for n in NAMES]), y, weight)
+    scored = base.mapInArrow(work, f"`{key}` {kind}, held_out boolean, {sums}")
     line = F.lit(float(w[0]))
-    for x, weight in zip(_features(F.col("ratio"), F.col("n_bytes"), F), w[1:], strict=True):
+    for x, weight in zip(_features([F.col(n) for n in NAMES], F), w[1:], strict=True):
         line = line + F.greatest(F.lit(-50.0), F.least(F.lit(50.0), x)) * float(weight)
-    return scored.withColumn("score", 1 / (1 + F.exp(-line))).select(key, "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "ratio", "n_bytes")
+    return scored.withColumn("score", 1 / (1 + F.exp(-line))).select(key, "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *NAMES)
