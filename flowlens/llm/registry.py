@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, mixing, naming, neardup, packing, planes, quality
+from . import ctw, html_text, mixing, naming, neardup, packing, planes, quality, secrets, toxicity
 from .common import scratch, table
 
 
@@ -27,6 +27,10 @@ def op2_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=1, window=2048)
 
@@ -39,6 +43,11 @@ def op6_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_class_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(table(spark, sf_dir, "documents"), size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
@@ -47,7 +56,25 @@ def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_context_tree_weighting, op2_id_planes, op4_sum_of_squares_packing, op5_source_mixing, op6_block_naming, op8_tensored_minhash, op9_robust_outliers)}
+def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_context_tree_weighting,
+        op2_id_planes,
+        op3_tree_scoring,
+        op4_sum_of_squares_packing,
+        op5_source_mixing,
+        op6_block_naming,
+        op7_class_kneser_ney,
+        op8_tensored_minhash,
+        op9_robust_outliers,
+        op10_secret_forest,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op6_block_naming": """
