@@ -9,17 +9,19 @@ mark between two.
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
+from collections import deque
 
 import numpy as np
 
 #: Stretches in either of a worker's two generations, the longest that is kept, in characters, and those encoded at a time.
-KEPT, LONGEST, AT_ONCE = 300_000, 40, 4096
+KEPT, LONGEST, AT_ONCE = 250_000, 40, 4096
 #: A character of private use, a token or tokens of its own between spaces; texts that hold it are encoded apart.
 MARK = ""
 
-_LETTERS = r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-@\[-`{-\x7f]|\Z)"
+_LETTERS = r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\x00-\x7f])"
 _SOLID = re.compile(rf"{_LETTERS}|[^ \n]+")
 _STRETCH = re.compile(rf"[ \n]*{_LETTERS}|[ \n]*[^ \n]+|[ \n]+")
 #: Other white space before a space or line feed joins it in one token, so that such texts are encoded whole.
@@ -27,14 +29,24 @@ _ODD = re.compile(r"[^\S \n][ \n]")
 _workers: dict[str, Encoder] = {}
 
 
+class _Kept(dict):
+    """Ids by stretch; asked for one that it lacks, it notes it."""
+
+    __slots__ = ("new",)
+
+    def __missing__(self, stretch: str) -> bytes:
+        self.new.append(stretch)
+        self[stretch] = b""
+        return b""
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young, self.old = _Kept(), _Kept()
         self.mark = np.array(self._ids(f"a {MARK} a")[1:-1], dtype=np.uint32)
         #: Some vocabularies drop white space, and fold the case of ASCII letters; then stretches can do without both.
         self.drops = self._ids("x \n y") == self._ids("x") + self._ids("y")
@@ -44,6 +56,7 @@ class Encoder:
     def of(path: str) -> Encoder:
         """The worker's own encoder for a vocabulary file."""
         if path not in _workers:
+            gc.set_threshold(50_000, 20, 20)  # many short lists of strings, no cycles
             _workers[path] = Encoder(path)
         return _workers[path]
 
@@ -76,29 +89,28 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.young) > KEPT:
-            self.young, self.old = {}, self.young
+            self.young, self.old = _Kept(), self.young
         if self.folds:
             texts = [t.encode().lower().decode() for t in texts]
         find = (_SOLID if self.drops else _STRETCH).findall
         cut = [[t] if _ODD.search(t) else find(t) for t in texts]
-        get = self.young.get
-        out = [list(map(get, x)) for x in cut]
-        gaps = [k for k, x in enumerate(out) if None in x]
-        if not gaps:
-            return [b"".join(x) for x in out]
-        missed = {s for k in gaps for s, b in zip(cut[k], out[k], strict=True) if b is None}
-        old = {s: self.old[s] for s in missed.intersection(self.old)}
-        self.young.update(old)
-        self.young.update(self._new(missed.difference(old)))
-        for k in gaps:
-            out[k] = map(get, cut[k])
-        done = [b"".join(x) for x in out]
-        for s in [s for s in missed if len(s) > LONGEST]:
-            del self.young[s]
-        return done
-
-
-def portions(texts, most: int = 4_000_000):
+        young, get = self.young, self.young.__getitem__
+        young.new = new = []
+        for x in cut:
+            deque(map(get, x), maxlen=0)
+        if new:
+            fresh = set(new)
+            old = {s: self.old[s] for s in fresh.intersection(self.old)}
+            young.update(old)
+            young.update(self._new(fresh.difference(old)))
+        out = [b"".join(map(get, x)) for x in cut]
+        for s in new:
+            if len(s) > LONGEST:
+                del young[s]
+        return out
+
+
+def portions(texts, most: int = 1_500_000):
     """Index ranges over `texts` of at most `most` characters, or of one text."""
     start, size = 0, 0
     for i, t in enumerate(texts):
