@@ -62,21 +62,18 @@ class Levels:
         """The windows left, filled up: pieces of the emptiest are cut to fill the fullest, so that one stays partly filled."""
         left = [w for level in reversed(self.open) for w in reversed(level)]
         while left:
-            window, room = left.pop(0), 0
+            window = left.pop(0)
             room = self.window - sum(len(p[2]) // 4 for p in window)
             while room and left:
-                key, start, ids, total = left[-1].pop()
-                if not left[-1]:
-                    left.pop()
+                source = left[-1]
+                key, start, ids, total = source.pop()
                 n = min(room, len(ids) // 4)
                 window.append((key, start, ids[: 4 * n], total))
                 room -= n
                 if 4 * n < len(ids):
-                    rest = (key, start + n, ids[4 * n :], total)
-                    if left:
-                        left[-1].append(rest)
-                    else:
-                        left.append([rest])
+                    source.append((key, start + n, ids[4 * n :], total))
+                if not source:
+                    left.pop()
             yield window
 
 
