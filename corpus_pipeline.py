@@ -33,8 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, each as often as its source's budget takes it."""
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
-    mixed = docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    copies = mixing.mix(docs).where("copies > 0").select("doc_id", F.col("copies").alias("__copies")).distinct()
+    mixed = docs.join(copies, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
     return mixed.select(*docs.columns)
 
 
