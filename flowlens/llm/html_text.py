@@ -22,7 +22,11 @@ SKIPPED = frozenset("script style noscript template svg math head title textarea
 #: Elements that hold no article text wherever they stand.
 AWAY = frozenset("nav footer aside form menu dialog".split())
 #: Words of class and id names that tell of what surrounds an article.
-NAMES_AWAY = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side comment comments reply replies respond discussion cookie cookies consent gdpr notice alert newsletter subscribe subscription signup login share sharing social related recommended recommendations breadcrumb breadcrumbs menu nav navbar navigation footer header masthead toolbar widget widgets popup modal overlay pagination pager skip".split())
+NAMES_AWAY = frozenset("ad ads adbox adslot adunit advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar comment comments reply replies respond discussion cookie cookies consent gdpr notice alert newsletter subscribe subscription signup login share sharing social related recommended recommendations breadcrumb breadcrumbs menu nav navbar navigation footer header masthead toolbar widget widgets popup modal overlay pagination pager topbar copyright disclaimer".split())
+#: Of these, what readers write or other articles; the rest may also name a layout that holds the article.
+NEVER_AROUND = frozenset("comment comments reply replies respond discussion related recommended recommendations".split())
+#: Beginnings of such words, for names like commentlist or sidebarleft.
+_BEGIN = re.compile(r"(?:comment|sidebar|advert|sponsor|cookie|newsletter|subscri|breadcrumb|promo|related|recommend|footer|navbar|pagination|banner|disqus)")
 BLOCKS = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header footer nav aside form fieldset legend address details summary hr menu dialog center".split())
 VOID = frozenset("hr br img input meta link area base col embed source track wbr param".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -36,16 +40,17 @@ _UP = (1.0, 0.5, 0.25, 0.15, 0.1)
 
 
 class _Element:
-    __slots__ = ("away", "blocks", "chars", "links", "parent", "score", "tag")
+    __slots__ = ("away", "chars", "holds", "links", "named", "parent", "score", "tag")
 
-    def __init__(self, tag: str, parent: _Element | None, away: bool):
-        self.tag, self.parent, self.away = tag, parent, away
+    def __init__(self, tag: str, parent: _Element | None, away: bool, named: bool, holds: bool | None):
+        """away: holds no article text by its tag or for good; named: by its name, unless an article stands in it (holds)."""
+        self.tag, self.parent, self.away, self.named, self.holds = tag, parent, away, named, holds
         self.score, self.chars, self.links = 0.0, 0, 0
 
 
 def _tree(html: str):
     """Elements in page order, and blocks as (element, text, characters in links)."""
-    root = _Element("body", None, False)
+    root = _Element("body", None, False, False, True)
     elements, blocks, stack = [root], [], [root]
     piece: list[str] = []
     linked = link_at = 0
@@ -114,11 +119,18 @@ def _tree(html: str):
                 continue
             names = {w for n in _NAMED.findall(m[3]) for w in _WORDS.findall("".join(n).lower())} if m[3] else ()
             inside = any(e.tag in ("article", "main") for e in stack)
-            away = stack[-1].away or tag in AWAY or (tag == "header" and not inside) or (tag not in ("body", "html", "main") and bool(NAMES_AWAY.intersection(names)))
-            element = _Element(tag, stack[-1], away)
+            hits = {n for n in names if n in NAMES_AWAY or _BEGIN.match(n)} if tag not in ("body", "html", "main") else set()
+            away = tag in AWAY or (tag == "header" and not inside) or any(n in NEVER_AROUND or n.startswith("comment") for n in hits)
+            article = tag in ("article", "main") and not hits
+            element = _Element(tag, stack[-1], away, bool(hits), article)
+            if article:
+                for e in stack:
+                    e.holds = True
             elements.append(element)
             stack.append(element)
     end_block()
+    for e in elements[1:]:
+        e.away = e.parent.away or e.away or (e.named and not e.holds)
     return elements, blocks
 
 
@@ -158,7 +170,7 @@ def main_blocks(html: str) -> list[str]:
     kept, least = {id(best)}, 0.2 * value(best)
     for e in elements:
         if e.parent is best.parent and best.parent is not None and e is not best and not e.away:
-            if value(e) >= max(10.0, least) and density(e) < 0.3 or e.tag == "p" and e.chars > 80 and density(e) < 0.25:
+            if e.tag == "h1" or value(e) >= max(10.0, least) and density(e) < 0.3 or e.tag == "p" and e.chars > 80 and density(e) < 0.25:
                 kept.add(id(e))
 
     def belongs(e: _Element) -> bool:
