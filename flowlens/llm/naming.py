@@ -80,8 +80,14 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", block_chars:
     count in group_size and are all kept or all dropped. No row is lost; an empty table gives none.
     """
     ids = identities(docs, text, key, block_chars)
-    groups = ids.groupBy("level", "name").agg(F.max(key).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return ids.join(groups, ["level", "name"]).select(key, "keep_id", "group_size", (F.col(key) == F.col("keep_id")).alias("kept"))
+    same = ["level", "name"]
+    groups = settle(ids.groupBy(*same).agg(F.max(key).alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    # groups on many rows are few, 1 / HOT_SHARE at most, and sent to the rows; the others meet theirs by their identity
+    large = F.col("group_size") >= max(1000, int(ids.count() * HOT_SHARE))
+    hot = F.broadcast(groups.where(large))
+    rest = ids.join(hot.select(*same), same, "left_anti").join(groups.where(~large), same)
+    found = ids.join(hot, same).unionByName(rest)
+    return found.select(key, "keep_id", "group_size", (F.col(key) == F.col("keep_id")).alias("kept"))
 
 
 def digest(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
