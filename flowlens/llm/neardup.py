@@ -4,10 +4,12 @@ A signature is two collections of short keys, each key made of a few minhashes.
 a key of the second is a table key: g keys on either side give g * g tables for the minhashes of 2 * g bands. Texts
 that share a table key are candidates; their full sets of shingles decide.
 
-Texts with the same set are one class and go through as one. In each table the texts of a bucket are compared with
-its least one; only what stays in different components then is compared among itself, where distances to that least
-one allow a link. Texts already connected need no further comparison, so that large groups of copies cost as many
-comparisons as they have members, and no link between two components is lost.
+Texts with the same set are one class and go through as one, and buckets with the same members as one bucket. Each
+text is compared with that of its buckets' texts that shares most half-keys with others, so that a large group of
+copies costs a comparison a member. Where a bucket holds several components then, its texts are compared across them, if
+they can be linked at all: two sets as similar as asked share one of their rarest shingles (as many as may be missing
+from the other, and one more), rare being counted among these texts, and enough stands behind the first that they
+share. What has more shingles of its own than may be missing is linked with nothing. Any pair of one component needs no comparison, and no link between two is lost.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blank, settle, small_batches
@@ -25,7 +27,7 @@ from .graph import components
 #: Keys in each collection, and minhashes in a key: two sets of similarity 0.8 share no table key once in 2700 times.
 KEYS, PER_KEY = 12, 3
 
-_MIX, _SLICE, _KEPT = np.uint64(0x9E3779B97F4A7C15), 1 << 15, 400_000
+_MIX, _SLICE, _KEPT = np.uint64(0x9E3779B97F4A7C15), 1 << 12, 100_000
 _words: dict[bytes, int] = {}
 
 
@@ -75,7 +77,7 @@ def signature(values: np.ndarray, keys: int = KEYS, per_key: int = PER_KEY) -> n
     return out
 
 
-def _sign(batches, size: int, keys: int, per_key: int, kind: pa.DataType):
+def _sign(batches, size: int, keys: int, per_key: int):
     from hashlib import blake2b
 
     for batch in batches:
@@ -93,6 +95,13 @@ def _sets(batches, size: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["doc", "shingles"])
 
 
+def _apart(batches):
+    """One row a shingle."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])), pa.array(np.concatenate(sets or [np.empty(0, np.int64)]))], names=["rep", "shingle"])
+
+
 def _compare(batches):
     for batch in batches:
         shared, total = [], []
@@ -106,58 +115,76 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "shared", "total"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, name: str) -> DataFrame:
-    """(a, b, shared, total): sizes of the intersection and union of both sets of each pair, from whole texts."""
-    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    sets = settle(texts.join(wanted, "doc", "left_semi").select("doc", "_text").mapInArrow(partial(_sets, size=size), "doc long, shingles binary"), f"{name}_sets")
+def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """(a, b, shared, total): sizes of the intersection and union of both full sets of each pair."""
     one, two = (sets.select(F.col("doc").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
     sided = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "s_a", "s_b")
     return settle(sided.mapInArrow(_compare, "a long, b long, shared long, total long"), name)
 
 
+def _pairs(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
 def link(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80, keys: int = KEYS, per_key: int = PER_KEY) -> DataFrame:
     """One row per row of `docs`: `key` (an integer column), n_shingles, class_id, component_id, kept.
 
     Two texts are linked when 100 * intersection >= percent * union of their sets of `size`-word shingles (words
     between white space, A-Z lower-cased). class_id is the least key with the same set, component_id the least key
     reachable by links, kept whether it is the row's own. Texts without words, null ones too, are linked with nothing;
-    a null key keeps its row (component_id null, kept). Keys are taken as unique. An empty table gives no rows.
+    a null key keeps its row (component_id null, kept). Rows that repeat a key and its text share their verdict. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 512)
     texts = docs.select(F.col(key).cast("long").alias("doc"), blank(text).alias("_text"))
-    signed = settle(texts.mapInArrow(partial(_sign, size=size, keys=keys, per_key=per_key, kind=None), "doc long, n_shingles long, digest binary, signature array<long>"), "signatures")
+    signed = settle(texts.mapInArrow(partial(_sign, size=size, keys=keys, per_key=per_key), "doc long, n_shingles long, digest binary, signature array<long>"), "signatures")
     usable = signed.where(F.col("digest").isNotNull() & F.col("doc").isNotNull())
     classes = settle(usable.groupBy("digest").agg(F.min("doc").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
 
     # half-keys that two classes or more hold; tables are formed of those only
     halves = classes.select("rep", "n", F.posexplode("signature").alias("pos", "half"))
-    active = halves.groupBy("pos", "half").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
-    held = halves.join(active, ["pos", "half"]).groupBy("rep").agg(F.first("n").alias("n"), F.collect_list(F.struct("pos", "half")).alias("h"))
-    sides = held.select("rep", "n", F.filter("h", lambda x: x["pos"] < keys).alias("u"), F.filter("h", lambda x: x["pos"] >= keys).alias("v"))
-    tables = sides.select("rep", "n", "v", F.explode("u").alias("u")).select("rep", "n", "u", F.explode("v").alias("v")).select(F.xxhash64("u.pos", "u.half", "v.pos", "v.half").alias("bucket"), "rep", "n")
-    tables = settle(tables, "tables")
-    full = tables.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
-    members = settle(tables.join(full, "bucket"), "members")
-    close = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sets of sizes further apart cannot reach it
-    stars = members.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    first = _verified(stars, texts, size, "stars")
+    active = halves.groupBy("pos", "half").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    held = halves.join(active, ["pos", "half"]).groupBy("rep").agg(F.first("n").alias("n"), F.sum("_c").alias("weight"), F.collect_list(F.struct("pos", "half")).alias("h"))
+    side = lambda keep: F.transform(F.filter("h", keep), lambda x: F.xxhash64(x["pos"], x["half"]))
+    sides = settle(held.select("rep", "n", "weight", side(lambda x: x["pos"] < keys).alias("u"), side(lambda x: x["pos"] >= keys).alias("v")).where((F.size("u") > 0) & (F.size("v") > 0)), "sides")
+    tables = sides.select("rep", "weight", "v", F.explode("u").alias("u")).select("rep", "weight", "u", F.explode("v").alias("v"))
+    tables = tables.select(F.xxhash64("u", "v").alias("bucket"), "rep", "weight")
+    centre = F.max(F.struct("weight", (-F.col("rep")).alias("r")))
+    full = tables.groupBy("bucket").agg(centre.alias("centre"), F.count(F.lit(1)).alias("_c"), F.bit_xor(F.xxhash64("rep")).alias("_x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("_y")).where("_c > 1")
+    full = full.groupBy("_c", "_x", "_y").agg(F.min("bucket").alias("bucket"), F.first("centre").alias("centre"))
+    full = full.select("bucket", "centre")
+    members = settle(tables.join(full, "bucket").select("bucket", "rep", "centre"), "members")
+    wanted = members.select(F.col("rep").alias("doc")).distinct()
+    sets = settle(texts.join(wanted, "doc", "left_semi").select("doc", "_text").mapInArrow(partial(_sets, size=size), "doc long, shingles binary"), "sets")
     linked = 100 * F.col("shared") >= percent * F.col("total")
-    links = first.where(linked).select("a", "b")
-    found = components(links)
 
-    # buckets that hold several components still: pairs across them that distances to the centre allow
-    far = first.select(F.col("a").alias("centre"), F.col("b").alias("rep"), (1 - F.col("shared") / F.col("total")).alias("d"))
-    named = members.join(far, ["centre", "rep"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", "centre", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "rep").alias("component"))
+    # each text with the centre of its buckets that shares most half-keys with others
+    hub = members.groupBy("rep").agg(F.max("centre").alias("_c")).select("rep", (-F.col("_c.r")).alias("hub"))
+    tested = _verified(hub.where("rep != hub").select(*_pairs("rep", "hub")).distinct(), sets, "stars")
+    found = components(tested.where(linked).select("a", "b"))
+
+    # texts of buckets that hold several components, with the shingles that a link across must share
+    named = members.select("bucket", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = named.groupBy("bucket").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x != _y").select("bucket")
-    rest = settle(named.join(split, "bucket", "left_semi"), "split")
-    x, y = (rest.where("rep != centre").select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "d", "component")]) for s in "xy")
-    across = (F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & (F.abs(F.col("d_x") - F.col("d_y")) <= 1 - percent / 100 + 1e-9) & close(F.col("n_x"), F.col("n_y"))
-    pairs = x.join(y, "bucket").where(across).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
-    pairs = settle(pairs, "across")
+    left = settle(named.join(split, "bucket", "left_semi").select("rep", "component").distinct(), "left")
+    apart = settle(sets.withColumnRenamed("doc", "rep").join(left.select("rep"), "rep", "left_semi").mapInArrow(_apart, "rep long, shingle long"), "apart")
+    common = apart.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rare = apart.join(common, "shingle").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    may = F.floor(F.col("n") * (100 - percent) / F.lit(100)) + 1
+    prefix = (may - (F.col("n") - F.size("s"))).cast("int")
+    rare = rare.join(sides.select("rep", "n", "u", "v"), "rep").join(left, "rep").where(prefix > 0)
+    rare = settle(rare.select("rep", "component", "n", "u", "v", (F.col("n") - F.size("s")).alias("_own"), F.posexplode(F.slice("s", F.lit(1), prefix)).alias("_i", "_s")).select("rep", "component", "n", "u", "v", (F.col("n") - F.col("_own") - F.col("_i")).alias("rest"), "_s.shingle"), "rare")
+    largest = rare.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("_c")).groupBy("shingle").agg(F.max_by("component", "_c").alias("major"), F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k")
+    rare = rare.join(largest, "shingle")
+    y = rare.where("component != major").drop("major").select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("rep", "component", "n", "u", "v", "rest")])
+    # what both hold from a shared shingle on, itself included, must be enough; for the first that they share it is all
+    close = (100 + percent) * F.least("rest", "rest_y") >= percent * (F.col("n") + F.col("n_y"))
+    across = (F.col("component") != F.col("component_y")) & ((F.col("component") == F.col("major")) | (F.col("rep") < F.col("rep_y"))) & close & F.arrays_overlap("u", "u_y") & F.arrays_overlap("v", "v_y")
+    pairs = rare.join(y, "shingle").where(across).select(*_pairs("rep", "rep_y")).distinct()
+    pairs = settle(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "across")
     if not pairs.isEmpty():
-        more = _verified(pairs, texts, size, "more").where(linked).select("a", "b")
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        more = _verified(pairs, sets, "more")
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.where(linked).select("a", "b")))
     reps = classes.select("digest", F.col("rep").alias("class_id")).join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select("digest", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = signed.join(reps, "digest", "left")
     own = lambda c: F.when(F.col("doc").isNotNull(), F.coalesce(c, "doc")).alias(c)
