@@ -25,8 +25,8 @@ def n_words(text: str = "text") -> Column:
 
 
 def random_key(key: str = "doc_id") -> Column:
-    """60 bits of the MD5 digest of the key as text: the same in any engine."""
-    return F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+    """60 bits of the MD5 digest of the key as text: the same in any engine. A null key counts as empty text."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:

@@ -7,7 +7,7 @@ A name is given to one content only, so that equal identities mean equal texts:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blank, settle, width
@@ -46,20 +46,21 @@ def assign_names(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out
 
 
-def identities(docs: DataFrame, text: str = "text", key: str = "doc_id", block_chars: int = 4096) -> DataFrame:
-    """One row per row of `docs`: `key`, level (int) and name (long), equal exactly for equal texts.
+def identities(docs: DataFrame, text: str = "text", block_chars: int = 4096, **carried: Column) -> DataFrame:
+    """One row per row of `docs`: what `carried` names, level (int) and name (long), equal exactly for equal texts.
 
     A null text counts as empty; an empty text is one empty block. level is the number of pairings that a text took.
     Texts of different lengths in blocks never meet, as their last pairings stand at different levels or have a null
-    as partner. Each level is written to the shared folder before it is used.
+    as partner. Each level is written to the shared folder before it is used. Rows are told apart by their place.
     """
     size = F.greatest(F.lit(1), F.ceil(F.length("_t") / F.lit(block_chars))).cast("int")
-    base = docs.select(F.col(key).alias("_key"), blank(text).alias("_t")).withColumn("_size", size)
+    row = F.struct(F.monotonically_increasing_id().alias("_row"), *[c.alias(n) for n, c in carried.items()])
+    base = docs.select(row.alias("_key"), blank(text).alias("_t")).withColumn("_size", size)
     blocks = base.select("_key", "_size", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("_size") - 1), lambda i: F.substring(F.col("_t"), i * block_chars + 1, F.lit(block_chars)))).alias("_pos", "_block"))
     now = settle(assign_names(blocks, ["_block"]).select("_key", "_size", "_pos", "name"), "names0")
     done, level = [], 0
     while True:
-        done.append(now.where("_size = 1").select(F.col("_key").alias(key), F.lit(level).alias("level"), "name"))
+        done.append(now.where("_size = 1").select(*[F.col(f"_key.{n}").alias(n) for n in carried], F.lit(level).alias("level"), "name"))
         left = now.where("_size > 1")
         if left.isEmpty():
             break
@@ -73,13 +74,13 @@ def identities(docs: DataFrame, text: str = "text", key: str = "doc_id", block_c
     return out
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", block_chars: int = 4096) -> DataFrame:
-    """One row per row of `docs`: `key`, keep_id (the largest key among rows of equal text), group_size, kept.
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", block_chars: int = 4096, **carried: Column) -> DataFrame:
+    """One row per row of `docs`: `key`, keep_id (the largest key among rows of equal text), group_size, kept, and what `carried` names.
 
-    Null and empty texts are equal to each other. Keys are taken as unique: rows that repeat a key with an equal text
-    count in group_size and are all kept or all dropped. No row is lost; an empty table gives none.
+    Null and empty texts are equal to each other. Rows that repeat a key count in group_size and share its verdict. Of
+    rows without a key those are kept whose group has no key at all. No row is lost; an empty table gives none.
     """
-    ids = identities(docs, text, key, block_chars)
+    ids = identities(docs, text, block_chars, **{key: F.col(key)}, **carried)
     same = ["level", "name"]
     groups = settle(ids.groupBy(*same).agg(F.max(key).alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     # groups on many rows are few, 1 / HOT_SHARE at most, and sent to the rows; the others meet theirs by their identity
@@ -87,9 +88,10 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", block_chars:
     hot = F.broadcast(groups.where(large))
     rest = ids.join(hot.select(*same), same, "left_anti").join(groups.where(~large), same)
     found = ids.join(hot, same).unionByName(rest)
-    return found.select(key, "keep_id", "group_size", (F.col(key) == F.col("keep_id")).alias("kept"))
+    return found.select(key, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"), *carried)
 
 
 def digest(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """dedup() with text_sha256, the lowercase hex digest of the text's UTF-8."""
-    return dedup(docs, text, key).join(docs.select(key, F.sha2(blank(text).cast("binary"), 256).alias("text_sha256")).distinct(), key)
+    sha = F.unhex(F.sha2(blank(text).cast("binary"), 256))
+    return dedup(docs, text, key, text_sha256=sha).withColumn("text_sha256", F.lower(F.hex("text_sha256")))

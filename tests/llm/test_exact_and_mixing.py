@@ -65,3 +65,15 @@ def test_each_source_meets_its_target(docs, plain):
 def test_mixing_again_agrees(docs):
     one, two = (sorted(map(tuple, mixing.mix(d).select("doc_id", "taken").collect())) for d in (docs, docs.repartition(7, F.col("text"))))
     assert one == two
+
+
+def test_rows_without_keys_and_repeated_rows(spark):
+    long = "block " * 2000
+    rows = [(None, "a", "s"), (None, "a", "s"), (1, "b", None), (1, "b", None), (2, long, "s"), (2, long, "s"), (None, "b", "s"), (3, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = naming.digest(docs).collect()
+    assert len(got) == len(rows)
+    for i, n, kept in ((1, 3, True), (2, 2, True), (3, 1, True)):
+        assert {(r["group_size"], r["kept"]) for r in got if r["doc_id"] == i} == {(n, kept)}
+    assert sorted((r["keep_id"] or 0, r["kept"]) for r in got if r["doc_id"] is None) == [(0, True), (0, True), (1, False)]
+    assert len(mixing.mix(docs).collect()) == len(rows)
