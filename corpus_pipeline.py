@@ -13,28 +13,31 @@ from pyspark.sql import functions as F
 ORACLE_SQL: str | None = None
 
 
+def _only(docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """Rows whose doc_id is kept; those without one stand or fall together."""
+    kept = verdict.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the hard limits and the outlier estimates accept; null or repeated rows are judged each."""
-    kept = quality.judge(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return _only(docs, quality.judge(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts that with the largest doc_id."""
-    kept = naming.dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return _only(docs, naming.dedup(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a similarity of 0.8 on five-word shingles the document with the least doc_id."""
-    kept = neardup.link(docs, size=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return _only(docs, neardup.link(docs, size=5, percent=80))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, each as often as its source's budget takes it."""
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", F.col("copies").alias("__copies")).distinct()
-    mixed = docs.join(copies, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
+    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
+    mixed = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
     return mixed.select(*docs.columns)
 
 
