@@ -17,7 +17,7 @@ from collections import deque
 import numpy as np
 
 #: Stretches in either of a worker's two generations, the longest that is kept, in characters, and those encoded at a time.
-KEPT, LONGEST, AT_ONCE = 250_000, 40, 4096
+KEPT, LONGEST, AT_ONCE = 600_000, 40, 4096
 #: A character of private use, a token or tokens of its own between spaces; texts that hold it are encoded apart.
 MARK = ""
 
@@ -41,9 +41,10 @@ class _Kept(dict):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer
 
+        self.most = kept
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.young, self.old = _Kept(), _Kept()
@@ -53,11 +54,11 @@ class Encoder:
         self.folds = self._ids("AZ") == self._ids("az")
 
     @staticmethod
-    def of(path: str) -> Encoder:
-        """The worker's own encoder for a vocabulary file."""
+    def of(path: str, kept: int = KEPT) -> Encoder:
+        """The worker's own encoder for a vocabulary file; a generation of its cache holds `kept` stretches, some 170 bytes each."""
         if path not in _workers:
             gc.set_threshold(50_000, 20, 20)  # many short lists of strings, no cycles
-            _workers[path] = Encoder(path)
+            _workers[path] = Encoder(path, kept)
         return _workers[path]
 
     def _ids(self, text: str) -> list[int]:
@@ -88,7 +89,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.young) > KEPT:
+        if len(self.young) > self.most:
             self.young, self.old = _Kept(), self.young
         if self.folds:
             texts = [t.encode().lower().decode() for t in texts]
@@ -110,7 +111,7 @@ class Encoder:
         return out
 
 
-def portions(texts, most: int = 1_500_000):
+def portions(texts, most: int = 1_000_000):
     """Index ranges over `texts` of at most `most` characters, or of one text."""
     start, size = 0, 0
     for i, t in enumerate(texts):

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from .common import blank, small_batches
 from .encoding import Encoder, portions
 
+#: Stretches in a generation of a worker's cache of ids: packing holds little else.
+KEPT = 1_000_000
+
 SCHEMA = "{key} {type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -78,7 +81,7 @@ class Levels:
 
 
 def _pack(batches, path: str, end_id: int, window: int, schema: pa.Schema):
-    encoder, levels = Encoder.of(path), Levels(window)
+    encoder, levels = Encoder.of(path, KEPT), Levels(window)
     first, end = TaskContext.get().partitionId() << 40, end_id.to_bytes(4, "little")
     names, serial = schema.names, 0
 

@@ -139,15 +139,19 @@ class PlaneReader:
 
     def documents(self):
         """(key, ids as little-endian bytes) of each document, in the file's order."""
-        blocks, ready = self._chunks("ids"), bytearray()
+        blocks, ready, at = self._chunks("ids"), b"", 0
         for _, (table,) in self._chunks("docs"):
             rows = pa.ipc.open_stream(table).read_all()
             for key, n in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                while len(ready) < 4 * n:
+                parts, lack = [], 4 * n
+                while lack > len(ready) - at:
+                    parts.append(ready[at:])
+                    lack -= len(ready) - at
                     c, planes = next(blocks)
-                    ready += join_planes(planes, c["n"]).tobytes()
-                yield key, bytes(ready[: 4 * n])
-                del ready[: 4 * n]
+                    ready, at = join_planes(planes, c["n"]).tobytes(), 0
+                parts.append(ready[at : at + lack])
+                at += lack
+                yield key, b"".join(parts)
 
 
 def _write(batches, folder: str, tokenizer: str, end_id: int, block: int, bits: bool, keys: pa.DataType):
