@@ -49,7 +49,7 @@ def op7_class_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.link(table(spark, sf_dir, "documents"), size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+    return neardup.link(table(spark, sf_dir, "documents"), size=3, percent=85, keys=13, per_key=4).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
 def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
