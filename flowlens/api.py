@@ -23,8 +23,9 @@ from .sources.scan import facts, read_tree
 from .sources.store import Repository, Store
 
 INDEX_FIRST = "call index_repo first"
-NOTE = "Some destinations have no condition_value because the source lists destinations rather than mapping return values. Describe these as 'routes to X', not as a returned value."
-NOT_RESOLVABLE = "This node's routing could not be enumerated statically, so whether it branches is unknown rather than known to be false. Either its function was not located, or it returns Command(goto=...) with a computed destination. Do not report this node as having no conditional routing."
+NOTE = "A destination without a condition_value was listed, not mapped: say that it is routed to, not what the router returns."
+NOT_RESOLVABLE = "Whether this node branches is unknown: its function was not found, or it computes where to go. This is not the same as having no branch."
+
 
 
 def _enveloped(verb: Callable[..., dict]) -> Callable[..., dict]:
@@ -158,10 +159,9 @@ class Engine:
         relevant = nodes.join(with_source, "graph_id", "left_semi") if not with_source.isEmpty() else nodes
         rows = graphops.unresolved_routing(relevant).join(graphs.select("graph_id", "file_path"), "graph_id").orderBy("graph_id", "node_ord").select("name", "file_path").collect()
         unresolved = [{"node_name": r["name"], "file_path": r["file_path"]} for r in rows]
-        if unresolved:
-            detail = f"No statically declared path from {from_node!r} to {to_node!r}. Both names exist, but no parsed edge connects them in that direction — and this graph contains {len(unresolved)} node(s) whose own routing could not be enumerated, so a path may exist through routing that is not visible to static analysis. See unresolved_routing_nodes."
-        else:
-            detail = f"No directed path from {from_node!r} to {to_node!r}. Both names exist, but no graph in this repository connects them in that direction."
+        way = f"from {from_node!r} to {to_node!r}"
+        hidden = f"; {len(unresolved)} node(s) route in ways that the source does not state, so one may exist all the same"
+        detail = f"no stated edges lead {way}{hidden if unresolved else ', and all routing is stated'}"
         return {"path_found": False, "route": [], "conditional_branches": [], "unresolved_routing_nodes": unresolved, "detail": detail}
 
     @staticmethod
