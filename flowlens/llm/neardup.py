@@ -27,6 +27,9 @@ from .graph import components
 #: Keys in each collection, and minhashes in a key: two sets of similarity 0.8 share no table key once in 2700 times.
 KEYS, PER_KEY = 12, 3
 
+#: Bits of the bitmap of texts that have candidates.
+MARK_BITS = 22
+
 _MIX, _SLICE, _KEPT = np.uint64(0x9E3779B97F4A7C15), 1 << 12, 100_000
 _words: dict[bytes, int] = {}
 
@@ -90,9 +93,20 @@ def _sign(batches, size: int, keys: int, per_key: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], names=["doc", "n_shingles", "digest", "signature"])
 
 
-def _sets(batches, size: int):
+def _marks(docs: DataFrame) -> np.ndarray:
+    """One bit for each of 2^MARK_BITS hash values: set where a row of `docs` (doc) has it. At most that many rows are gathered."""
+    found = docs.select(F.pmod(F.xxhash64("doc"), F.lit(1 << MARK_BITS)).cast("int").alias("m")).distinct().toArrow()
+    bits = np.zeros(1 << MARK_BITS, dtype=bool)
+    bits[found.column(0).to_numpy()] = True
+    return np.packbits(bits)
+
+
+def _sets(batches, size: int, marks):
+    bits = np.unpackbits(marks.value).view(bool)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["doc", "shingles"])
+        batch = batch.filter(pa.array(bits[batch.column(2).to_numpy()]))
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, size).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["doc", "shingles"])
 
 
 def _apart(batches):
@@ -155,7 +169,10 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5
     full = full.select("bucket", "centre")
     members = settle(tables.join(full, "bucket").select("bucket", "rep", "centre"), "members")
     wanted = members.select(F.col("rep").alias("doc")).distinct()
-    sets = settle(texts.join(wanted, "doc", "left_semi").select("doc", "_text").mapInArrow(partial(_sets, size=size), "doc long, shingles binary"), "sets")
+    # a bitmap of fixed size keeps most other texts out, before the join that is exact
+    marks = spark.sparkContext.broadcast(_marks(wanted))
+    marked = texts.where("doc is not null").select("doc", "_text", F.pmod(F.xxhash64("doc"), F.lit(1 << MARK_BITS)).cast("int").alias("_m"))
+    sets = settle(marked.mapInArrow(partial(_sets, size=size, marks=marks), "doc long, shingles binary").join(wanted, "doc", "left_semi"), "sets")
     linked = 100 * F.col("shared") >= percent * F.col("total")
 
     # each text with the centre of its buckets that shares most half-keys with others
