@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass
@@ -123,7 +124,8 @@ class Store:
         info = self.get_repository(repo_id)
         if info is None:
             return self.spark.createDataFrame([], TABLES[name])
-        found = self.spark.read.schema(TABLES[name]).parquet("/".join([self.root, self.key(repo_id), info.version, name]))
+        path = re.sub(r"([\[\]{}*?\\])", r"\\\1", "/".join([self.root, self.key(repo_id), info.version, name]))  # readers take patterns
+        found = self.spark.read.schema(TABLES[name]).parquet(path)
         # an index written before a state was known has it as not applicable
         return found.withColumn("routing_resolution", F.coalesce("routing_resolution", F.lit(NOT_APPLICABLE))) if name == "nodes" else found
 
