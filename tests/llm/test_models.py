@@ -128,6 +128,26 @@ def test_outliers_go_and_clean_texts_stay(docs, plain):
     assert all(got[i]["kept"] for i in range(60))
 
 
+def test_a_third_to_nearly_half_junk_of_one_kind_goes(spark):
+    import random
+
+    from conftest import prose
+
+    rng = random.Random(11)
+    rows, junk = [], set()
+    for lang, source, share in (("en", "web", 0.45), ("en", "books", 0.0), ("fr", "web", 0.30), ("fr", "books", 0.0)):
+        for i in range(200):
+            if i < 200 * share:
+                junk.add(len(rows))
+                text = " ".join(rng.choice(["BUY", "$NOW!", "$$$", "FREE", "#WIN!!"]) + str(rng.randint(0, 99)) for _ in range(rng.randint(60, 160)))
+            else:
+                text = prose(rng, rng.randint(60, 160))
+            rows.append((len(rows), text, lang, source))
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and not any(got[i]["base_failed"] for i in got)
+    assert {i for i in got if not got[i]["kept"]} == junk
+
+
 def test_quality_of_an_empty_table(empty):
     assert quality.judge(empty).count() == 0 and ctw.score(empty).count() == 0
 
