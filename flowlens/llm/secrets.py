@@ -7,11 +7,13 @@ forest trained on labelled findings tells secrets from checksums, identifiers, n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blank
 
+#: Least characters of a candidate.
+LEAST = 16
 #: A candidate: at least 16 characters of keys, with a digit, between other characters.
 CANDIDATE = r"(?<![A-Za-z0-9_+/=~.@-])(?=[A-Za-z_+/=~.-]{0,40}[0-9])[A-Za-z0-9_+/=~.-]{16,}(?![A-Za-z0-9_+/=~@-])"
 #: Characters of context on either side that neighbouring words are looked for in.
@@ -100,29 +102,43 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = TREE_DEPTH, seed
 
 
 def candidates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """`key`, candidate, times, before, after: each different candidate of a row's whole text, with its first context."""
-    found = docs.select(key, blank(text).alias("_text")).withColumn("_all", F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0))).where(F.size("_all") > 0)
-    each = found.select(key, "_text", "_all", F.explode(F.array_distinct("_all")).alias("candidate"))
-    at = F.instr(F.col("_text"), F.col("candidate"))
-    size = F.length("candidate")
-    return each.select(
-        key,
-        "candidate",
-        F.size(F.filter("_all", lambda x: x == F.col("candidate"))).cast("long").alias("times"),
-        F.substring(F.col("_text"), F.greatest(at - REACH, F.lit(1)), F.least(at - 1, F.lit(REACH))).alias("before"),
-        F.substring(F.col("_text"), at + size, F.lit(REACH)).alias("after"),
-    )
+    """`key`, _row, _at, _skip, candidate, before, after: each occurrence of a candidate in a row's whole text, in its own context.
+
+    _row is the row's own number, _at the occurrence's number in it, _skip the characters between the one before and it.
+    """
+    kinds = docs.select(F.monotonically_increasing_id().alias("_row"), key, blank(text).alias("_text"))
+    found = kinds.withColumn("_all", F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0))).where(F.size("_all") > 0)
+    # one gap more than runs; the context reaches over as many runs as fit in it
+    gaps = found.select(key, "_row", "_all", F.split("_text", CANDIDATE, -1).alias("_gaps"))
+    over = REACH // LEAST + 1
+
+    def piece(i: Column) -> Column:
+        left = F.transform(F.sequence(F.greatest(i - over, F.lit(0)), i), lambda j: F.concat(F.when(j > F.greatest(i - over, F.lit(0)), F.get("_all", j - 1)).otherwise(F.lit("")), F.get("_gaps", j)))
+        last = F.least(i + over, F.size("_all") - 1)
+        right = F.transform(F.sequence(i, last), lambda j: F.concat(F.get("_gaps", j + 1), F.when(j < last, F.get("_all", j + 1)).otherwise(F.lit(""))))
+        before, after = F.array_join(left, ""), F.array_join(right, "")
+        return F.struct(i.alias("_at"), F.length(F.get("_gaps", i)).cast("long").alias("_skip"), F.get("_all", i).alias("candidate"), F.when(F.length(before) > REACH, F.substring(before, -REACH, REACH)).otherwise(before).alias("before"), F.substring(after, 1, REACH).alias("after"))
+
+    each = gaps.select(key, "_row", F.explode(F.transform(F.sequence(F.lit(0), F.size("_all") - 1), piece)).alias("_c"))
+    return each.select(key, "_row", "_c.*")
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, text: str = "text", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
-    """A row for each different candidate of each row of `docs`: `key`, candidate, times, before, after, probability, is_secret.
+    """A row for each different candidate of each row of `docs`: `key`, candidate, times, before, after, probability, is_secret, spans.
 
-    `findings` are labelled findings, those of labelled_findings() by default. Rows without candidates (null and empty
-    texts among them) give none, repeated rows give theirs each. Nothing of `docs` is shuffled.
+    Every occurrence is judged in its own context; probability, before and after are of the most probable one, the
+    first of equals; spans has the start (from 0) and end of each, in characters. `findings` are labelled findings,
+    those of labelled_findings() by default. Rows without candidates (null and empty texts among them) give none,
+    repeated rows give theirs each. Only candidates are shuffled, by row.
     """
     from pyspark.ml.functions import vector_to_array
 
     model = train(labelled_findings(docs.sparkSession) if findings is None else findings)
     rows = candidates(docs, text, key).withColumns(features())
     scored = model.transform(rows).withColumn("probability", F.round(F.element_at(vector_to_array("probability"), 2), 6))
-    return scored.select(key, "candidate", "times", "before", "after", "probability", (F.col("probability") >= threshold).alias("is_secret"))
+    end = F.sum(F.col("_skip") + F.length("candidate")).over(Window.partitionBy("_row").orderBy("_at"))
+    placed = scored.select(key, "_row", "_at", "candidate", "before", "after", "probability", end.alias("_end"))
+    span = F.struct((F.col("_end") - F.length("candidate")).alias("start"), F.col("_end").alias("end"))
+    best = F.max_by(F.struct("before", "after", "probability"), F.struct("probability", -F.col("_at")))
+    judged = placed.groupBy("_row", "candidate").agg(F.first(key).alias(key), F.count("*").alias("times"), best.alias("_best"), F.sort_array(F.collect_list(span)).alias("spans"))
+    return judged.select(key, "candidate", "times", "_best.*", "spans").select(key, "candidate", "times", "before", "after", "probability", (F.col("probability") >= threshold).alias("is_secret"), "spans")

@@ -53,3 +53,17 @@ def test_secrets_are_told_from_what_looks_like_them(spark):
     assert {r["doc_id"] for r in got if r["is_secret"]} == {1, 3, 8, 9}
     assert {r["times"] for r in got if r["doc_id"] == 8} == {2}
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_later_occurrence_is_judged_in_its_own_context(spark):
+    from hashlib import sha1
+
+    h = [sha1(f"later{i}".encode()).hexdigest() for i in range(3)]
+    rows = [(1, f'\U0001f600 fixed in commit {h[0]} yesterday, and then api_key = "{h[0]}" leaked'), (2, f'see https://example.org/?q={h[1]} and then token = "{h[1]}" too'), (3, f"commit {h[2]} and commit {h[2]} again")]
+    got = {(r["doc_id"], r["candidate"]): r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1, h[0]]["is_secret"] and got[1, h[0]]["before"].endswith('api_key = "')
+    assert got[2, h[1]]["is_secret"]
+    assert not got[3, h[2]]["is_secret"]
+    for (i, c), r in got.items():
+        text = rows[i - 1][1]
+        assert r["times"] == len(r["spans"]) and all(text[s["start"] : s["end"]] == c for s in r["spans"])
