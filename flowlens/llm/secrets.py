@@ -14,17 +14,18 @@ from .common import blank
 
 #: Least characters of a candidate.
 LEAST = 16
-#: A candidate: at least 16 characters of keys, with a digit, between other characters.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=~.@-])(?=[A-Za-z_+/=~.-]{0,40}[0-9])[A-Za-z0-9_+/=~.-]{16,}(?![A-Za-z0-9_+/=~@-])"
+#: A candidate: a whole run of at least LEAST characters of keys, with padding. A run ends at '=' and '@', as at any
+#: other character; the slashes after a URL's scheme are no part of it.
+CANDIDATE = rf"(?:(?<![A-Za-z0-9_+/~.-])(?!//)|(?<=//))[A-Za-z0-9_+/~.-]{{{LEAST},}}(?:={{1,2}}(?![A-Za-z0-9_+/=~.-])|(?![A-Za-z0-9_+/~.-]))"
 #: Characters of context on either side that neighbouring words are looked for in.
 REACH = 48
 #: Words that stand before secrets, before other long strings, and common words in identifiers (fixed values).
 BEFORE_SECRET = "token|secret|passwd|password|pwd|api[ _-]?key|apikey|access[ _-]?key|private[ _-]?key|auth|authorization|bearer|credential|client[ _-]?secret|signing[ _-]?key"
 BEFORE_OTHER = "commit|sha1|sha256|sha512|md5|checksum|digest|hash|integrity|etag|uuid|guid|revision|version|build|example|sample|placeholder|isbn|doi|image|layer"
 COMMON = "the|and|for|get|set|user|name|data|file|test|page|list|item|index|value|type|model|node|key|time|date|http|www|com|org|html|path|image|version|example|your|here|change|this|with|from|api|app|main|config|default|service|server|client|request|response|number|string|table|column|update|create|delete|insert|select|report|module|package|import|class|public|static|docs|blog|post|product|release|build"
-FEATURES = ("length", "digits", "uppers", "lowers", "marks", "changes", "distinct", "hex", "covered", "longest_run", "in_path", "parts", "before_secret", "before_other", "assigned", "quoted", "uuid")
+FEATURES = ("length", "digits", "uppers", "lowers", "marks", "changes", "distinct", "hex", "covered", "longest_run", "in_path", "parts", "before_secret", "before_other", "assigned", "quoted", "uuid", "userinfo", "at")
 #: Rows of the labelled findings made here when none are given, trees and their depth.
-LABELLED, TREES, TREE_DEPTH = 6000, 24, 8
+LABELLED, TREES, TREE_DEPTH = 11400, 24, 8
 
 
 def features(token: str = "candidate", before: str = "before", after: str = "after") -> dict[str, Column]:
@@ -44,7 +45,10 @@ def features(token: str = "candidate", before: str = "before", after: str = "aft
         "distinct": F.size(F.array_distinct(F.split(t, ""))) / F.least(n, F.lit(64.0)),
         "hex": t.rlike(r"\A(?:[0-9a-f]+|[0-9A-F]+)\z").cast("double"),
         "covered": 1 - F.length(F.regexp_replace(F.lower(t), COMMON, "")) / n,
-        "longest_run": F.array_max(F.transform(F.regexp_extract_all(t, F.lit("[A-Za-z]+|[0-9]+"), F.lit(0)), F.length)) / n,
+        "longest_run": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(t, F.lit("[A-Za-z]+|[0-9]+"), F.lit(0)), F.length)), F.lit(0)) / n,
+        # the user part of a URL: after its scheme, up to an @
+        "userinfo": (left.rlike(r"://[^\s/@]*\z") & F.col(after).startswith("@")).cast("double"),
+        "at": (F.col(after).startswith("@") | left.endswith("@")).cast("double"),
         "in_path": (F.col(before).rlike(r"[/\\][^\s/\\]*\z|://[^\s]*\z") | t.rlike(r"/[^/]+/")).cast("double"),
         "parts": F.size(F.split(t, "[_./-]")).cast("double"),
         "before_secret": near.rlike(BEFORE_SECRET).cast("double"),
@@ -56,7 +60,7 @@ def features(token: str = "candidate", before: str = "before", after: str = "aft
 
 
 def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
-    """Findings (candidate, before, after, label) made by rule from row numbers: the ten kinds in equal parts."""
+    """Findings (candidate, before, after, label) made by rule from row numbers: all kinds in equal parts."""
     i = F.col("id")
     digest = lambda salt: F.sha2(F.concat(F.lit(salt), i.cast("string")).cast("binary"), 256)
     pick = lambda salt, *xs: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(F.xxhash64(F.lit(salt), i), F.lit(len(xs))) + 1).cast("int"))
@@ -80,6 +84,15 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
         (0, words, F.concat(prose, pick("w", "function ", "call ", "set ", "token = ", "key: ")), F.lit(" ")),
         (0, F.concat(F.lit("blog/"), pick("p", "release", "product", "docs", "report"), F.lit("/"), (F.pmod(F.hash(i), F.lit(9000)) + 1000).cast("string"), F.lit("/"), F.substring(digest("n3"), 1, 12)), pick("url", "https://example.org/", "see /var/www/", "at http://www.example.com/"), F.lit(" ")),
         (0, pick("ph", "your_api_key_here_1", "xxxxxxxxxxxxxxxx0000", "1234567890123456", "changeme_password_1", "0000000000000000", "example-token-12345", "abcdefghij0123456789", "4111111111111111"), F.concat(prose, name, sign), close),
+        (1, F.concat(pick("pre5", "ghp_", "glpat-", "sk_live_", ""), mixed("k5", 32)), F.concat(prose, pick("u5", "https://user:", "postgres://u:", "https://", "redis://app:", "git clone https://ci:")), F.concat(F.lit("@"), pick("h5", "github.com/a/b ", "db ", "db.example.org:5432/x ", "host/path "))),
+        (1, F.substring(hexed("k6"), 1, 32), F.concat(prose, pick("u6", "postgres://u:", "mysql://app:", "https://user:", "amqp://svc:")), F.lit("@db ")),
+        (1, F.translate(mixed("k7", 40), "0123456789", "QwErTyUiOp"), F.concat(prose, name, sign), close),
+        (1, F.concat(pick("pre8", "ghp_", "sk_live_", "npm_", ""), mixed("k8", 36)), F.concat(prose, pick("n8", "GITHUB_TOKEN=", "export API_KEY=", "DB_PASSWORD=", "?access_token=", "client_secret=")), F.lit(" ")),
+        (0, F.concat(pick("w1", "inter", "counter", "trans", "super", "un"), pick("w2", "national", "comprehen", "formation", "revolution", "character"), pick("w3", "isation", "istically", "alities", "siveness", "ization")), prose, pick("w4", " ", ", ", ". ")),
+        (0, F.concat(pick("j1", "state", "well", "long", "user", "attion"), pick("j", "-", "_", ".", "/"), pick("j2", "of", "known", "term", "name"), pick("j", "-", "_", ".", "/"), pick("j3", "the", "and", "service", "value"), pick("j", "-", "_", ".", "/"), pick("j4", "art", "company", "report", "settings")), F.concat(prose, pick("j5", "", "the ", "token = ", "see ")), F.lit(" ")),
+        (0, F.concat(pick("m1", "firstname", "anna", "john.maria", "contact"), pick("m2", ".", "_"), pick("m3", "lastname", "schneider", "fitzgerald", "department"), F.when(F.pmod(i, F.lit(2)) == 0, F.pmod(F.hash(i), F.lit(100)).cast("string")).otherwise(F.lit(""))), F.concat(prose, pick("m4", "mail ", "to ", "<", "mailto:")), pick("m5", "@example.com ", "@mail.example.org ")),
+        (0, pick("d1", "mail.example.org", "www.research.example.com", "subdomain.company.net", "github.com/user/project"), pick("d2", "anna@", "https://user:pw@", "https://", "at "), F.lit(" ")),
+        (0, pick("r1", "................", "----------------", "________________", "--------------------------------", "~~~~~~~~~~~~~~~~~~"), prose, F.lit(" ")),
     ]
     rows_by_kind = None
     for k, (label, candidate, before, after) in enumerate(kinds):
