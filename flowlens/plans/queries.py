@@ -257,6 +257,16 @@ def v_batch_topk(spark, sf_dir):
     return search.batch_top_k(rows, asked, 5, "vec_id", "embedding", "query_id", "v").withColumn("score", F.round("score", 6))
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0),
+  s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) AS x FROM q, embeddings),
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, round(x, 6) AS score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 5""")
+def v_hundredth_topk(spark, sf_dir):
+    rows = _t(spark, sf_dir, "embeddings")
+    asked = rows.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    return search.block_top_k(rows, asked, 5, "vec_id", "embedding", "query_id", "v").withColumn("score", F.round("score", 6))
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm, CAST(1.0 AS DOUBLE) AS unit_norm FROM embeddings")
 def v_normalize(spark, sf_dir):
     rows = _t(spark, sf_dir, "embeddings")
