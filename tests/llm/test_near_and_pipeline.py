@@ -1,3 +1,4 @@
+import random
 from itertools import combinations
 
 import corpus_pipeline
@@ -83,3 +84,60 @@ def test_the_pipeline_takes_an_empty_table(spark, empty):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, "")
     assert now.count() == 0
+
+
+def near_copies(rng, n, words, most):
+    """Texts that each differ from one text of `words` words in 0 to `most` places, some of those common to several."""
+    base = [f"w{rng.randrange(900)}" for _ in range(words)]
+    common = [(rng.randrange(words), f"c{k}") for k in range(6)]
+    out = []
+    for i in range(n):
+        now = list(base)
+        for k in range(rng.randint(0, most)):
+            at, w = rng.choice(common) if rng.random() < 0.3 else (rng.randrange(words), f"n{i}x{k}")
+            now[at] = w
+        out.append(" ".join(now))
+    return out
+
+
+def test_large_groups_of_near_copies_match_brute_force(spark):
+    rng = random.Random(11)
+    found = near_copies(rng, 250, 140, 12) + near_copies(rng, 60, 90, 6)
+    # a second family that shares half of its words with the first
+    half = found[0].split()[:70]
+    found += [" ".join(half + t.split()[:70]) for t in near_copies(rng, 60, 70, 4)]
+    plain = dict(enumerate(found))
+    frame = spark.createDataFrame(list(plain.items()), "doc_id long, text string")
+    for size, percent in ((3, 85), (5, 80)):
+        expected, _ = brute(plain, size, percent)
+        assert len(set(expected.values())) > 10
+        got = {r["doc_id"]: r["component_id"] for r in neardup.link(frame, size=size, percent=percent).collect()}
+        assert got == expected
+
+
+def test_difference_join_finds_every_pair_that_links(spark):
+    # one group: all pairs across components that link must be among the pairs to confirm, beside a pivot and without
+    rng = random.Random(5)
+    sets = [set(neardup.shingles(t, 3).view(np.int64).tolist()) for t in near_copies(rng, 80, 120, 9)]
+    for percent in (80, 85):
+        linked = lambda x, y, p=percent: 100 * len(x & y) >= p * len(x | y)
+        want = {(a, b) for a, b in combinations(range(len(sets)), 2) if linked(sets[a], sets[b])}
+        for whole, pivot in ((True, set()), (False, sets[7])):
+            # what links with the pivot is one component, every other text one of its own
+            own = {i: -1 if not whole and linked(x, pivot) else i for i, x in enumerate(sets)}
+            rows = [(0, i, own[i], len(x), np.array(sorted(x ^ pivot), dtype=np.int64).tobytes()) for i, x in enumerate(sets)]
+            frame = spark.createDataFrame(rows, "g long, node long, component long, n long, values binary")
+            got = {(r["a"], r["b"]) for r in neardup._across(frame, percent, whole, "test").collect()}
+            assert {(a, b) for a, b in want if own[a] != own[b]} <= got
+
+
+def test_repeated_and_missing_keys_lose_no_link(spark):
+    rng = random.Random(2)
+    a, b = (" ".join(f"{x}{rng.randrange(400)}" for _ in range(300)) for x in "ab")
+    near = " ".join(["changed", *a.split()[1:]])
+    rows = [(5, a), (5, b), (7, near), (9, b), (None, a), (None, "alone " * 9), (3, ""), (3, None)]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    component = [5, 5, 5, 5, None, None, 3, 3]
+    kept = [True, True, False, False, True, True, True, True]
+    expected = [(k, len(neardup.shingles(t or "", 5)), c, y) for (k, t), c, y in zip(rows, component, kept, strict=True)]
+    assert sorted(got, key=str) == sorted(expected, key=str)
