@@ -1,11 +1,9 @@
-"""Byte n-grams of many texts at once, as 64-bit integers, and a cache of values for them."""
+"""Byte n-grams of many texts at once, as 64-bit integers, and values looked up by them."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Slots of a worker's cache of values by gram.
-SLOTS = 22
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,25 +32,32 @@ def merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return code[starts], *(np.add.reduceat(np.concatenate([p[k] for p in parts])[order], starts) if len(code) else np.empty(0, dtype=np.int64) for k in range(1, len(parts[0])))
 
 
-class Cache:
-    """Values of grams, computed for those not met lately; a gram may push out another, which is then computed anew."""
+class Lookup:
+    """Values by gram, NaN for a gram that is not there.
 
-    def __init__(self, compute):
-        self.compute = compute
-        self.keys = np.full(1 << SLOTS, np.iinfo(np.uint64).max, dtype=np.uint64)
-        self.values = np.zeros(1 << SLOTS, dtype=np.float32)
+    Grams are spread by a one-to-one product and sorted; a table of places by their first bits finds one in a step or two.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        spread = keys * _ODD
+        order = np.argsort(spread)
+        bits = max(1, int(len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.spread = np.append(spread[order], np.iinfo(np.uint64).max)
+        self.values = np.append(values[order].astype(np.float32), np.float32(np.nan))
+        self.start = np.searchsorted(spread[order], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
     def __call__(self, code: np.ndarray) -> np.ndarray:
-        slot = (code * _ODD) >> np.uint64(64 - SLOTS)
-        out = self.values[slot]
-        miss = np.flatnonzero(self.keys[slot] != code)
-        if len(miss):
-            new, back = np.unique(code[miss], return_inverse=True)
-            values = self.compute(new).astype(np.float32)
-            out[miss] = values[back]
-            slot = (new * _ODD) >> np.uint64(64 - SLOTS)
-            self.keys[slot], self.values[slot] = new, values
-        return out
+        want = code * _ODD
+        at = self.start[want >> self.shift]
+        found = self.spread[at]
+        behind = np.flatnonzero(found < want)
+        while len(behind):
+            at[behind] += 1
+            next_ = self.spread[at[behind]]
+            found[behind] = next_
+            behind = behind[next_ < want[behind]]
+        return np.where(found == want, self.values[at], np.float32(np.nan))
 
 
 def log_gamma(z: np.ndarray) -> np.ndarray:

@@ -1,29 +1,31 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Expressions are words and the beginnings of words. For either class an expression counts once for every different
-text that holds it, as Kneser-Ney counts contexts rather than occurrences; a discount is taken from each count, and
-what it sets free goes to a backoff distribution that both classes share. So an expression that few texts hold is as
-likely in one class as in the other and says nothing, and one that a class holds often tells how much likelier it is
-there. A text's score compares both log-likelihoods, divided by its length, and a logistic curve fitted on labelled
-texts that the counts do not hold makes it a probability.
+Each class has an interpolated Kneser-Ney model of its words. A word counts as often as different words stand before
+it in the class's texts (the continuation count), so that copies add nothing. A discount is taken from each count, and
+what it sets free goes to the class's model of the beginnings of words, counted in the same way; what that sets free
+goes to counts that both classes share. So an expression that is rare in both classes is as likely in one as in the
+other, and one that a class holds often tells how much likelier it is there.
+
+Most words of a toxic text are ordinary ones: its model takes SHARE of the words from the toxic class's estimate and the
+others from the ordinary one. Both log-likelihoods, divided by the text's length, are compared, and a logistic curve
+fitted on labelled texts that the counts do not hold makes the difference a probability.
 """
 
 from __future__ import annotations
 
 from functools import partial
-from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, small_batches
+from .common import blank, settle, small_batches
 
-#: Characters of the beginnings of words that are expressions, 0 for whole words; and the discount.
-LEVELS, DISCOUNT = (4, 6, 0), 2.0
-#: Log-likelihood ratio that an expression must exceed to count as evidence for toxicity.
-CLEAR = 1.0
+#: Characters of the beginnings that words back off to, and the discount.
+BEGINNING, DISCOUNT = 6, 2.0
+#: Share of a toxic text's words that are taken to come from the toxic class's own estimate.
+SHARE = 0.01
 #: Labelled texts of each class that the models are fitted on, at most: those least by MD5 digest of their key.
 SAMPLE = 4000
 #: One in so many of them is kept from the counts and fits the curve.
@@ -32,85 +34,119 @@ CURVE = 4
 _EDGES = ".,;:!?|\"'()[]{}<>*$%&#"
 _KEPT = 300_000
 _workers: dict[str, Ratios] = {}
+WORD, START = 0, 1
 
 
-def expressions(word: str) -> tuple[str, ...]:
-    word = word.strip(_EDGES)
-    return tuple(word[:n] if n else word for n in LEVELS)
+def words(text: str) -> list[str]:
+    """Lower-case words without marks around them; a word of marks alone is empty."""
+    return [w.strip(_EDGES) for w in text.lower().split()]
 
 
-def _count(batches):
-    found: dict[tuple[int, str], list[int]] = {}
+def _pairs(batches):
+    """Distinct (level, word before, expression) of some texts and the classes that hold them; before a text stands a line feed."""
+    found: dict[tuple[int, str, str], list[bool]] = {}
 
     def out():
-        rows = [(k, e, t, o) for (k, e), (t, o) in found.items()]
+        rows = [(*k, *v) for k, v in found.items()]
         for at in range(0, len(rows), 50_000):
-            level, name, toxic, ordinary = zip(*rows[at : at + 50_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(name, pa.string()), pa.array(toxic, pa.int64()), pa.array(ordinary, pa.int64())], names=["level", "expression", "toxic", "ordinary"])
+            columns = zip(*rows[at : at + 50_000], strict=True)
+            types = (pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["level", "before", "expression", "toxic", "ordinary"])
 
     for batch in batches:
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held = {(k, e) for w in set(text.lower().split()) for k, e in enumerate(expressions(w))}
-            for x in held:
-                found.setdefault(x, [0, 0])[0 if y else 1] += 1
-        if len(found) > 2_000_000:
-            yield from out()
-            found.clear()
+            now = words(text)
+            for before, w in zip(["\n", *now], now, strict=False):
+                for x in ((WORD, before, w), (START, before, w[:BEGINNING])):
+                    found.setdefault(x, [False, False])[0 if y else 1] = True
+            if len(found) > 1_000_000:
+                yield from out()
+                found.clear()
     yield from out()
 
 
+class Kneser:
+    """Both classes' models from continuation counts: {expression: (toxic, ordinary, both)} by level, sums by level.
+
+    `counts` may lack expressions whose counts the discount takes whole in either class, but for `both` of beginnings.
+    sums: for each class and level (all counts, what the discount frees), then for beginnings all counts of both
+    classes together and the number of different ones.
+    """
+
+    def __init__(self, counts: list[dict[str, tuple]], sums: list[list[tuple[float, float]]], total: float, distinct: float, discount: float = DISCOUNT):
+        self.counts, self.sums, self.total, self.distinct, self.discount = counts, sums, total, distinct, discount
+
+    def _level(self, level: int, c: int, x: str, lower: float) -> float:
+        every, free = self.sums[c][level]
+        return (max(self.counts[level].get(x, (0, 0, 0))[c] - self.discount, 0.0) + free * lower) / every
+
+    def start(self, c: int, x: str) -> float:
+        """Probability of a word's beginning in class `c` (0 toxic, 1 ordinary)."""
+        return self._level(START, c, x, (self.counts[START].get(x, (0, 0, 0))[2] + 1) / (self.total + self.distinct + 1))
+
+    def ratio(self, word: str) -> float:
+        """How much likelier a word is in the toxic class's estimate.
+
+        The shared probability of a word after its beginning multiplies both sides' back-off. Where neither class holds
+        the word beyond the discount it falls out; else it is taken from the shared counts.
+        """
+        start = word[:BEGINNING]
+        after = (self.counts[WORD].get(word, (0, 0, 0))[2] + 1) / (self.counts[START].get(start, (0, 0, 0))[2] + 1)
+        toxic, ordinary = (self._level(WORD, c, word, self.start(c, start) * min(1.0, after)) for c in (0, 1))
+        return toxic / ordinary
+
+
 class Ratios:
-    """Evidence of words: for every level the part of the log-likelihood ratio beyond CLEAR, then the first level's ratio."""
+    """Sums over a text's words of the toxic model's log-likelihood less the ordinary one's."""
 
-    def __init__(self, known: list[dict[str, float]], rare: list[float]):
-        self.known, self.rare = known, rare
+    def __init__(self, model: Kneser, share: float = SHARE):
+        self.model, self.share = model, share
         self.place: dict[str, int] = {}
-        self.values = np.zeros((_KEPT + 1, len(LEVELS) + 1))
+        self.values = np.zeros(_KEPT + 1)
 
     def _add(self, word: str) -> None:
-        found = [t.get(e, r) for t, e, r in zip(self.known, expressions(word), self.rare, strict=True)]
-        self.values[len(self.place)] = [*(max(0.0, x - CLEAR) for x in found), found[0]]
+        self.values[len(self.place)] = np.log1p(self.share * (self.model.ratio(word.strip(_EDGES)) - 1))
         self.place[word] = len(self.place)
 
-    def text(self, text: str) -> np.ndarray:
-        """Sums over a text's words, and their number."""
-        words = text.lower().split()
-        total = np.zeros(len(LEVELS) + 2)
-        total[-1] = len(words)
-        for at in range(0, len(words), _KEPT // 2):
-            part = words[at : at + _KEPT // 2]
+    def text(self, text: str) -> tuple[float, int]:
+        """The difference, and the number of words."""
+        found, total = text.lower().split(), 0.0
+        for at in range(0, len(found), _KEPT // 2):
+            part = found[at : at + _KEPT // 2]
             new = set(part).difference(self.place)
             if len(self.place) + len(new) > _KEPT:
                 self.place, new = {}, set(part)
             for w in new:
                 self._add(w)
-            total[:-1] += self.values[np.fromiter(map(self.place.__getitem__, part), dtype=np.int64, count=len(part))].sum(axis=0)
-        return total
+            total += self.values[np.fromiter(map(self.place.__getitem__, part), dtype=np.int64, count=len(part))].sum()
+        return total, len(found)
 
 
 def _score(batches, shared, name: str):
     if name not in _workers:
         _workers.clear()
-        _workers[name] = Ratios(*shared.value)
+        _workers[name] = Ratios(shared.value)
     ratios = _workers[name]
     for batch in batches:
         columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-        sums = np.array([ratios.text(t) for t in batch.column(batch.num_columns - 1).to_pylist()]).reshape(batch.num_rows, len(LEVELS) + 2)
-        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c) for c in sums.T.copy())], names=[*batch.schema.names[:-1], *NAMES])
+        sums = [ratios.text(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([x / max(1, n) for x, n in sums], pa.float64()), pa.array([n for _, n in sums], pa.int64())], names=[*batch.schema.names[:-1], *NAMES])
 
 
-NAMES = [f"evidence_{n or 'word'}" for n in LEVELS] + ["ratio", "n_words"]
+NAMES = ["ratio", "n_words"]
+_MADE = "ratio double, n_words long"
 
 
-def _features(sums, lib=np):
-    """Per word: the square root of each level's evidence, and the ratio; and the text's length."""
-    n = lib.maximum(sums[-1], 1.0) if lib is np else F.greatest(sums[-1], F.lit(1.0))
-    return [10 * lib.sqrt(x / n) for x in sums[:-2]] + [10 * sums[-2] / n, lib.log(n) - 5.0]
+def _features(ratio, n, lib=np):
+    """The difference of both log-likelihoods per word, on two scales, and the text's length."""
+    if lib is np:
+        return [300 * ratio, 20 * np.sqrt(np.maximum(ratio, 0.0)), np.log(np.maximum(n, 1.0)) - 5.0]
+    return [300 * ratio, 20 * F.sqrt(F.greatest(ratio, F.lit(0.0))), F.log(F.greatest(n, F.lit(1.0))) - 5.0]
 
 
-def fit_curve(sums: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def fit_curve(ratio: np.ndarray, n: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Logistic weights (constant first) by Newton's method with a ridge."""
-    x = np.column_stack([np.ones(len(toxic)), *(np.clip(f, -50, 50) for f in _features(sums.T))])
+    x = np.column_stack([np.ones(len(toxic)), *(np.clip(f, -50, 50) for f in _features(ratio, n))])
     w = np.zeros(x.shape[1])
     ridge = np.diag([1e-3] + [0.05] * (x.shape[1] - 1))
     for _ in range(60):
@@ -126,35 +162,27 @@ def held_out(key: str = "doc_id", folds: int = 4, held: int = 2) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds)) == held, F.lit(True))
 
 
-def _fit(counted: DataFrame) -> tuple[list[dict[str, float]], list[float]]:
-    """For every level the log-likelihood ratios of expressions, and that of all others, from numbers of texts."""
-    totals = {r["level"]: r for r in counted.groupBy("level").agg(*[f(c).alias(n + c) for c in ("toxic", "ordinary") for f, n in ((F.sum, "all_"), (lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(DISCOUNT))), "free_"))]).collect()}
-    # of a bounded sample's expressions, those in more texts of a class than the discount takes
-    rows = counted.where(F.greatest("toxic", "ordinary") > DISCOUNT).toArrow()
-    known: list[dict[str, float]] = [{} for _ in LEVELS]
-    rare = [0.0] * len(LEVELS)
-    level, t, o = (rows.column(c).to_numpy() for c in ("level", "toxic", "ordinary"))
-    names = rows.column("expression").to_pylist()
-    for k in range(len(LEVELS)):
-        if k not in totals or not totals[k]["all_toxic"] or not totals[k]["all_ordinary"]:
-            continue
-        at = np.flatnonzero(level == k)
-        n1, n0, free1, free0 = (float(totals[k][c]) for c in ("all_toxic", "all_ordinary", "free_toxic", "free_ordinary"))
-        shared = (t[at] / n1 + o[at] / n0) / 2
-        ratio = np.log((np.maximum(t[at] - DISCOUNT, 0) + free1 * shared) / n1) - np.log((np.maximum(o[at] - DISCOUNT, 0) + free0 * shared) / n0)
-        known[k] = dict(zip((names[i] for i in at), ratio.tolist(), strict=True))
-        rare[k] = log((free1 / n1) / (free0 / n0))
-    return known, rare
+def _fit(counted: DataFrame) -> Kneser:
+    """The models from rows (level, expression, toxic, ordinary, both) of continuation counts."""
+    free = lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(DISCOUNT)))
+    sums = {r["level"]: r for r in counted.groupBy("level").agg(F.sum("toxic").alias("all0"), F.sum("ordinary").alias("all1"), free("toxic").alias("free0"), free("ordinary").alias("free1"), F.sum("both").alias("both"), F.count(F.lit(1)).alias("distinct")).collect()}
+    # of a bounded sample's expressions; others than these are equally likely in both classes
+    rows = counted.where((F.greatest("toxic", "ordinary") > DISCOUNT) | (F.col("level") == START) & (F.col("both") > DISCOUNT)).toArrow()
+    counts: list[dict[str, tuple]] = [{}, {}]
+    for level, x, *n in zip(*(rows.column(c).to_pylist() for c in ("level", "expression", "toxic", "ordinary", "both")), strict=True):
+        counts[level][x] = tuple(n)
+    return Kneser(counts, [[(float(sums[k][f"all{c}"]), float(sums[k][f"free{c}"])) for k in (WORD, START)] for c in (0, 1)], float(sums[START]["both"]), float(sums[START]["distinct"]))
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", threshold: float = 0.3, sample: int = SAMPLE, folds: int = 4, held: int = 2) -> DataFrame:
-    """One row per row of `docs`: `key`, held_out, score (0 to 1), predicted (1 from `threshold`), evidence and n_words.
+    """One row per row of `docs`: `key`, held_out, score (0 to 1), predicted (1 from `threshold`), ratio and n_words.
 
     `labels` has `key` and `label`; rows that held_out() is true for are not learnt from, nor are null labels; of
     several labels of a key the largest holds. At most `sample` texts of either class are learnt from, equal ones once.
-    Null and empty texts have no words and get the curve's value for none. Without labelled texts of both classes every
-    score is the share of toxic labels. Every row of `docs` is scored over its whole text, repeated rows each; an empty
-    table gives none.
+    ratio is the toxic model's log-likelihood less the ordinary one's, per word. Null and empty texts have no words
+    and get the curve's value for none. Where labels or their texts lack a class every score is the share of toxic
+    labels. Every row of `docs` is scored over its whole text, repeated rows and those without key each; an empty table
+    gives none.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -163,27 +191,35 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     sizes = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     order, fold = F.md5(F.col(key).cast("string").cast("binary")), F.pmod(F.crc32(F.reverse(F.col(key).cast("string")).cast("binary")), F.lit(CURVE)).cast("int")
     chosen = [tuple(r) for y in (0, 1) for r in known.where(F.col("_y") == y).orderBy(order, key).limit(sample).select(key, "_y", fold).collect()]
-    base = docs.select(key, held_out(key, folds, held).alias("held_out"), blank(text).alias("_text"))
+    base = docs.select(F.col(key).alias("_doc"), held_out(key, folds, held).alias("_held"), blank(text).alias("_text"))
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    names = [F.col("_doc").alias(key), F.col("_held").alias("held_out")]
+
+    def constant() -> DataFrame:
+        return base.select(*names, F.lit(float(share)).alias("score"), F.lit(int(share >= threshold)).alias("predicted"), F.lit(0.0).alias("ratio"), F.lit(0).cast("long").alias("n_words"))
+
     if not 0 < share < 1:
-        constant = [F.lit(float(share)).alias("score"), F.lit(int(share >= threshold)).alias("predicted")]
-        return base.select(key, "held_out", *constant, *[F.lit(0.0).alias(n) for n in NAMES])
+        return constant()
     # 2 * sample rows: a bounded broadcast
-    picked = F.broadcast(spark.createDataFrame(chosen, f"`{key}` {kind}, _y int, _fold int"))
-    texts = docs.select(key, blank(text).alias("_text")).join(picked, key)
+    picked = F.broadcast(spark.createDataFrame(chosen, f"_doc {kind}, _y int, _fold int"))
+    texts = base.select("_doc", "_text").join(picked, "_doc")
     once = texts.where("_fold > 0").groupBy(F.sha2(F.col("_text").cast("binary"), 256), "_y").agg(F.first("_text").alias("_text")).select("_text", "_y")
-    counted = once.mapInArrow(_count, "level int, expression string, toxic long, ordinary long").groupBy("level", "expression").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).persist()
+    pairs = once.mapInArrow(_pairs, "level int, before string, expression string, toxic boolean, ordinary boolean")
+    pairs = pairs.groupBy("level", "before", "expression").agg(F.max("toxic").alias("toxic"), F.max("ordinary").alias("ordinary"))
+    counts = [F.sum(F.col(c).cast("long")).alias(c) for c in ("toxic", "ordinary")]
+    counted = settle(pairs.groupBy("level", "expression").agg(*counts, F.count(F.lit(1)).alias("both")), "expressions")
+    held_by = counted.agg(F.sum("toxic"), F.sum("ordinary")).first()
+    if not held_by[0] or not held_by[1]:
+        return constant()
     shared = spark.sparkContext.broadcast(_fit(counted))
-    counted.unpersist()
     work = partial(_score, shared=shared, name=f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}")
-    sums = ", ".join(f"{n} double" for n in NAMES)
-    curve = texts.where("_fold = 0").select("_y", "_text").mapInArrow(work, f"_y int, {sums}").toArrow()
+    curve = texts.where("_fold = 0").select("_y", "_text").mapInArrow(work, f"_y int, {_MADE}").toArrow()
     y = curve.column(0).to_numpy().astype(float)
     each = {c: sizes[c] / max(1.0, (y == c).sum()) for c in (0, 1)}
     weight = np.where(y == 1, each[1], each[0]) * len(y) / sum(sizes.values())
-    w = fit_curve(np.column_stack([curve.column(n).to_numpy() for n in NAMES]), y, weight)
-    scored = base.mapInArrow(work, f"`{key}` {kind}, held_out boolean, {sums}")
+    w = fit_curve(curve.column("ratio").to_numpy(), curve.column("n_words").to_numpy().astype(float), y, weight)
+    scored = base.mapInArrow(work, f"_doc {kind}, _held boolean, {_MADE}")
     line = F.lit(float(w[0]))
-    for x, weight in zip(_features([F.col(n) for n in NAMES], F), w[1:], strict=True):
+    for x, weight in zip(_features(F.col("ratio"), F.col("n_words").cast("double"), F), w[1:], strict=True):
         line = line + F.greatest(F.lit(-50.0), F.least(F.lit(50.0), x)) * float(weight)
-    return scored.withColumn("score", 1 / (1 + F.exp(-line))).select(key, "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *NAMES)
+    return scored.withColumn("score", 1 / (1 + F.exp(-line))).select(*names, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *NAMES)

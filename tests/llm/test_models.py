@@ -1,15 +1,14 @@
 import zlib
 from collections import Counter
-from math import log2, log10
+from math import exp, lgamma, log, log2, log10, pi
 
 import numpy as np
 from flowlens.llm import ctw, quality, toxicity
-from flowlens.llm.bytegrams import grams, log_gamma
+from flowlens.llm.bytegrams import Lookup, grams, log_gamma
+from pyspark.sql import functions as F
 
 
 def test_log_gamma():
-    from math import lgamma
-
     z = np.array([0.5, 1.0, 1.5, 3.0, 17.25, 1e6])
     assert np.allclose(log_gamma(z), [lgamma(x) for x in z])
 
@@ -20,54 +19,99 @@ def test_grams_hold_the_bytes_before():
     assert [int(c).to_bytes(3, "big") for c in code] == [b"\n\na", b"a\nb", b"ba\n", b"\n\n\n"]
 
 
-def _tree(data: bytes, depth: int):
-    """Every node of every tree by plain loops: counts by (depth, context latest first, prefix)."""
-    found = {}
-    s = b"\n" * depth + data
-    for i in range(depth, len(s)):
-        for d in range(depth + 1):
-            ctx = bytes(reversed(s[i - d : i]))
-            prefix = 1
+class PlainTrees:
+    """Context trees in dicts: counts by (context latest first, prefix), weights by the recursion, one decision at a time."""
+
+    def __init__(self, bodies: list[bytes], depth: int):
+        self.depth, self.counts, self.children, self.known = depth, {}, {}, {}
+        for body in bodies:
+            s = b"\n" * depth + body + b"\n"
+            for i in range(depth, len(s)):
+                prefix = 1
+                for bit in range(7, -1, -1):
+                    b = (s[i] >> bit) & 1
+                    for d in range(depth + 1):
+                        ctx = bytes(reversed(s[i - d : i]))
+                        self.counts.setdefault((ctx, prefix), [0, 0])[b] += 1
+                        if d < depth:
+                            self.children.setdefault((ctx, prefix), set()).add(s[i - d - 1])
+                    prefix = 2 * prefix + b
+
+    def own(self, node) -> float:
+        z, o = self.counts[node]
+        return lgamma(z + 0.5) + lgamma(o + 0.5) - lgamma(z + o + 1) - log(pi)
+
+    def mixed(self, node) -> tuple[float, float]:
+        """ln of the weighted probability, and the weight of the node's own estimate."""
+        if node not in self.known:
+            own = self.own(node)
+            if len(node[0]) == self.depth:
+                self.known[node] = own, 1.0
+            else:
+                below = sum(self.mixed((node[0] + bytes([c]), node[1]))[0] for c in self.children[node])
+                most = max(own, below)
+                total = most + log(exp(own - most) + exp(below - most)) - log(2)
+                self.known[node] = total, exp(own - log(2) - total)
+        return self.known[node]
+
+    def one(self, past: bytes, prefix: int, d: int = 0, last: float = 0.5) -> float:
+        """Probability of a one after `past`, latest first."""
+        node = past[:d], prefix
+        if d > self.depth or node not in self.counts:
+            return last
+        z, o = self.counts[node]
+        w, p = self.mixed(node)[1], (o + 0.5) / (z + o + 1)
+        return w * p + (1 - w) * self.one(past, prefix, d + 1, p)
+
+    def log10(self, body: bytes) -> float:
+        s, total = b"\n" * self.depth + body + b"\n", 0.0
+        for i in range(self.depth, len(s)):
+            past, prefix = bytes(reversed(s[i - self.depth : i])), 1
             for bit in range(7, -1, -1):
-                b = (s[i] >> bit) & 1
-                found.setdefault((d, ctx, prefix), [0, 0])[b] += 1
+                b, p = (s[i] >> bit) & 1, self.one(past, prefix)
+                total += log10(p if b else 1 - p)
                 prefix = 2 * prefix + b
-    return found
-
-
-def test_weights_follow_the_recursion():
-    data, depth = b"abracadabra abracadabra", 3
-    found = _tree(data, depth)
-
-    def kt(z, o):
-        p = 1.0
-        for i in range(z):
-            p *= (i + 0.5) / (i + 1)
-        for i in range(o):
-            p *= (i + 0.5) / (z + i + 1)
-        return p
-
-    def weighted(d, ctx, prefix):
-        own = kt(*found[d, ctx, prefix])
-        if d == depth:
-            return own
-        below = 1.0
-        for e, c, p in found:
-            if e == d + 1 and p == prefix and c[:d] == ctx:
-                below *= weighted(e, c, p)
-        return (own + below) / 2
-
-    code, n = np.unique(grams([data], depth, 10)[0][:-1], return_counts=True)
-    seen = 0
-    for d, ctx, prefix, zeros, ones, x in ctw.trees(code, n, depth):
-        if d > 1:
-            for c, p, z, o, w in zip(ctx, prefix, zeros, ones, x, strict=True):
-                key = (d, int(c).to_bytes(d, "big"), int(p))
-                assert found[key] == [z, o]
-                if d < depth:
-                    assert abs(w - kt(z, o) / 2 / weighted(*key)) < 1e-9
-                seen += 1
-    assert seen > 100
+        return total
+
+
+def _mixture(spark, rows, **options):
+    got = {r["doc_id"]: r for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()}
+    bodies = {i: b" ".join((t or "").encode().lower().split()) for i, t in rows}
+    plain = PlainTrees([b for i, b in bodies.items() if zlib.crc32(str(i).encode()) % 7 != 2], ctw.DEPTH)
+    for i, body in bodies.items():
+        want = plain.log10(body)
+        assert abs(got[i]["score"] - want) < 1e-6 * abs(want), (i, got[i]["score"], want)
+        assert got[i]["n_bytes"] == len(body) + 1
+    return got
+
+
+def test_scores_are_the_mixture_of_plain_loops(spark, docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if not r["text"] or len(r["text"]) < 900][:70] + [(900 + k, t) for k, t in enumerate(("ZZZZ qqqq \u4e2d\u6587", "a" * 500, "\x00\x01 \x7f"))]
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2]
+    assert len(held) > 3
+    # all grams sent out, and nearly none
+    assert _mixture(spark, rows).keys() == _mixture(spark, rows, broadcast=50).keys()
+
+
+def test_probabilities_add_up():
+    data = [b"one two three two one", b"three three one"]
+    code, n = np.unique(grams(data, ctw.DEPTH, 10)[0], return_counts=True)
+    for past in (code[0], code[-1], np.uint64(0x7A7A7A7A7A7A00)):
+        every = (past & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
+        met = np.union1d(code, every)
+        learnt = np.zeros(len(met), dtype=np.int64)
+        learnt[np.searchsorted(met, code)] = n
+        found, tops = ctw.trees(met, learnt)
+        logs = ctw.Top(*tops).log2(met, found)
+        assert abs((2 ** logs[np.isin(met, every)]).sum() - 1) < 1e-9
+
+
+def test_lookups_find_every_gram():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 56, 5000, dtype=np.uint64))
+    for some in (keys, keys[:1], keys[:0]):
+        found = Lookup(some, np.arange(len(some), dtype=np.float32))(keys)
+        assert np.array_equal(found[: len(some)], np.arange(len(some))) and np.isnan(found[len(some) :]).all()
 
 
 def test_scores_match_brute_force(docs, plain):
@@ -91,19 +135,6 @@ def test_scores_match_brute_force(docs, plain):
     assert all(got[i]["n_bytes"] == len(body) for i, body in bodies.items())
 
 
-def test_probabilities_add_up():
-    data = [b"one two three two one", b"three three one"]
-    code, n = np.unique(grams(data, ctw.DEPTH, 10)[0], return_counts=True)
-    parts = list(ctw.trees(code, n))
-    packed = [ctw._pack(*p) for p in parts if p[0] > 1]
-    slots, values = (np.concatenate([p[k] for p in packed]) for k in range(2))
-    top = np.concatenate([np.column_stack([((p[1] << np.uint64(8)) | p[2]).astype(float), p[3], p[4], p[5]]) for p in parts if p[0] == 1])
-    model = ctw.Model(slots, values, top)
-    for ctx in (code[0] >> np.uint64(8), code[-1] >> np.uint64(8), np.uint64(0x7A7A7A7A7A)):
-        every = (np.uint64(ctx) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-        assert abs((2 ** model.log2(every)).sum() - 1) < 1e-9
-
-
 def test_text_counts_match_plain_loops(plain):
     for t in plain.values():
         words = t.encode().split()
@@ -176,5 +207,57 @@ def test_toxic_words_are_learnt(spark):
     held = [i for i in truth if zlib.crc32(str(i).encode()) % 4 == 2]
     assert all(got[i]["held_out"] == (i in held) for i in truth)
     assert np.mean([got[i]["predicted"] == truth[i] for i in held]) > 0.95
+    # the likelihoods, by plain loops over the texts that counts are taken from
+    label = {i: y for i, y in labels if y is not None and zlib.crc32(str(i).encode()) % 4 != 2 and zlib.crc32(str(i)[::-1].encode()) % 4}
+    taught = {(t or "", label[i]) for i, t in rows if i in label}
+    plain = PlainKneser([(toxicity.words(t), y) for t, y in taught])
+    for i, t in rows:
+        now = toxicity.words(t or "")
+        want = sum(log(1 - toxicity.SHARE + toxicity.SHARE * plain.word(w, 1) / plain.word(w, 0)) for w in now) / max(1, len(now))
+        assert abs(got[i]["ratio"] - want) < 1e-9 and got[i]["n_words"] == len(now)
     one = toxicity.score(docs, known.where("toxic = 0")).select("score").distinct().collect()
     assert [r["score"] for r in one] == [0.0]
+
+
+class PlainKneser:
+    """Continuation counts in sets of the words before; discount, beginnings and shared counts as the operator says."""
+
+    def __init__(self, texts):
+        self.before = {}
+        for words, y in texts:
+            for a, w in zip(["\n", *words], words, strict=False):
+                for level, x in ((0, w), (1, w[: toxicity.BEGINNING])):
+                    for c in (y, "both"):
+                        self.before.setdefault((level, c), {}).setdefault(x, set()).add(a)
+
+    def n(self, level, c, x):
+        return len(self.before[level, c].get(x, ()))
+
+    def level(self, level, c, x, lower):
+        every = sum(len(v) for v in self.before[level, c].values())
+        free = sum(min(len(v), toxicity.DISCOUNT) for v in self.before[level, c].values())
+        return (max(self.n(level, c, x) - toxicity.DISCOUNT, 0) + free * lower) / every
+
+    def word(self, w, c):
+        b = w[: toxicity.BEGINNING]
+        shared = self.before[1, "both"]
+        start = self.level(1, c, b, (self.n(1, "both", b) + 1) / (sum(map(len, shared.values())) + len(shared) + 1))
+        return self.level(0, c, w, start * min(1, (self.n(0, "both", w) + 1) / (self.n(1, "both", b) + 1)))
+
+
+def test_toxicity_without_labels_texts_or_keys(spark, empty):
+    schema = "doc_id long, text string, toxic int, ratio double, _text string, _y int"
+    docs = spark.createDataFrame([(1, "a b", 1, 0.5, "x", 2), (1, "c d e", 0, 0.5, "x", 2), (None, "a", 0, None, None, None), (4, None, 0, 1.0, "", 0)], schema)
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.score(empty, none).count() == 0
+    # labels of both classes whose texts are not there
+    absent = spark.createDataFrame([(i, i % 2) for i in range(100, 140)], "doc_id long, toxic int")
+    for labels, score in ((none, 0.0), (absent, None)):
+        got = toxicity.score(docs, labels).collect()
+        assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "4", "None"]
+        assert len({r["score"] for r in got}) == 1 and (score is None or got[0]["score"] == score)
+    # with a model: clashing names, repeated and missing keys are scored each
+    taught = spark.createDataFrame([(i, "vile words " * 20 if i % 2 else "good words " * 20) for i in range(200)], "doc_id long, text string")
+    both = taught.select("doc_id", "text", *[F.lit(None).cast(t).alias(c) for c, t in (("toxic", "int"), ("ratio", "double"), ("_text", "string"), ("_y", "int"))]).unionByName(docs)
+    got = toxicity.score(both, spark.createDataFrame([(i, i % 2) for i in range(5, 200)], "doc_id long, toxic int")).collect()
+    assert len(got) == 204 and sum(r["n_words"] for r in got if r["doc_id"] is None) == 1
