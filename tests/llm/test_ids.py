@@ -1,5 +1,6 @@
 import zlib
 from array import array
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -11,10 +12,11 @@ from tokenizers import Tokenizer
 WORDS, BYTES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
 
+_tokenizer = cache(Tokenizer.from_file)
+
+
 def plainly(path, text):
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    return tok.encode(text, add_special_tokens=False).ids
+    return _tokenizer(path).encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [WORDS, BYTES])
