@@ -215,7 +215,7 @@ def _across(rows: DataFrame, percent: int, whole: bool, name: str) -> DataFrame:
     on = ["g", "element"]
     held_by = prefix.groupBy(*on, "component").agg(F.count(F.lit(1)).alias("_c"))
     major = settle(held_by.groupBy(*on).agg(F.max_by("component", F.struct("_c", "component")).alias("major"), F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k"), f"{name}_major")
-    x = prefix.join(major, on)
+    x = settle(prefix.join(major, on), f"{name}_met")  # written, so that its join with itself can be split too
     y = x.where("component != major").select(*on, *[F.col(c).alias(f"{c}_y") for c in ("node", "component", "n", "m", "rest")])
     once = (F.col("component") == F.col("major")) | (F.col("node") < F.col("node_y"))
     enough = up * (2 * F.least("rest", "rest_y") - F.col("m") - F.col("m_y")) + down * (F.col("n") + F.col("n_y")) >= 0
