@@ -33,28 +33,103 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that an opening tag ends: the same kind, in the same list or table.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: Words of an article's own class and id names; one of them keeps an article that also has a name of NAMES_AWAY.
+OWN = frozenset("post entry article story main".split())
+
+#: A tag's name and attributes. It ends at '>' or before the next '<'; a quote without a partner is a character.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*'|["'])*+)>?""")
+#: What begins like markup but is none, and how each ends.
+_ENDINGS = (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">"))
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _UP = (1.0, 0.5, 0.25, 0.15, 0.1)
 
 
 class _Element:
-    __slots__ = ("away", "chars", "holds", "links", "named", "parent", "score", "tag")
+    __slots__ = ("away", "chars", "holds", "kept", "links", "named", "parent", "score", "tag")
 
-    def __init__(self, tag: str, parent: _Element | None, away: bool, named: bool, holds: bool | None):
+    def __init__(self, tag: str, parent: _Element | None, away: bool, named: bool, holds: bool):
         """away: holds no article text by its tag or for good; named: by its name, unless an article stands in it (holds)."""
         self.tag, self.parent, self.away, self.named, self.holds = tag, parent, away, named, holds
-        self.score, self.chars, self.links = 0.0, 0, 0
+        self.score, self.chars, self.links, self.kept = 0.0, 0, 0, False
+
+
+class _Open:
+    """Elements that are open, with the places of each kind, so that none is looked for."""
+
+    def __init__(self, root: _Element):
+        self.stack, self.places = [root], {}
+
+    def push(self, e: _Element) -> None:
+        self.places.setdefault(e.tag, []).append(len(self.stack))
+        self.stack.append(e)
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element of these kinds, 0 without any."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, place: int) -> None:
+        """End the element at `place` and all within; the root stays."""
+        while place and len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+
+
+def _markup(html: str):
+    """(start, end, closing, name, attributes) of each tag in order, a name of None for comments and the like.
+
+    Every character is looked at a bounded number of times, however broken the page is: what has no end is looked for
+    once, and the names of skipped elements that do not close again are remembered.
+    """
+    at, size, endless = 0, len(html), set()
+    while True:
+        start = html.find("<", at)
+        if start < 0:
+            return
+        m = _TAG.match(html, start)
+        if m is not None:
+            tag, at = m[2].lower(), m.end()
+            if tag not in SKIPPED:
+                yield start, at, bool(m[1]), tag, m[3]
+                continue
+            if not m[1] and not m[3].rstrip().endswith("/") and tag not in endless:
+                end = re.compile(rf"</{tag}\b[^<>]*>?", re.I).search(html, at)
+                if end is not None:
+                    at = end.end()
+                else:
+                    endless.add(tag)
+                    at = size if tag in ("script", "style", "textarea") else at
+            yield start, at, False, None, ""
+            continue
+        for opening, closing in _ENDINGS:
+            if html.startswith(opening, start):
+                end = -1 if opening in endless else html.find(closing, start + len(opening))
+                if end < 0:
+                    endless.add(opening)
+                at = size if end < 0 else end + len(closing)
+                yield start, at, False, None, ""
+                break
+        else:
+            at = start + 1
+
+
+def _away_by_name(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element's class, id and role speak against it, and whether for good."""
+    if not attributes or tag in ("body", "html", "main"):
+        return False, False
+    names = {w for n in _NAMED.findall(attributes) for w in _WORDS.findall("".join(n).lower())}
+    hits = {n for n in names if n in NAMES_AWAY or _BEGIN.match(n)}
+    if tag == "article" and names & OWN:
+        hits = set()
+    return bool(hits), any(n in NEVER_AROUND or n.startswith("comment") for n in hits)
 
 
 def _tree(html: str):
     """Elements in page order, and blocks as (element, text, characters in links)."""
     root = _Element("body", None, False, False, True)
-    elements, blocks, stack = [root], [], [root]
+    elements, blocks, opened = [root], [], _Open(root)
+    stack = opened.stack
     piece: list[str] = []
-    linked = link_at = 0
-    in_link, at = False, 0
+    linked, in_link, at = 0, False, 0
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -72,71 +147,59 @@ def _tree(html: str):
         piece.clear()
         linked = 0
 
-    while at < len(html):
-        m = _TOKEN.search(html, at)
-        if m is None:
-            text(html[at:])
-            break
-        text(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        closing, tag = bool(m[1]), m[2].lower()
-        if tag in SKIPPED:
-            if not closing and not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-                if end is not None:
-                    at = end.end()
-                elif tag in ("script", "style", "textarea"):
-                    break
-            continue
+    for start, end, closing, tag, attributes in _markup(html):
+        text(html[at:start])
+        at = end
         if tag == "a":
             in_link = not closing
-        elif tag == "br" or tag in ("img", "wbr"):
-            piece.append(" ") if tag == "br" else None
+        elif tag == "br":
+            piece.append(" ")
         elif tag not in BLOCKS:
             continue
         elif closing:
             end_block()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            opened.close(opened.last((tag,)))
             in_link = in_link and tag == "p"
         else:
             end_block()
             if stack[-1].tag == "p" or (stack[-1].tag in HEADINGS and tag in HEADINGS):
-                stack.pop()
+                opened.close(len(stack) - 1)
             if tag in _ENDS:
-                same, within = _ENDS[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in same:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in within:
-                        break
+                same, within = (opened.last(tags) for tags in _ENDS[tag])
+                if same > within:
+                    opened.close(same)
             if tag in VOID:
                 continue
-            names = {w for n in _NAMED.findall(m[3]) for w in _WORDS.findall("".join(n).lower())} if m[3] else ()
-            inside = any(e.tag in ("article", "main") for e in stack)
-            hits = {n for n in names if n in NAMES_AWAY or _BEGIN.match(n)} if tag not in ("body", "html", "main") else set()
-            away = tag in AWAY or (tag == "header" and not inside) or any(n in NEVER_AROUND or n.startswith("comment") for n in hits)
-            article = tag in ("article", "main") and not hits
-            element = _Element(tag, stack[-1], away, bool(hits), article)
-            if article:
-                for e in stack:
-                    e.holds = True
+            inside = opened.last(("article", "main")) > 0
+            named, for_good = _away_by_name(tag, attributes)
+            away = tag in AWAY or (tag == "header" and not inside) or for_good
+            element = _Element(tag, stack[-1], away, named, tag in ("article", "main") and not named)
             elements.append(element)
-            stack.append(element)
+            opened.push(element)
+    text(html[at:])
     end_block()
-    for e in elements[1:]:
-        e.away = e.parent.away or e.away or (e.named and not e.holds)
+    for e in reversed(elements[1:]):
+        e.parent.holds = e.parent.holds or e.holds
     return elements, blocks
 
 
 def main_blocks(html: str) -> list[str]:
-    """The article's blocks of text in page order; empty without any."""
+    """The article's blocks of text in page order; empty without any. If names leave nothing, layout names do not count."""
     elements, blocks = _tree(html)
+    away = [e.away for e in elements]
+    for names in (True, False):
+        for e, gone in zip(elements, away, strict=True):
+            e.away = gone or (e.parent is not None and (e.parent.away or (names and e.named and not e.holds)))
+        found = _chosen(elements, blocks)
+        if found:
+            return found
+    return []
+
+
+def _chosen(elements: list[_Element], blocks: list[tuple[_Element, str, int]]) -> list[str]:
+    """Texts of the blocks in the best container and in siblings that score like it."""
+    for e in elements:
+        e.score, e.chars, e.links, e.kept = 0.0, 0, 0, False
     for element, text, linked in blocks:
         element.chars += len(text)
         element.links += linked
@@ -167,29 +230,12 @@ def main_blocks(html: str) -> list[str]:
             if up.tag == "article":
                 break
         up = up.parent
-    kept, least = {id(best)}, 0.2 * value(best)
+    least = 0.2 * value(best)
     for e in elements:
-        if e.parent is best.parent and best.parent is not None and e is not best and not e.away:
-            if e.tag == "h1" or value(e) >= max(10.0, least) and density(e) < 0.3 or e.tag == "p" and e.chars > 80 and density(e) < 0.25:
-                kept.add(id(e))
-
-    def belongs(e: _Element) -> bool:
-        if e.away:
-            return False
-        while e is not None:
-            if id(e) in kept:
-                return True
-            e = e.parent
-        return False
-
-    known: dict[int, bool] = {}
-    out = []
-    for element, text, _ in blocks:
-        if id(element) not in known:
-            known[id(element)] = belongs(element)
-        if known[id(element)]:
-            out.append(text)
-    return out
+        sibling = e.parent is best.parent and best.parent is not None and not e.away
+        likes = sibling and (e.tag == "h1" or value(e) >= max(10.0, least) and density(e) < 0.3 or e.tag == "p" and e.chars > 80 and density(e) < 0.25)
+        e.kept = e is best or likes or (e.parent is not None and e.parent.kept)
+    return [text for element, text, _ in blocks if element.kept and not element.away]
 
 
 def _extract(batches):

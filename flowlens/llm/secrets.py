@@ -12,20 +12,23 @@ from pyspark.sql import functions as F
 
 from .common import blank
 
-#: Least characters of a candidate.
-LEAST = 16
-#: A candidate: a whole run of at least LEAST characters of keys, with padding. A run ends at '=' and '@', as at any
-#: other character; the slashes after a URL's scheme are no part of it.
-CANDIDATE = rf"(?:(?<![A-Za-z0-9_+/~.-])(?!//)|(?<=//))[A-Za-z0-9_+/~.-]{{{LEAST},}}(?:={{1,2}}(?![A-Za-z0-9_+/=~.-])|(?![A-Za-z0-9_+/~.-]))"
+#: Least characters of a candidate, and of one that a secret's name and a sign stand before.
+LEAST, LEAST_NAMED = 16, 6
+#: A whole run of at least LEAST characters of keys, with padding. A run ends at '=' and '@', as at any other
+#: character; the slashes after a URL's scheme are no part of it.
+LONG = rf"(?:(?<![A-Za-z0-9_+/~.-])(?!//)|(?<=//))[A-Za-z0-9_+/~.-]{{{LEAST},}}(?:={{1,2}}(?![A-Za-z0-9_+/=~.-])|(?![A-Za-z0-9_+/~.-]))"
 #: Characters of context on either side that neighbouring words are looked for in.
 REACH = 48
 #: Words that stand before secrets, before other long strings, and common words in identifiers (fixed values).
 BEFORE_SECRET = "token|secret|passwd|password|pwd|api[ _-]?key|apikey|access[ _-]?key|private[ _-]?key|auth|authorization|bearer|credential|client[ _-]?secret|signing[ _-]?key"
 BEFORE_OTHER = "commit|sha1|sha256|sha512|md5|checksum|digest|hash|integrity|etag|uuid|guid|revision|version|build|example|sample|placeholder|isbn|doi|image|layer"
+#: A shorter run of any characters, right after such a word and '=' or ':', which is looked at only behind a sign or quote.
+NAMED = rf"""(?:(?<=["'=:])|(?<=[=:] ))(?<=(?i:{BEFORE_SECRET})["']?\s{{0,2}}[=:]\s{{0,2}}["']?)[^\s"'<>,;()=:]{{{LEAST_NAMED},{LEAST - 1}}}(?![^\s"'<>,;()])"""
+CANDIDATE = f"{LONG}|{NAMED}"
 COMMON = "the|and|for|get|set|user|name|data|file|test|page|list|item|index|value|type|model|node|key|time|date|http|www|com|org|html|path|image|version|example|your|here|change|this|with|from|api|app|main|config|default|service|server|client|request|response|number|string|table|column|update|create|delete|insert|select|report|module|package|import|class|public|static|docs|blog|post|product|release|build"
 FEATURES = ("length", "digits", "uppers", "lowers", "marks", "changes", "distinct", "hex", "covered", "longest_run", "in_path", "parts", "before_secret", "before_other", "assigned", "quoted", "uuid", "userinfo", "at")
 #: Rows of the labelled findings made here when none are given, trees and their depth.
-LABELLED, TREES, TREE_DEPTH = 11400, 24, 8
+LABELLED, TREES, TREE_DEPTH = 13200, 24, 8
 
 
 def features(token: str = "candidate", before: str = "before", after: str = "after") -> dict[str, Column]:
@@ -60,7 +63,7 @@ def features(token: str = "candidate", before: str = "before", after: str = "aft
 
 
 def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
-    """Findings (candidate, before, after, label) made by rule from row numbers: all kinds in equal parts."""
+    """Findings (candidate, before, after, label, kind) made by rule from row numbers: all kinds in equal parts."""
     i = F.col("id")
     digest = lambda salt: F.sha2(F.concat(F.lit(salt), i.cast("string")).cast("binary"), 256)
     pick = lambda salt, *xs: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(F.xxhash64(F.lit(salt), i), F.lit(len(xs))) + 1).cast("int"))
@@ -92,11 +95,14 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
         (0, F.concat(pick("j1", "state", "well", "long", "user", "attion"), pick("j", "-", "_", ".", "/"), pick("j2", "of", "known", "term", "name"), pick("j", "-", "_", ".", "/"), pick("j3", "the", "and", "service", "value"), pick("j", "-", "_", ".", "/"), pick("j4", "art", "company", "report", "settings")), F.concat(prose, pick("j5", "", "the ", "token = ", "see ")), F.lit(" ")),
         (0, F.concat(pick("m1", "firstname", "anna", "john.maria", "contact"), pick("m2", ".", "_"), pick("m3", "lastname", "schneider", "fitzgerald", "department"), F.when(F.pmod(i, F.lit(2)) == 0, F.pmod(F.hash(i), F.lit(100)).cast("string")).otherwise(F.lit(""))), F.concat(prose, pick("m4", "mail ", "to ", "<", "mailto:")), pick("m5", "@example.com ", "@mail.example.org ")),
         (0, pick("d1", "mail.example.org", "www.research.example.com", "subdomain.company.net", "github.com/user/project"), pick("d2", "anna@", "https://user:pw@", "https://", "at "), F.lit(" ")),
+        (1, F.concat(pick("s9", "hunter", "dragon", "winter", "letmein", "Qwerty", "monkey"), F.pmod(F.hash(i), F.lit(90)).cast("string"), pick("t9", "", "pass9", "!", "Xy", "#1")), F.concat(prose, name, sign), close),
+        (1, F.substring(mixed("k10", 14), F.lit(1), F.pmod(F.hash(i), F.lit(7)).cast("int") + 8), F.concat(prose, name, sign), close),
+        (0, pick("n10", "required", "optional", "string", "undefined", "example", "changeme", "disabled", "your-key", "hidden", "username", "********", "xxxxxxxx", "ordinary", "invalid", "missing", "expired"), F.concat(prose, name, pick("sign10", ": ", " = ", "=", ": \"")), pick("end10", " ", "\" ", ". ")),
         (0, pick("r1", "................", "----------------", "________________", "--------------------------------", "~~~~~~~~~~~~~~~~~~"), prose, F.lit(" ")),
     ]
     rows_by_kind = None
     for k, (label, candidate, before, after) in enumerate(kinds):
-        part = spark.range(0, rows // len(kinds), 1, 1).select(candidate.alias("candidate"), before.alias("before"), after.alias("after"), F.lit(float(label)).alias("label"))
+        part = spark.range(0, rows // len(kinds), 1, 1).select(candidate.alias("candidate"), before.alias("before"), after.alias("after"), F.lit(float(label)).alias("label"), F.lit(k).alias("kind"))
         rows_by_kind = part if rows_by_kind is None else rows_by_kind.unionByName(part)
     return rows_by_kind
 
@@ -123,7 +129,7 @@ def candidates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     found = kinds.withColumn("_all", F.regexp_extract_all("_text", F.lit(CANDIDATE), F.lit(0))).where(F.size("_all") > 0)
     # one gap more than runs; the context reaches over as many runs as fit in it
     gaps = found.select(key, "_row", "_all", F.split("_text", CANDIDATE, -1).alias("_gaps"))
-    over = REACH // LEAST + 1
+    over = REACH // LEAST_NAMED + 1
 
     def piece(i: Column) -> Column:
         left = F.transform(F.sequence(F.greatest(i - over, F.lit(0)), i), lambda j: F.concat(F.when(j > F.greatest(i - over, F.lit(0)), F.get("_all", j - 1)).otherwise(F.lit("")), F.get("_gaps", j)))

@@ -1,5 +1,10 @@
+import random
+import time
+
 import pytest
+import regex
 from flowlens.llm import html_text, secrets
+from pyspark.sql import functions as F
 
 LONG = "Here is a sentence, with commas, and enough words in it to count as prose for anybody. "
 PAGE = f"""<!DOCTYPE html><html><head><title>No</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
@@ -81,3 +86,100 @@ def test_secrets_in_urls_after_names_and_without_digits_are_found(spark):
     ]
     got = secrets.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["candidate"]) for r in got if r["is_secret"]} == {(i, c) for i, _, c in rows if c}
+
+
+def test_short_secrets_after_their_names_are_found(spark):
+    late = "a" * 3 + "QwErTyUiOpAsDfGhJkLzXcVbNmQaWsEdRfTgYhUjKiOlPqAzXsW7"
+    rows = [(1, "the password = hunter2pass9 and more"), (2, 'PWD="Tr0ub4dor" here'), (3, "password: required for all"), (4, f'secret = "{late}"'), (5, "a colon: hunter2pass9 alone")]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["candidate"]) for r in got if r["is_secret"]} == {(1, "hunter2pass9"), (2, "Tr0ub4dor"), (4, late)}
+
+
+def test_candidates_and_features_match_plain_loops(spark):
+    rng = random.Random(9)
+    parts = ["token = ", 'password: "', '" ', "abcdef", "Zq7", "0123456789abcdef", "/usr/lib/", "https://", "@host ", "commit ", "-", "_", ".", "==", " ", "\n", "é", "\U0001f600", "the ", "value", "'", "secret=", "x" * 17]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))) for i in range(400)]
+    found = secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string")).withColumns(secrets.features())
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    seen = 0
+    for i, text in rows:
+        mine = sorted(got.get(i, []), key=lambda r: r["_at"])
+        # a run's end before padding is where Java looks for the next, as this module does
+        want = list(regex.finditer(secrets.CANDIDATE, text))
+        assert [r["candidate"] for r in mine] == [m.group() for m in want], text
+        at = 0
+        for r, m in zip(mine, want, strict=True):
+            at += r["_skip"]
+            assert at == m.start()
+            at += len(m.group())
+            t, before, after = m.group(), text[max(0, m.start() - secrets.REACH) : m.start()], text[m.end() : m.end() + secrets.REACH]
+            if not any(ord(c) > 0xFFFF for c in text):
+                assert (r["before"], r["after"]) == (before, after)
+            assert abs(r["digits"] - sum(c in "0123456789" for c in t) / len(t)) < 1e-9
+            assert abs(r["marks"] - sum(not (c.isascii() and c.isalnum()) for c in t) / len(t)) < 1e-9
+            kinds = ["9" if c in "0123456789" else "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else "-" for c in t]
+            assert abs(r["changes"] - sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / len(t)) < 1e-9
+            assert r["hex"] == float(bool(regex.fullmatch("[0-9a-f]+|[0-9A-F]+", t))) and r["parts"] == 1 + sum(c in "_./-" for c in t)
+            assert abs(r["distinct"] - len(set(t)) / min(len(t), 64)) < 1e-9
+            seen += 1
+    assert seen > 300
+
+
+def test_kinds_that_training_never_saw(spark):
+    # each of some kinds is left out in turn; the forest must still tell most of them
+    findings = secrets.labelled_findings(spark, 4400).persist()
+    right = []
+    for kind in (1, 2, 4, 7, 8, 13):
+        model = secrets.train(findings.where(F.col("kind") != kind), trees=16)
+        rows = model.transform(findings.where(F.col("kind") == kind).withColumns(secrets.features()))
+        right.append(rows.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])
+    print("right by kind left out:", right)
+    assert sum(right) / len(right) > 0.7
+
+
+def _page(rng):
+    """A page made of known parts, and the article's blocks."""
+    words = lambda n: " ".join(rng.choice(["alpha", "beta,", "gamma", "delta.", "some", "words"]) for _ in range(n))
+    title, body, want = words(5), [], []
+    want.append(title)
+    for _ in range(rng.randint(2, 9)):
+        kind = rng.random()
+        text = words(rng.randint(3, 60))
+        if kind < 0.55:
+            body.append(f"<p>{text}</p>" if rng.random() < 0.7 else f"<p class='x'>{text}")
+            want.append(text)
+        elif kind < 0.65:
+            items = [words(4) for _ in range(3)]
+            body.append("<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>")
+            want += items
+        elif kind < 0.75:
+            body.append(f"<h2>{text}</h2>")
+            want.append(text)
+        elif kind < 0.85:
+            body.append(f'<div class="ad">{text}</div>')
+        else:
+            body.append(f"<script>if (a < b) {{ c('</p>{text}'); }}</script><!-- {text} --><form><p>{text}</p></form>")
+    around = [f"<nav><a href=x>{words(6)}</a></nav>", f'<div class="sidebar widget"><p>{words(50)}</p></div>', f"<aside>{words(30)}</aside>", f'<div id="comments"><p>{words(90)}</p></div>', f'<div class="cookie-notice">{words(9)}</div>']
+    rng.shuffle(around)
+    cut = rng.randint(0, len(around))
+    tag = rng.choice(["article", 'article class="post comments-open"', "main", 'main id="content" class="has-related"'])
+    page = f"<html><head><title>{words(3)}</title></head><body><header>{words(4)}</header>{''.join(around[:cut])}<div class='layout has-sidebar'><{tag}><h1>{title}</h1>{''.join(body)}</{tag.split()[0]}></div>{''.join(around[cut:])}<footer>{words(12)}</footer></body></html>"
+    return page, want
+
+
+def test_articles_of_generated_pages_come_out_whole():
+    rng = random.Random(21)
+    for _ in range(300):
+        page, want = _page(rng)
+        assert html_text.main_blocks(page) == want, page
+
+
+def test_hostile_pages_take_time_in_proportion():
+    n = 60_000
+    pages = ["<a " * n, '<a "' * n, "<a 'x\" " * n, "<svg>" * n, "<svg>" + "</svg " * n, "<div>" * n + "</p>" * n, "<div><td></td>" * n, "<li><ul>" + "<div>" * n + "<li></li>" * n, "<article>" * n, "<!--" * n, "<![CDATA[" * n, "<" * n, "<p>a," * n]
+    for page in pages:
+        began = time.process_time()
+        html_text.main_blocks(page)
+        assert time.process_time() - began < 10, page[:20]
