@@ -35,7 +35,7 @@ FREQUENT = 1 << 21
 END = b"\n"
 #: Rows of the three kinds that are joined: grams, words, and texts themselves, which meet nothing.
 GRAM, WORD, TEXT = 0, 1, 2
-_FLUSH, _KEPT, _BODY, _SCORED = 4_000_000, 400_000, 8_000_000, 2_000_000
+_FLUSH, _KEPT, _BODY = 4_000_000, 400_000, 2_000_000
 _STEPS = 64  # classes of counts in a power of two
 _words: dict[bytes, int] = {}
 _models: dict[str, tuple] = {}
@@ -289,7 +289,7 @@ def _score(batches, shared, name: str):
     empty = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
     for batch in batches:
         ids, docs, done = batch.column(0).to_pylist(), batch.column(1), 0
-        for found in _runs(batch.column(2).to_pylist(), _SCORED):
+        for found in _runs(batch.column(2).to_pylist()):
             code, sizes = grams([b" ".join(w) for w in found], DEPTH, END[0])
             values = lookup(code).astype(np.float64)
             missed = np.isnan(values)
