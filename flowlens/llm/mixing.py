@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, blank
+from .common import WORD, blank, settle
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -24,9 +24,9 @@ def n_words(text: str = "text") -> Column:
     return F.regexp_count(blank(text), F.lit(WORD)).cast("long")
 
 
-def random_key(key: str = "doc_id") -> Column:
-    """60 bits of the MD5 digest of the key as text: the same in any engine. A null key counts as empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def random_key(key: str = "doc_id", text: str = "text") -> Column:
+    """60 bits of the MD5 digest of the key as text, or of the row's text where it has none: the same in any engine."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), blank(text)).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -48,16 +48,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return found.select("source", "source_size", F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level") * F.col("_w")).otherwise(F.col("_cap").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, draw: str | None = None) -> DataFrame:
     """One row per row of `docs`: `key`, size, source, source_size, target, copies (long), taken = copies * size.
 
     A source takes floor(target / source_size) whole passes over its documents, and in the next pass those whose
     middle word, in order of random_key(), lies before the rest of the target: documents stay whole, and a source
     misses its target by half a document at most. Null text: size 0. Null source: a source of its own, last. Documents
     of size 0 are taken once if their source takes anything, in no pass otherwise. Rows that tie in key and size are
-    ordered by either; they get equal sums in total. An empty table gives no rows.
+    ordered by either; they get equal sums in total. random_key() is that of the column `draw`, of `key` by default.
+    An empty table gives no rows.
     """
-    sized = docs.select(F.col(key), F.col(source).alias("source"), n_words(text).alias("size"), random_key(key).alias("_k"))
+    # texts are read once; four numbers a row are read again
+    sized = docs.select(F.col(key).alias("_id"), F.col(source).alias("source"), n_words(text).alias("size"), random_key(draw or key, text).alias("_k"))
+    sized = settle(sized, "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     # ranges of keys grow in number with the source, by powers of two
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_rows") / F.lit(float(RANGE_ROWS))))).cast("int")
@@ -65,11 +68,11 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     ranged = sized.alias("d").join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_range", F.expr("shiftright(_k, _shift)"))
     sums = ranged.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     starts = sums.withColumn("_start", F.sum("_sum").over(Window.partitionBy("source").orderBy("_range")) - F.col("_sum")).select(F.col("source").alias("_s"), F.col("_range").alias("_r"), "_start")
-    inner = Window.partitionBy("source", "_range").orderBy("_k", key, "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "_range").orderBy("_k", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("_in", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
     before = F.col("_start") + F.col("_in")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.col("target") - passes * F.col("source_size")
     last = ((2 * before + F.col("size")).cast("double") < 2 * rest).cast("long")
     copies = F.when(F.col("size") > 0, passes + last).otherwise((F.col("target") > 0).cast("long"))
-    return placed.withColumn("copies", copies).select(key, "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return placed.withColumn("copies", copies).select(F.col("_id").alias(key), "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -8,7 +8,8 @@ other, and one that a class holds often tells how much likelier it is there.
 
 Most words of a toxic text are ordinary ones: its model takes SHARE of the words from the toxic class's estimate and the
 others from the ordinary one. Both log-likelihoods, divided by the text's length, are compared, and a logistic curve
-fitted on labelled texts that the counts do not hold makes the difference a probability.
+makes the difference a probability. It is fitted on the labelled texts themselves, each compared by counts of the
+texts of other folds.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ from pyspark.sql import functions as F
 from .common import blank, settle, small_batches
 
 #: Characters of the beginnings that words back off to, and the discount.
-BEGINNING, DISCOUNT = 6, 2.0
+BEGINNING, DISCOUNT = 6, 1.0
 #: Share of a toxic text's words that are taken to come from the toxic class's own estimate.
 SHARE = 0.01
 #: Labelled texts of each class that the models are fitted on, at most: those least by MD5 digest of their key.
 SAMPLE = 4000
-#: One in so many of them is kept from the counts and fits the curve.
-CURVE = 4
+#: Folds of them for the curve.
+FOLDS = 4
 
 _EDGES = ".,;:!?|\"'()[]{}<>*$%&#"
 _KEPT = 300_000
@@ -43,22 +44,25 @@ def words(text: str) -> list[str]:
 
 
 def _pairs(batches):
-    """Distinct (level, word before, expression) of some texts and the classes that hold them; before a text stands a line feed."""
-    found: dict[tuple[int, str, str], list[bool]] = {}
+    """Distinct (level, word before, expression) of some texts, and the folds of the texts of either class that hold them as bits.
+
+    Before a text stands a line feed.
+    """
+    found: dict[tuple[int, str, str], list[int]] = {}
 
     def out():
         rows = [(*k, *v) for k, v in found.items()]
         for at in range(0, len(rows), 50_000):
             columns = zip(*rows[at : at + 50_000], strict=True)
-            types = (pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
+            types = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["level", "before", "expression", "toxic", "ordinary"])
 
     for batch in batches:
-        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for text, y, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             now = words(text)
             for before, w in zip(["\n", *now], now, strict=False):
                 for x in ((WORD, before, w), (START, before, w[:BEGINNING])):
-                    found.setdefault(x, [False, False])[0 if y else 1] = True
+                    found.setdefault(x, [0, 0])[0 if y else 1] |= 1 << fold
             if len(found) > 1_000_000:
                 yield from out()
                 found.clear()
@@ -162,14 +166,27 @@ def held_out(key: str = "doc_id", folds: int = 4, held: int = 2) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(folds)) == held, F.lit(True))
 
 
-def _fit(counted: DataFrame) -> Kneser:
-    """The models from rows (level, expression, toxic, ordinary, both) of continuation counts."""
+def _counts(pairs: DataFrame) -> DataFrame:
+    """(level, expression) with continuation counts of either class and of both together: `toxic_k` without the texts of fold k, or of all for k = FOLDS."""
+    held = []
+    for k in range(FOLDS + 1):
+        without = lambda c, k=k: c.bitwiseAND(F.lit((1 << FOLDS) - 1 & ~(1 << k))) != 0
+        toxic, ordinary = without(F.col("toxic")), without(F.col("ordinary"))
+        held += [F.sum(x.cast("long")).alias(f"{n}_{k}") for n, x in (("toxic", toxic), ("ordinary", ordinary), ("both", toxic | ordinary))]
+    return pairs.groupBy("level", "expression").agg(*held)
+
+
+def _fit(counted: DataFrame, fold: int = FOLDS) -> Kneser | None:
+    """The models without the texts of `fold`, None where a class has none left."""
+    rows = counted.select("level", "expression", *[F.col(f"{n}_{fold}").alias(n) for n in ("toxic", "ordinary", "both")])
     free = lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(DISCOUNT)))
-    sums = {r["level"]: r for r in counted.groupBy("level").agg(F.sum("toxic").alias("all0"), F.sum("ordinary").alias("all1"), free("toxic").alias("free0"), free("ordinary").alias("free1"), F.sum("both").alias("both"), F.count(F.lit(1)).alias("distinct")).collect()}
+    sums = {r["level"]: r for r in rows.groupBy("level").agg(F.sum("toxic").alias("all0"), F.sum("ordinary").alias("all1"), free("toxic").alias("free0"), free("ordinary").alias("free1"), F.sum("both").alias("both"), F.count_if(F.col("both") > 0).alias("distinct")).collect()}
+    if not sums or not sums[WORD]["all0"] or not sums[WORD]["all1"]:
+        return None
     # of a bounded sample's expressions; others than these are equally likely in both classes
-    rows = counted.where((F.greatest("toxic", "ordinary") > DISCOUNT) | (F.col("level") == START) & (F.col("both") > DISCOUNT)).toArrow()
+    kept = rows.where((F.greatest("toxic", "ordinary") > DISCOUNT) | (F.col("level") == START) & (F.col("both") > DISCOUNT)).toArrow()
     counts: list[dict[str, tuple]] = [{}, {}]
-    for level, x, *n in zip(*(rows.column(c).to_pylist() for c in ("level", "expression", "toxic", "ordinary", "both")), strict=True):
+    for level, x, *n in zip(*(kept.column(c).to_pylist() for c in ("level", "expression", "toxic", "ordinary", "both")), strict=True):
         counts[level][x] = tuple(n)
     return Kneser(counts, [[(float(sums[k][f"all{c}"]), float(sums[k][f"free{c}"])) for k in (WORD, START)] for c in (0, 1)], float(sums[START]["both"]), float(sums[START]["distinct"]))
 
@@ -189,8 +206,8 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     kind = docs.schema[key].dataType.simpleString()
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key, folds, held)).groupBy(key).agg(F.max(label).cast("int").alias("_y"))
     sizes = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order, fold = F.md5(F.col(key).cast("string").cast("binary")), F.pmod(F.crc32(F.reverse(F.col(key).cast("string")).cast("binary")), F.lit(CURVE)).cast("int")
-    chosen = [tuple(r) for y in (0, 1) for r in known.where(F.col("_y") == y).orderBy(order, key).limit(sample).select(key, "_y", fold).collect()]
+    order = F.md5(F.col(key).cast("string").cast("binary"))
+    chosen = [tuple(r) for y in (0, 1) for r in known.where(F.col("_y") == y).orderBy(order, key).limit(sample).select(key, "_y").collect()]
     base = docs.select(F.col(key).alias("_doc"), held_out(key, folds, held).alias("_held"), blank(text).alias("_text"))
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     names = [F.col("_doc").alias(key), F.col("_held").alias("held_out")]
@@ -201,23 +218,30 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     if not 0 < share < 1:
         return constant()
     # 2 * sample rows: a bounded broadcast
-    picked = F.broadcast(spark.createDataFrame(chosen, f"_doc {kind}, _y int, _fold int"))
-    texts = base.select("_doc", "_text").join(picked, "_doc")
-    once = texts.where("_fold > 0").groupBy(F.sha2(F.col("_text").cast("binary"), 256), "_y").agg(F.first("_text").alias("_text")).select("_text", "_y")
-    pairs = once.mapInArrow(_pairs, "level int, before string, expression string, toxic boolean, ordinary boolean")
-    pairs = pairs.groupBy("level", "before", "expression").agg(F.max("toxic").alias("toxic"), F.max("ordinary").alias("ordinary"))
-    counts = [F.sum(F.col(c).cast("long")).alias(c) for c in ("toxic", "ordinary")]
-    counted = settle(pairs.groupBy("level", "expression").agg(*counts, F.count(F.lit(1)).alias("both")), "expressions")
-    held_by = counted.agg(F.sum("toxic"), F.sum("ordinary")).first()
-    if not held_by[0] or not held_by[1]:
+    picked = F.broadcast(spark.createDataFrame(chosen, f"_doc {kind}, _y int"))
+    digest = F.sha2(F.col("_text").cast("binary"), 256).alias("_h")
+    once = base.join(picked, "_doc").groupBy(digest, "_y").agg(F.first("_text").alias("_text"), F.count(F.lit(1)).cast("double").alias("_times"))
+    # equal texts are in one fold
+    once = settle(once.select("_text", "_y", F.pmod(F.crc32(F.col("_h").cast("binary")), F.lit(FOLDS)).cast("int").alias("_fold"), "_times"), "taught")
+    pairs = once.select("_text", "_y", "_fold").mapInArrow(_pairs, "level int, before string, expression string, toxic int, ordinary int")
+    pairs = pairs.groupBy("level", "before", "expression").agg(F.bit_or("toxic").alias("toxic"), F.bit_or("ordinary").alias("ordinary"))
+    counted = settle(_counts(pairs), "expressions")
+    models = [_fit(counted, k) for k in range(FOLDS + 1)]
+    if models[FOLDS] is None:
         return constant()
-    shared = spark.sparkContext.broadcast(_fit(counted))
-    work = partial(_score, shared=shared, name=f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}")
-    curve = texts.where("_fold = 0").select("_y", "_text").mapInArrow(work, f"_y int, {_MADE}").toArrow()
-    y = curve.column(0).to_numpy().astype(float)
-    each = {c: sizes[c] / max(1.0, (y == c).sum()) for c in (0, 1)}
-    weight = np.where(y == 1, each[1], each[0]) * len(y) / sum(sizes.values())
-    w = fit_curve(curve.column("ratio").to_numpy(), curve.column("n_words").to_numpy().astype(float), y, weight)
+
+    def work(model: Kneser):
+        shared = spark.sparkContext.broadcast(model)
+        return partial(_score, shared=shared, name=f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}")
+
+    # a bounded sample's rows
+    parts = [once.where(F.col("_fold") == k).select("_y", "_times", "_text").mapInArrow(work(m), f"_y int, _times double, {_MADE}").toArrow() for k, m in enumerate(models[:FOLDS]) if m is not None]
+    curve = [np.concatenate([p.column(c).to_numpy().astype(float) for p in parts] or [np.zeros(0)]) for c in ("_y", "_times", *NAMES)]
+    y, times, ratio, n = curve
+    each = {c: sizes[c] / max(1.0, times[y == c].sum()) for c in (0, 1)}
+    weight = times * np.where(y == 1, each[1], each[0]) * len(y) / sum(sizes.values())
+    w = fit_curve(ratio, n, y, weight)
+    work = work(models[FOLDS])
     scored = base.mapInArrow(work, f"_doc {kind}, _held boolean, {_MADE}")
     line = F.lit(float(w[0]))
     for x, weight in zip(_features(F.col("ratio"), F.col("n_words").cast("double"), F), w[1:], strict=True):

@@ -179,6 +179,48 @@ def test_a_third_to_nearly_half_junk_of_one_kind_goes(spark):
     assert {i for i in got if not got[i]["kept"]} == junk
 
 
+def test_small_groups_are_not_rejected_by_noise(spark):
+    import random
+
+    from conftest import prose
+
+    rng = random.Random(3)
+    rows = []
+    for n in range(1, 11):
+        rows += [(100 * n + i, prose(rng, rng.randint(60, 160)), f"l{n}", "s") for i in range(n)]
+    # one row more that repeats a key, one without key, lang and source, one without text
+    rows += [(100, prose(rng, 80), "l1", "s"), (None, prose(rng, 90), None, None), (None, None, None, "s")]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["base_failed"] == (r["n_words"] < 50) and r["kept"] == (not r["base_failed"])
+        assert r["distance"] is None if r["base_failed"] else 0 <= r["distance"] < quality.REACH
+
+
+def test_distances_are_those_of_the_estimate(spark):
+    # one language and source: the reweighted estimate is the mean and covariance of rows that agree with a raw one
+    import random
+
+    from conftest import prose
+
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(60, 200)), "en", "web") for i in range(150)] + [(500 + i, "BUY$ NOW! " * 20 + prose(rng, 60), "en", "web") for i in range(20)]
+    plain = {i: quality.statistics(quality.text_counts(t)) for i, t, *_ in rows}
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["distance"] for r in quality.judge(frame).collect() if not r["base_failed"]}
+    x = np.array([plain[i] for i in sorted(got)])
+    raw = min((quality.concentrate(x, d) for d in ((((x - c) / np.maximum(x.std(axis=0), 1e-3)) ** 2).sum(axis=1) for c in x)), key=lambda e: e[0])
+    off = x - raw[1]
+    near = np.einsum("ij,ij->i", off @ np.linalg.inv(raw[2]), off) <= quality.AGREES
+    mean, cov = x[near].mean(axis=0), quality._floored(quality.AGREES_SHRUNK * np.cov(x[near], rowvar=False, bias=True))
+    off = x - mean
+    want = np.einsum("ij,ij->i", off @ np.linalg.inv(cov), off)
+    mine = np.array([got[i] for i in sorted(got)])
+    assert ((mine > quality.REACH) == (want > quality.REACH)).all()
+    clean = np.array([i < 500 for i in sorted(got)])
+    assert np.allclose(mine[clean], want[clean], rtol=0.35, atol=1.0)
+
+
 def test_quality_of_an_empty_table(empty):
     assert quality.judge(empty).count() == 0 and ctw.score(empty).count() == 0
 
@@ -208,7 +250,7 @@ def test_toxic_words_are_learnt(spark):
     assert all(got[i]["held_out"] == (i in held) for i in truth)
     assert np.mean([got[i]["predicted"] == truth[i] for i in held]) > 0.95
     # the likelihoods, by plain loops over the texts that counts are taken from
-    label = {i: y for i, y in labels if y is not None and zlib.crc32(str(i).encode()) % 4 != 2 and zlib.crc32(str(i)[::-1].encode()) % 4}
+    label = {i: y for i, y in labels if y is not None and zlib.crc32(str(i).encode()) % 4 != 2}
     taught = {(t or "", label[i]) for i, t in rows if i in label}
     plain = PlainKneser([(toxicity.words(t), y) for t, y in taught])
     for i, t in rows:

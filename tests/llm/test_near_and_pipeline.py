@@ -141,3 +141,29 @@ def test_repeated_and_missing_keys_lose_no_link(spark):
     kept = [True, True, False, False, True, True, True, True]
     expected = [(k, len(neardup.shingles(t or "", 5)), c, y) for (k, t), c, y in zip(rows, component, kept, strict=True)]
     assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_rows_without_or_with_repeated_keys_are_told_apart(spark, tmp_path):
+    rng = random.Random(7)
+    from conftest import prose
+
+    good = [prose(rng, 120) for _ in range(60)]
+    bad = "word " * 200
+    near = " ".join(["changed", *good[0].split()[1:]])
+    rows = [(i, t, "en", "web") for i, t in enumerate(good)]
+    rows += [(None, good[1], "en", "web"), (None, good[1], "en", "web"), (None, bad, "en", "web"), (None, prose(rng, 110), "en", "web")]
+    rows += [(2, good[2], "en", "web"), (2, good[2], "en", "web"), (3, bad, "en", "web"), (None, near, "en", "web")]
+    copy = prose(rng, 100)
+    rows += [(None, copy, "en", None), (None, copy, "en", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    frame.write.parquet(f"{tmp_path}/docs")
+    for docs in (frame, spark.read.parquet(f"{tmp_path}/docs")):
+        now = [docs]
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            now.append(neardup.settle(stage(spark, now[-1], ""), "stage"))
+        judged, exact, close, mixed = ([(r["doc_id"], r["text"]) for r in df.collect()] for df in now[1:])
+        assert bad not in {t for _, t in judged} and len(judged) == len(rows) - 2
+        assert len(exact) == len({t for _, t in exact}) == len({t for _, t in judged})
+        assert {(i, t) for i, t in exact if t in good[:4]} == {(i, good[i]) for i in range(4)} and (None, copy) in exact
+        assert sorted({t for _, t in exact} - {t for _, t in close}) == [near]
+        assert {t for _, t in mixed} <= {t for _, t in close} and len(mixed) >= 1
