@@ -17,17 +17,18 @@ from pyspark.sql import functions as F
 from .operators import graphops
 from .operators.assemble import assemble
 from .operators.embed import HashingProvider, Provider, chunks
-from .schemas import END, PARTIAL, START, TABLES
+from .plans.scratch import keep
+from .schemas import END, PARTIAL, START
 from .sources.paths import guard
 from .sources.scan import facts, read_tree
 from .sources.store import Repository, Store
 
+#: What an answer suggests where there is no index (a fixed value).
 INDEX_FIRST = "call index_repo first"
 NOTE = "A destination without a condition_value was listed, not mapped: say that it is routed to, not what the router returns."
 NOT_RESOLVABLE = "Whether this node branches is unknown: its function was not found, or it computes where to go. This is not the same as having no branch."
 
 
-
 def _enveloped(verb: Callable[..., dict]) -> Callable[..., dict]:
     @wraps(verb)
     def call(*args, **kwargs) -> dict:
@@ -130,7 +131,9 @@ class Engine:
             return {"error": "empty_query"}
         if isinstance(top_k, bool) or not isinstance(top_k, int) or top_k < 1:
             return {"error": "invalid_top_k", "top_k": top_k}
-        store, repo, _ = self._open(path)
+        store, repo, info = self._open(path)
+        if info.embedding_model != self.provider.name:
+            return {"error": "embedding_model_mismatch", "path": repo, "index": info.embedding_model, "query": self.provider.name}
         rows = store.search(self.provider.embed_query(query), top_k, {"repo_id": repo}).collect()
         return {"results": [{k: r[k] for k in ("node_id", "node_name", "graph_id", "file_path", "line_start", "score", "docstring")} for r in rows]}
 
@@ -148,7 +151,7 @@ class Engine:
             if name not in (START, END):
                 able = able.join(nodes.where(F.col("name") == name).select("repo_id", "graph_id"), ["repo_id", "graph_id"], "left_semi")
         requests = able.select("*", F.lit(from_node).alias("from_node"), F.lit(to_node).alias("to_node"))
-        found = graphops.shortest_routes(edges, requests, cut=lambda _, df: self._kept(df))
+        found = graphops.shortest_routes(edges, requests, cut=keep)
         best = found.orderBy("graph_id").limit(1).collect()
         if best:
             one = found.where(F.col("graph_id") == best[0]["graph_id"])
@@ -164,11 +167,6 @@ class Engine:
         detail = f"no stated edges lead {way}{hidden if unresolved else ', and all routing is stated'}"
         return {"path_found": False, "route": [], "conditional_branches": [], "unresolved_routing_nodes": unresolved, "detail": detail}
 
-    @staticmethod
-    def _kept(df: DataFrame) -> DataFrame:
-        """A level of one repository's routes, small: brought to the driver and sent out again, without files."""
-        return df.sparkSession.createDataFrame(df.collect(), df.schema)
-
     @_enveloped
     def what_calls_tool(self, tool_name, path) -> dict:
         if not isinstance(tool_name, str) or not tool_name.strip():
@@ -195,7 +193,3 @@ class Engine:
         if any(r["routing_resolution"] == PARTIAL for r in own):
             return {"error": "routing_not_resolvable", "node": edge_source, "resolution": own[0]["resolution"], "routing_resolution": PARTIAL, "reason": NOT_RESOLVABLE}
         return {"error": "not_conditional", "node": edge_source}
-
-
-def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
-    return {n: spark.createDataFrame([], ddl) for n, ddl in TABLES.items()}

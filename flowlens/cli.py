@@ -1,4 +1,7 @@
-"""Command line: `index PATH` and `status PATH`, with --json. Exit codes: 0 yes, 1 no, 2 it could not be done."""
+"""Command line: `index PATH`, `status PATH`, both with --json, and `serve`.
+
+Exit codes: 0 yes, 1 no (no graphs found, no index), 2 it could not be done.
+"""
 
 from __future__ import annotations
 
@@ -24,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
         v = verbs.add_parser(name, help=text)
         v.add_argument("path")
         v.add_argument("--json", action="store_true", help="print the answer as JSON")
+    verbs.add_parser("serve", help="answer tool calls as JSON lines on standard input and output")
     return p
 
 
@@ -44,6 +48,11 @@ def main(argv: Sequence[str] | None = None, engine=None, out=None, err=None) ->
     except SystemExit as e:
         return 0 if e.code in (0, None) else 2
     try:
+        if args.verb == "serve":
+            from .server import serve
+
+            serve(engine or _engine(), sys.stdin, out)
+            return 0
         answer = (engine or _engine()).__getattribute__("index_repo" if args.verb == "index" else "repository_status")(args.path)
         if "error" in answer:
             _write(err, json.dumps(answer, ensure_ascii=False) if args.json else f"error: {answer['error']}: {answer.get('reason') or answer.get('detail') or answer.get('path')}")
@@ -53,7 +62,7 @@ def main(argv: Sequence[str] | None = None, engine=None, out=None, err=None) ->
     except Exception as e:  # the boundary of the program
         _write(err, f"error: {type(e).__name__}: {e}")
         return 2
-    return 1 if answer.get("indexed") is False else 0
+    return 1 if answer.get("indexed") is False or answer.get("graphs_found") == 0 else 0
 
 
 if __name__ == "__main__":

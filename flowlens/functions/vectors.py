@@ -26,10 +26,12 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(0.0)
 
 
+#: A token of lower-case text: no white space, dots or underscores.
+TOKEN = r"[^\x20\x09-\x0D._]+"
+
+
 def tokens(text: Column | str) -> Column:
-    """Lower-case parts between white space, dots and underscores."""
-    plain = F.regexp_replace(F.lower(text), "[_.]", " ")
-    return F.filter(F.split(F.trim(F.regexp_replace(plain, r"\s+", " ")), " "), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def crc_bucket(dimension: int):
@@ -44,6 +46,10 @@ def md5_bucket(dimension: int):
 def hashed(text: Column | str, dimension: int = 16, bucket=crc_bucket) -> Column:
     """Bag-of-tokens vector: how many tokens fall in each bucket; without tokens, 1 in the first."""
     found = F.transform(tokens(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit(""))), bucket(dimension))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(found, lambda b: b == i)).cast("double"))
-    first = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: (i == 0).cast("double"))
-    return F.when(F.size(found) > 0, counts).otherwise(first)
+    places = F.sequence(F.lit(0), F.lit(dimension - 1))
+
+    def counted(b: Column) -> Column:
+        return F.transform(places, lambda i: F.when(F.size(b) > 0, F.size(F.filter(b, lambda x: x == i))).otherwise((i == 0).cast("int")).cast("double"))
+
+    # as the variable of an outer lambda the buckets are computed once, not once a place
+    return F.element_at(F.transform(F.array(found), counted), 1)

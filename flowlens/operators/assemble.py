@@ -31,6 +31,12 @@ def first_by(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFram
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def place(phase: Column | int, ordinal: str, position: Column | int) -> Column:
+    """One number in the order of (phase, ordinal, position): 2 bits, 31 and 30, which ordinals of calls and elements of lists fit in."""
+    long = lambda c: (F.lit(c) if isinstance(c, int) else c).cast("long")
+    return F.shiftleft(long(phase), 61) + F.shiftleft(F.col(ordinal).cast("long"), 30) + long(position)
+
+
 def unpack(files: DataFrame, column: str) -> DataFrame:
     return files.select("repo_id", "path", F.explode(column).alias("_f")).select("repo_id", "path", "_f.*")
 
@@ -64,7 +70,7 @@ def import_modules(imports: DataFrame) -> DataFrame:
 
 def registrations(calls: DataFrame, functions: DataFrame) -> DataFrame:
     """One row an add_node call, with its function's facts where that is in the same file and the call is plain."""
-    known = local_functions(functions).select("repo_id", "path", F.col("name").alias("func_name"), F.struct("line_start", "line_end", "docstring", "segment", "tools", "gotos").alias("fn"))
+    known = local_functions(functions).select("repo_id", "path", F.col("name").alias("func_name"), F.struct("line_start", "line_end", "docstring", "body_hash", "tools", "gotos").alias("fn"))
     added = calls.where("method = 'add_node'").withColumn("graph_id", ids.graph_id("path", "var"))
     joined = added.join(known, ["repo_id", "path", "func_name"], "left")
     plain = F.col("fn").isNotNull() & ~F.col("name_dynamic") & ~F.col("in_dynamic")
@@ -82,7 +88,7 @@ def registrations(calls: DataFrame, functions: DataFrame) -> DataFrame:
         F.when(plain, F.col("fn.line_start")).otherwise(F.col("line_start")).alias("line_start"),
         F.when(plain, F.col("fn.line_end")).otherwise(F.col("line_end")).alias("line_end"),
         F.when(plain, F.col("fn.docstring")).alias("docstring"),
-        F.when(plain, F.sha2(F.col("fn.segment").cast("binary"), 256)).otherwise("").alias("function_body_hash"),
+        F.when(plain, F.col("fn.body_hash")).otherwise("").alias("function_body_hash"),
         F.when(plain, FULL).when(F.col("is_toolnode"), NOT_APPLICABLE).otherwise(PARTIAL).alias("resolution"),
         F.concat(F.coalesce("fn.tools", F.slice("tools", 1, 0)), "tools").alias("tools"),
         F.when(plain, F.col("fn.gotos")).otherwise(none).alias("gotos"),
@@ -94,29 +100,28 @@ def registrations(calls: DataFrame, functions: DataFrame) -> DataFrame:
 
 def bindings(bodies: DataFrame, modules: DataFrame) -> DataFrame:
     """Tool bindings of bodies (phase, ord, source_file, tools): in a body the last of a name holds, across bodies the first."""
-    lists = bodies.select("repo_id", "graph_id", "node_id", "phase", "ord", "source_file", F.posexplode("tools").alias("_i", "_t"))
-    each = lists.select("*", F.posexplode("_t.elements").alias("_j", "_e")).where("_e.ok").withColumn("_p", F.col("_i") * 100000 + F.col("_j"))
+    elements = F.flatten(F.transform("tools", lambda t: t["elements"]))
+    each = bodies.select("repo_id", "graph_id", "node_id", "phase", "ord", "source_file", F.posexplode(elements).alias("_p", "_e")).where("_e.ok")
     body = ["repo_id", "graph_id", "node_id", "phase", "ord", "source_file"]
     one = each.groupBy(*body, F.col("_e.name").alias("tool_name")).agg(F.max_by("_e.base", "_p").alias("local"), F.min("_p").alias("_p"))
     first = first_by(one, ["repo_id", "node_id", "tool_name"], "phase", "ord")
     named = first.join(modules.withColumnRenamed("path", "source_file"), ["repo_id", "source_file", "local"], "left")
-    place = F.col("phase") * (1 << 40) + F.col("ord") * (1 << 20) + F.least("_p", F.lit((1 << 20) - 1))
-    return named.select("repo_id", "graph_id", ids.binding_id("node_id", "tool_name").alias("binding_id"), "node_id", place.cast("long").alias("binding_ord"), "tool_name", "tool_source")
+    return named.select("repo_id", "graph_id", ids.binding_id("node_id", "tool_name").alias("binding_id"), "node_id", place(F.col("phase"), "ord", F.col("_p")).alias("binding_ord"), "tool_name", "tool_source")
 
 
-def _edge(place: Column, source: Column, target: Column, kind: Column, router: Column, value: Column, state: Column) -> list[Column]:
+def _edge(at: Column, source: Column, target: Column, kind: Column, router: Column, value: Column, state: Column) -> list[Column]:
     stated = F.when(kind == NORMAL, ids.edge_id("graph_id", source, target)).otherwise(ids.conditional_edge_id("graph_id", source, value, target))
-    return ["repo_id", "graph_id", stated.alias("edge_id"), place.cast("long").alias("edge_ord"), source.alias("source"), target.alias("target"), kind.alias("type"), router.alias("condition_function_name"), value.alias("condition_value"), state.alias("value_resolution")]
+    return ["repo_id", "graph_id", stated.alias("edge_id"), at.alias("edge_ord"), source.alias("source"), target.alias("target"), kind.alias("type"), router.alias("condition_function_name"), value.alias("condition_value"), state.alias("value_resolution")]
 
 
 def declared_edges(calls: DataFrame) -> DataFrame:
     """Edges that builder calls state. A branch whose destinations are not written out is one edge to <unresolved>."""
     graphed = calls.withColumn("graph_id", ids.graph_id("path", "var"))
     null = F.lit(None).cast("string")
-    plain = graphed.where("method = 'add_edge'").select(*_edge(F.col("ord") * (1 << 20), F.col("src"), F.col("dst"), F.lit(NORMAL), null, null, null))
+    plain = graphed.where("method = 'add_edge'").select(*_edge(place(0, "ord", 0), F.col("src"), F.col("dst"), F.lit(NORMAL), null, null, null))
     open_end = F.array(F.struct(null.alias("cond"), F.lit(UNRESOLVED).alias("target"), null.alias("res")))
     branches = graphed.where("method = 'add_conditional_edges'").select("*", F.posexplode(F.when(F.size("mapping") > 0, F.col("mapping")).otherwise(open_end)).alias("_i", "_m"))
-    split = branches.select(*_edge(F.col("ord") * (1 << 20) + F.col("_i"), F.col("src"), F.col("_m.target"), F.lit(CONDITIONAL), F.col("router"), F.col("_m.cond"), F.col("_m.res")))
+    split = branches.select(*_edge(place(0, "ord", F.col("_i")), F.col("src"), F.col("_m.target"), F.lit(CONDITIONAL), F.col("router"), F.col("_m.cond"), F.col("_m.res")))
     return plain.unionByName(split)
 
 
@@ -126,8 +131,7 @@ def routing_edges(bodies: DataFrame) -> DataFrame:
     first = first_by(routed, ["repo_id", "node_id"], "phase", "ord")
     each = first.select("repo_id", "graph_id", "name", "phase", "ord", F.size("_to").alias("_k"), F.posexplode("_to").alias("_i", "_d"))
     many, null = F.col("_k") > 1, F.lit(None).cast("string")
-    place = (F.col("phase") + 1) * (1 << 50) + F.col("ord") * (1 << 20) + F.col("_i")
-    return each.select(*_edge(place, F.col("name"), F.col("_d"), F.when(many, CONDITIONAL).otherwise(NORMAL), F.when(many, F.col("name")), null, F.when(many, NOT_DERIVABLE)))
+    return each.select(*_edge(place(F.col("phase") + 1, "ord", F.col("_i")), F.col("name"), F.col("_d"), F.when(many, CONDITIONAL).otherwise(NORMAL), F.when(many, F.col("name")), null, F.when(many, NOT_DERIVABLE)))
 
 
 def entry_points(calls: DataFrame, edges: DataFrame) -> DataFrame:

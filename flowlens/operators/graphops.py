@@ -16,7 +16,7 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.withColumn("place", (F.row_number().over(w) - 1).cast("int"))
 
 
-def shortest_routes(edges: DataFrame, requests: DataFrame, cut=None, most_levels: int = 10_000) -> DataFrame:
+def shortest_routes(edges: DataFrame, requests: DataFrame, cut=None) -> DataFrame:
     """(repo_id, graph_id, from_node, to_node, hops, route, edge_ids) for each request that has a directed route.
 
     Breadth-first for all requests together, a join a level: of the shortest routes that with the least sequence of
@@ -29,9 +29,10 @@ def shortest_routes(edges: DataFrame, requests: DataFrame, cut=None, most_levels
     empty = F.array().cast("array<string>")
     first = wanted.select(*keys, F.col("from_node").alias("_at"), F.array().cast("array<int>").alias("_key"), F.array("from_node").alias("route"), empty.alias("edge_ids"))
     keep = cut or (lambda name, df: df.checkpoint())
-    frontier, seen, results, level = first, first.select(*keys, "_at"), [first.where("from_node = to_node")], 0
-    frontier = first.where("from_node != to_node")
-    while level < most_levels:
+    results, level = [first.where("from_node = to_node")], 0
+    # each level is written once and only added to what is seen
+    seen, frontier = first.select(*keys, "_at"), first.where("from_node != to_node")
+    while True:
         level += 1
         step = frontier.join(near, [*G, "_at"]).select(*keys, F.col("_to").alias("_at"), F.concat("_key", F.array("place")).alias("_key"), F.concat("route", F.array("_to")).alias("route"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"))
         new = step.join(seen, [*keys, "_at"], "left_anti")
@@ -41,7 +42,7 @@ def shortest_routes(edges: DataFrame, requests: DataFrame, cut=None, most_levels
             break
         arrived = frontier.where("_at = to_node")
         results.append(arrived)
-        seen = keep(f"seen{level}", seen.unionByName(frontier.select(*keys, "_at")))
+        seen = seen.unionByName(frontier.select(*keys, "_at"))
         frontier = frontier.join(arrived.select(*keys), keys, "left_anti")
     out = results[0]
     for r in results[1:]:
@@ -49,19 +50,23 @@ def shortest_routes(edges: DataFrame, requests: DataFrame, cut=None, most_levels
     return out.select(*keys, F.size("edge_ids").alias("hops"), "route", "edge_ids")
 
 
-def reachable_within(edges: DataFrame, requests: DataFrame, levels: int = 50) -> DataFrame:
-    """(repo_id, graph_id, from_node, node, distance): least numbers of hops, as a recursive query of at most `levels` levels."""
-    spark = edges.sparkSession
-    edges.select(*G, "source", "target").distinct().createOrReplaceTempView("_flow_edges")
-    requests.select(*G, "from_node").distinct().createOrReplaceTempView("_flow_from")
-    found = spark.sql(f"""
-        WITH RECURSIVE r(repo_id, graph_id, from_node, node, distance) AS (
-          SELECT repo_id, graph_id, from_node, from_node, 0 FROM _flow_from
-          UNION ALL
-          SELECT r.repo_id, r.graph_id, r.from_node, e.target, r.distance + 1
-          FROM r JOIN _flow_edges e ON e.repo_id = r.repo_id AND e.graph_id = r.graph_id AND e.source = r.node
-          WHERE r.distance < {int(levels)})
-        SELECT repo_id, graph_id, from_node, node, min(distance) AS distance FROM r GROUP BY ALL""")
+def reachable_within(edges: DataFrame, requests: DataFrame, levels: int | None = None, cut=None) -> DataFrame:
+    """(repo_id, graph_id, from_node, node, distance): least numbers of hops, of at most `levels` if that is given.
+
+    A node is met once, at its least distance, so that cycles end by themselves.
+    """
+    keep = cut or (lambda name, df: df.checkpoint())
+    near = edges.select(*G, F.col("source").alias("node"), F.col("target").alias("_to")).distinct()
+    keys = [*G, "from_node", "node"]
+    frontier = requests.select(*G, "from_node").distinct().withColumn("node", F.col("from_node"))
+    found, level = frontier.withColumn("distance", F.lit(0)), 0
+    while levels is None or level < levels:
+        level += 1
+        step = frontier.join(near, [*G, "node"]).select(*G, "from_node", F.col("_to").alias("node")).distinct()
+        frontier = keep(f"reach{level}", step.join(found.select(*keys), keys, "left_anti"))
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier.withColumn("distance", F.lit(level)))
     return found
 
 

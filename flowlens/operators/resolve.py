@@ -43,7 +43,7 @@ def resolve(nodes: DataFrame, registered: DataFrame, functions: DataFrame, impor
     imported = from_imports(imports)
     at_top = functions.where("is_module")
     w = Window.partitionBy("repo_id", "path", "name").orderBy("ord")
-    defined = at_top.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("repo_id", F.col("path").alias("to"), F.col("name").alias("original"), F.struct("line_start", "line_end", "docstring", "segment", "tools", "gotos").alias("fn"))
+    defined = at_top.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("repo_id", F.col("path").alias("to"), F.col("name").alias("original"), F.struct("line_start", "line_end", "docstring", "body_hash", "tools", "gotos").alias("fn"))
     files = parsed.select("repo_id", F.col("path").alias("to")).distinct()
     last = registered.groupBy("repo_id", "node_id").agg(F.max_by(F.struct("func_kind", "func_name"), "ord").alias("_r"))
     wanted = nodes.where((F.col("resolution") == PARTIAL) & ~F.col("name").startswith(DYNAMIC)).select("repo_id", "node_id", "path").join(last, ["repo_id", "node_id"]).where("_r.func_kind = 'name'")
@@ -65,7 +65,7 @@ def resolve(nodes: DataFrame, registered: DataFrame, functions: DataFrame, impor
         F.col("_b.fn.line_start").alias("line_start"),
         F.col("_b.fn.line_end").alias("line_end"),
         F.col("_b.fn.docstring").alias("docstring"),
-        F.sha2(F.col("_b.fn.segment").cast("binary"), 256).alias("function_body_hash"),
+        F.col("_b.fn.body_hash").alias("function_body_hash"),
         F.lit(FULL).alias("resolution"),
         F.col("_b.fn.tools").alias("tools"),
         F.col("_b.fn.gotos").alias("gotos"),

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, unit
+from ..functions.vectors import cosine, dot, unit
 
 FILTERS = frozenset({"repo_id", "graph_id"})
 
@@ -31,18 +33,6 @@ def top_k(rows: DataFrame, query: Sequence[float], k: int, key: str = "chunk_id"
     return rows.withColumn("score", cosine(vector, given)).orderBy(F.desc("score"), key).limit(k)
 
 
-def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str, query_key: str, query_vector: str) -> DataFrame:
-    """(`query_key`, `key`, score, rank) of the `k` nearest rows to each query.
-
-    `queries` is a stated set of queries, compared with all rows in blocks: it is the side that is sent round when
-    small, and each task keeps its best before ranks are made.
-    """
-    pairs = queries.select(F.col(query_key).alias("_q"), F.col(query_vector).alias("_v")).crossJoin(rows.select(F.col(key).alias("_k"), F.col(vector).alias("_w")))
-    scored = pairs.select("_q", "_k", cosine("_w", "_v").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "_k"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("_q").alias(query_key), F.col("_k").alias(key), "score", "rank")
-
-
 def _block(frames, k: int, names: list[str]):
     """The `k` best of each query within each pair of blocks; a block's vectors are measured as one product."""
     import numpy as np
@@ -61,10 +51,13 @@ def _block(frames, k: int, names: list[str]):
         yield pd.DataFrame(out, columns=names)
 
 
-def block_top_k(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str, query_key: str, query_vector: str, size: int = 1024) -> DataFrame:
-    """batch_top_k() for query sets that grow with the table: every block of about `size` rows meets every block of
-    queries, each pair of blocks gives its `k` best of each query, and ranks are made of those. A vector of length 0
-    scores 0."""
+def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str, query_key: str, query_vector: str, size: int = 1024) -> DataFrame:
+    """(`query_key`, `key`, score, rank) of the `k` nearest rows to each row of `queries`, a stated set that may grow.
+
+    Every block of about `size` rows meets every block of queries, each pair of blocks gives its `k` best of each
+    query, and ranks are made of those. A vector of length 0 scores 0.
+    """
+
     def blocks(df: DataFrame, i: str, v: str, ids: str, vectors: str) -> DataFrame:
         n = max(1, -(-df.count() // size))
         block = F.pmod(F.xxhash64(i), F.lit(n)).alias("_b")
@@ -78,14 +71,29 @@ def block_top_k(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: s
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def approximate_top_k(spark: SparkSession, rows: DataFrame, query: Sequence[float], k: int, key: str, vector: str, tables: int = 8, length: float = 0.8, probe: int = 8) -> DataFrame:
-    """top_k() over the `probe` * k rows that random projections put nearest; exact scores, some rows may be missed."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
+#: Rows that the cells of the approximate index are fitted on, at most; cells, and how many of them a query looks into.
+SAMPLE, CELLS, PROBES = 20_000, 64, 24
+
+
+def approximate_top_k(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str, query_key: str, query_vector: str, cells: int = CELLS, probes: int = PROBES) -> DataFrame:
+    """batch_top_k() over the rows in the `probes` cells nearest to each query; some of the nearest may be missed.
 
-    size = sum(x * x for x in query) ** 0.5 or 1.0
-    units = rows.withColumn("_f", array_to_vector(unit(vector)))
-    model = BucketedRandomProjectionLSH(inputCol="_f", outputCol="_h", bucketLength=length, numHashTables=tables, seed=1).fit(units)
-    near = model.approxNearestNeighbors(units, Vectors.dense([x / size for x in query]), probe * k)
-    return top_k(near.select(*rows.columns), query, k, key, vector)
+    Cells are the centres of k-means on up to SAMPLE rows, those least by hash of `key`; every row goes to its nearest
+    cell. Scores are exact, ranks are among the rows looked at.
+    """
+    units = rows.select(F.col(key).alias("_k"), unit(vector).alias("_w"), F.col(vector).alias("_raw"))
+    drawn = units.orderBy(F.xxhash64("_k"), "_k").limit(SAMPLE).select(array_to_vector("_w").alias("_f"))
+    if drawn.isEmpty():
+        centres = []
+    else:
+        fitted = KMeans(k=max(2, cells), featuresCol="_f", seed=1, maxIter=10).fit(drawn)
+        centres = [[float(x) for x in c] for c in fitted.clusterCenters()]
+    # `cells` vectors, a literal
+    near = F.array(*[F.struct(dot("_w", F.array(*[F.lit(x) for x in c])).alias("s"), F.lit(i).alias("c")) for i, c in enumerate(centres)]) if centres else F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("c")))
+    best = F.sort_array(near, asc=False)
+    placed = units.select("_k", "_raw", F.element_at(best, 1)["c"].alias("_cell"))
+    asked = queries.select(F.col(query_key).alias("_q"), F.col(query_vector).alias("_v"), unit(query_vector).alias("_w"))
+    asked = asked.select("_q", "_v", F.explode(F.transform(F.slice(best, 1, probes), lambda x: x["c"])).alias("_cell"))
+    scored = asked.join(placed, "_cell").select("_q", "_k", cosine("_raw", "_v").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "_k"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("_q").alias(query_key), F.col("_k").alias(key), "score", "rank")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors
+from ..api import Engine
+from ..functions import ids, vectors
 from ..operators import embed, graphops, search
 from ..operators.assemble import assemble
 from ..sources.scan import facts
@@ -149,6 +151,133 @@ def rt_parse_status(spark, sf_dir):
     return facts(render.damaged(render.chains(_t(spark, sf_dir, "orders")))).select("path", "parse_status")
 
 
+@query("SELECT 'big.py::g::edge::a' || i || '-->a' || (i + 1) AS edge_id, CAST(i + 1 AS INT) AS place FROM range(5000) AS t(i)")
+def rt_many_calls(spark, sf_dir):
+    edges = _index(render.long_chain(spark, 5000)).edges
+    return edges.select("edge_id", F.row_number().over(Window.partitionBy("graph_id").orderBy("edge_ord")).alias("place"))
+
+
+@query("SELECT 'a' || n_nationkey || '.py::g' AS graph_id, 'n' || n_nationkey AS entry_point FROM nation WHERE n_nationkey % 2 = 0")
+def rt_import_alias(spark, sf_dir):
+    return _index(render.aliased(_t(spark, sf_dir, "nation"))).graphs.select("graph_id", "entry_point")
+
+
+@query("""SELECT 'd' || n_nationkey || '.py::g::node::n' || n_nationkey AS node_id, CASE WHEN n_nationkey % 2 = 0 THEN 'partial' ELSE 'full' END AS resolution,
+  CAST(CASE WHEN n_nationkey % 2 = 0 THEN 6 ELSE 2 END AS INT) AS line_start FROM nation""")
+def rt_dynamic(spark, sf_dir):
+    return _index(render.looped(_t(spark, sf_dir, "nation"))).nodes.select("node_id", "resolution", "line_start")
+
+
+@query(_CHAIN + "SELECT 'c' || c || '.py::g::node::' || n AS node_id FROM o WHERE k % 2 = 1")
+def rt_unresolved_routing(spark, sf_dir):
+    return graphops.unresolved_routing(_index(render.chains(_t(spark, sf_dir, "orders"))).nodes).select("node_id")
+
+
+def _by_file(nodes: DataFrame) -> DataFrame:
+    """Each file as a repository of its own."""
+    return nodes.withColumn("repo_id", F.col("source_file"))
+
+
+@query(_CHAIN + "SELECT 'c' || c || '.py' AS repo_id, string_agg(n, ',' ORDER BY n) AS names FROM o GROUP BY c")
+def g_node_names(spark, sf_dir):
+    names = graphops.node_names(_by_file(_index(render.chains(_t(spark, sf_dir, "orders"))).nodes))
+    return names.select("repo_id", F.array_join("names", ",").alias("names"))
+
+
+@query(_BRANCH + "SELECT 'b' || c || '.py' AS repo_id, graph_id || '::node::n1' AS node_id FROM e WHERE n = 'n1'")
+def g_first_node(spark, sf_dir):
+    return graphops.first_node(_by_file(_index(render.branches(_t(spark, sf_dir, "orders"))).nodes), "n1").select("repo_id", "node_id")
+
+
+@query(_GOTO + "SELECT DISTINCT 'u' || u || '.py::g::node::' || a AS node_id FROM n WHERE k > 1")
+def g_has_branch(spark, sf_dir):
+    index = _index(render.transitions(_t(spark, sf_dir, "events")))
+    return graphops.has_branch(index.nodes, index.edges).select("node_id")
+
+
+@query(_BRANCH + "SELECT edge_id, n AS own, graph_id || '::node::' || n AS of_another FROM e")
+def g_node_name(spark, sf_dir):
+    edges = _index(render.branches(_t(spark, sf_dir, "orders"))).edges
+    return edges.select("edge_id", ids.node_name("graph_id", "target_node_id").alias("own"), ids.node_name(F.lit("other.py::g"), "target_node_id").alias("of_another"))
+
+
+# ---- the verbs, over an index of rendered modules
+
+def _engine(spark, modules: DataFrame) -> tuple[Engine, str]:
+    """An engine whose store holds `modules` as one repository, and that repository's folder, which is empty."""
+    folder = tempfile.mkdtemp(prefix="flowlens-verbs-")
+    engine = Engine(spark, index_root=shared_dir(spark) + "/flowlens-verbs")
+    parsed = keep("facts", facts(modules.withColumn("repo_id", F.lit(folder))))
+    index = assemble(parsed)
+    tables = {n: getattr(index, n) for n in ("graphs", "nodes", "edges", "routes", "tool_bindings")}
+    tables["nodes"] = keep("nodes", tables["nodes"])
+    tables["chunks"] = embed.chunks(tables["nodes"], parsed, engine.provider)
+    Store(spark, engine.index_root).replace(folder, folder, tables, engine.provider.name, engine.provider.dimension)
+    return engine, folder
+
+
+_LONGEST = _CHAIN + ", m AS (SELECT c FROM g ORDER BY cnt DESC, c LIMIT 1)"
+
+
+def _longest(spark, sf_dir) -> tuple[DataFrame, str, str]:
+    """Chains, and the first and last node of the longest."""
+    orders = _t(spark, sf_dir, "orders")
+    of = orders.groupBy("o_custkey").count().orderBy(F.desc("count"), "o_custkey").first()["o_custkey"]
+    ends = orders.where(F.col("o_custkey") == of).orderBy("o_orderdate", "o_orderkey", "o_orderstatus").select("o_orderkey").collect()
+    return render.chains(orders), f"o{ends[0][0]}", f"o{ends[-1][0]}"
+
+
+@query(_LONGEST + "SELECT 'c' || m.c || '.py::g' AS graph_id, (SELECT string_agg(n, '>' ORDER BY i) FROM o WHERE o.c = m.c) AS route FROM m")
+def a_trace_path(spark, sf_dir):
+    modules, first, last = _longest(spark, sf_dir)
+    engine, folder = _engine(spark, modules)
+    found = engine.trace_path(first, last, folder)
+    return spark.createDataFrame([(found["graph_id"], ">".join(found["route"]))], "graph_id string, route string")
+
+
+@query(_LONGEST + "SELECT o.n AS node_name, 'c' || o.c || '.py' AS file_path, false AS path_found FROM o JOIN m ON m.c = o.c WHERE k % 2 = 1")
+def a_trace_negative(spark, sf_dir):
+    modules, first, last = _longest(spark, sf_dir)
+    engine, folder = _engine(spark, modules)
+    found = engine.trace_path(last, first, folder)
+    rows = [(n["node_name"], n["file_path"], found["path_found"]) for n in found["unresolved_routing_nodes"]]
+    return spark.createDataFrame(rows, "node_name string, file_path string, path_found boolean")
+
+
+@query(_CHAIN + "SELECT 'c' || c || '.py' AS file_path, 'g' AS variable_name, CASE WHEN s IN ('O', 'F') OR cnt = 1 THEN f END AS entry_point, CAST(cnt AS BIGINT) AS node_count FROM g")
+def a_graph_summary(spark, sf_dir):
+    engine, folder = _engine(spark, render.chains(_t(spark, sf_dir, "orders")))
+    rows = [(g["file_path"], g["variable_name"], g["entry_point"], g["node_count"]) for g in engine.get_graph_summary(folder)["graphs"]]
+    return spark.createDataFrame(rows, "file_path string, variable_name string, entry_point string, node_count long")
+
+
+@query("""SELECT DISTINCT 't' || l_orderkey || '.py' AS file_path, 'caller' AS kind FROM lineitem WHERE l_partkey = 7
+  UNION ALL SELECT DISTINCT 't' || l_orderkey || '.py', 'unenumerated' FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 2 = 1""")
+def a_what_calls_tool(spark, sf_dir):
+    engine, folder = _engine(spark, render.tools(_t(spark, sf_dir, "lineitem")))
+    found = engine.what_calls_tool("p7", folder)
+    rows = [(c["file_path"], "caller") for c in found["callers"]] + [(c["file_path"], "unenumerated") for c in found["unenumerated_tool_nodes"]]
+    return spark.createDataFrame(rows, "file_path string, kind string")
+
+
+@query(_GOTO + """, f AS (SELECT a, min('u' || u || '.py::g') AS g FROM n WHERE k > 1 AND a = (SELECT min(a) FROM n WHERE k > 1) GROUP BY a)
+SELECT n.a AS condition_function, n.b AS target_node, 'not_derivable' AS value_resolution FROM n JOIN f ON f.a = n.a AND f.g = 'u' || n.u || '.py::g'""")
+def a_explain_conditional(spark, sf_dir):
+    engine, folder = _engine(spark, render.transitions(_t(spark, sf_dir, "events")))
+    edges = Store(spark, engine.index_root).table(folder, "edges")
+    source = edges.where("type = 'conditional'").agg(F.min("source")).first()[0]
+    found = engine.explain_conditional(source, folder)
+    rows = [(found["condition_function"], d["target_node"], d["value_resolution"]) for d in found["possible_destinations"]]
+    return spark.createDataFrame(rows, "condition_function string, target_node string, value_resolution string")
+
+
+@query(_CHAIN + """SELECT * FROM (SELECT true AS indexed, count(*) AS graph_count, CAST(sum(cnt) AS BIGINT) AS node_count FROM g) UNION ALL SELECT false, 0, 0""")
+def a_repository_status(spark, sf_dir):
+    engine, folder = _engine(spark, render.chains(_t(spark, sf_dir, "orders")))
+    found = [engine.repository_status(p) for p in (folder, tempfile.mkdtemp(prefix="flowlens-none-"))]
+    return spark.createDataFrame([(a["indexed"], a.get("graph_count", 0), a.get("node_count", 0)) for a in found], "indexed boolean, graph_count long, node_count long")
+
+
 # ---- graphs made of events
 
 _EVENTS = """
@@ -247,24 +376,14 @@ def v_topk_filtered(spark, sf_dir):
     return search.top_k(rows, _first_vector(rows), 10, "vec_id", "embedding", {"graph_id": "3"}).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings ORDER BY vec_id LIMIT 20),
-  s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) AS x FROM q, embeddings),
-  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, vec_id) AS rank FROM s)
-SELECT query_id, vec_id, round(x, 6) AS score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 5""")
-def v_batch_topk(spark, sf_dir):
-    rows = _t(spark, sf_dir, "embeddings")
-    asked = rows.orderBy("vec_id").limit(20).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
-    return search.batch_top_k(rows, asked, 5, "vec_id", "embedding", "query_id", "v").withColumn("score", F.round("score", 6))
-
-
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0),
   s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) AS x FROM q, embeddings),
   k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, round(x, 6) AS score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 5""")
-def v_hundredth_topk(spark, sf_dir):
+def v_batch_topk(spark, sf_dir):
     rows = _t(spark, sf_dir, "embeddings")
     asked = rows.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
-    return search.block_top_k(rows, asked, 5, "vec_id", "embedding", "query_id", "v").withColumn("score", F.round("score", 6))
+    return search.batch_top_k(rows, asked, 5, "vec_id", "embedding", "query_id", "v").withColumn("score", F.round("score", 6))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm, CAST(1.0 AS DOUBLE) AS unit_norm FROM embeddings")
@@ -297,13 +416,13 @@ def t_semantic_search(spark, sf_dir):
     return docs.select("doc_id", vectors.cosine("v", given).alias("s")).orderBy(F.round("s", 9).desc(), "doc_id").limit(10).select("doc_id", F.round("s", 6).alias("score"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT item_id, length(text) AS n, row_number() OVER (ORDER BY length(text), item_id) AS i FROM benchmark),
-  r(i, item_id, batch, size) AS (SELECT i, item_id, CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM o WHERE i = 1
-   UNION ALL SELECT o.i, o.item_id, CASE WHEN (r.size + 1) * o.n <= 4000 THEN r.batch ELSE r.batch + 1 END, CASE WHEN (r.size + 1) * o.n <= 4000 THEN r.size + 1 ELSE 1 END FROM r JOIN o ON o.i = r.i + 1)
-SELECT item_id, batch FROM r""")
+@query("""WITH RECURSIVE o AS (SELECT doc_id, length(coalesce(text, '')) AS n, row_number() OVER (ORDER BY length(coalesce(text, '')), md5(CAST(doc_id AS VARCHAR)), doc_id) AS i FROM documents),
+  r(i, doc_id, batch, size) AS (SELECT i, doc_id, CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM o WHERE i = 1
+   UNION ALL SELECT o.i, o.doc_id, CASE WHEN (r.size + 1) * o.n <= 4000 THEN r.batch ELSE r.batch + 1 END, CASE WHEN (r.size + 1) * o.n <= 4000 THEN r.size + 1 ELSE 1 END FROM r JOIN o ON o.i = r.i + 1)
+SELECT doc_id, batch FROM r""")
 def t_batch_plan(spark, sf_dir):
-    texts = _t(spark, sf_dir, "benchmark").select("item_id", F.length("text").alias("n"))
-    return embed.batch_numbers(texts, "n", "item_id").select("item_id", "batch")
+    texts = _t(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
+    return embed.batch_numbers(texts, "n", "doc_id").select("doc_id", "batch")
 
 
 @query("SELECT l.doc_id, CASE WHEN l.quality = 1 AND trim(d.text) <> '' THEN 'text' WHEN l.toxic = 1 THEN 'doc ' || l.doc_id ELSE 'node' || l.doc_id END AS text FROM labels l JOIN documents d ON d.doc_id = l.doc_id")
@@ -319,6 +438,30 @@ def v_scores_orthogonal(spark, sf_dir):
     return search.top_k(rows, [1.0, 0.0], 10).select("chunk_id", F.round("score", 6).alias("score"))
 
 
+@query("SELECT * FROM (VALUES ('fine', 'ok'), ('no rows asked', 'top_k must be >= 1'), ('a flag', 'top_k must be >= 1'), ('strange filter', 'Unsupported search filter: colour'), ('narrow', 'the query has dimension 1, the index 2')) AS t(asked, answer)")
+def v_dimension_check(spark, sf_dir):
+    asked = {"fine": (3, {}, [1.0, 0.0]), "no rows asked": (0, {}, [1.0, 0.0]), "a flag": (True, {}, [1.0, 0.0]), "strange filter": (3, {"colour": "red"}, [1.0, 0.0]), "narrow": (3, {}, [1.0])}
+    rows = spark.createDataFrame([("a", [1.0, 0.0])], "chunk_id string, vector array<float>")
+    out = []
+    for name, (k, filters, given) in asked.items():
+        try:
+            out.append((name, "ok" if search.top_k(rows, given, k, filters=filters, dimension=2).count() else "none"))
+        except ValueError as e:
+            out.append((name, str(e)))
+    return spark.createDataFrame(out, "asked string, answer string")
+
+
+@query("SELECT count(*) AS n_queries, true AS recall_reached FROM embeddings WHERE vec_id % 100 = 0")
+def v_approximate_recall(spark, sf_dir):
+    """Ten nearest of every hundredth vector from the index, against all vectors; SQL knows that 0.9 of them are asked for."""
+    rows = _t(spark, sf_dir, "embeddings")
+    asked = rows.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    exact = search.batch_top_k(rows, asked, 10, "vec_id", "embedding", "query_id", "v").select("query_id", "vec_id")
+    near = search.approximate_top_k(rows, asked, 10, "vec_id", "embedding", "query_id", "v").select("query_id", "vec_id", F.lit(1).alias("hit"))
+    both = exact.join(near, ["query_id", "vec_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("n_queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("recall_reached"))
+
+
 # ---- the store
 
 def _store(spark) -> Store:
@@ -354,8 +497,11 @@ def s_list_order(spark, sf_dir):
     store, repo = _store(spark), f"list:{sf_dir}"
     index = _index(render.chains(_t(spark, sf_dir, "orders")))
     store.replace(repo, "/r", {n: getattr(index, n) for n in ("graphs", "nodes", "edges", "routes", "tool_bindings")}, "m", 16)
-    rows = store.list_graphs(repo).select("graph_id", F.size("nodes").alias("n_nodes"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("graph_id")))
+    # the order is that of the listing, across the partitions that it was sorted into
+    listed = keep("listed", store.list_graphs(repo).select("graph_id", F.size("nodes").alias("n_nodes"), F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i")))
+    sizes = listed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    start = sizes.select("_p", "_first", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return listed.join(F.broadcast(start), "_p").select("graph_id", "n_nodes", (F.col("_start") + F.col("_i") - F.col("_first") + 1).cast("int").alias("place"))
 
 
 @query(_CHAIN + "SELECT graph_id, CAST(cnt AS INT) AS n_nodes, (SELECT string_agg(n, ',' ORDER BY i) FROM o WHERE o.c = g.c) AS nodes FROM g")

@@ -79,7 +79,29 @@ def imported(nation: DataFrame) -> DataFrame:
 
 
 def damaged(modules: DataFrame) -> DataFrame:
-    """Every tenth module (by the number in its name) cut inside a bracket, every tenth after it with a byte order mark, one with bad bytes."""
+    """Every tenth module (by the number in its name) cut inside a bracket, every tenth after it with a byte order mark, one with bad bytes, one with half a surrogate pair in a literal."""
     n = F.regexp_extract("path", "([0-9]+)", 1).cast("long")
-    content = F.when(n % 10 == 0, F.concat(F.col("content"), F.lit("broken(\n")).cast("binary")).when(n % 10 == 1, F.concat(F.lit(b"\xef\xbb\xbf"), F.col("content").cast("binary"))).when(n % 10 == 2, F.concat(F.lit(b"x = '\xff'\n"), F.col("content").cast("binary"))).otherwise(F.col("content").cast("binary"))
+    content = F.when(n % 10 == 0, F.concat(F.col("content"), F.lit("broken(\n")).cast("binary")).when(n % 10 == 1, F.concat(F.lit(b"\xef\xbb\xbf"), F.col("content").cast("binary"))).when(n % 10 == 2, F.concat(F.lit(b"x = '\xff'\n"), F.col("content").cast("binary"))).when(n % 10 == 4, F.concat(F.col("content"), F.lit('g.add_node("\\ud800")\n')).cast("binary")).otherwise(F.col("content").cast("binary"))
     return modules.withColumn("content", content)
+
+
+def long_chain(spark, n: int) -> DataFrame:
+    """One module with `n` edges, one after the other."""
+    text = lines(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit('g.add_edge("a'), i.cast("string"), F.lit('", "a'), (i + 1).cast("string"), F.lit('")\n')))
+    return _module(spark.range(1), F.lit("big.py"), F.concat(F.lit(HEAD + "g = StateGraph(dict)\n"), text))
+
+
+def aliased(nation: DataFrame) -> DataFrame:
+    """A module a nation that imports the builder and the start under other names; odd nations build something else."""
+    key = F.col("n_nationkey").cast("string")
+    made = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("S"), key)).otherwise(F.lit("Other"))
+    text = F.concat(F.lit("from flowlib import START as BEGIN, StateGraph as S"), key, F.lit("\ng = "), made, F.lit('(dict)\ng.add_node("n'), key, F.lit('", work)\ng.add_edge(BEGIN, "n'), key, F.lit('")\n'))
+    return _module(nation, F.concat(F.lit("a"), key, F.lit(".py")), text)
+
+
+def looped(nation: DataFrame) -> DataFrame:
+    """A module a nation with one node; even nations add it in a loop."""
+    key = F.col("n_nationkey").cast("string")
+    head = F.lit(HEAD + "def work(state):\n    return state\ng = StateGraph(dict)\n")
+    loop = F.when(F.col("n_nationkey") % 2 == 0, F.lit("for x in names:\n    ")).otherwise(F.lit(""))
+    return _module(nation, F.concat(F.lit("d"), key, F.lit(".py")), F.concat(head, loop, F.lit('g.add_node("n'), key, F.lit('", work)\n')))

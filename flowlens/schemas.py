@@ -12,7 +12,7 @@ NORMAL, CONDITIONAL = "normal", "conditional"
 FILE_DDL = (
     "repo_id string, path string, is_ignored boolean, parse_status string, error string, lines array<string>, "
     "imports array<struct<ord:int, kind:string, local:string, original:string, module:string, level:int>>, "
-    "functions array<struct<ord:int, name:string, is_module:boolean, line_start:int, line_end:int, docstring:string, segment:string, "
+    "functions array<struct<ord:int, name:string, is_module:boolean, line_start:int, line_end:int, docstring:string, body_hash:string, "
     "tools:array<struct<literal:boolean, elements:array<struct<name:string, base:string, ok:boolean>>>>, gotos:array<struct<targets:array<string>, ok:boolean>>>>, "
     "builders array<string>, "
     "calls array<struct<ord:int, var:string, method:string, line_start:int, line_end:int, in_dynamic:boolean, name:string, name_dynamic:boolean, "

@@ -7,6 +7,7 @@ everything else is left to joins over the facts of all files.
 from __future__ import annotations
 
 import ast
+from hashlib import sha256
 
 from ..schemas import DYNAMIC, END, KNOWN, NOT_DERIVABLE, START
 
@@ -125,7 +126,7 @@ class FileFacts:
             "line_start": min([node.lineno, *(d.lineno for d in node.decorator_list)]),
             "line_end": node.end_lineno or node.lineno,
             "docstring": ast.get_docstring(node),
-            "segment": ast.get_source_segment(self.source, node) or "",
+            "body_hash": sha256((ast.get_source_segment(self.source, node) or "").encode()).hexdigest(),
             "tools": tools,
             "gotos": gotos,
         }
@@ -213,8 +214,20 @@ def parse(content: bytes) -> dict:
     except UnicodeDecodeError as e:
         return empty | {"parse_status": "decode_error", "error": str(e)}
     try:
-        return empty | FileFacts(source).row() | {"parse_status": "ok", "lines": source.splitlines()}
+        found = FileFacts(source).row()
     except SyntaxError as e:
         return empty | {"parse_status": "syntax_error", "error": str(e)}
-    except (RecursionError, ValueError, MemoryError) as e:
+    except Exception as e:  # one odd file must not stop the others
         return empty | {"parse_status": "error", "error": f"{type(e).__name__}: {e}"}
+    if "\\u" in source or "\\U" in source:
+        found = _encodable(found)
+    return empty | found | {"parse_status": "ok", "lines": source.splitlines()}
+
+
+def _encodable(value):
+    """`value` with lone surrogates, which escapes in literals can make, written as escapes."""
+    if isinstance(value, str):
+        return value.encode("utf-8", "backslashreplace").decode()
+    if isinstance(value, dict):
+        return {k: _encodable(v) for k, v in value.items()}
+    return [_encodable(v) for v in value] if isinstance(value, list) else value

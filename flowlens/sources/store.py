@@ -1,7 +1,8 @@
-"""Index snapshots: Parquet tables in version folders, and a manifest a repository that names the current one.
+"""Index snapshots: Parquet tables in version folders, and a manifest a repository that names the current ones.
 
-A new version is written beside the old one and becomes current by the rename of its manifest, so that a reader sees
-all of the old index or all of the new one. Reading never creates anything.
+New tables are written beside the old ones and become current by the rename of the manifest, so that a reader sees
+all of the old index or all of the new one. A version stays until the one after the next, for readers that began on it.
+Reading never creates anything.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ import json
 import re
 import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,16 @@ class Repository:
     embedding_model: str
     dimension: int
     version: str
+    #: The version folder of each table; `version` where it is not named.
+    tables: dict[str, str] = field(default_factory=dict)
+    #: Folders of the manifest before this one, which readers may still be on.
+    previous: tuple[str, ...] = ()
+
+    def folder(self, table: str) -> str:
+        return self.tables.get(table, self.version)
+
+    def folders(self) -> set[str]:
+        return {self.folder(t) for t in TABLES}
 
 
 class Store:
@@ -60,13 +72,37 @@ class Store:
         finally:
             stream.close()
         try:
-            found = Repository(**json.loads(text))
-        except (ValueError, TypeError) as e:
+            stated = json.loads(text)
+            found = Repository(**(stated | {"previous": tuple(stated.get("previous", ()))}))
+        except (ValueError, TypeError, AttributeError) as e:
             raise ValueError(f"the manifest of {repo_id} is damaged: {e}") from e
-        if not self._fs.exists(self._path(self.key(repo_id), found.version)):
-            raise ValueError(f"the index of {repo_id} lacks its version {found.version}")
+        for version in sorted(found.folders()):
+            if not self._fs.exists(self._path(self.key(repo_id), version)):
+                raise ValueError(f"the index of {repo_id} lacks its version {version}")
         return found
 
+    def _current(self, repo_id: str) -> Repository | None:
+        """The manifest to be replaced; a damaged one counts as none, so that indexing again mends it."""
+        try:
+            return self.get_repository(repo_id)
+        except ValueError:
+            return None
+
+    def repositories(self) -> list[str]:
+        """Repositories with an index in this store, in order."""
+        if not self._fs.exists(self._path()):
+            return []
+        found = []
+        for status in self._fs.listStatus(self._path()):
+            path = self._path(status.getPath().getName(), "manifest.json")
+            if self._fs.exists(path):
+                stream = self._fs.open(path)
+                try:
+                    found.append(json.loads(bytes(stream.readAllBytes()).decode())["repo_id"])
+                finally:
+                    stream.close()
+        return sorted(found)
+
     def is_indexed(self, repo_id: str) -> bool:
         return self.get_repository(repo_id) is not None
 
@@ -84,35 +120,72 @@ class Store:
 
     # ---- writing
 
-    def replace(self, repo_id: str, root_path: str, tables: Mapping[str, DataFrame], model: str, dimension: int, at: datetime | None = None) -> Repository:
-        """Make `tables` (by the names in schemas.TABLES; absent ones are empty) the repository's whole index."""
-        if "chunks" in tables and not tables["chunks"].where((F.size("vector") != dimension) | (F.col("dimension") != dimension)).isEmpty():
+    def _write(self, repo_id: str, version: str, name: str, df: DataFrame | None, dimension: int) -> None:
+        ddl = TABLES[name]
+        df = self.spark.createDataFrame([], ddl) if df is None else df.select(*[c.split()[0] for c in ddl.split(", ")])
+        path = "/".join([self.root, self.key(repo_id), version, name])
+        df.write.parquet(path)
+        # what was written is looked at, so that vectors are computed once
+        if name == "chunks" and not self._read(path, name).where((F.size("vector") != dimension) | (F.col("dimension") != dimension)).isEmpty():
+            self._fs.delete(self._path(self.key(repo_id), version), True)
             raise ValueError(f"vectors of another dimension than {dimension}")
+
+    def _put(self, repo_id: str, root_path: str, tables: Mapping[str, DataFrame | None], kept: Mapping[str, str], model: str, dimension: int, at: datetime | None) -> Repository:
+        """Write `tables` as a new version and publish it with the `kept` folders of the others."""
         version = f"v-{uuid.uuid4().hex}"
-        for name, ddl in TABLES.items():
-            df = tables.get(name)
-            df = self.spark.createDataFrame([], ddl) if df is None else df.select(*[c.split()[0] for c in ddl.split(", ")])
-            df.write.parquet("/".join([self.root, self.key(repo_id), version, name]))
-        old = self.get_repository(repo_id) if self._fs.exists(self._path(self.key(repo_id), "manifest.json")) else None
-        info = Repository(repo_id, root_path, (at or datetime.now(UTC)).isoformat(), "parquet", model, dimension, version)
+        for name in sorted(tables, key=lambda n: n != "chunks"):
+            self._write(repo_id, version, name, tables[name], dimension)
+        old = self._current(repo_id)
+        before = tuple(sorted(old.folders())) if old else ()
+        info = Repository(repo_id, root_path, (at or datetime.now(UTC)).isoformat(), "parquet", model, dimension, version, {n: kept.get(n, version) for n in TABLES}, before)
         self._publish(info)
-        if old is not None:
-            self._fs.delete(self._path(self.key(repo_id), old.version), True)
+        for folder in set(old.previous if old else ()) - info.folders() - set(before):
+            self._fs.delete(self._path(self.key(repo_id), folder), True)
         return info
 
-    def upsert_chunks(self, repo_id: str, chunks: DataFrame) -> None:
-        """Add chunks to a repository's index; those with a chunk_id that it has replace it. An empty frame changes nothing."""
-        if chunks.isEmpty():
-            return
+    def replace(self, repo_id: str, root_path: str, tables: Mapping[str, DataFrame], model: str, dimension: int, at: datetime | None = None) -> Repository:
+        """Make `tables` (by the names in schemas.TABLES; absent ones are empty) the repository's whole index."""
+        return self._put(repo_id, root_path, {n: tables.get(n) for n in TABLES}, {}, model, dimension, at)
+
+    def _upsert(self, repo_id: str, name: str, rows: DataFrame, key: str) -> None:
         info = self.get_repository(repo_id)
         if info is None:
             raise ValueError(f"{repo_id} has no index")
-        if not chunks.where(F.size("vector") != info.dimension).isEmpty():
-            raise ValueError(f"vectors of another dimension than {info.dimension}")
-        columns = [c.split()[0] for c in TABLES["chunks"].split(", ")]
-        kept = self.table(repo_id, "chunks").join(chunks.select("chunk_id"), "chunk_id", "left_anti")
-        tables = {n: self.table(repo_id, n) for n in TABLES} | {"chunks": kept.select(*columns).unionByName(chunks.select(*columns))}
-        self.replace(repo_id, info.root_path, tables, info.embedding_model, info.dimension)
+        columns = [c.split()[0] for c in TABLES[name].split(", ")]
+        kept = self.table(repo_id, name).join(rows.select(key).distinct(), key, "left_anti")
+        others = {n: info.folder(n) for n in TABLES if n != name}
+        self._put(repo_id, info.root_path, {name: kept.select(*columns).unionByName(rows.select(*columns))}, others, info.embedding_model, info.dimension, None)
+
+    def upsert_chunks(self, repo_id: str, chunks: DataFrame) -> None:
+        """Add chunks to a repository's index; those with a chunk_id that it has replace it. An empty frame changes nothing, other tables stay as they are."""
+        if not chunks.isEmpty():
+            self._upsert(repo_id, "chunks", chunks, "chunk_id")
+
+    def upsert_graphs(self, repo_id: str, tables: Mapping[str, DataFrame]) -> None:
+        """Put graphs with all their parts in place of those with the same graph_id; other graphs and their chunks stay.
+
+        `tables` names graphs and any of nodes, edges, routes, tool_bindings and chunks; a part that is not named is empty for these graphs.
+        """
+        info, graphs = self.get_repository(repo_id), tables["graphs"]
+        if info is None:
+            raise ValueError(f"{repo_id} has no index")
+        new = {}
+        for name, ddl in TABLES.items():
+            columns = [c.split()[0] for c in ddl.split(", ")]
+            kept = self.table(repo_id, name).join(graphs.select("graph_id").distinct(), "graph_id", "left_anti").select(*columns)
+            new[name] = kept.unionByName(tables[name].select(*columns)) if name in tables else kept
+        self._put(repo_id, info.root_path, new, {}, info.embedding_model, info.dimension, None)
+
+    def export_jdbc(self, repo_id: str, url: str, prefix: str = "flow_", properties: Mapping[str, str] | None = None) -> None:
+        """Write a repository's tables to a database by JDBC, as `prefix` and the table's name; vectors as text like [0.5,1.0].
+
+        That text is what vector columns of PostgreSQL read. Existing tables are replaced; rows are written by executors.
+        """
+        for name in TABLES:
+            df = self.table(repo_id, name)
+            if name == "chunks":
+                df = df.withColumn("vector", F.concat(F.lit("["), F.array_join(F.transform("vector", lambda x: x.cast("string")), ","), F.lit("]")))
+            df.write.mode("overwrite").jdbc(url, prefix + name, properties=dict(properties or {}))
 
     def delete_repo(self, repo_id: str) -> None:
         """Remove a repository's index; an unknown one is no error."""
@@ -120,12 +193,14 @@ class Store:
 
     # ---- reading
 
+    def _read(self, path: str, name: str) -> DataFrame:
+        return self.spark.read.schema(TABLES[name]).parquet(re.sub(r"([\[\]{}*?\\])", r"\\\1", path))  # readers take patterns
+
     def table(self, repo_id: str, name: str) -> DataFrame:
         info = self.get_repository(repo_id)
         if info is None:
             return self.spark.createDataFrame([], TABLES[name])
-        path = re.sub(r"([\[\]{}*?\\])", r"\\\1", "/".join([self.root, self.key(repo_id), info.version, name]))  # readers take patterns
-        found = self.spark.read.schema(TABLES[name]).parquet(path)
+        found = self._read("/".join([self.root, self.key(repo_id), info.folder(name), name]), name)
         # an index written before a state was known has it as not applicable
         return found.withColumn("routing_resolution", F.coalesce("routing_resolution", F.lit(NOT_APPLICABLE))) if name == "nodes" else found
 
@@ -137,13 +212,14 @@ class Store:
         return self.list_graphs(repo_id).where(F.col("graph_id") == graph_id)
 
     def search(self, query: Sequence[float], top_k: int, filters: Mapping[str, str]) -> DataFrame:
-        """The nearest chunks, by the repository that `filters` names."""
+        """The nearest chunks, of the repository that `filters` names or of all in the store."""
         nearest.check(top_k, filters, query, None)
-        if "repo_id" not in filters:
-            raise ValueError("Unsupported search filter: repo_id is required")
-        info = self.get_repository(filters["repo_id"])
-        rows = self.table(filters["repo_id"], "chunks")
-        return nearest.top_k(rows, query, top_k, filters=filters, dimension=info.dimension if info else None)
+        repos = [filters["repo_id"]] if "repo_id" in filters else self.repositories()
+        for repo in repos:
+            info = self.get_repository(repo)
+            nearest.check(top_k, filters, query, info.dimension if info else None)
+        rows = reduce(DataFrame.unionByName, (self.table(r, "chunks") for r in repos), self.spark.createDataFrame([], TABLES["chunks"]))
+        return nearest.top_k(rows, query, top_k, filters=filters)
 
 
 def nested(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, routes: DataFrame, bindings: DataFrame) -> DataFrame:

@@ -4,12 +4,14 @@ import io
 import json
 import random
 from collections import deque
+from hashlib import md5
 
 import pytest
 from flowlens.api import Engine
 from flowlens.cli import main
 from flowlens.operators import embed, graphops, search
 from flowlens.schemas import TABLES
+from flowlens.server import serve
 from flowlens.sources.paths import Ignore, guard, source_files
 from flowlens.sources.store import Store
 
@@ -50,7 +52,7 @@ def test_routes_equal_a_queue_search(spark):
     got = {(r["graph_id"], r["from_node"], r["to_node"]): list(r["route"]) for r in graphops.shortest_routes(edges.cache(), requests, cut=lambda _, df: spark.createDataFrame(df.collect(), df.schema)).collect()}
     for _, g, a, b in asked:
         assert got.get((g, a, b)) == _queue(pairs[g], a, b)
-    reach = {(r["graph_id"], r["node"]): r["distance"] for r in graphops.reachable_within(edges, requests.where("from_node = 'n0'"), 20).collect()}
+    reach = {(r["graph_id"], r["node"]): r["distance"] for r in graphops.reachable_within(edges, requests.where("from_node = 'n0'"), 20, cut=lambda _, df: spark.createDataFrame(df.collect(), df.schema)).collect()}
     for g in pairs:
         expected = _queue(pairs[g], "n0", "n6")
         assert reach.get((g, "n6")) == (len(expected) - 1 if expected else None)
@@ -61,7 +63,9 @@ def test_search(spark):
     got = [(r["chunk_id"], round(r["score"], 5)) for r in search.top_k(rows, [2.0, 0.0], 5).collect()]
     assert got == [("a", 1.0), ("c", 0.70711), ("b", 0.0)]
     assert [r["chunk_id"] for r in search.top_k(rows, [2.0, 0.0], 5, filters={"graph_id": "h"}).collect()] == ["c"]
-    assert [r["chunk_id"] for r in search.approximate_top_k(spark, rows, [2.0, 0.0], 1, "chunk_id", "vector").collect()] == ["a"]
+    asked = spark.createDataFrame([(1, [2.0, 0.0])], "q long, v array<float>")
+    assert [r["chunk_id"] for r in search.approximate_top_k(rows, asked, 1, "chunk_id", "vector", "q", "v").collect()] == ["a"]
+    assert search.approximate_top_k(rows.where("false"), asked, 1, "chunk_id", "vector", "q", "v").count() == 0
     for bad in (0, -1, True, 2.5, None):
         with pytest.raises(ValueError, match="top_k must be >= 1"):
             search.top_k(rows, [1.0, 0.0], bad)
@@ -79,12 +83,19 @@ def test_batches_do_not_change_vectors(spark):
     own = {r["id"]: list(r["vector"]) for r in embed.embed_column(rows, "text", hashing).collect()}
     other = embed.FunctionProvider("f", 16, hashing.embed)
     assert own == {r["id"]: list(r["vector"]) for r in embed.embed_column(rows, "text", other).collect()}
+    model = embed.ModelProvider("m", 16, lambda: hashing.embed, document="", query="")
+    assert own == {r["id"]: list(r["vector"]) for r in embed.embed_column(rows, "text", model).collect()} and model.embed_query("a b") == hashing.embed_query("a b")
+    prefixed = embed.ModelProvider("p", 16, lambda: hashing.embed)
+    assert prefixed.embed(["x"]) == hashing.embed(["search_document: x"]) and prefixed.embed_query("x") == hashing.embed_query("search_query: x")
     short = embed.FunctionProvider("s", 16, lambda t: [])
     with pytest.raises(Exception, match="0 vectors"):
         embed.embed_column(rows, "text", short).collect()
     lengths = [len(t) for t in texts]
-    planned = {r["id"]: r["batch"] for r in embed.batch_numbers(rows.selectExpr("id", "length(text) n"), "n", "id", 200).collect()}
-    assert planned == {i: b for b, places in enumerate(embed.plan_batches(lengths, 200)) for i in places}
+    for extra in ([], [0] * 7, [3] * 500, [900] * 5, [None]):
+        sizes = [*lengths, *extra]
+        planned = {r["id"]: r["batch"] for r in embed.batch_numbers(spark.createDataFrame(list(enumerate(sizes)), "id long, n long"), "n", "id", 200).collect()}
+        order = sorted(range(len(sizes)), key=lambda i: (sizes[i] or 0, md5(str(i).encode()).hexdigest()))
+        assert planned == {order[j]: b for b, places in enumerate(embed.plan_batches([sizes[i] or 0 for i in order], 200)) for j in places}
 
 
 @pytest.mark.parametrize("path", [None, "", "  ", "\t", "../x", "a/../b", "..", "/a/..", "a\\..\\b"])
@@ -207,6 +218,10 @@ def test_indexing_again_replaces(spark, tmp_path):
     with pytest.raises(ValueError, match="damaged"):
         store.get_repository(tmp_path.as_posix())
     assert engine.get_graph_summary(tmp_path)["error"] == "internal_error"
+    (tmp_path / "m.py").write_text(MAIN)
+    assert engine.index_repo(tmp_path)["graphs_found"] == 1 and len(engine.get_graph_summary(tmp_path)["graphs"]) == 1
+    other = Engine(spark, provider=embed.HashingProvider(32))
+    assert other.semantic_search_nodes("login", tmp_path)["error"] == "embedding_model_mismatch"
 
 
 def test_store(spark, tmp_path):
@@ -223,6 +238,23 @@ def test_store(spark, tmp_path):
     with pytest.raises(ValueError, match="dimension"):
         store.search([1.0], 1, {"repo_id": "r"})
     assert [r["chunk_id"] for r in store.search([1.0, 0.0], 5, {"repo_id": "r"}).collect()] == ["c1", "c2"]
+    assert {r["repo_id"] for r in store.search([1.0, 0.0], 5, {}).collect()} == {"r"} and store.repositories() == ["q", "r"]
+    # a reader that began before an upsert can go on
+    reading = store.table("r", "chunks")
+    store.upsert_chunks("r", frame(chunk(4, "later", [1.0, 0.0])))
+    assert reading.count() == 2 and store.table("r", "chunks").count() == 3
+    graph = lambda i, f: spark.createDataFrame([("r", i, f, "g", None)], TABLES["graphs"])
+    store.upsert_graphs("r", {"graphs": graph("g", "f").unionByName(graph("h", "f"))})
+    assert store.table("r", "chunks").count() == 0  # all were of graph g, which came without chunks
+    store.upsert_graphs("r", {"graphs": graph("h", "new"), "chunks": frame(("r", "h", "c9", "n", "n", "f", 1, 1, None, "t", "m", 2, [0.5, 1.0]))})
+    assert {(r["graph_id"], r["file_path"]) for r in store.table("r", "graphs").collect()} == {("g", "f"), ("h", "new")}
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    try:
+        store.export_jdbc("r", url)
+    except Exception as e:
+        pytest.skip(f"no database driver here: {e}") if "No suitable driver" in str(e) else pytest.fail(str(e))
+    back = spark.read.jdbc(url, "flow_chunks")
+    assert [(r["chunk_id"], r["vector"]) for r in back.collect()] == [("c9", "[0.5,1.0]")]
     store.delete_repo("r")
     store.delete_repo("unknown")
     assert not store.is_indexed("r") and store.is_indexed("q") and store.get_repository("q").root_path == "/q"
@@ -233,6 +265,14 @@ def test_command_line(engine, repo, tmp_path):
     assert main(["status", str(repo), "--json"], engine, out, err) == 0 and json.loads(out.getvalue())["indexed"]
     assert main(["status", str(tmp_path)], engine, out, err) == 1 and main(["index", "a/../b"], engine, out, err) == 2
     assert main(["what"], engine, out, err) == 2 and main(["--help"], engine, out, err) == 0
+    (tmp_path / "plain.py").write_text("x = 1\n")
+    assert main(["index", str(tmp_path)], engine, out, err) == 1
+    asked = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "repository_status", "arguments": {"path": str(repo)}}}, {"id": 4, "method": "tools/call", "params": {"name": "trace_path", "arguments": {}}}, {"id": 5, "method": "what"}]
+    said = io.StringIO()
+    serve(engine, [*map(json.dumps, asked), "{broken", "", "7"], said)
+    told = [json.loads(x) for x in said.getvalue().splitlines()]
+    assert [t["id"] for t in told] == [1, 2, 3, 4, 5, None, None] and len(told[1]["result"]["tools"]) == 8
+    assert json.loads(told[2]["result"]["content"][0]["text"])["indexed"] and [t["error"]["code"] for t in told[3:]] == [-32602, -32601, -32700, -32700]
     narrow = io.TextIOWrapper(io.BytesIO(), encoding="ascii")
     assert main(["status", str(repo)], engine, narrow, err) == 0
     narrow.seek(0)

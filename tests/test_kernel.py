@@ -195,3 +195,11 @@ def test_hashes_leave_decorators_out(index):
     body = "def f(s):\n    return s\n"
     got = index({"a.py": HEAD + body + "g.add_node(f)\n", "b.py": HEAD + "@deco\n" + body + "g.add_node(f)\n"})
     assert len({n["function_body_hash"] for n in got["nodes"]}) == 1 and len({n["line_start"] for n in got["nodes"]}) == 1
+
+
+def test_odd_literals_and_long_modules_stop_nothing(index):
+    many = HEAD + "".join(f'g.add_edge("a{i}", "a{i + 1}")\n' for i in range(2100)) + 'g.add_conditional_edges("a0", f, ["x", "y"])\n'
+    got = index({"odd.py": HEAD + 'g.add_node("\\ud800", f)\n', "many.py": many})
+    assert [n["name"] for n in got["nodes"]] == ["\\ud800"]
+    edges = sorted((e for e in got["edges"] if e["graph_id"].startswith("many")), key=lambda e: e["edge_ord"])
+    assert [e["target"] for e in edges] == [f"a{i + 1}" for i in range(2100)] + ["x", "y"]

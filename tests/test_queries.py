@@ -30,15 +30,20 @@ def test_rows_equal_sql(spark, duck, name):
 
 
 def test_every_hundredth_vector_is_a_query(spark):
-    got = QUERIES["v_hundredth_topk"](spark, DATA.replace("0.001", "0.1")).toPandas()
+    got = QUERIES["v_batch_topk"](spark, DATA.replace("0.001", "0.1")).toPandas()
     ids = spark.read.parquet(DATA.replace("0.001", "0.1") + "/embeddings.parquet").where("vec_id % 100 = 0").count()
     assert got["query_id"].nunique() == ids and len(got) == 5 * ids
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{DATA.replace('0.001', '0.1')}/embeddings.parquet')")
-    expected = con.execute(ORACLE_SQL["v_hundredth_topk"]).df()
+    expected = con.execute(ORACLE_SQL["v_batch_topk"]).df()
     assert sorted(map(str, got[expected.columns].values.tolist())) == sorted(map(str, expected.values.tolist()))
 
 
+def test_the_approximate_index_finds_nine_in_ten(spark):
+    # SQL says that recall is reached; here on the larger table
+    assert QUERIES["v_approximate_recall"](spark, DATA.replace("0.001", "0.1")).first()["recall_reached"]
+
+
 def test_all_queries_have_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
 
