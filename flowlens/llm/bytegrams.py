@@ -7,29 +7,47 @@ import numpy as np
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def slices(bodies: list[bytes], depth: int, pad: int, most: int = 1 << 18):
+    """grams() in order, of up to `most` bytes at a time, however long a body is."""
+    gap = bytes([pad]) * depth
+    s = np.frombuffer(gap + gap.join(bodies) + gap, dtype=np.uint8)
+    ends = depth - 1 + np.cumsum(np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies)) + depth)
+    wanted = np.ones(len(s), dtype=bool)
+    wanted[(ends[:, None] - np.arange(depth - 1)).ravel()] = False
+    for a in range(depth, len(s), most):
+        part = s[a - depth : a + most].astype(np.uint64)
+        code = part[depth:].copy()
+        for d in range(1, depth + 1):
+            code |= part[depth - d : len(part) - d] << np.uint64(8 * (depth - d + 1))
+        yield code[wanted[a : a + most]]
+
+
 def grams(bodies: list[bytes], depth: int, pad: int) -> tuple[np.ndarray, np.ndarray]:
     """Grams of every byte of each body and of one `pad` byte that ends it, body by body; and each body's number of them.
 
     A gram holds the `depth` bytes before, the latest in the highest place, then the byte itself in the lowest. Before
     a body stand `depth` pad bytes.
     """
-    gap = bytes([pad]) * depth
-    s = np.frombuffer(gap + gap.join(bodies) + gap, dtype=np.uint8)
     sizes = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies)) + 1
-    code = s.astype(np.uint64)
-    for d in range(1, depth + 1):
-        code[d:] |= s[:-d].astype(np.uint64) << np.uint64(8 * (depth - d + 1))
-    at = np.arange(sizes.sum()) + np.repeat(depth + np.arange(len(bodies)) * (depth - 1), sizes)
-    return code[at], sizes
-
-
-def merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Sum the counts of equal grams: parts are (grams, counts, ...)."""
-    code = np.concatenate([p[0] for p in parts])
-    order = np.argsort(code, kind="stable")
-    code = code[order]
-    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.empty(0, dtype=np.int64)
-    return code[starts], *(np.add.reduceat(np.concatenate([p[k] for p in parts])[order], starts) if len(code) else np.empty(0, dtype=np.int64) for k in range(1, len(parts[0])))
+    return np.concatenate([*slices(bodies, depth, pad), np.empty(0, dtype=np.uint64)]), sizes
+
+
+def merge(parts: list[tuple[np.ndarray, np.ndarray]], most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Sum the counts of equal keys: parts are (sorted distinct keys, counts). About `most` rows are put together at a time."""
+    if len(parts) == 1:
+        return parts[0]
+    longest = max((k for k, _ in parts), key=len)
+    n = 1 + sum(len(k) for k, _ in parts) // most
+    bounds = longest[np.arange(1, n) * len(longest) // n]
+    cuts = [np.r_[0, np.searchsorted(k, bounds), len(k)] for k, _ in parts]
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for i in range(n):
+        keys, counts = (np.concatenate([p[c][at[i] : at[i + 1]] for p, at in zip(parts, cuts, strict=True)]) for c in (0, 1))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, dtype=np.int64)
+        out.append((keys[starts], np.add.reduceat(counts[order], starts) if len(keys) else counts))
+    return np.concatenate([k for k, _ in out]), np.concatenate([c for _, c in out])
 
 
 class Lookup:

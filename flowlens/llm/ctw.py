@@ -13,8 +13,8 @@ executors, as many as BROADCAST; texts are joined with those of the others, gram
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import partial
+from itertools import pairwise
 from math import log, log2
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytegrams import Lookup, grams, log_gamma, merge
+from .bytegrams import Lookup, log_gamma, merge, slices
 from .common import blank, settle, small_batches, width
 
 #: Bytes of context, and those whose nodes are summed over all partitions.
@@ -35,33 +35,22 @@ FREQUENT = 1 << 21
 END = b"\n"
 #: Rows of the three kinds that are joined: grams, words, and texts themselves, which meet nothing.
 GRAM, WORD, TEXT = 0, 1, 2
-_FLUSH, _KEPT, _BODY = 4_000_000, 400_000, 2_000_000
+_FLUSH, _BODY = 3_000_000, 2_000_000
 _STEPS = 64  # classes of counts in a power of two
-_words: dict[bytes, int] = {}
 _models: dict[str, tuple] = {}
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words between white space, A-Z in lower case."""
-    return text.encode().lower().split()
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    if len(_words) > _KEPT:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words)).view(np.int64)
+def body(text: str) -> bytes:
+    """Words between white space, A-Z in lower case, with a space between two."""
+    return b" ".join(text.encode().lower().split())
 
 
 def _runs(texts: list[str], most: int = _BODY):
-    """Tokens of texts, a bounded number of characters at a time."""
+    """Bodies of texts, a bounded number of bytes at a time or one text."""
     held, size = [], 0
     for t in texts:
-        held.append(tokens(t))
-        size += len(t)
+        held.append(body(t))
+        size += len(held[-1])
         if size > most:
             yield held
             held, size = [], 0
@@ -69,6 +58,29 @@ def _runs(texts: list[str], most: int = _BODY):
         yield held
 
 
+def _vocabulary(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the different words, END first; the place there of each token of the bodies, one END behind each; tokens of each body."""
+    import xxhash
+
+    s = np.frombuffer(END.join([*bodies, b""]), dtype=np.uint8)
+    stop = (s == END[0]) | (s == 0x20)
+    at = np.flatnonzero(stop)
+    ending, lengths = s[at] == END[0], np.diff(at, prepend=-1) - 1
+    ends = np.r_[0, np.cumsum(lengths[lengths > 0])]
+    # one array of all words, over the bytes themselves
+    words = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(s[~stop])]).dictionary_encode()
+    _, cuts, found = words.dictionary.buffers()
+    cuts, found = np.frombuffer(cuts, dtype=np.int64)[: len(words.dictionary) + 1].tolist(), found.to_pybytes()
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in (END, *(found[a:b] for a, b in pairwise(cuts)))], dtype=np.uint64).view(np.int64)
+    # a stop ends a word, but for the END of an empty body; behind a body's last word its END follows
+    word = np.ones(np.count_nonzero(lengths > 0) + len(bodies), dtype=bool)
+    sizes = np.diff(np.flatnonzero(ending), prepend=-1) - (lengths[ending] == 0) + 1
+    word[np.cumsum(sizes) - 1] = False
+    place = np.zeros(len(word), dtype=np.int64)
+    place[word] = words.indices.to_numpy(zero_copy_only=False) + 1
+    return hashes, place, sizes
+
+
 def _counted(kind: int, learnt: bool, keys: np.ndarray, counts: np.ndarray):
     names = ["kind", "key", "learnt", "met"]
     for at in range(0, len(keys), 50_000):
@@ -77,18 +89,15 @@ def _counted(kind: int, learnt: bool, keys: np.ndarray, counts: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, dtype=np.int8)), pa.array(keys[at : at + n].view(np.int64)), pa.array(met if learnt else np.zeros(n, dtype=np.int64)), pa.array(met)], names=names)
 
 
-class _Grams:
-    """Counts of grams of the texts that are learnt from, or of the others."""
+class _Sums:
+    """Counts by key, summed in parts and given out when they are many."""
 
-    def __init__(self, learnt: bool):
-        self.learnt, self.parts, self.held = learnt, [], 0
+    def __init__(self, kind: int, learnt: bool):
+        self.kind, self.learnt, self.parts, self.held = kind, learnt, [], 0
 
-    def add(self, found: list[list[bytes]]):
-        code, _ = grams([b" ".join(w) for w in found], DEPTH, END[0])
-        code.sort()
-        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-        self.parts.append((code[starts], np.diff(np.r_[starts, len(code)])))
-        self.held += len(starts)
+    def add(self, keys: np.ndarray, counts: np.ndarray):
+        self.parts.append((keys, counts))
+        self.held += len(keys)
         if self.held > _FLUSH:
             self.parts = [merge(self.parts)]
             self.held = len(self.parts[0][0])
@@ -97,33 +106,26 @@ class _Grams:
 
     def out(self):
         if self.parts:
-            yield from _counted(GRAM, self.learnt, *merge(self.parts))
+            yield from _counted(self.kind, self.learnt, *merge(self.parts))
         self.parts, self.held = [], 0
 
 
 def _count(batches):
-    import xxhash
-
-    def counted(words: Counter):
-        keys = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
-        return _counted(WORD, True, keys, np.fromiter(words.values(), dtype=np.int64, count=len(words)))
-
-    sides, words = {True: _Grams(True), False: _Grams(False)}, Counter()
+    sides, words = {y: _Sums(GRAM, y) for y in (True, False)}, _Sums(WORD, True)
     for batch in batches:
         for learnt, side in sides.items():
             texts = [t for t, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if held != learnt]
-            for found in _runs(texts):
+            for bodies in _runs(texts):
                 if learnt:
-                    words[END] += len(found)
-                    for w in found:
-                        words.update(w)
-                yield from side.add(found)
-                if len(words) > 2 * _KEPT:
-                    yield from counted(words)
-                    words = Counter()
-    for side in sides.values():
+                    hashes, place, _ = _vocabulary(bodies)
+                    hashes, order = hashes.view(np.uint64), np.argsort(hashes.view(np.uint64))
+                    yield from words.add(hashes[order], np.bincount(place)[order])
+                for code in slices(bodies, DEPTH, END[0], _BODY):
+                    code.sort()
+                    starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+                    yield from side.add(code[starts], np.diff(np.r_[starts, len(code)]))
+    for side in (*sides.values(), words):
         yield from side.out()
-    yield from counted(words)
 
 
 def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -289,21 +291,25 @@ def _score(batches, shared, name: str):
     empty = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
     for batch in batches:
         ids, docs, done = batch.column(0).to_pylist(), batch.column(1), 0
-        for found in _runs(batch.column(2).to_pylist()):
-            code, sizes = grams([b" ".join(w) for w in found], DEPTH, END[0])
-            values = lookup(code).astype(np.float64)
+        for bodies in _runs(batch.column(2).to_pylist()):
+            sizes = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies)) + 1
+            values, missing, at = np.empty(sizes.sum(), dtype=np.float32), [], 0
+            for code in slices(bodies, DEPTH, END[0]):
+                found = values[at : at + len(code)] = lookup(code)
+                missing.append(code[np.isnan(found)].view(np.int64))
+                at += len(code)
             missed = np.isnan(values)
-            bits = np.add.reduceat(np.where(missed, 0.0, values), np.r_[0, np.cumsum(sizes)[:-1]])
-            lengths = np.array([len(w) + 1 for w in found])
-            h = _hashes([x for w in found for x in (*w, END)])
-            at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-            known = keys[at] == h if len(keys) else np.zeros(len(h), dtype=bool)
+            bits = np.add.reduceat(np.where(missed, 0.0, values.astype(np.float64)), np.r_[0, np.cumsum(sizes)[:-1]])
+            hashes, place, lengths = _vocabulary(bodies)
+            at = np.minimum(np.searchsorted(keys, hashes), max(0, len(keys) - 1))
+            known = keys[at] == hashes if len(keys) else np.zeros(len(hashes), dtype=bool)
             starts = np.r_[0, np.cumsum(lengths)[:-1]]
-            base = np.add.reduceat(np.where(known, logs[at], 0.0), starts)
-            n_known = np.add.reduceat(known.astype(np.int64), starts)
-            rows, n = np.array(ids[done : done + len(found)], dtype=np.int64), len(found)
+            base = np.add.reduceat(np.where(known, logs[at], 0.0)[place], starts)
+            n_known = np.add.reduceat(known.astype(np.int64)[place], starts)
+            new, n = ~known[place], len(bodies)
+            rows = np.array(ids[done : done + n], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.full(n, TEXT, dtype=np.int8)), pa.array(rows * 0x5851F42D4C957F2D + 1), pa.array(np.zeros(n, dtype=np.int64)), docs.slice(done, n), pa.array(lengths), pa.array(n_known), pa.array(base), pa.array(bits), pa.array(sizes)], names=names)
-            for kind, owners, rare in ((GRAM, np.repeat(rows, sizes)[missed], code[missed].view(np.int64)), (WORD, np.repeat(rows, lengths)[~known], h[~known])):
+            for kind, owners, rare in ((GRAM, np.repeat(rows, sizes)[missed], np.concatenate(missing)), (WORD, np.repeat(rows, lengths)[new], hashes[place[new]])):
                 owner, key, tf = _firsts(owners, rare)
                 for a in range(0, len(owner), 50_000):
                     k = len(owner[a : a + 50_000])
