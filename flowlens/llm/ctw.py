@@ -14,7 +14,7 @@ executors, as many as BROADCAST; texts are joined with those of the others, gram
 from __future__ import annotations
 
 from functools import partial
-from itertools import pairwise
+from itertools import batched, pairwise
 from math import log, log2
 
 import numpy as np
@@ -120,7 +120,8 @@ def _count(batches):
                     hashes, place, _ = _vocabulary(bodies)
                     hashes, order = hashes.view(np.uint64), np.argsort(hashes.view(np.uint64))
                     yield from words.add(hashes[order], np.bincount(place)[order])
-                for code in slices(bodies, DEPTH, END[0], _BODY):
+                for some in batched(slices(bodies, DEPTH, END[0]), 8):
+                    code = np.concatenate(some)
                     code.sort()
                     starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
                     yield from side.add(code[starts], np.diff(np.r_[starts, len(code)]))
