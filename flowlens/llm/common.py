@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,11 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
+#: Seconds that pass at least between two collections of the driver's garbage.
+SWEEP = 5.0
+_swept = 0.0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,9 +44,19 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors, compresses."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    sweep(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let go of what finished queries hold: Spark drops their broadcasts, shuffle files and generated classes only when the driver's garbage is collected, by itself every half an hour."""
+    global _swept
+    if time.monotonic() - _swept > SWEEP:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _swept = time.monotonic()
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Keep Arrow batches of whole texts small; a smaller setting of the user's stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
