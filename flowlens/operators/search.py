@@ -1,15 +1,13 @@
-"""Nearest vectors by cosine: exact for one query or many, and approximate with an exact last step."""
+"""Nearest vectors by cosine among all rows, for one query or many; `vector_index` has the search of a stored index."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, dot, unit
+from ..functions.vectors import cosine
 
 FILTERS = frozenset({"repo_id", "graph_id"})
 
@@ -69,31 +67,3 @@ def batch_top_k(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: s
     best = met.mapInPandas(lambda frames: _block(frames, k, [query_key, key, "score"]), kinds)
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-#: Rows that the cells of the approximate index are fitted on, at most; cells, and how many of them a query looks into.
-SAMPLE, CELLS, PROBES = 20_000, 64, 24
-
-
-def approximate_top_k(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str, query_key: str, query_vector: str, cells: int = CELLS, probes: int = PROBES) -> DataFrame:
-    """batch_top_k() over the rows in the `probes` cells nearest to each query; some of the nearest may be missed.
-
-    Cells are the centres of k-means on up to SAMPLE rows, those least by hash of `key`; every row goes to its nearest
-    cell. Scores are exact, ranks are among the rows looked at.
-    """
-    units = rows.select(F.col(key).alias("_k"), unit(vector).alias("_w"), F.col(vector).alias("_raw"))
-    drawn = units.orderBy(F.xxhash64("_k"), "_k").limit(SAMPLE).select(array_to_vector("_w").alias("_f"))
-    if drawn.isEmpty():
-        centres = []
-    else:
-        fitted = KMeans(k=max(2, cells), featuresCol="_f", seed=1, maxIter=10).fit(drawn)
-        centres = [[float(x) for x in c] for c in fitted.clusterCenters()]
-    # `cells` vectors, a literal
-    near = F.array(*[F.struct(dot("_w", F.array(*[F.lit(x) for x in c])).alias("s"), F.lit(i).alias("c")) for i, c in enumerate(centres)]) if centres else F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("c")))
-    best = F.sort_array(near, asc=False)
-    placed = units.select("_k", "_raw", F.element_at(best, 1)["c"].alias("_cell"))
-    asked = queries.select(F.col(query_key).alias("_q"), F.col(query_vector).alias("_v"), unit(query_vector).alias("_w"))
-    asked = asked.select("_q", "_v", F.explode(F.transform(F.slice(best, 1, probes), lambda x: x["c"])).alias("_cell"))
-    scored = asked.join(placed, "_cell").select("_q", "_k", cosine("_raw", "_v").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "_k"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("_q").alias(query_key), F.col("_k").alias(key), "score", "rank")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from ..api import Engine
 from ..functions import ids, vectors
 from ..operators import embed, graphops, search
 from ..operators.assemble import assemble
+from ..operators.vector_index import VectorIndex
 from ..sources.scan import facts
 from ..sources.store import Store, nested
 from . import render
@@ -451,15 +453,37 @@ def v_dimension_check(spark, sf_dir):
     return spark.createDataFrame(out, "asked string, answer string")
 
 
-@query("SELECT count(*) AS n_queries, true AS recall_reached FROM embeddings WHERE vec_id % 100 = 0")
+def _index_of_vectors(spark, rows: DataFrame) -> VectorIndex:
+    index = VectorIndex(spark, f"{shared_dir(spark)}/flowlens/{uuid.uuid4().hex}/vectors")
+    index.build(rows, "vec_id", "embedding")
+    return index
+
+
+def _hundredth(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0),
+  s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) AS x FROM q, embeddings),
+  k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, round(x, 6) AS score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 10""")
+def v_index_topk(spark, sf_dir):
+    """Ten nearest of every hundredth vector from the stored index."""
+    rows = _t(spark, sf_dir, "embeddings")
+    return _index_of_vectors(spark, rows).search(_hundredth(rows), 10, "query_id", "v", "vec_id").withColumn("score", F.round("score", 6))
+
+
+@query("SELECT count(*) AS n_queries, true AS recall_reached, true AS few_read FROM embeddings WHERE vec_id % 100 = 0")
 def v_approximate_recall(spark, sf_dir):
-    """Ten nearest of every hundredth vector from the index, against all vectors; SQL knows that 0.9 of them are asked for."""
+    """The index's ten nearest of every hundredth vector against those of all vectors; SQL knows that 0.9 of them are asked for, from under a fifth of the vectors."""
     rows = _t(spark, sf_dir, "embeddings")
-    asked = rows.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    asked, index = _hundredth(rows), _index_of_vectors(spark, rows)
     exact = search.batch_top_k(rows, asked, 10, "vec_id", "embedding", "query_id", "v").select("query_id", "vec_id")
-    near = search.approximate_top_k(rows, asked, 10, "vec_id", "embedding", "query_id", "v").select("query_id", "vec_id", F.lit(1).alias("hit"))
-    both = exact.join(near, ["query_id", "vec_id"], "left")
-    return both.agg(F.count_distinct("query_id").alias("n_queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("recall_reached"))
+    near = index.search(asked, 10, "query_id", "v", "vec_id").select("query_id", "vec_id", F.lit(1).alias("hit"))
+    both = exact.join(near, ["query_id", "vec_id"], "left").agg(F.count_distinct("query_id").alias("n_queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("recall_reached"))
+    read = index.candidates(asked.select(F.col("query_id").alias("_q"), F.col("v").alias("_v")), 10).agg(F.count(F.lit(1)).alias("_read"))
+    pairs = rows.agg(F.count(F.lit(1)).alias("_all"))
+    return both.crossJoin(read).crossJoin(pairs).select("n_queries", "recall_reached", (F.col("_read") * 5 < F.col("_all") * F.col("n_queries")).alias("few_read"))
 
 
 # ---- the store

@@ -63,9 +63,6 @@ def test_search(spark):
     got = [(r["chunk_id"], round(r["score"], 5)) for r in search.top_k(rows, [2.0, 0.0], 5).collect()]
     assert got == [("a", 1.0), ("c", 0.70711), ("b", 0.0)]
     assert [r["chunk_id"] for r in search.top_k(rows, [2.0, 0.0], 5, filters={"graph_id": "h"}).collect()] == ["c"]
-    asked = spark.createDataFrame([(1, [2.0, 0.0])], "q long, v array<float>")
-    assert [r["chunk_id"] for r in search.approximate_top_k(rows, asked, 1, "chunk_id", "vector", "q", "v").collect()] == ["a"]
-    assert search.approximate_top_k(rows.where("false"), asked, 1, "chunk_id", "vector", "q", "v").count() == 0
     for bad in (0, -1, True, 2.5, None):
         with pytest.raises(ValueError, match="top_k must be >= 1"):
             search.top_k(rows, [1.0, 0.0], bad)
