@@ -20,8 +20,9 @@ from .operators.embed import HashingProvider, Provider, chunks
 from .plans.scratch import keep
 from .schemas import END, PARTIAL, START
 from .sources.paths import guard
-from .sources.scan import facts, read_tree
+from .sources.scan import facts
 from .sources.store import Repository, Store
+from .sources.tree import read_tree
 
 #: What an answer suggests where there is no index (a fixed value).
 INDEX_FIRST = "call index_repo first"

@@ -1,4 +1,4 @@
-"""Which files of a tree are read: the path guard, ignore patterns, and containment in the root."""
+"""Which paths are read: the path guard, pruned folders, and ignore patterns."""
 
 from __future__ import annotations
 
@@ -9,7 +9,12 @@ from fnmatch import translate
 from pathlib import Path
 
 #: Folders that are never part of a repository's own source (fixed values).
-PRUNED = frozenset(".git .hg .svn .venv venv env __pycache__ node_modules .flowlens .mypy_cache .pytest_cache .ruff_cache .tox build dist .eggs .idea .vscode".split())
+PRUNED = frozenset({
+    ".git", ".hg", ".svn", ".venv", "venv", "env", "__pycache__", "node_modules", ".flowlens", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox",
+    "build", "dist", ".eggs", ".idea", ".vscode",
+})
+#: Those of them that are not even listed; imports may lead into the others.
+UNREAD = frozenset({".git", ".hg", ".svn", "node_modules", "__pycache__", ".flowlens"})
 
 
 def guard(path: str | Path | None) -> Path:
@@ -41,36 +46,6 @@ class Ignore:
                 rules.append((re.compile("(?!)") if anchored else re.compile(translate(glob)), whole, folder))
         return cls(tuple(rules))
 
-    @classmethod
-    def of(cls, root: Path) -> Ignore:
-        try:
-            return cls.parse((root / ".gitignore").read_text(encoding="utf-8"))
-        except (OSError, UnicodeDecodeError):
-            return cls()
-
     def hides(self, relative: str, is_folder: bool) -> bool:
         name = relative.rpartition("/")[2]
         return any((is_folder or not folder) and bool(base.match(name) or (whole and whole.match(relative))) for base, whole, folder in self.rules)
-
-
-def source_files(root: Path) -> list[tuple[str, bool]]:
-    """(path relative to `root`, whether it is ignored) of every .py file inside, in order.
-
-    Links to folders are not followed, files whose real place is outside are left out. Ignored files are listed, as
-    imports may lead to them, but for those in folders of version control and installed packages.
-    """
-    ignore, found = Ignore.of(root), []
-    unread = {".git", ".hg", ".svn", "node_modules", "__pycache__", ".flowlens"}
-    hidden = {"": False}
-    for folder, names, files in os.walk(root):
-        rel = Path(folder).relative_to(root).as_posix()
-        rel = "" if rel == "." else rel
-        names[:] = sorted(n for n in names if n not in unread)
-        for n in names:
-            path = f"{rel}/{n}" if rel else n
-            hidden[path] = hidden[rel] or n in PRUNED or n.endswith(".egg-info") or ignore.hides(path, True)
-        for n in sorted(f for f in files if f.endswith(".py")):
-            path = f"{rel}/{n}" if rel else n
-            if (Path(folder) / n).resolve().is_relative_to(root):
-                found.append((path, hidden[rel] or ignore.hides(path, False)))
-    return found

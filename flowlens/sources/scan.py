@@ -1,19 +1,15 @@
-"""Source trees and tables of source text, to file facts."""
+"""Tables of source text to file facts."""
 
 from __future__ import annotations
 
-import re
-from pathlib import Path
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..schemas import FILE_DDL
 from .kernel import parse
-from .paths import guard, source_files
 
 
 def facts(files: DataFrame) -> DataFrame:
@@ -32,18 +28,3 @@ def facts(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([{"repo_id": r, "path": p, "is_ignored": i} | parse(c) for r, p, i, c in zip(repos, paths, flags, contents, strict=True)], schema=schema)
 
     return rows.mapInArrow(work, FILE_DDL)
-
-
-def read_tree(spark: SparkSession, root: str | Path) -> DataFrame:
-    """(repo_id, path, content, is_ignored) of the .py files under `root`; contents are read by executors."""
-    place = guard(root)
-    listed = source_files(place)
-    repo = place.as_posix()
-    if not listed:
-        return spark.createDataFrame([], "repo_id string, path string, content binary, is_ignored boolean")
-    names = spark.createDataFrame([(p, i) for p, i in listed], "path string, is_ignored boolean")
-    globbed = [re.sub(r"([\[\]{}*?\\])", r"\\\1", str(place / p)) for p, _ in listed]
-    read = spark.read.format("binaryFile").load([f"file://{g}" for g in globbed])
-    whole = F.regexp_replace("path", r"^file:/+", "/")
-    relative = F.substring(whole, len(repo.rstrip("/")) + 2, 1 << 20)
-    return read.select(relative.alias("path"), "content").join(names, "path").select(F.lit(repo).alias("repo_id"), "path", "content", "is_ignored")

@@ -17,7 +17,8 @@ def watch(spark: SparkSession, folder: str, checkpoint: str, on_facts: Callable[
     """Hand the facts of new .py files in `folder` to `on_facts`, batch by batch, each file once.
 
     Progress is kept in `checkpoint`; a batch that failed is given again with the same number, so `on_facts` should
-    write by it. With `once` the query ends when all files there are have been read.
+    write by it. With `once` the query ends when all files there are have been read. Spark's file streams leave out files
+    whose names begin with `_`; an index of a whole tree has them.
     """
     files = spark.readStream.format("binaryFile").schema(SOURCE).option("pathGlobFilter", "*.py").option("recursiveFileLookup", "true").load(folder)
     named = files.select(F.lit(repo_id or folder).alias("repo_id"), F.regexp_replace("path", r"^file:/+", "/").alias("path"), "content")

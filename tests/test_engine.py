@@ -12,8 +12,9 @@ from flowlens.cli import main
 from flowlens.operators import embed, graphops, search
 from flowlens.schemas import TABLES
 from flowlens.server import serve
-from flowlens.sources.paths import Ignore, guard, source_files
+from flowlens.sources.paths import Ignore, guard
 from flowlens.sources.store import Store
+from flowlens.sources.tree import Tree, list_tree, read_tree
 
 E = "repo_id string, graph_id string, source string, target string, edge_ord long, edge_id string, type string, condition_function_name string"
 
@@ -101,16 +102,31 @@ def test_paths_that_are_refused(path):
         guard(path)
 
 
-def test_which_files_are_read(tmp_path):
-    for p in ("a.py", "pkg/b.py", "pkg/gen/c.py", "build/d.py", ".git/e.py", "x.egg-info/f.py", "keep/g.py", "t.txt", "keep/skip_me.py"):
-        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / p).write_text("")
-    outside = tmp_path.parent / f"{tmp_path.name}-outside.py"
+@pytest.mark.parametrize("entries", [1, 3, 10_000])
+def test_which_files_are_read(spark, tmp_path, entries):
+    for p in ("a.py", "pkg/__init__.py", "pkg/_b.py", "_own/c.py", ".d.py", "pkg/gen/c.py", "build/d.py", ".git/e.py", "x.egg-info/f.py", "keep/g=1.py", "t.txt", "keep/skip_me.py", "pkg/deep/er/still/h [x].py"):
+        (tmp_path / "r" / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r" / p).write_text(p)
+    root, outside = tmp_path / "r", tmp_path / "outside.py"
     outside.write_text("")
-    (tmp_path / "link.py").symlink_to(outside)
-    (tmp_path / ".gitignore").write_text("# note\n!a.py\n/pkg/gen/\nskip_*\n")
-    got = dict(source_files(tmp_path))
-    assert got == {"a.py": False, "pkg/b.py": False, "pkg/gen/c.py": True, "build/d.py": True, "x.egg-info/f.py": True, "keep/g.py": False, "keep/skip_me.py": True}
+    (root / "link.py").symlink_to(outside)
+    (root / "inner.py").symlink_to(root / "a.py")
+    (root / "linked").symlink_to(root / "pkg")
+    (root / "round").symlink_to(root)
+    (root / ".gitignore").write_text("# note\n!a.py\n/pkg/gen/\nskip_*\n")
+    expected = {"a.py": False, "pkg/__init__.py": False, "pkg/_b.py": False, "_own/c.py": False, ".d.py": False, "pkg/gen/c.py": True, "build/d.py": True, "x.egg-info/f.py": True, "keep/g=1.py": False, "keep/skip_me.py": True, "pkg/deep/er/still/h [x].py": False, "inner.py": False}
+    for place in (root, f"file://{root}"):
+        rows = list_tree(spark, Tree.of(place), entries).collect()
+        assert {r["path"]: r["is_ignored"] for r in rows} == expected and len(rows) == len(expected)
+    if entries > 3:
+        read = {r["path"]: (bytes(r["content"]).decode(), r["is_ignored"], r["repo_id"]) for r in read_tree(spark, root).collect()}
+        assert read == {p: ("a.py" if p == "inner.py" else p, i, root.as_posix()) for p, i in expected.items()}
+        assert {r["repo_id"] for r in read_tree(spark, f"file://{root}").collect()} == {f"file://{root}"}
+        (tmp_path / "none").mkdir()
+        assert read_tree(spark, tmp_path / "none").collect() == []
+
+
+def test_ignore_patterns():
     rules = Ignore.parse("*.tmp\n/top\nfolder/\na/*.py")
     assert rules.hides("x/y.tmp", False) and rules.hides("top", True) and rules.hides("top/z", False) and not rules.hides("x/top", True)
     assert rules.hides("x/folder", True) and not rules.hides("x/folder", False) and rules.hides("a/b/c.py", False)
