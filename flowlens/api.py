@@ -6,6 +6,7 @@ error code; codes and texts of answers are fixed values that clients may branch
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable
 from functools import wraps
@@ -15,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import graphops
-from .operators.assemble import assemble
+from .operators.assemble import Index, assemble
 from .operators.embed import HashingProvider, Provider, chunks
+from .operators.refresh import difference
 from .plans.scratch import keep
 from .schemas import END, PARTIAL, START
 from .sources.paths import guard
@@ -24,8 +26,9 @@ from .sources.scan import facts
 from .sources.store import Repository, Store
 from .sources.tree import read_tree
 
+log = logging.getLogger("flowlens")
 #: What an answer suggests where there is no index (a fixed value).
-INDEX_FIRST = "call index_repo first"
+ADVICE = "call index_repo first"
 NOTE = "A destination without a condition_value was listed, not mapped: say that it is routed to, not what the router returns."
 NOT_RESOLVABLE = "Whether this node branches is unknown: its function was not found, or it computes where to go. This is not the same as having no branch."
 
@@ -75,7 +78,7 @@ class Engine:
         store, repo = self._store(root), root.as_posix()
         info = store.get_repository(repo)
         if info is None:
-            raise _Answer({"error": "not_indexed", "path": repo, "suggestion": INDEX_FIRST})
+            raise _Answer({"error": "not_indexed", "path": repo, "suggestion": ADVICE})
         return store, repo, info
 
     def _names(self, nodes: DataFrame) -> list[str]:
@@ -94,19 +97,39 @@ class Engine:
         parsed = facts(read_tree(self.spark, root)).persist()
         try:
             index = assemble(parsed)
-            tables = {n: getattr(index, n) for n in ("graphs", "nodes", "edges", "routes", "tool_bindings")}
-            tables["nodes"] = tables["nodes"].persist()
-            tables["chunks"] = chunks(tables["nodes"], parsed, self.provider)
+            nodes = index.nodes.persist()
+            tables = self._tables(index, nodes, parsed) | {"files": parsed}
             store.replace(repo, repo, tables, self.provider.name, self.provider.dimension)
-            tables["nodes"].unpersist()
+            nodes.unpersist()
         finally:
             parsed.unpersist()
+        return self._indexed(store, repo, began)
+
+    def _tables(self, index: Index, nodes: DataFrame, parsed: DataFrame) -> dict[str, DataFrame]:
+        return {n: getattr(index, n) for n in ("graphs", "edges", "routes", "tool_bindings")} | {"nodes": nodes, "chunks": chunks(nodes, parsed, self.provider)}
+
+    def _indexed(self, store: Store, repo: str, began: float) -> dict:
         counts = {n: store.table(repo, n).count() for n in ("graphs", "nodes", "edges")}
         partial = store.table(repo, "nodes").where(F.col("resolution") == PARTIAL).count()
         return {"graphs_found": counts["graphs"], "nodes_indexed": counts["nodes"], "edges_indexed": counts["edges"], "partial_nodes": partial, "backend": "parquet", "duration_ms": int(1000 * (time.monotonic() - began))}
 
+    @_enveloped
     def reindex(self, path) -> dict:
-        return self.index_repo(path)
+        """index_repo() by difference: only files that changed since are parsed, and only graphs that they may touch assembled and embedded."""
+        began, root = time.monotonic(), self._root(path)
+        repo, store = root.as_posix(), self._store(root)
+        try:
+            info = store.get_repository(repo)
+            known = info is not None and (info.embedding_model, info.dimension) == (self.provider.name, self.provider.dimension) and store.has_files(repo)
+        except ValueError:  # a damaged index is made anew
+            known = False
+        if not known:
+            return self.index_repo(path)
+        found = difference(store.table(repo, "files"), read_tree(self.spark, root))
+        nodes = keep("nodes", found.index.nodes)
+        store.refresh(repo, found.stale, self._tables(found.index, nodes, found.scope) | {"files": found.files})
+        log.info("reindexed %s: %d files parsed, graphs of %d files assembled", repo, found.parsed.count(), found.stale.count())
+        return self._indexed(store, repo, began)
 
     @_enveloped
     def repository_status(self, path) -> dict:
@@ -114,7 +137,7 @@ class Engine:
         repo, store = root.as_posix(), self._store(root)
         info = store.get_repository(repo)
         if info is None:
-            return {"indexed": False, "path": repo, "suggestion": INDEX_FIRST}
+            return {"indexed": False, "path": repo, "suggestion": ADVICE}
         counts = {f"{n[:-1]}_count": store.table(repo, n).count() for n in ("graphs", "nodes", "edges")}
         return {"indexed": True, "path": repo, **counts, "last_indexed_at": info.last_indexed_at, "backend": info.backend_type, "embedding_model": info.embedding_model}
 

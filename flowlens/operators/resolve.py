@@ -33,6 +33,12 @@ def candidate_files():
     return F.when(base.isNull() | (bare & (F.col("level") == 0)), none).when(bare, F.array(package)).otherwise(F.array(F.concat(target, F.lit(".py")), F.concat(target, F.lit("/__init__.py"))))
 
 
+def links(parsed: DataFrame) -> DataFrame:
+    """(repo_id, path, to): the files that imports of each file may mean, whether they exist or not."""
+    imports = parsed.select("repo_id", "path", F.explode("imports").alias("_f")).select("repo_id", "path", "_f.*")
+    return from_imports(imports).select("repo_id", "path", F.explode(candidate_files()).alias("to")).distinct()
+
+
 def resolve(nodes: DataFrame, registered: DataFrame, functions: DataFrame, imports: DataFrame, parsed: DataFrame) -> DataFrame:
     """Bodies for partial nodes whose function's name is imported: repo_id, graph_id, node_id, name, ord and the function's facts.
 

@@ -13,6 +13,7 @@ from ..api import Engine
 from ..functions import ids, vectors
 from ..operators import embed, graphops, search
 from ..operators.assemble import assemble
+from ..operators.refresh import difference
 from ..operators.vector_index import VectorIndex
 from ..sources.scan import facts
 from ..sources.store import Store, nested
@@ -141,6 +142,28 @@ def rt_cross_file(spark, sf_dir):
     return _index(render.imported(_t(spark, sf_dir, "nation"))).nodes.select("graph_id", "resolution", "source_file", "docstring")
 
 
+@query(_CHAIN + """, changed AS (SELECT DISTINCT c FROM o WHERE c % 10 = 0 AND k % 2 = 0)
+SELECT 'c' || o.c || '.py::g' AS graph_id, n AS name, CASE WHEN k % 2 = 0 THEN 'full' ELSE 'partial' END AS resolution, NULL::VARCHAR AS docstring, changed.c IS NOT NULL AS assembled_anew FROM o LEFT JOIN changed ON changed.c = o.c
+UNION ALL SELECT 'n' || n_nationkey || '.py::g', 'n', CASE WHEN n_nationkey % 5 <= 2 THEN 'full' ELSE 'partial' END, CASE WHEN n_nationkey % 5 <= 2 THEN 'Nation.' END,
+  (n_nationkey % 2 = 0 OR n_nationkey % 3 = 0) AND n_nationkey % 5 <= 2 FROM nation""")
+def rt_refresh(spark, sf_dir):
+    """An index of earlier modules brought up to date: every tenth customer had no orders with even keys, of nations some functions were others or did not exist."""
+    orders, nations = _t(spark, sf_dir, "orders"), render.imported(_t(spark, sf_dir, "nation"))
+    number = F.regexp_extract("path", "([0-9]+)", 1).cast("int")
+    defined = F.col("content").contains("Nation.")
+    other = F.when(defined & (number % 2 == 0), F.regexp_replace("content", "Nation", "Other")).otherwise(F.col("content"))
+    before = render.chains(orders.where("not (o_custkey % 10 = 0 and o_orderkey % 2 = 0)")).unionByName(nations.where(~(defined & (number % 3 == 0))).withColumn("content", other))
+    gone = render.aliased(_t(spark, sf_dir, "nation"))
+    old = keep("facts", facts(before.unionByName(gone)))
+    store, repo, first = _store(spark), f"refresh:{sf_dir}", assemble(old)
+    parts = ("graphs", "nodes", "edges", "routes", "tool_bindings")
+    store.replace(repo, "/r", {n: getattr(first, n) for n in parts} | {"files": old}, "m", 16)
+    found = difference(store.table(repo, "files"), render.chains(orders).unionByName(nations).withColumns({"repo_id": F.lit("rendered"), "is_ignored": F.lit(False)}))
+    store.refresh(repo, found.stale, {n: getattr(found.index, n) for n in parts} | {"files": found.files})
+    graphs = store.table(repo, "graphs").join(found.stale.select(F.col("path").alias("file_path"), F.lit(True).alias("_s")), "file_path", "left").select("graph_id", F.col("_s").isNotNull().alias("assembled_anew"))
+    return store.table(repo, "nodes").join(graphs, "graph_id").select("graph_id", "name", "resolution", "docstring", "assembled_anew")
+
+
 @query(_CHAIN + """SELECT 'c' || c || '.py::g::node::' || n || '::chunk' AS chunk_id,
   CASE WHEN k % 2 = 0 THEN 'def ' || n || '(state):' || chr(10) || '    return state' ELSE 'g.add_node("' || n || '", ' || n || ')' END AS text FROM o""")
 def rt_chunk_text(spark, sf_dir):

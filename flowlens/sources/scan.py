@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,6 @@ def facts(files: DataFrame) -> DataFrame:
     def work(batches):
         for batch in batches:
             repos, paths, flags, contents = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_pylist([{"repo_id": r, "path": p, "is_ignored": i} | parse(c) for r, p, i, c in zip(repos, paths, flags, contents, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_pylist([{"repo_id": r, "path": p, "is_ignored": i, "digest": sha256(c).hexdigest()} | parse(c) for r, p, i, c in zip(repos, paths, flags, contents, strict=True)], schema=schema)
 
     return rows.mapInArrow(work, FILE_DDL)

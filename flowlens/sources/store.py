@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import search as nearest
-from ..schemas import NOT_APPLICABLE, TABLES
+from ..schemas import NOT_APPLICABLE, PARTS, TABLES, columns
 
 
 @dataclass(frozen=True)
@@ -121,8 +121,7 @@ class Store:
     # ---- writing
 
     def _write(self, repo_id: str, version: str, name: str, df: DataFrame | None, dimension: int) -> None:
-        ddl = TABLES[name]
-        df = self.spark.createDataFrame([], ddl) if df is None else df.select(*[c.split()[0] for c in ddl.split(", ")])
+        df = self.spark.createDataFrame([], TABLES[name]) if df is None else df.select(*columns(name))
         path = "/".join([self.root, self.key(repo_id), version, name])
         df.write.parquet(path)
         # what was written is looked at, so that vectors are computed once
@@ -151,10 +150,9 @@ class Store:
         info = self.get_repository(repo_id)
         if info is None:
             raise ValueError(f"{repo_id} has no index")
-        columns = [c.split()[0] for c in TABLES[name].split(", ")]
         kept = self.table(repo_id, name).join(rows.select(key).distinct(), key, "left_anti")
         others = {n: info.folder(n) for n in TABLES if n != name}
-        self._put(repo_id, info.root_path, {name: kept.select(*columns).unionByName(rows.select(*columns))}, others, info.embedding_model, info.dimension, None)
+        self._put(repo_id, info.root_path, {name: kept.select(*columns(name)).unionByName(rows.select(*columns(name)))}, others, info.embedding_model, info.dimension, None)
 
     def upsert_chunks(self, repo_id: str, chunks: DataFrame) -> None:
         """Add chunks to a repository's index; those with a chunk_id that it has replace it. An empty frame changes nothing, other tables stay as they are."""
@@ -166,22 +164,40 @@ class Store:
 
         `tables` names graphs and any of nodes, edges, routes, tool_bindings and chunks; a part that is not named is empty for these graphs.
         """
-        info, graphs = self.get_repository(repo_id), tables["graphs"]
+        info = self.get_repository(repo_id)
         if info is None:
             raise ValueError(f"{repo_id} has no index")
+        gone = tables["graphs"].select("graph_id").distinct()
+        self._put(repo_id, info.root_path, self._merged(repo_id, gone, tables), {"files": info.folder("files")}, info.embedding_model, info.dimension, None)
+
+    def _merged(self, repo_id: str, gone: DataFrame, tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+        """The parts of a repository's graphs without those of the graphs `gone` (graph_id), and with `tables`."""
         new = {}
-        for name, ddl in TABLES.items():
-            columns = [c.split()[0] for c in ddl.split(", ")]
-            kept = self.table(repo_id, name).join(graphs.select("graph_id").distinct(), "graph_id", "left_anti").select(*columns)
-            new[name] = kept.unionByName(tables[name].select(*columns)) if name in tables else kept
-        self._put(repo_id, info.root_path, new, {}, info.embedding_model, info.dimension, None)
+        for name in PARTS:
+            kept = self.table(repo_id, name).join(gone, "graph_id", "left_anti").select(*columns(name))
+            new[name] = kept.unionByName(tables[name].select(*columns(name))) if name in tables else kept
+        return new
+
+    def refresh(self, repo_id: str, stale: DataFrame, tables: Mapping[str, DataFrame], at: datetime | None = None) -> Repository:
+        """Put `tables` in place of all graphs in the files `stale` (path); tables["files"] replaces the table of facts."""
+        info = self.get_repository(repo_id)
+        if info is None:
+            raise ValueError(f"{repo_id} has no index")
+        gone = self.table(repo_id, "graphs").join(stale.select(F.col("path").alias("file_path")), "file_path", "left_semi").select("graph_id")
+        new = self._merged(repo_id, gone, tables) | {"files": tables["files"]}
+        return self._put(repo_id, info.root_path, new, {}, info.embedding_model, info.dimension, at)
+
+    def has_files(self, repo_id: str) -> bool:
+        """Whether the repository's index has the facts that it was made of, which indexes of earlier versions lack."""
+        info = self.get_repository(repo_id)
+        return info is not None and self._fs.exists(self._path(self.key(repo_id), info.folder("files"), "files"))
 
     def export_jdbc(self, repo_id: str, url: str, prefix: str = "flow_", properties: Mapping[str, str] | None = None) -> None:
         """Write a repository's tables to a database by JDBC, as `prefix` and the table's name; vectors as text like [0.5,1.0].
 
         That text is what vector columns of PostgreSQL read. Existing tables are replaced; rows are written by executors.
         """
-        for name in TABLES:
+        for name in PARTS:
             df = self.table(repo_id, name)
             if name == "chunks":
                 df = df.withColumn("vector", F.concat(F.lit("["), F.array_join(F.transform("vector", lambda x: x.cast("string")), ","), F.lit("]")))
