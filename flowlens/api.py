@@ -23,7 +23,7 @@ from .plans.scratch import keep
 from .schemas import END, PARTIAL, START
 from .sources.paths import guard
 from .sources.scan import facts
-from .sources.store import Repository, Store
+from .sources.store import Conflict, Repository, Store
 from .sources.tree import read_tree
 
 log = logging.getLogger("flowlens")
@@ -125,9 +125,12 @@ class Engine:
             known = False
         if not known:
             return self.index_repo(path)
-        found = difference(store.table(repo, "files"), read_tree(self.spark, root))
+        found = difference(store.table(repo, "files", info.number), read_tree(self.spark, root))
         nodes = keep("nodes", found.index.nodes)
-        store.refresh(repo, found.stale, self._tables(found.index, nodes, found.scope) | {"files": found.files})
+        try:
+            store.refresh(info, found.stale, self._tables(found.index, nodes, found.scope) | {"files": found.files})
+        except Conflict:  # another writer came first, whose index is the one to start from
+            return self.reindex(path)
         log.info("reindexed %s: %d files parsed, graphs of %d files assembled", repo, found.parsed.count(), found.stale.count())
         return self._indexed(store, repo, began)
 

@@ -157,9 +157,9 @@ def rt_refresh(spark, sf_dir):
     old = keep("facts", facts(before.unionByName(gone)))
     store, repo, first = _store(spark), f"refresh:{sf_dir}", assemble(old)
     parts = ("graphs", "nodes", "edges", "routes", "tool_bindings")
-    store.replace(repo, "/r", {n: getattr(first, n) for n in parts} | {"files": old}, "m", 16)
+    base = store.replace(repo, "/r", {n: getattr(first, n) for n in parts} | {"files": old}, "m", 16)
     found = difference(store.table(repo, "files"), render.chains(orders).unionByName(nations).withColumns({"repo_id": F.lit("rendered"), "is_ignored": F.lit(False)}))
-    store.refresh(repo, found.stale, {n: getattr(found.index, n) for n in parts} | {"files": found.files})
+    store.refresh(base, found.stale, {n: getattr(found.index, n) for n in parts} | {"files": found.files})
     graphs = store.table(repo, "graphs").join(found.stale.select(F.col("path").alias("file_path"), F.lit(True).alias("_s")), "file_path", "left").select("graph_id", F.col("_s").isNotNull().alias("assembled_anew"))
     return store.table(repo, "nodes").join(graphs, "graph_id").select("graph_id", "name", "resolution", "docstring", "assembled_anew")
 

@@ -4,6 +4,7 @@ import io
 import json
 import random
 from collections import deque
+from concurrent.futures import ThreadPoolExecutor
 from hashlib import md5
 
 import pytest
@@ -13,7 +14,7 @@ from flowlens.operators import embed, graphops, search
 from flowlens.schemas import TABLES
 from flowlens.server import serve
 from flowlens.sources.paths import Ignore, guard
-from flowlens.sources.store import Store
+from flowlens.sources.store import Conflict, Store
 from flowlens.sources.tree import Tree, list_tree, read_tree
 
 E = "repo_id string, graph_id string, source string, target string, edge_ord long, edge_id string, type string, condition_function_name string"
@@ -225,7 +226,7 @@ def test_indexing_again_replaces(spark, tmp_path):
     (tmp_path / "m.py").unlink()
     assert engine.index_repo(tmp_path)["graphs_found"] == 0 and engine.get_graph_summary(tmp_path) == {"graphs": []}
     store = Store(spark, f"file://{tmp_path}/.flowlens")
-    manifest = next((tmp_path / ".flowlens").rglob("manifest.json"))
+    manifest = max((tmp_path / ".flowlens").rglob("manifest-*.json"))
     manifest.write_text("{broken")
     (manifest.parent / f".{manifest.name}.crc").unlink(missing_ok=True)
     with pytest.raises(ValueError, match="damaged"):
@@ -273,6 +274,22 @@ def test_store(spark, tmp_path):
     assert not store.is_indexed("r") and store.is_indexed("q") and store.get_repository("q").root_path == "/q"
 
 
+def test_two_writers_lose_nothing(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    frame = lambda *ids: spark.createDataFrame([("r", "g", i, "n", "n", "f", 1, 1, None, "t", "m", 2, [1.0, 0.0]) for i in ids], TABLES["chunks"])
+    first = store.replace("r", "/r", {"chunks": frame("c0")}, "m", 2)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: Store(spark, store.root).upsert_chunks("r", frame(f"a{i}", "c0")), range(6)))
+    assert sorted(r["chunk_id"] for r in store.table("r", "chunks").collect()) == ["a0", "a1", "a2", "a3", "a4", "a5", "c0"]
+    assert store.versions("r") == [5, 6, 7]  # older ones are gone, with their folders
+    assert len(list((tmp_path / "s").glob("*/v-*"))) <= 1 + 3 * 1 + 1
+    # one after the other: a writer that began before the last change is told so
+    with pytest.raises(Conflict):
+        store.refresh(first, spark.createDataFrame([], "path string"), {"files": store.table("r", "files")})
+    earlier = store.table("r", "chunks", 6)
+    assert earlier.count() == 6 and store.get_repository("r", 2) is None
+
+
 def test_command_line(engine, repo, tmp_path):
     out, err = io.StringIO(), io.StringIO()
     assert main(["status", str(repo), "--json"], engine, out, err) == 0 and json.loads(out.getvalue())["indexed"]
