@@ -29,6 +29,8 @@ from .sources.tree import read_tree
 log = logging.getLogger("flowlens")
 #: What an answer suggests where there is no index (a fixed value).
 ADVICE = "call index_repo first"
+#: Keys of a graph's summary (fixed values).
+SUMMARY = ("variable_name", "file_path", "entry_point", "node_count", "edge_count", "nodes")
 NOTE = "A destination without a condition_value was listed, not mapped: say that it is routed to, not what the router returns."
 NOT_RESOLVABLE = "Whether this node branches is unknown: its function was not found, or it computes where to go. This is not the same as having no branch."
 
@@ -85,8 +87,33 @@ class Engine:
         found = graphops.node_names(nodes).first()
         return found["names"] if found else []
 
-    def _unknown(self, name: str, names: list[str]) -> dict:
-        return {"error": "unknown_node", "node": name, "valid_nodes": names}
+    def _unknown(self, name: str, nodes: DataFrame) -> dict:
+        return {"error": "unknown_node", "node": name, "valid_nodes": self._names(nodes)}
+
+    # ---- answers as frames, for as many graphs as there are
+
+    def summary_frame(self, path) -> DataFrame:
+        """What get_graph_summary() tells, a row a graph; with its graph_id."""
+        store, repo, _ = self._open(path)
+        return graphops.summary(*(store.table(repo, n) for n in ("graphs", "nodes", "edges"))).select("graph_id", *SUMMARY)
+
+    def callers_frame(self, tool_name: str, path) -> DataFrame:
+        """What what_calls_tool() tells: kind is caller, or unenumerated for nodes whose tools are not written out."""
+        store, repo, _ = self._open(path)
+        nodes, bound = store.table(repo, "nodes"), store.table(repo, "tool_bindings")
+        null = F.lit(None).cast("string")
+        callers = graphops.tool_callers(nodes, bound, tool_name).select(F.lit("caller").alias("kind"), "graph_id", F.col("binding_ord").alias("place"), "node_name", "file_path", "tool_name", "tool_source")
+        hidden = graphops.unenumerated_tools(nodes).select(F.lit("unenumerated").alias("kind"), "graph_id", F.col("node_ord").cast("long").alias("place"), F.col("name").alias("node_name"), F.col("source_file").alias("file_path"), null.alias("tool_name"), null.alias("tool_source"))
+        return callers.unionByName(hidden)
+
+    def unstated_frame(self, from_node: str, path) -> DataFrame:
+        """Nodes that may lead on from `from_node` in ways that the source does not state: those of its graphs, or of all if it is in none."""
+        store, repo, _ = self._open(path)
+        nodes = store.table(repo, "nodes")
+        own = nodes.where(F.col("name") == from_node).select("graph_id").distinct()
+        relevant = nodes if own.isEmpty() else nodes.join(own, "graph_id", "left_semi")
+        files = store.table(repo, "graphs").select("graph_id", "file_path")
+        return graphops.unresolved_routing(relevant).join(files, "graph_id").select("graph_id", "node_ord", F.col("name").alias("node_name"), "file_path")
 
     # ---- indexing
 
@@ -148,9 +175,7 @@ class Engine:
 
     @_enveloped
     def get_graph_summary(self, path) -> dict:
-        store, repo, _ = self._open(path)
-        rows = graphops.summary(*(store.table(repo, n) for n in ("graphs", "nodes", "edges"))).orderBy("graph_id").collect()
-        return {"graphs": [{k: r[k] for k in ("variable_name", "file_path", "entry_point", "node_count", "edge_count", "nodes")} for r in rows]}
+        return {"graphs": [{k: r[k] for k in SUMMARY} for r in self.summary_frame(path).orderBy("graph_id").collect()]}
 
     @_enveloped
     def semantic_search_nodes(self, query, path, top_k: int = 5) -> dict:
@@ -168,10 +193,9 @@ class Engine:
     def trace_path(self, from_node, to_node, path) -> dict:
         store, repo, _ = self._open(path)
         nodes, edges, routes = (store.table(repo, n) for n in ("nodes", "edges", "routes"))
-        names = self._names(nodes)
         for name in (from_node, to_node):
-            if name not in names and name not in (START, END):
-                return self._unknown(name, names)
+            if name not in (START, END) and nodes.where(F.col("name") == name).isEmpty():
+                return self._unknown(name, nodes)
         graphs = store.table(repo, "graphs")
         able = graphs.select("repo_id", "graph_id")
         for name in (from_node, to_node):
@@ -185,10 +209,7 @@ class Engine:
             steps = graphops.route_steps(one, edges, routes).where("type = 'conditional'").orderBy("step").collect()
             branches = [{k: s[k] for k in ("source", "target", "condition_function", "condition_value", "value_resolution")} for s in steps]
             return {"path_found": True, "graph_id": best[0]["graph_id"], "route": list(best[0]["route"]), "conditional_branches": branches}
-        with_source = nodes.where(F.col("name") == from_node).select("graph_id").distinct()
-        relevant = nodes.join(with_source, "graph_id", "left_semi") if not with_source.isEmpty() else nodes
-        rows = graphops.unresolved_routing(relevant).join(graphs.select("graph_id", "file_path"), "graph_id").orderBy("graph_id", "node_ord").select("name", "file_path").collect()
-        unresolved = [{"node_name": r["name"], "file_path": r["file_path"]} for r in rows]
+        unresolved = [{"node_name": r["node_name"], "file_path": r["file_path"]} for r in self.unstated_frame(from_node, path).orderBy("graph_id", "node_ord").collect()]
         way = f"from {from_node!r} to {to_node!r}"
         hidden = f"; {len(unresolved)} node(s) route in ways that the source does not state, so one may exist all the same"
         detail = f"no stated edges lead {way}{hidden if unresolved else ', and all routing is stated'}"
@@ -198,11 +219,9 @@ class Engine:
     def what_calls_tool(self, tool_name, path) -> dict:
         if not isinstance(tool_name, str) or not tool_name.strip():
             return {"error": "empty_tool_name"}
-        store, repo, _ = self._open(path)
-        nodes, bound = store.table(repo, "nodes"), store.table(repo, "tool_bindings")
-        callers = graphops.tool_callers(nodes, bound, tool_name).orderBy("graph_id", "binding_ord", "tool_name").collect()
-        hidden = graphops.unenumerated_tools(nodes).orderBy("graph_id", "node_ord").collect()
-        return {"callers": [{k: r[k] for k in ("node_name", "file_path", "tool_name", "tool_source")} for r in callers], "unenumerated_tool_nodes": [{"node_name": r["name"], "file_path": r["source_file"]} for r in hidden]}
+        rows = self.callers_frame(tool_name, path).orderBy("graph_id", "place", "tool_name").collect()
+        callers = [{k: r[k] for k in ("node_name", "file_path", "tool_name", "tool_source")} for r in rows if r["kind"] == "caller"]
+        return {"callers": callers, "unenumerated_tool_nodes": [{k: r[k] for k in ("node_name", "file_path")} for r in rows if r["kind"] == "unenumerated"]}
 
     @_enveloped
     def explain_conditional(self, edge_source, path) -> dict:
@@ -210,7 +229,7 @@ class Engine:
         nodes, edges, routes = (store.table(repo, n) for n in ("nodes", "edges", "routes"))
         own = nodes.where(F.col("name") == edge_source).orderBy("graph_id", "node_ord").collect()
         if not own:
-            return self._unknown(edge_source, self._names(nodes))
+            return self._unknown(edge_source, nodes)
         rows = graphops.branch_destinations(edges.where(F.col("source") == edge_source), routes).orderBy("graph_id", "edge_ord").collect()
         rows = [r for r in rows if r["graph_id"] == rows[0]["graph_id"]]
         if rows:

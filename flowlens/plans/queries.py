@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from ..operators import embed, graphops, search
 from ..operators.assemble import assemble
 from ..operators.refresh import difference
 from ..operators.vector_index import VectorIndex
+from ..sources import table_function
 from ..sources.scan import facts
 from ..sources.store import Store, nested
 from . import render
@@ -142,6 +144,22 @@ def rt_cross_file(spark, sf_dir):
     return _index(render.imported(_t(spark, sf_dir, "nation"))).nodes.select("graph_id", "resolution", "source_file", "docstring")
 
 
+@query(_CHAIN + """SELECT 'c' || c || '.py' AS path, 'g' AS of, n AS name, CAST(CASE WHEN k % 2 = 0 THEN 2 * e ELSE 0 END AS INT) AS defined_at, CAST(2 + 2 * evens + i AS INT) AS added_at FROM o""")
+def rt_parse_in_sql(spark, sf_dir):
+    """Nodes and where their functions are, by table functions in SQL alone."""
+    table_function.register(spark)
+    view = f"modules_{uuid.uuid4().hex}"
+    keep("modules", render.chains(_t(spark, sf_dir, "orders"))).createOrReplaceTempView(view)
+    try:
+        return spark.sql(f"""
+            SELECT n.path, n.of, n.name, coalesce(f.line_start, 0) AS defined_at, n.line_start AS added_at
+            FROM parse_files(TABLE({view})) n
+            LEFT JOIN (SELECT m.path, p.name, p.line_start FROM {view} m, LATERAL parse_source(m.content) p WHERE p.kind = 'function') f ON f.path = n.path AND f.name = n.name
+            WHERE n.kind = 'add_node'""")
+    finally:
+        spark.catalog.dropTempView(view)
+
+
 @query(_CHAIN + """, changed AS (SELECT DISTINCT c FROM o WHERE c % 10 = 0 AND k % 2 = 0)
 SELECT 'c' || o.c || '.py::g' AS graph_id, n AS name, CASE WHEN k % 2 = 0 THEN 'full' ELSE 'partial' END AS resolution, NULL::VARCHAR AS docstring, changed.c IS NOT NULL AS assembled_anew FROM o LEFT JOIN changed ON changed.c = o.c
 UNION ALL SELECT 'n' || n_nationkey || '.py::g', 'n', CASE WHEN n_nationkey % 5 <= 2 THEN 'full' ELSE 'partial' END, CASE WHEN n_nationkey % 5 <= 2 THEN 'Nation.' END,
@@ -176,9 +194,11 @@ def rt_parse_status(spark, sf_dir):
     return facts(render.damaged(render.chains(_t(spark, sf_dir, "orders")))).select("path", "parse_status")
 
 
-@query("SELECT 'big.py::g::edge::a' || i || '-->a' || (i + 1) AS edge_id, CAST(i + 1 AS INT) AS place FROM range(5000) AS t(i)")
+@query("""WITH c AS (SELECT c_nationkey AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, count(*) OVER (PARTITION BY c_nationkey) AS k FROM customer)
+SELECT 'l' || n || '.py::g::edge::a' || (i - 1) || '-->a' || i AS edge_id, CAST(i AS INT) AS place FROM c""")
 def rt_many_calls(spark, sf_dir):
-    edges = _index(render.long_chain(spark, 5000)).edges
+    """Long modules: one a nation, an edge a customer, in the order of the calls."""
+    edges = _index(render.long_chains(_t(spark, sf_dir, "customer"))).edges
     return edges.select("edge_id", F.row_number().over(Window.partitionBy("graph_id").orderBy("edge_ord")).alias("place"))
 
 
@@ -265,24 +285,20 @@ def a_trace_negative(spark, sf_dir):
     modules, first, last = _longest(spark, sf_dir)
     engine, folder = _engine(spark, modules)
     found = engine.trace_path(last, first, folder)
-    rows = [(n["node_name"], n["file_path"], found["path_found"]) for n in found["unresolved_routing_nodes"]]
-    return spark.createDataFrame(rows, "node_name string, file_path string, path_found boolean")
+    return engine.unstated_frame(last, folder).select("node_name", "file_path", F.lit(found["path_found"]).alias("path_found"))
 
 
 @query(_CHAIN + "SELECT 'c' || c || '.py' AS file_path, 'g' AS variable_name, CASE WHEN s IN ('O', 'F') OR cnt = 1 THEN f END AS entry_point, CAST(cnt AS BIGINT) AS node_count FROM g")
 def a_graph_summary(spark, sf_dir):
     engine, folder = _engine(spark, render.chains(_t(spark, sf_dir, "orders")))
-    rows = [(g["file_path"], g["variable_name"], g["entry_point"], g["node_count"]) for g in engine.get_graph_summary(folder)["graphs"]]
-    return spark.createDataFrame(rows, "file_path string, variable_name string, entry_point string, node_count long")
+    return engine.summary_frame(folder).select("file_path", "variable_name", "entry_point", "node_count")
 
 
 @query("""SELECT DISTINCT 't' || l_orderkey || '.py' AS file_path, 'caller' AS kind FROM lineitem WHERE l_partkey = 7
   UNION ALL SELECT DISTINCT 't' || l_orderkey || '.py', 'unenumerated' FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 2 = 1""")
 def a_what_calls_tool(spark, sf_dir):
     engine, folder = _engine(spark, render.tools(_t(spark, sf_dir, "lineitem")))
-    found = engine.what_calls_tool("p7", folder)
-    rows = [(c["file_path"], "caller") for c in found["callers"]] + [(c["file_path"], "unenumerated") for c in found["unenumerated_tool_nodes"]]
-    return spark.createDataFrame(rows, "file_path string, kind string")
+    return engine.callers_frame("p7", folder).select("file_path", "kind")
 
 
 @query(_GOTO + """, f AS (SELECT a, min('u' || u || '.py::g') AS g FROM n WHERE k > 1 AND a = (SELECT min(a) FROM n WHERE k > 1) GROUP BY a)
@@ -457,23 +473,37 @@ def t_chunk_fallback(spark, sf_dir):
     return rows.select("doc_id", embed.chunk_text().alias("text"))
 
 
-@query("SELECT * FROM (VALUES ('a', 1.0::DOUBLE), ('b', 0.0::DOUBLE), ('c', -1.0::DOUBLE), ('zero', 0.0::DOUBLE)) AS t(chunk_id, score)")
+@query("""WITH n AS (SELECT vec_id, list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) > 0 AS filled FROM embeddings)
+SELECT vec_id, CASE WHEN filled THEN 1.0 ELSE 0.0 END::DOUBLE AS own, CASE WHEN filled THEN 1.0 ELSE 0.0 END::DOUBLE AS longer, CASE WHEN filled THEN -1.0 ELSE 0.0 END::DOUBLE AS opposite, 0.0::DOUBLE AS zero, 0.0::DOUBLE AS orthogonal FROM n""")
 def v_scores_orthogonal(spark, sf_dir):
-    rows = spark.createDataFrame([("a", [42.0, 0.0]), ("b", [0.0, 3.0]), ("c", [-2.0, 0.0]), ("zero", [0.0, 0.0])], "chunk_id string, vector array<float>")
-    return search.top_k(rows, [1.0, 0.0], 10).select("chunk_id", F.round("score", 6).alias("score"))
-
-
-@query("SELECT * FROM (VALUES ('fine', 'ok'), ('no rows asked', 'top_k must be >= 1'), ('a flag', 'top_k must be >= 1'), ('strange filter', 'Unsupported search filter: colour'), ('narrow', 'the query has dimension 1, the index 2')) AS t(asked, answer)")
+    """Every vector's score with itself, itself 42 times as long, its opposite, a zero vector, and itself turned by a right angle."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    times = lambda k: F.transform(v, lambda x: x * k)
+    turned = F.transform(v, lambda x, i: F.when(i % 2 == 0, -F.coalesce(F.get(v, i + 1), F.lit(0.0))).otherwise(F.get(v, i - 1)))
+    even = F.slice(turned, 1, (F.floor(F.size(v) / 2) * 2).cast("int"))
+    shown = lambda w: F.abs(F.round(vectors.cosine(v, w), 6)) * F.when(vectors.cosine(v, w) < -0.5, -1.0).otherwise(1.0)
+    first = F.slice(v, 1, (F.floor(F.size(v) / 2) * 2).cast("int"))
+    right = F.abs(F.round(vectors.cosine(first, even), 6))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", shown(v).alias("own"), shown(times(42.0)).alias("longer"), shown(times(-1.0)).alias("opposite"), shown(times(0.0)).alias("zero"), right.alias("orthogonal"))
+
+
+@query("""WITH w AS (SELECT len(embedding) AS n, count(*) AS c FROM embeddings GROUP BY len(embedding))
+SELECT asked, CASE asked WHEN 'top_k' THEN 'top_k must be >= 1' WHEN 'filter' THEN 'Unsupported search filter: colour' WHEN 'narrow' THEN 'the query has dimension ' || (n - 1) || ', the index ' || n ELSE 'ok' END AS answer, c AS n_vectors
+FROM w, (VALUES ('fine'), ('top_k'), ('filter'), ('narrow')) AS t(asked)""")
 def v_dimension_check(spark, sf_dir):
-    asked = {"fine": (3, {}, [1.0, 0.0]), "no rows asked": (0, {}, [1.0, 0.0]), "a flag": (True, {}, [1.0, 0.0]), "strange filter": (3, {"colour": "red"}, [1.0, 0.0]), "narrow": (3, {}, [1.0])}
-    rows = spark.createDataFrame([("a", [1.0, 0.0])], "chunk_id string, vector array<float>")
+    """What each width of the table's vectors answers to a fitting query and to ones that are refused."""
+    rows = _t(spark, sf_dir, "embeddings")
     out = []
-    for name, (k, filters, given) in asked.items():
-        try:
-            out.append((name, "ok" if search.top_k(rows, given, k, filters=filters, dimension=2).count() else "none"))
-        except ValueError as e:
-            out.append((name, str(e)))
-    return spark.createDataFrame(out, "asked string, answer string")
+    # one row a width
+    for r in rows.groupBy(F.size("embedding").alias("n")).agg(F.count(F.lit(1)).alias("c"), F.first("embedding").alias("v")).collect():
+        given = [float(x) for x in r["v"]]
+        for name, (k, filters, asked) in {"fine": (3, {}, given), "top_k": (0, {}, given), "filter": (3, {"colour": "red"}, given), "narrow": (3, {}, given[1:])}.items():
+            try:
+                found = search.top_k(rows.where(F.size("embedding") == r["n"]), asked, k, "vec_id", "embedding", filters, r["n"])
+                out.append(found.limit(1).select(F.lit(name).alias("asked"), F.lit("ok").alias("answer"), F.lit(r["c"]).alias("n_vectors")))
+            except ValueError as e:
+                out.append(spark.range(1).select(F.lit(name).alias("asked"), F.lit(str(e)).alias("answer"), F.lit(r["c"]).alias("n_vectors")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _index_of_vectors(spark, rows: DataFrame) -> VectorIndex:

@@ -85,10 +85,11 @@ def damaged(modules: DataFrame) -> DataFrame:
     return modules.withColumn("content", content)
 
 
-def long_chain(spark, n: int) -> DataFrame:
-    """One module with `n` edges, one after the other."""
-    text = lines(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit('g.add_edge("a'), i.cast("string"), F.lit('", "a'), (i + 1).cast("string"), F.lit('")\n')))
-    return _module(spark.range(1), F.lit("big.py"), F.concat(F.lit(HEAD + "g = StateGraph(dict)\n"), text))
+def long_chains(customer: DataFrame) -> DataFrame:
+    """A module a nation: as many edges as it has customers, one after the other."""
+    per = customer.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    text = lines(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.concat(F.lit('g.add_edge("a'), i.cast("string"), F.lit('", "a'), (i + 1).cast("string"), F.lit('")\n')))
+    return _module(per, F.concat(F.lit("l"), F.col("c_nationkey").cast("string"), F.lit(".py")), F.concat(F.lit(HEAD + "g = StateGraph(dict)\n"), text))
 
 
 def aliased(nation: DataFrame) -> DataFrame:

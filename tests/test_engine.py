@@ -3,9 +3,11 @@
 import io
 import json
 import random
+import time
 from collections import deque
 from concurrent.futures import ThreadPoolExecutor
 from hashlib import md5
+from threading import Event
 
 import pytest
 from flowlens.api import Engine
@@ -297,13 +299,57 @@ def test_command_line(engine, repo, tmp_path):
     assert main(["what"], engine, out, err) == 2 and main(["--help"], engine, out, err) == 0
     (tmp_path / "plain.py").write_text("x = 1\n")
     assert main(["index", str(tmp_path)], engine, out, err) == 1
-    asked = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "repository_status", "arguments": {"path": str(repo)}}}, {"id": 4, "method": "tools/call", "params": {"name": "trace_path", "arguments": {}}}, {"id": 5, "method": "what"}]
+    asked = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "get_graph_summary", "arguments": {"path": str(repo)}}}, {"id": 4, "method": "tools/call", "params": {"name": "trace_path", "arguments": {}}}, {"id": 5, "method": "what"}]
+    # messages of odd forms get errors and end nothing
+    odd = [{"id": 6, "method": "tools/call", "params": [1]}, {"id": 7, "method": "tools/call", "params": {"name": ["x"]}}, {"id": 8, "method": "tools/call", "params": {"name": "trace_path", "arguments": [1]}}, {"id": 9, "method": 3}, {"id": 10, "method": "tools/call", "params": {"name": "repository_status", "arguments": {"path": str(repo)}}}, {"method": "notifications/cancelled", "params": {"requestId": 99}}, {"method": "notifications/cancelled", "params": 1}]
     said = io.StringIO()
-    serve(engine, [*map(json.dumps, asked), "{broken", "", "7"], said)
-    told = [json.loads(x) for x in said.getvalue().splitlines()]
-    assert [t["id"] for t in told] == [1, 2, 3, 4, 5, None, None] and len(told[1]["result"]["tools"]) == 8
-    assert json.loads(told[2]["result"]["content"][0]["text"])["indexed"] and [t["error"]["code"] for t in told[3:]] == [-32602, -32601, -32700, -32700]
+    serve(engine, [*map(json.dumps, asked + odd), "{broken", "", "7", "[]"], said)
+    told = {}
+    for t in map(json.loads, said.getvalue().splitlines()):
+        told.setdefault(t["id"], []).append(t)
+    assert set(told) == {*range(1, 11), None} and len(told[2][0]["result"]["tools"]) == 7
+    assert json.loads(told[3][0]["result"]["content"][0]["text"])["graphs"]
+    assert [told[i][0]["error"]["code"] for i in range(4, 11)] == [-32602, -32601, -32602, -32602, -32602, -32600, -32602]
+    assert [t["error"]["code"] for t in told[None]] == [-32700, -32600, -32600]
     narrow = io.TextIOWrapper(io.BytesIO(), encoding="ascii")
     assert main(["status", str(repo)], engine, narrow, err) == 0
     narrow.seek(0)
     assert "r\\xe9po" in narrow.read()
+
+
+def test_calls_from_many_threads(engine, repo):
+    path = str(repo)
+    calls = [
+        lambda: engine.get_graph_summary(path),
+        lambda: engine.semantic_search_nodes("login", path),
+        lambda: engine.trace_path("check", "format", path),
+        lambda: engine.explain_conditional("check", path),
+        lambda: engine.what_calls_tool("search", path),
+        lambda: engine.repository_status(path),
+    ]
+    with ThreadPoolExecutor(8) as pool:
+        results = list(pool.map(lambda call: call(), calls * 8))
+    assert len(results) == 48 and not [r for r in results if "error" in r]
+    assert all(results[i] == results[i % 6] for i in range(48))
+
+
+def test_a_call_can_be_cancelled(spark):
+    class Slow:
+        def __init__(self):
+            self.spark, self.began = spark, Event()
+
+        def get_graph_summary(self, path):
+            self.began.set()
+            return {"rows": spark.range(0, 10**6, 1, 2).selectExpr("sum(reflect('java.lang.Thread', 'sleep', 1L) is null)").collect()}
+
+    engine, said = Slow(), io.StringIO()
+
+    def lines():
+        yield json.dumps({"id": "a", "method": "tools/call", "params": {"name": "get_graph_summary", "arguments": {"path": "x"}}})
+        engine.began.wait(30)
+        time.sleep(2)
+        yield json.dumps({"method": "notifications/cancelled", "params": {"requestId": "a"}})
+
+    began = time.monotonic()
+    serve(engine, lines(), said)
+    assert json.loads(said.getvalue())["error"]["code"] == -32603 and time.monotonic() - began < 60

@@ -203,3 +203,18 @@ def test_odd_literals_and_long_modules_stop_nothing(index):
     assert [n["name"] for n in got["nodes"]] == ["\\ud800"]
     edges = sorted((e for e in got["edges"] if e["graph_id"].startswith("many")), key=lambda e: e["edge_ord"])
     assert [e["target"] for e in edges] == [f"a{i + 1}" for i in range(2100)] + ["x", "y"]
+
+
+def test_facts_from_sql(spark):
+    from flowlens.sources import table_function
+
+    table_function.register(spark)
+    text = "from a import b as c\ng = StateGraph(dict)\ndef f(s): ...\ng.add_node('n', f)\ng.add_edge('n', c)\ng.set_entry_point('n')\n"
+    text = "from flowlib import StateGraph\n" + text
+    spark.createDataFrame([("x.py", text), ("bad.py", "def ("), ("none.py", None)], "path string, content string").createOrReplaceTempView("some_files")
+    got = {(r["path"], r["kind"], r["name"], r["source"], r["target"], r["line_start"]) for r in spark.sql("SELECT * FROM parse_files(TABLE(some_files))").collect()}
+    assert {g for g in got if g[1] not in ("import", "status")} == {("x.py", "builder", "g", None, None, None), ("x.py", "function", "f", None, None, 4), ("x.py", "add_node", "n", None, None, 5), ("x.py", "add_edge", None, "n", "c", 6), ("x.py", "set_entry_point", "n", None, None, 7)}
+    assert {(g[0], g[2]) for g in got if g[1] == "status"} == {("x.py", "ok"), ("bad.py", "syntax_error"), ("none.py", "ok")}
+    assert ("x.py", "import", "c", "a", "b", None) in got
+    one = spark.sql("SELECT f.path, p.name FROM some_files f, LATERAL parse_source(f.content) p WHERE p.kind = 'status'").collect()
+    assert {tuple(r) for r in one} == {(g[0], g[2]) for g in got if g[1] == "status"}
