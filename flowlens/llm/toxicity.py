@@ -15,6 +15,7 @@ texts of other folds.
 from __future__ import annotations
 
 from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ SHARE = 0.01
 SAMPLE = 4000
 #: Folds of them for the curve.
 FOLDS = 4
+#: Pairs of expressions that a task holds before it gives them on, some 300 bytes each.
+HELD = 250_000
 
 _EDGES = ".,;:!?|\"'()[]{}<>*$%&#"
 _KEPT = 300_000
@@ -48,22 +51,23 @@ def _pairs(batches):
 
     Before a text stands a line feed.
     """
-    found: dict[tuple[int, str, str], list[int]] = {}
+    found: dict[tuple[int, str, str], int] = {}
+    every = (1 << FOLDS) - 1
 
     def out():
-        rows = [(*k, *v) for k, v in found.items()]
-        for at in range(0, len(rows), 50_000):
-            columns = zip(*rows[at : at + 50_000], strict=True)
+        rows = iter(found.items())
+        while part := list(islice(rows, 20_000)):
+            columns = zip(*((*k, v & every, v >> FOLDS) for k, v in part), strict=True)
             types = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["level", "before", "expression", "toxic", "ordinary"])
 
     for batch in batches:
         for text, y, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            now = words(text)
+            now, bit = words(text), 1 << (fold if y else fold + FOLDS)
             for before, w in zip(["\n", *now], now, strict=False):
                 for x in ((WORD, before, w), (START, before, w[:BEGINNING])):
-                    found.setdefault(x, [0, 0])[0 if y else 1] |= 1 << fold
-            if len(found) > 1_000_000:
+                    found[x] = found.get(x, 0) | bit
+            if len(found) > HELD:
                 yield from out()
                 found.clear()
     yield from out()
