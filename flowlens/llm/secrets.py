@@ -14,21 +14,25 @@ from .common import blank
 
 #: Least characters of a candidate, and of one that a secret's name and a sign stand before.
 LEAST, LEAST_NAMED = 16, 6
-#: A whole run of at least LEAST characters of keys, with padding. A run ends at '=' and '@', as at any other
-#: character; the slashes after a URL's scheme are no part of it.
-LONG = rf"(?:(?<![A-Za-z0-9_+/~.-])(?!//)|(?<=//))[A-Za-z0-9_+/~.-]{{{LEAST},}}(?:={{1,2}}(?![A-Za-z0-9_+/=~.-])|(?![A-Za-z0-9_+/~.-]))"
 #: Characters of context on either side that neighbouring words are looked for in.
 REACH = 48
 #: Words that stand before secrets, before other long strings, and common words in identifiers (fixed values).
 BEFORE_SECRET = "token|secret|passwd|password|pwd|api[ _-]?key|apikey|access[ _-]?key|private[ _-]?key|auth|authorization|bearer|credential|client[ _-]?secret|signing[ _-]?key"
 BEFORE_OTHER = "commit|sha1|sha256|sha512|md5|checksum|digest|hash|integrity|etag|uuid|guid|revision|version|build|example|sample|placeholder|isbn|doi|image|layer"
+#: Where a run without digits may be a key and not a word: right after a sign or an opening quote, or a secret's name.
+SIGNED = rf"""(?<=[=:@"'`])|(?<=[=:] )|(?<=(?i:{BEFORE_SECRET})\s)|(?<=://)"""
+#: A whole run of at least LEAST characters of keys, with padding. A run ends at '=' and '@', as at any other
+#: character; the slashes after a URL's scheme are no part of it.
+LONG = rf"(?:(?<![A-Za-z0-9_+/~.-])(?!//)|(?<=//))(?:(?=[A-Za-z_+/~.-]*[0-9])|{SIGNED})[A-Za-z0-9_+/~.-]{{{LEAST},}}(?:={{1,2}}(?![A-Za-z0-9_+/=~.-])|(?![A-Za-z0-9_+/~.-]))"
 #: A shorter run of any characters, right after such a word and '=' or ':', which is looked at only behind a sign or quote.
 NAMED = rf"""(?:(?<=["'=:])|(?<=[=:] ))(?<=(?i:{BEFORE_SECRET})["']?\s{{0,2}}[=:]\s{{0,2}}["']?)[^\s"'<>,;()=:]{{{LEAST_NAMED},{LEAST - 1}}}(?![^\s"'<>,;()])"""
 CANDIDATE = f"{LONG}|{NAMED}"
 COMMON = "the|and|for|get|set|user|name|data|file|test|page|list|item|index|value|type|model|node|key|time|date|http|www|com|org|html|path|image|version|example|your|here|change|this|with|from|api|app|main|config|default|service|server|client|request|response|number|string|table|column|update|create|delete|insert|select|report|module|package|import|class|public|static|docs|blog|post|product|release|build"
 FEATURES = ("length", "digits", "uppers", "lowers", "marks", "changes", "distinct", "hex", "covered", "longest_run", "in_path", "parts", "before_secret", "before_other", "assigned", "quoted", "uuid", "userinfo", "at")
 #: Rows of the labelled findings made here when none are given, trees and their depth.
-LABELLED, TREES, TREE_DEPTH = 13200, 24, 8
+LABELLED, TREES, TREE_DEPTH = 15000, 24, 8
+#: Parts that words are put together from as negatives (fixed values).
+SYLLABLES = ("ver", "schaft", "un", "heit", "ment", "ation", "er", "ge", "que", "eau", "ing", "tion", "los", "ción", "mente", "able", "stadt", "ous", "ier", "ent", "lich", "ness", "pre", "con", "dis", "ter", "berg", "ure", "ado", "ist")
 
 
 def features(token: str = "candidate", before: str = "before", after: str = "after") -> dict[str, Column]:
@@ -75,6 +79,9 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     words = F.concat(pick("a", "get", "user", "report", "image", "page", "default"), join, pick("b", "name", "index", "model", "value", "list"), join, pick("c", "service", "version", "module", "table"), F.pmod(F.hash(i), F.lit(1000)).cast("string"))
     sign = pick("sign", " = \"", ": \"", "=", ": ", " = '", "=\"")
     close = F.when(sign.endswith('"'), F.lit('" ')).when(sign.endswith("'"), F.lit("' ")).otherwise(F.lit(" "))
+    letters = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.element_at(F.array(*map(F.lit, SYLLABLES)), (F.pmod(F.xxhash64(F.lit("syllable"), i, k), F.lit(len(SYLLABLES))) + 1).cast("int"))), "")
+    plain = F.translate(letters, "ó", "o")
+    word = F.when(F.pmod(F.hash(F.lit("case"), i), F.lit(4)) == 0, F.upper(plain)).when(F.pmod(F.hash(F.lit("case"), i), F.lit(4)) == 1, plain).otherwise(F.initcap(plain))
     prose = pick("prose", "as we saw in ", "see the ", "of the ", "and then ", "")
     kinds = [
         (1, cased(hexed("k0")), F.concat(prose, name, sign), close),
@@ -98,6 +105,9 @@ def labelled_findings(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
         (1, F.concat(pick("s9", "hunter", "dragon", "winter", "letmein", "Qwerty", "monkey"), F.pmod(F.hash(i), F.lit(90)).cast("string"), pick("t9", "", "pass9", "!", "Xy", "#1")), F.concat(prose, name, sign), close),
         (1, F.substring(mixed("k10", 14), F.lit(1), F.pmod(F.hash(i), F.lit(7)).cast("int") + 8), F.concat(prose, name, sign), close),
         (0, pick("n10", "required", "optional", "string", "undefined", "example", "changeme", "disabled", "your-key", "hidden", "username", "********", "xxxxxxxx", "ordinary", "invalid", "missing", "expired"), F.concat(prose, name, pick("sign10", ": ", " = ", "=", ": \"")), pick("end10", " ", "\" ", ". ")),
+        (0, word, F.concat(prose, pick("v1", "", "the \"", "word: ", "called '", "der ", "note: ", "title=\"", "author: ", "https://", "see:", "Stadt: ")), pick("v2", " ", ", ", ". ", "\" ", "' ")),
+        (0, F.concat(F.initcap(plain), pick("v3", "-", "_", "/", "."), pick("v4", "Verwaltung", "Department", "gouvernement", "universidad")), F.concat(prose, pick("v5", "", "the \"", "at: ", "name=", "(", "der ")), pick("v2", " ", ", ", ". ", "\" ", "' ")),
+        (0, F.concat(plain, F.pmod(F.hash(F.lit("n"), i), F.lit(3000)).cast("string")), F.concat(prose, pick("v6", "", "file ", "chapter: ", "id=", "the ")), pick("v2", " ", ", ", ". ", "\" ", "' ")),
         (0, pick("r1", "................", "----------------", "________________", "--------------------------------", "~~~~~~~~~~~~~~~~~~"), prose, F.lit(" ")),
     ]
     rows_by_kind = None
@@ -114,7 +124,8 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = TREE_DEPTH, seed
     from pyspark.ml.feature import VectorAssembler
 
     clean = findings.where(F.col("candidate").isNotNull() & F.col("label").isNotNull()).select("candidate", blank("before").alias("before"), blank("after").alias("after"), F.col("label").cast("double").alias("label"))
-    rows = clean.coalesce(1).withColumns(features())
+    # a forest draws rows by partition and place: both are made the same at every run
+    rows = clean.repartition(8, "candidate").sortWithinPartitions("candidate", "before", "after", "label").withColumns(features())
     gather = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=3)
     return Pipeline(stages=[gather, forest]).fit(rows)

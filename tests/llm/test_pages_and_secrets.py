@@ -1,3 +1,4 @@
+import os
 import random
 import time
 
@@ -183,3 +184,18 @@ def test_hostile_pages_take_time_in_proportion():
         began = time.process_time()
         html_text.main_blocks(page)
         assert time.process_time() - began < 10, page[:20]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_given_documents_give_planted_tokens_and_no_words(spark):
+    found = secrets.scan(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    token = [r for r in found if regex.fullmatch("[0-9a-fA-F]{40}", r["candidate"])]
+    assert len(token) == 12 and {r["candidate"] for r in found if r["is_secret"]} == {r["candidate"] for r in token}
+
+
+def test_words_of_many_forms_are_no_secrets(spark):
+    words = ["Schpfgegebeunger", "ERSCHSCHBERBERTZ", "Teachscherheitpf", "internationalisation", "Donaudampfschiffahrtsgesellschaft", "anticonstitutionnellement", "well-known-user-settings", "Kraftfahrzeug-Haftpflichtversicherung"]
+    rows = [(i, f"{before}{w}{after}") for i, (w, (before, after)) in enumerate((w, c) for w in words for c in [("das ", " ist"), ('the "', '" of'), ("see: ", "."), ("note=", " x"), ("", "")])]
+    rows.append((999, 'token = "abQwErTyUiOpzXcVbNmLkJhGfDsA" and GITHUB_TOKEN=ghp_AbCdEfGhIjKlMnOpQrStUvWxYzabcdefghij'))
+    found = [r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["is_secret"]]
+    assert [r["doc_id"] for r in found] == [999, 999]
