@@ -7,6 +7,8 @@ everything else is left to joins over the facts of all files.
 from __future__ import annotations
 
 import ast
+import re
+import warnings
 from hashlib import sha256
 
 from ..schemas import DYNAMIC, END, KNOWN, NOT_DERIVABLE, START
@@ -35,7 +37,11 @@ class FileFacts:
     """Facts of one parsed module; row() gives them in the shape of schemas.FILE_DDL."""
 
     def __init__(self, source: str):
-        self.source, self.tree = source, ast.parse(source)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")  # what Python thinks of the file's style is not asked
+            self.tree = ast.parse(source)
+        #: The lines that positions in the tree count, with their ends.
+        self.lines = re.findall(r"[^\r\n]*(?:\r\n|\r|\n)?", source)
         self.order = list(ast.walk(self.tree))
         self.imports = [fact for i, node in enumerate(self.order) for fact in self._import(i, node)]
         self.named: dict[str, str] = {f["local"]: f["original"] for f in self.imports}
@@ -69,20 +75,27 @@ class FileFacts:
         return START if self.means(tail, "START") else END if self.means(tail, "END") else _text(node)
 
     def goto(self, node: ast.AST) -> tuple[list[str], bool]:
-        """Destinations that a goto value states, and whether it states all."""
-        if _string(node) is not None:
-            return [node.value], True
-        match node:
-            case ast.Name(id=name):
-                return ([START], True) if self.means(name, "START") else ([END], True) if self.means(name, "END") else ([], False)
-            case ast.List(elts=parts) | ast.Tuple(elts=parts) | ast.Set(elts=parts):
-                found = [self.goto(p) for p in parts]
-                return [t for targets, _ in found for t in targets], all(ok for _, ok in found)
-            case ast.ListComp(elt=part) | ast.SetComp(elt=part) | ast.GeneratorExp(elt=part):
-                return self.goto(part)
-            case ast.Call(func=func, args=[first, *_]) if self.calls_to(func, SEND, True) and _string(first) is not None:
-                return [first.value], True
-        return [], False
+        """Destinations that a goto value states, in order, and whether it states all."""
+        found, stated, waiting = [], True, [node]
+        while waiting:
+            part = waiting.pop()
+            if isinstance(part, (ast.List, ast.Tuple, ast.Set)):
+                waiting += reversed(part.elts)
+            elif isinstance(part, (ast.ListComp, ast.SetComp, ast.GeneratorExp)):
+                waiting.append(part.elt)
+            else:
+                target = self._destination(part)
+                found += [] if target is None else [target]
+                stated = stated and target is not None
+        return found, stated
+
+    def _destination(self, node: ast.AST) -> str | None:
+        """The one node that a goto value names: a string, a sentinel, or what is sent to."""
+        if isinstance(node, ast.Name):
+            return next((s for s, name in ((START, "START"), (END, "END")) if self.means(node.id, name)), None)
+        if isinstance(node, ast.Call) and node.args and self.calls_to(node.func, SEND, True):
+            return _string(node.args[0])
+        return _string(node)
 
     def tool_list(self, node: ast.AST) -> dict:
         """A tools argument: whether it is written out, and its elements' names and bases."""
@@ -104,6 +117,14 @@ class FileFacts:
                 return {"name": name, "base": None, "ok": True}
         return {"name": _string(node) if _string(node) is not None else _text(node), "base": None, "ok": True}
 
+    def segment(self, node: ast.AST) -> str:
+        """The text of a node, whose columns are counted in bytes."""
+        first, last = node.lineno - 1, node.end_lineno - 1
+        end = self.lines[last].encode()[: node.end_col_offset].decode()
+        if first == last:
+            return end.encode()[node.col_offset :].decode()
+        return "".join([self.lines[first].encode()[node.col_offset :].decode(), *self.lines[first + 1 : last], end])
+
     # ---- functions
 
     def functions(self) -> list[dict]:
@@ -126,7 +147,7 @@ class FileFacts:
             "line_start": min([node.lineno, *(d.lineno for d in node.decorator_list)]),
             "line_end": node.end_lineno or node.lineno,
             "docstring": ast.get_docstring(node),
-            "body_hash": sha256((ast.get_source_segment(self.source, node) or "").encode()).hexdigest(),
+            "body_hash": sha256(self.segment(node).encode()).hexdigest(),
             "tools": tools,
             "gotos": gotos,
         }

@@ -88,6 +88,15 @@ def test_batches_do_not_change_vectors(spark):
     assert own == {r["id"]: list(r["vector"]) for r in embed.embed_column(rows, "text", model).collect()} and model.embed_query("a b") == hashing.embed_query("a b")
     prefixed = embed.ModelProvider("p", 16, lambda: hashing.embed)
     assert prefixed.embed(["x"]) == hashing.embed(["search_document: x"]) and prefixed.embed_query("x") == hashing.embed_query("search_query: x")
+    # batches span the Arrow batches of a task, and are filled as by one plan of all texts
+    many = spark.range(3000).selectExpr("id", "repeat('x', int(pow(id % 977, 1.3) / 9)) AS text").repartition(7)
+    shape = embed.FunctionProvider("b", 3, lambda t: [[1.0, float(len(t)), float(max(map(len, t)))] for _ in t])
+    raw = embed.embed_column(many, "text", shape, budget=900).selectExpr("length(text) AS n", "round(vector[1] / vector[0]) AS texts", "round(vector[2] / vector[0]) AS longest").collect()
+    assert len(raw) == 3000 and all(r["n"] <= r["longest"] and (r["texts"] * r["longest"] <= 900 or r["texts"] == 1) for r in raw)
+    padded = sum(r["longest"] for r in raw)
+    lengths = [r["n"] for r in raw]
+    planned = sum(len(b) * max(lengths[i] for i in b) for b in embed.plan_batches(lengths, 900))
+    assert padded <= 1.03 * planned
     short = embed.FunctionProvider("s", 16, lambda t: [])
     with pytest.raises(Exception, match="0 vectors"):
         embed.embed_column(rows, "text", short).collect()

@@ -218,3 +218,30 @@ def test_facts_from_sql(spark):
     assert ("x.py", "import", "c", "a", "b", None) in got
     one = spark.sql("SELECT f.path, p.name FROM some_files f, LATERAL parse_source(f.content) p WHERE p.kind = 'status'").collect()
     assert {tuple(r) for r in one} == {(g[0], g[2]) for g in got if g[1] == "status"}
+
+
+def test_segments_are_those_of_the_library(tmp_path):
+    import ast
+
+    from flowlens.sources.kernel import FileFacts
+
+    texts = ["def f():\r\n    é = 'ü'\r\n    return é\r\nclass A:\n  def g(self): return 'ß'; x = 1\n", "x = 'é'; f = lambda: 'ü'\ndef h(a='é', *, b='\x0c'): pass", "async def k():\n\x0c    await z\n\ndef l(): ...\r@d\rdef m(): ...\r"]
+    for text in [*texts, open(ast.__file__, encoding="utf-8").read()]:
+        facts = FileFacts(text)
+        for node in facts.order:
+            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda, ast.Call)) and len(text) < 10_000 or isinstance(node, ast.ClassDef):
+                assert facts.segment(node) == ast.get_source_segment(text, node)
+
+
+def test_large_files_take_time_in_proportion():
+    import time
+
+    from flowlens.sources.kernel import parse
+
+    def seconds(n):
+        text = "".join(f"def f{i}(state):\n    return state\n" for i in range(n)).encode()
+        began = time.process_time()
+        parse(text)
+        return time.process_time() - began
+
+    assert seconds(16_000) < 20 * seconds(2_000) + 1
