@@ -268,17 +268,6 @@ class Store:
         info = self.get_repository(repo_id)
         return info is not None and self._fs.exists(self._path(self.key(repo_id), info.folder("files"), "files"))
 
-    def export_jdbc(self, repo_id: str, url: str, prefix: str = "flow_", properties: Mapping[str, str] | None = None) -> None:
-        """Write a repository's tables to a database by JDBC, as `prefix` and the table's name; vectors as text like [0.5,1.0].
-
-        That text is what vector columns of PostgreSQL read. Existing tables are replaced; rows are written by executors.
-        """
-        for name in PARTS:
-            df = self.table(repo_id, name)
-            if name == "chunks":
-                df = df.withColumn("vector", F.concat(F.lit("["), F.array_join(F.transform("vector", lambda x: x.cast("string")), ","), F.lit("]")))
-            df.write.mode("overwrite").jdbc(url, prefix + name, properties=dict(properties or {}))
-
     def delete_repo(self, repo_id: str) -> None:
         """Remove a repository's index; an unknown one is no error."""
         self._fs.delete(self._path(self.key(repo_id)), True)
