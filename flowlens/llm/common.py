@@ -6,6 +6,7 @@ import gc
 import tempfile
 import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,18 @@ def sweep(spark: SparkSession) -> None:
         _swept = time.monotonic()
 
 
+@contextmanager
+def fixed_plans(spark: SparkSession):
+    """Run queries by the plans that are made beforehand, each as one job: for many small steps in a row, whose joins are settled. The setting is put back."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Keep Arrow batches of whole texts small; a smaller setting of the user's stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -10,6 +10,7 @@ row far from its group's centre by Mahalanobis distance is rejected.
 from __future__ import annotations
 
 from collections import Counter
+from contextlib import nullcontext
 from functools import partial
 from itertools import chain, repeat
 from math import log, sqrt
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, settle, small_batches
+from .common import blank, fixed_plans, settle, small_batches
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct", "n_top", "n_marks")
 #: Statistics and the least standard deviation that each is given: what clean text may differ by where a group shows none.
@@ -33,6 +34,8 @@ AGREES, AGREES_SHRUNK = 19.02, 1.04
 #: Rows of a group that starts are searched on (all of a smaller group), rows that starts are made from, starts that go
 #: on over all rows, and the least fall of the determinant's logarithm that counts as one.
 SEARCH, POINTS, BEST, FALL = 2000, 12, 2, 0.01
+#: Groups and starts that are sent to all tasks at most, a kilobyte each; of more, joins are left to Spark.
+FEW = 2000
 #: Rows' worth of weight that the language's estimate has within each of its sources'.
 PRIOR = 40.0
 #: Squared distance beyond which a row is rejected. The chi-square law for nine statistics puts 1 row of 10^15 beyond
@@ -179,12 +182,12 @@ _GROUP = ["_lang", "_source", "start"]
 _FITTED = "_lang string, _source string, start int, centre array<double>, inverse array<double>, det double"
 
 
-def _fit(rows: DataFrame, weight: Column, scale: float) -> DataFrame:
+def _fit(rows: DataFrame, weight: Column, scale: float, small=lambda df: df) -> DataFrame:
     """Estimates of each group and start; a language's sums are those of its groups' first starts."""
     sums = rows.groupBy(*_GROUP).agg(*_moments(weight))
     names = [c for c in sums.columns if c not in _GROUP]
     langs = sums.where("start = 0").groupBy("_lang").agg(*[F.sum(c).alias(f"l_{c}") for c in names]).withColumnRenamed("_lang", "_l")
-    both = sums.join(langs, F.col("_lang").eqNullSafe(F.col("_l"))).drop("_l")
+    both = sums.join(small(langs), F.col("_lang").eqNullSafe(F.col("_l"))).drop("_l")
     return both.mapInPandas(partial(_estimates, scale=scale), _FITTED)
 
 
@@ -227,20 +230,24 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str =
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)
     drawn = rows.select(*group, *names, draw.alias("_draw")).join(sizes, _same({"_lang": "_l", "_source": "_s"})).where(F.col("_draw") * F.col("_n") < SEARCH)
     fitted = settle(drawn.select(*group, *names).groupBy(*group).applyInArrow(_search, _FITTED).withColumn("moved", F.lit(True)), "starts")
-    step = 0
-    while fitted.where("moved").head(1):
-        near = _near(rows, fitted.drop("moved"))
-        limits = near.groupBy(*_GROUP).agg(F.percentile_approx("distance", KEEP, 1000).alias("_most")).withColumnsRenamed({"_lang": "_l2", "_source": "_s2", "start": "_t2"})
-        inner = near.join(limits, _same({"_lang": "_l2", "_source": "_s2", "start": "_t2"})).drop("_l2", "_s2", "_t2")
-        new = _fit(inner, (F.col("distance") <= F.col("_most")).cast("double"), SHRUNK)
-        old = fitted.withColumnsRenamed({"_lang": "_l", "_source": "_s", "start": "_t"}).select("_l", "_s", "_t", F.struct("centre", "inverse", "det").alias("_old"), F.col("moved").alias("_moved"))
-        falls = F.col("_moved") & (F.col("det") < F.col("_old.det") - FALL)
-        both = new.join(old, _same({"_lang": "_l", "_source": "_s", "start": "_t"})).withColumn("moved", falls)
-        fitted = settle(both.select(*_GROUP, *[F.when(F.col("moved"), F.col(c)).otherwise(F.col(f"_old.{c}")).alias(c) for c in ("centre", "inverse", "det")], "moved"), f"estimate{step}")
-        step += 1
-    least = fitted.groupBy(*group).agg(F.min_by(F.struct("centre", "inverse", "det"), F.struct("det", "start")).alias("_best")).select(*group, F.lit(0).alias("start"), "_best.*")
-    agreeing = _near(rows, settle(least, "least"))
-    fitted = settle(_fit(agreeing, (F.col("distance") <= AGREES).cast("double"), AGREES_SHRUNK), "estimate")
-    verdict = _near(rows, fitted).select(*measured.columns, "distance")
+    # where both sides are known beforehand, there is nothing to plan anew after each exchange
+    few = fitted.count() <= FEW
+    small = F.broadcast if few else (lambda df: df)
+    with fixed_plans(docs.sparkSession) if few else nullcontext():
+        step = 0
+        while fitted.where("moved").head(1):
+            near = _near(rows, small(fitted.drop("moved")))
+            limits = near.groupBy(*_GROUP).agg(F.percentile_approx("distance", KEEP, 1000).alias("_most")).withColumnsRenamed({"_lang": "_l2", "_source": "_s2", "start": "_t2"})
+            inner = near.join(small(limits), _same({"_lang": "_l2", "_source": "_s2", "start": "_t2"})).drop("_l2", "_s2", "_t2")
+            new = _fit(inner, (F.col("distance") <= F.col("_most")).cast("double"), SHRUNK, small)
+            old = fitted.withColumnsRenamed({"_lang": "_l", "_source": "_s", "start": "_t"}).select("_l", "_s", "_t", F.struct("centre", "inverse", "det").alias("_old"), F.col("moved").alias("_moved"))
+            falls = F.col("_moved") & (F.col("det") < F.col("_old.det") - FALL)
+            both = new.join(small(old), _same({"_lang": "_l", "_source": "_s", "start": "_t"})).withColumn("moved", falls)
+            fitted = settle(both.select(*_GROUP, *[F.when(F.col("moved"), F.col(c)).otherwise(F.col(f"_old.{c}")).alias(c) for c in ("centre", "inverse", "det")], "moved"), f"estimate{step}")
+            step += 1
+        least = fitted.groupBy(*group).agg(F.min_by(F.struct("centre", "inverse", "det"), F.struct("det", "start")).alias("_best")).select(*group, F.lit(0).alias("start"), "_best.*")
+        agreeing = _near(rows, small(settle(least, "least")))
+        fitted = settle(_fit(agreeing, (F.col("distance") <= AGREES).cast("double"), AGREES_SHRUNK, small), "estimate")
+    verdict = _near(rows, small(fitted)).select(*measured.columns, "distance")
     failed = measured.where("base_failed").withColumn("distance", F.lit(None).cast("double"))
     return verdict.unionByName(failed).select(key, *COUNTS, "base_failed", "distance", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= reach)).alias("kept"))
