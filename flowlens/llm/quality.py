@@ -182,12 +182,13 @@ _GROUP = ["_lang", "_source", "start"]
 _FITTED = "_lang string, _source string, start int, centre array<double>, inverse array<double>, det double"
 
 
-def _fit(rows: DataFrame, weight: Column, scale: float, small=lambda df: df) -> DataFrame:
-    """Estimates of each group and start; a language's sums are those of its groups' first starts."""
+def _fit(rows: DataFrame, weight: Column, scale: float, few: bool) -> DataFrame:
+    """Estimates of each group and start; a language's sums are those of its groups' first starts. `few` groups are broadcast, and estimated by one task."""
     sums = rows.groupBy(*_GROUP).agg(*_moments(weight))
     names = [c for c in sums.columns if c not in _GROUP]
     langs = sums.where("start = 0").groupBy("_lang").agg(*[F.sum(c).alias(f"l_{c}") for c in names]).withColumnRenamed("_lang", "_l")
-    both = sums.join(small(langs), F.col("_lang").eqNullSafe(F.col("_l"))).drop("_l")
+    both = sums.join(F.broadcast(langs) if few else langs, F.col("_lang").eqNullSafe(F.col("_l"))).drop("_l")
+    both = both.repartition(1) if few else both
     return both.mapInPandas(partial(_estimates, scale=scale), _FITTED)
 
 
@@ -239,7 +240,7 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str =
             near = _near(rows, small(fitted.drop("moved")))
             limits = near.groupBy(*_GROUP).agg(F.percentile_approx("distance", KEEP, 1000).alias("_most")).withColumnsRenamed({"_lang": "_l2", "_source": "_s2", "start": "_t2"})
             inner = near.join(small(limits), _same({"_lang": "_l2", "_source": "_s2", "start": "_t2"})).drop("_l2", "_s2", "_t2")
-            new = _fit(inner, (F.col("distance") <= F.col("_most")).cast("double"), SHRUNK, small)
+            new = _fit(inner, (F.col("distance") <= F.col("_most")).cast("double"), SHRUNK, few)
             old = fitted.withColumnsRenamed({"_lang": "_l", "_source": "_s", "start": "_t"}).select("_l", "_s", "_t", F.struct("centre", "inverse", "det").alias("_old"), F.col("moved").alias("_moved"))
             falls = F.col("_moved") & (F.col("det") < F.col("_old.det") - FALL)
             both = new.join(small(old), _same({"_lang": "_l", "_source": "_s", "start": "_t"})).withColumn("moved", falls)
@@ -247,7 +248,7 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str =
             step += 1
         least = fitted.groupBy(*group).agg(F.min_by(F.struct("centre", "inverse", "det"), F.struct("det", "start")).alias("_best")).select(*group, F.lit(0).alias("start"), "_best.*")
         agreeing = _near(rows, small(settle(least, "least")))
-        fitted = settle(_fit(agreeing, (F.col("distance") <= AGREES).cast("double"), AGREES_SHRUNK, small), "estimate")
+        fitted = settle(_fit(agreeing, (F.col("distance") <= AGREES).cast("double"), AGREES_SHRUNK, few), "estimate")
     verdict = _near(rows, small(fitted)).select(*measured.columns, "distance")
     failed = measured.where("base_failed").withColumn("distance", F.lit(None).cast("double"))
     return verdict.unionByName(failed).select(key, *COUNTS, "base_failed", "distance", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= reach)).alias("kept"))
