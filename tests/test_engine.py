@@ -12,6 +12,7 @@ from threading import Event
 import pytest
 from flowlens.api import Engine
 from flowlens.cli import main
+from flowlens.functions import vectors
 from flowlens.operators import embed, graphops, search
 from flowlens.schemas import PARTS, TABLES, columns
 from flowlens.server import serve
@@ -99,6 +100,10 @@ def test_batches_do_not_change_vectors(spark):
     lengths = [r["n"] for r in raw]
     planned = sum(len(b) * max(lengths[i] for i in b) for b in embed.plan_batches(lengths, 900))
     assert padded <= 1.03 * planned
+    wide = embed.HashingProvider(300)
+    assert wide.column(F.col("text")) is None
+    counted = {r["id"]: list(r["v"]) for r in rows.select("id", vectors.unit(vectors.hashed("text", 300)).cast("array<float>").alias("v")).collect()}
+    assert counted == {r["id"]: list(r["vector"]) for r in embed.embed_column(rows, "text", wide).collect()}
     short = embed.FunctionProvider("s", 16, lambda t: [])
     with pytest.raises(Exception, match="0 vectors"):
         embed.embed_column(rows, "text", short).collect()
