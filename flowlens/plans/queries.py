@@ -373,6 +373,14 @@ def g_shortest_path(spark, sf_dir):
     return _routes(spark, sf_dir)[1].select("graph_id", "from_node", "to_node", F.array_join("route", ">").alias("route"))
 
 
+@query(ORACLE_SQL["g_shortest_path"])
+def g_meeting_path(spark, sf_dir):
+    """The routes of g_shortest_path, searched from both ends."""
+    events = _t(spark, sf_dir, "events")
+    found = graphops.meeting_routes(_event_edges(events), _event_requests(events), cut=keep)
+    return found.select("graph_id", "from_node", "to_node", F.array_join("route", ">").alias("route"))
+
+
 @query(_EVENTS + "SELECT r.g AS graph_id, r.f AS from_node, r.t AS to_node FROM r WHERE NOT EXISTS (SELECT 1 FROM dist WHERE dist.g = r.g AND dist.f = r.f AND dist.node = r.t)")
 def g_unreachable(spark, sf_dir):
     requests = _event_requests(_t(spark, sf_dir, "events"))

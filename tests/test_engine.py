@@ -65,6 +65,55 @@ def test_routes_equal_a_queue_search(spark):
         assert reach.get((g, "n6")) == (len(expected) - 1 if expected else None)
 
 
+def test_routes_from_both_ends_are_those_from_one(spark, tmp_path):
+    # a ladder of choices: two ways a step, all equally long, and dead ends; and graphs by chance
+    rng = random.Random(2)
+    pairs = {"ladder": [(f"{x}{i}", f"{y}{i + 1}") for i in range(8) for x in "ab" for y in "ba"]}
+    pairs["ladder"] += [("s", "a0"), ("s", "b0"), ("a8", "t"), ("b8", "t"), *((f"a{i}", f"dead{i}") for i in range(8))]
+    pairs |= {f"g{k}": [(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(rng.randrange(6, 24))] for k in range(10)}
+    rows = [("r", g, f"{g}|{i}", i, a, b) for g, p in pairs.items() for i, (a, b) in enumerate(p)]
+    edges = spark.createDataFrame(rows, "repo_id string, graph_id string, edge_id string, edge_ord long, source string, target string").cache()
+    asked = [("r", g, f"n{a}", f"n{b}") for g in pairs if g != "ladder" for a in range(9) for b in range(9)] + [("r", "ladder", "s", "t"), ("r", "ladder", "t", "s"), ("r", "ladder", "s", "dead7"), ("r", "ladder", "nowhere", "t")]
+    requests = spark.createDataFrame([*asked, asked[0]], "repo_id string, graph_id string, from_node string, to_node string").cache()
+
+    def cut(kind):
+        def keep(name, df):
+            path = f"file://{tmp_path}/{kind}{len(list(tmp_path.iterdir()))}"
+            df.write.parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        return keep
+
+    every = lambda df: sorted((r["graph_id"], r["from_node"], r["to_node"], r["hops"], tuple(r["route"]), tuple(r["edge_ids"])) for r in df.collect())
+    got = every(graphops.meeting_routes(edges, requests, cut("both")))
+    assert got == every(graphops.shortest_routes(edges, requests, cut("one")))
+    assert {x[:3]: list(x[4]) for x in got} == {(g, a, b): _queue(pairs[g], a, b) for _, g, a, b in asked if _queue(pairs[g], a, b)}
+    assert graphops.meeting_routes(edges.where("false"), requests, cut("none")).where("from_node != to_node").isEmpty()
+    assert graphops.meeting_routes(edges, requests.where("false"), cut("none")).isEmpty()
+
+
+def test_both_ends_write_fewer_rows_on_a_tree(spark, tmp_path):
+    # three ways a node, seven deep: the end is reached from behind in one way
+    rows = [("r", "tree", f"e{i}-{k}", 3 * i + k, f"n{i}", f"n{3 * i + k + 1}") for i in range((3**7 - 1) // 2) for k in range(3)]
+    edges = spark.createDataFrame(rows, "repo_id string, graph_id string, edge_id string, edge_ord long, source string, target string").cache()
+    asked = spark.createDataFrame([("r", "tree", "n0", f"n{(3**7 - 1) // 2 + 5}")], "repo_id string, graph_id string, from_node string, to_node string")
+    written: dict[str, int] = {}
+
+    def cut(kind):
+        def keep(name, df):
+            path = f"file://{tmp_path}/{kind}{len(list(tmp_path.iterdir()))}"
+            df.write.parquet(path)
+            back = spark.read.schema(df.schema).parquet(path)
+            written[kind] = written.get(kind, 0) + (back.count() if name.startswith(("level", "side")) else 0)
+            return back
+
+        return keep
+
+    one, both = graphops.shortest_routes(edges, asked, cut("one")).collect(), graphops.meeting_routes(edges, asked, cut("both")).collect()
+    assert one == both and one[0]["hops"] == 7
+    assert written["both"] * 50 < written["one"]
+
+
 def test_search(spark):
     rows = spark.createDataFrame([("r", "g", "a", [42.0, 0.0]), ("r", "g", "b", [0.0, 1.0]), ("r", "h", "c", [1.0, 1.0])], "repo_id string, graph_id string, chunk_id string, vector array<float>")
     got = [(r["chunk_id"], round(r["score"], 5)) for r in search.top_k(rows, [2.0, 0.0], 5).collect()]
