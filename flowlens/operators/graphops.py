@@ -53,55 +53,57 @@ def shortest_routes(edges: DataFrame, requests: DataFrame, cut=None) -> DataFram
 def meeting_routes(edges: DataFrame, requests: DataFrame, cut=None) -> DataFrame:
     """The rows of shortest_routes(), searched from both ends at once.
 
-    Each request has a frontier of nodes that lie f hops behind its start, with the least edge places that lead to
-    each, and one of nodes b hops before its end, with the least places from there. The side with fewer rows in all goes
-    a step; where both frontiers share a node for the first time the route has f + b hops, and that of the least places
-    passes a shared node. A request leaves both sides once it is met, or once either side has nothing new. A side holds
-    what lies within half the hops, so that where nodes have many edges far fewer rows are written than from one end.
+    Each request has a frontier of the nodes that lie n hops behind its start, with the least edge places that lead to
+    each, and one of those n hops before its end, with the least places from there. Both go a hop a round, in one table.
+    Where the new front meets the old back the route has 2n + 1 hops, where it meets the new one 2n + 2, and the route of
+    the least places passes a shared node. A request leaves once it is met, or once either side has nothing new. There
+    are half as many rounds as hops, and where nodes have many edges far fewer rows are written than from one end.
     A request to its own node has no hops; without edges or requests there are no other rows. Edges may name nodes that
     no table has; equal requests give one row. Frontiers are written out by `cut` (name, frame), or checkpointed.
     """
     keep = cut or (lambda name, df: df.checkpoint())
-    keys, at = [*G, "from_node", "to_node"], [*G, "from_node", "to_node", "_at"]
-    near = keep("near", adjacency(edges).select(*G, "source", "target", "place", "edge_id"))
-    wanted = keep("wanted", requests.select(*keys).distinct())
-    strings, ints = F.array().cast("array<string>"), F.array().cast("array<int>")
-    own = wanted.where("from_node = to_node").select(*keys, F.array("from_node").alias("route"), strings.alias("edge_ids"))
-    apart = wanted.where("from_node != to_node")
-    sides = [apart.select(*keys, F.col(end).alias("_at"), ints.alias("_key"), F.array(end).alias("route"), strings.alias("edge_ids")) for end in ("from_node", "to_node")]
-    seen, rows, results = [s.select(*at) for s in sides], [apart.count()] * 2, [own]
-    while all(rows):
-        side = int(rows[1] < rows[0])
-        fresh = _step(sides[side], near, forward=side == 0).join(seen[side], at, "left_anti")
-        best = fresh.groupBy(*at).agg(F.min_by(F.struct("_key", "route", "edge_ids"), "_key").alias("_b")).select(*at, "_b.*")
-        sides[side] = keep(f"side{side}", best)
-        seen[side] = seen[side].unionByName(sides[side].select(*at))
-        met = keep("met", _met(*sides, at))
+    keys = [*G, "from_node", "to_node"]
+    at = [*keys, "side", "_at"]
+    sided = lambda **of: F.explode(F.array(*[F.struct(F.lit(side).alias("side"), *[F.col(c[side]).alias(n) for n, c in of.items()]) for side in (AHEAD, BEHIND)]))
+    ways = sided(_at=("source", "target"), _to=("target", "source"))
+    near = keep("near", adjacency(edges).select(*G, "place", "edge_id", ways.alias("_w")).select(*G, "place", "edge_id", "_w.*"))
+    wanted = requests.select(*keys).distinct()
+    strings = F.array().cast("array<string>")
+    results = [wanted.where("from_node = to_node").select(*keys, F.array("from_node").alias("route"), strings.alias("edge_ids"))]
+    begun = wanted.where("from_node != to_node").select(*keys, sided(_at=("from_node", "to_node")).alias("_e")).select(*keys, "_e.*")
+    frontier = keep("side0", begun.select(*at, F.array().cast("array<int>").alias("_key"), F.array("_at").alias("route"), strings.alias("edge_ids")))
+    seen, level = frontier.select(*at), 0
+    while not frontier.isEmpty():
+        level += 1
+        fresh = _both_step(frontier, near).join(seen, at, "left_anti")
+        new = keep(f"side{level}", fresh.groupBy(*at).agg(F.min_by(F.struct("_key", "route", "edge_ids"), "_key").alias("_b")).select(*at, "_b.*"))
+        seen = seen.unionByName(new.select(*at))
+        met = keep(f"met{level}", _met(new, frontier.where(F.col("side") == BEHIND).unionByName(new.where(F.col("side") == BEHIND)), keys))
         results.append(met)
-        sides[side] = sides[side].join(met.select(*keys), keys, "left_anti")
-        # the other side goes on for those that have something new and are not met
-        sides[1 - side] = keep(f"side{1 - side}", sides[1 - side].join(sides[side].select(*keys).distinct(), keys, "left_semi"))
-        rows = [s.count() for s in sides]
+        alive = new.groupBy(*keys).agg(F.min("side").alias("_l"), F.max("side").alias("_h")).where("_l != _h").join(met.select(*keys), keys, "left_anti")
+        frontier = new.join(alive.select(*keys), keys, "left_semi")
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
     return out.select(*keys, F.size("edge_ids").alias("hops"), "route", "edge_ids")
 
 
-def _step(frontier: DataFrame, near: DataFrame, forward: bool) -> DataFrame:
-    """A frontier's neighbours along edges, or against them; what led to each grows at the end that the side is at."""
-    here, there = ("source", "target") if forward else ("target", "source")
-    hops = near.select(*G, F.col(here).alias("_at"), F.col(there).alias("_to"), "place", "edge_id")
-    grown = lambda of, more: (F.concat(of, F.array(more)) if forward else F.concat(F.array(more), of)).alias(of)
-    return frontier.join(hops, [*G, "_at"]).select(*G, "from_node", "to_node", F.col("_to").alias("_at"), grown("_key", "place"), grown("route", "_to"), grown("edge_ids", "edge_id"))
+#: The side of a request that follows edges, and the one that goes against them.
+AHEAD, BEHIND = 0, 1
+
+
+def _both_step(frontier: DataFrame, near: DataFrame) -> DataFrame:
+    """The neighbours of both sides; what led to each grows at the end that its side is at."""
+    grown = lambda of, more: F.when(F.col("side") == AHEAD, F.concat(of, F.array(more))).otherwise(F.concat(F.array(more), of)).alias(of)
+    return frontier.join(near, [*G, "side", "_at"]).select(*G, "from_node", "to_node", "side", F.col("_to").alias("_at"), grown("_key", "place"), grown("route", "_to"), grown("edge_ids", "edge_id"))
 
 
-def _met(ahead: DataFrame, behind: DataFrame, at: list[str]) -> DataFrame:
-    """The least route of each request whose frontiers share a node."""
-    rest = behind.select(*at, F.col("_key").alias("_k2"), F.expr("slice(route, 2, size(route))").alias("_r2"), F.col("edge_ids").alias("_e2"))
+def _met(new: DataFrame, behind: DataFrame, keys: list[str]) -> DataFrame:
+    """The least route of each request whose sides share a node: of the fewest hops, then of the least places."""
+    rest = behind.select(*keys, "_at", F.col("_key").alias("_k2"), F.expr("slice(route, 2, size(route))").alias("_r2"), F.col("edge_ids").alias("_e2"))
     whole = F.struct(F.concat("_key", "_k2").alias("_key"), F.concat("route", "_r2").alias("route"), F.concat("edge_ids", "_e2").alias("edge_ids"))
-    keys = at[:-1]
-    return ahead.join(rest, at).select(*keys, whole.alias("_w")).groupBy(*keys).agg(F.min_by("_w", "_w._key").alias("_b")).select(*keys, "_b.route", "_b.edge_ids")
+    met = new.where(F.col("side") == AHEAD).join(rest, [*keys, "_at"]).select(*keys, whole.alias("_w"))
+    return met.groupBy(*keys).agg(F.min_by("_w", F.struct(F.size("_w._key"), F.col("_w._key"))).alias("_b")).select(*keys, "_b.route", "_b.edge_ids")
 
 
 def reachable_within(edges: DataFrame, requests: DataFrame, levels: int | None = None, cut=None) -> DataFrame:

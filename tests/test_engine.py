@@ -111,7 +111,7 @@ def test_both_ends_write_fewer_rows_on_a_tree(spark, tmp_path):
 
     one, both = graphops.shortest_routes(edges, asked, cut("one")).collect(), graphops.meeting_routes(edges, asked, cut("both")).collect()
     assert one == both and one[0]["hops"] == 7
-    assert written["both"] * 50 < written["one"]
+    assert written["both"] * 20 < written["one"]
 
 
 def test_search(spark):
