@@ -33,6 +33,14 @@ TABLES = {
     "chunks": "repo_id string, graph_id string, chunk_id string, node_id string, node_name string, file_path string, line_start int, line_end int, docstring string, text string, embedding_model string, dimension int, vector array<float>",
 }
 
+#: Version of TABLES, and what each version added to the tables of the one before: column and the SQL expression that
+#: gives it to rows of earlier tables. 1 knew no state of routing, 2 no facts of files.
+VERSION = 3
+ADDED: dict[int, dict[str, dict[str, str]]] = {
+    2: {"nodes": {"routing_resolution": f"'{NOT_APPLICABLE}'"}},
+    3: {},
+}
+
 #: Tables with a row or more a graph.
 PARTS = tuple(t for t in TABLES if t != "files")
 

@@ -16,13 +16,14 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field, replace
 from datetime import UTC, datetime
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import search as nearest
-from ..schemas import NOT_APPLICABLE, PARTS, TABLES, columns
+from ..schemas import ADDED, NOT_APPLICABLE, PARTS, TABLES, VERSION, columns
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,18 @@ class Repository:
     tables: dict[str, str] = field(default_factory=dict)
     #: The number of its manifest.
     number: int = 0
+    #: The version of schemas.TABLES that each table was written in; 1 where it is not named.
+    schemas: dict[str, int] = field(default_factory=dict)
+
+    def checked(self) -> Repository:
+        """Itself; an index that a later version of this library wrote raises."""
+        later = sorted(t for t, v in self.schemas.items() if v > VERSION)
+        if later:
+            raise ValueError(f"the index of {self.repo_id} has tables of a later version: {', '.join(later)}")
+        return self
+
+    def schema(self, table: str) -> int:
+        return self.schemas.get(table, 1)
 
     def folder(self, table: str) -> str:
         return self.tables.get(table, self.version)
@@ -100,6 +113,7 @@ class Store:
             found = Repository(**self._manifest(folder, numbers[-1] if number is None else number))
         except (ValueError, TypeError) as e:
             raise ValueError(f"the manifest of {repo_id} is damaged: {e}") from e
+        found.checked()
         for version in sorted(found.folders()):
             if not self._fs.exists(self._path(folder, version)):
                 raise ValueError(f"the index of {repo_id} lacks its version {version}")
@@ -124,7 +138,7 @@ class Store:
             folder = status.getPath().getName()
             numbers = self._numbers(folder) if status.isDirectory() else []
             if numbers:
-                found.append(Repository(**self._manifest(folder, numbers[-1])))
+                found.append(Repository(**self._manifest(folder, numbers[-1])).checked())
         return sorted(found, key=lambda r: r.repo_id)
 
     def repositories(self) -> list[str]:
@@ -202,7 +216,9 @@ class Store:
             self._write(base.repo_id, version, name, tables[name], base.dimension)
         while True:
             try:
-                info = replace(base, last_indexed_at=(at or datetime.now(UTC)).isoformat(), version=version, tables={n: kept.get(n, version) for n in TABLES}, number=base.number + 1)
+                # tables that stay keep the schema that they were written in
+                schemas = {n: base.schema(n) if n in kept else VERSION for n in TABLES}
+                info = replace(base, last_indexed_at=(at or datetime.now(UTC)).isoformat(), version=version, tables={n: kept.get(n, version) for n in TABLES}, number=base.number + 1, schemas=schemas)
                 self._publish(info)
                 return info
             except Conflict:
@@ -279,8 +295,7 @@ class Store:
         return self.spark.read.schema(TABLES[name]).parquet(*[re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in given])  # readers take patterns
 
     def _table(self, info: Repository, name: str) -> DataFrame:
-        found = self._read("/".join([self.root, self.key(info.repo_id), info.folder(name), name]), name)
-        return _stated(found) if name == "nodes" else found
+        return migrated(self._read("/".join([self.root, self.key(info.repo_id), info.folder(name), name]), name), name, info.schema(name))
 
     def table(self, repo_id: str, name: str, number: int | None = None) -> DataFrame:
         """A table of a repository's index as it stands, or as version `number` had it; empty if there is none."""
@@ -304,15 +319,25 @@ class Store:
             infos = self._all()
         for info in infos:
             nearest.check(top_k, filters, query, info.dimension)
-        paths = ["/".join([self.root, self.key(i.repo_id), i.folder("chunks"), "chunks"]) for i in infos]
-        # one scan, however many repositories
-        rows = self._read(paths, "chunks") if paths else self.spark.createDataFrame([], TABLES["chunks"])
+        paths: dict[int, list[str]] = {}
+        for i in infos:
+            paths.setdefault(i.schema("chunks"), []).append("/".join([self.root, self.key(i.repo_id), i.folder("chunks"), "chunks"]))
+        # a scan for each version of the schema, however many repositories
+        scans = [migrated(self._read(p, "chunks"), "chunks", version) for version, p in sorted(paths.items())]
+        rows = reduce(DataFrame.unionByName, scans) if scans else self.spark.createDataFrame([], TABLES["chunks"])
         return nearest.top_k(rows, query, top_k, filters=filters)
 
 
-def _stated(nodes: DataFrame) -> DataFrame:
-    """An index written before a state was known has it as not applicable."""
-    return nodes.withColumn("routing_resolution", F.coalesce("routing_resolution", F.lit(NOT_APPLICABLE)))
+def migrated(rows: DataFrame, table: str, version: int) -> DataFrame:
+    """Rows of a table that was written in an earlier version of the schema, with the columns that later ones added.
+
+    `rows` has all columns of today's schema, null where the files lack them. Versions are gone through one by one, so that a
+    column may be made of one that an earlier step added. Rows of today's version are given back as they are.
+    """
+    for step in range(version + 1, VERSION + 1):
+        added = ADDED[step].get(table, {})
+        rows = rows.withColumns({c: F.coalesce(c, F.expr(e)) for c, e in added.items()}) if added else rows
+    return rows
 
 
 def nested(graphs: DataFrame, nodes: DataFrame, edges: DataFrame, routes: DataFrame, bindings: DataFrame) -> DataFrame:

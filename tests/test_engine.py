@@ -380,6 +380,46 @@ def test_two_writers_lose_nothing(spark, tmp_path):
     assert earlier.count() == 6 and store.get_repository("r", 2) is None
 
 
+def test_tables_of_earlier_schemas_are_read(spark, tmp_path, monkeypatch):
+    from flowlens.schemas import VERSION
+    from flowlens.sources import store as stored
+
+    store = Store(spark, f"file://{tmp_path}/s")
+    node = ("r", "g", "g::n", 0, "n", "f", 1, 1, "Doc.", "", "full", "full", "full")
+    tables = {"graphs": spark.createDataFrame([("r", "g", "f", "g", None)], TABLES["graphs"]), "nodes": spark.createDataFrame([node], TABLES["nodes"])}
+    info = store.replace("r", "/r", tables, "m", 2)
+    assert set(info.schemas.values()) == {VERSION} and set(info.schemas) == set(TABLES)
+    # as the first version wrote it: no state of routing, no versions in the manifest
+    folder = tmp_path / "s" / Store.key("r")
+    tables["nodes"].drop("routing_resolution").write.mode("overwrite").parquet(f"file://{folder}/{info.version}/nodes")
+    manifest = folder / "manifest-000000001.json"
+    stated = json.loads(manifest.read_text())
+    del stated["schemas"]
+    manifest.write_text(json.dumps(stated))
+    state = lambda: [r["routing_resolution"] for r in store.table("r", "nodes").collect()]
+    assert state() == ["not_applicable"]
+    # an upsert of other tables leaves the old one and its version; one of graphs writes it anew
+    chunk = ("r", "g", "c", "n", "n", "f", 1, 1, None, "t", "m", 2, [1.0, 0.0])
+    store.upsert_chunks("r", spark.createDataFrame([chunk], TABLES["chunks"]))
+    found = store.get_repository("r")
+    assert (found.schema("nodes"), found.schema("chunks")) == (1, VERSION) and state() == ["not_applicable"]
+    store.replace("q", "/q", {"chunks": spark.createDataFrame([("q", *chunk[1:])], TABLES["chunks"])}, "m", 2)
+    assert sorted(r["repo_id"] for r in store.search([1.0, 0.0], 5, {}).collect()) == ["q", "r"]
+    store.upsert_graphs("r", {"graphs": spark.createDataFrame([("r", "h", "f", "h", None)], TABLES["graphs"])})
+    assert store.get_repository("r").schema("nodes") == VERSION and state() == ["not_applicable"]
+    # steps are taken one by one, each from what the one before made, and only those that a table lacks
+    monkeypatch.setattr(stored, "VERSION", VERSION + 2)
+    monkeypatch.setattr(stored, "ADDED", stored.ADDED | {VERSION + 1: {"nodes": {"docstring": "concat('of ', name)"}}, VERSION + 2: {"nodes": {"source_file": "upper(docstring)"}}})
+    rows = spark.createDataFrame([node[:5] + (None, 1, 1, None, *node[9:])], TABLES["nodes"])
+    assert [tuple(r) for r in stored.migrated(rows, "nodes", VERSION).select("docstring", "source_file").collect()] == [("of n", "OF N")]
+    assert [tuple(r) for r in stored.migrated(rows, "nodes", VERSION + 1).select("docstring", "source_file").collect()] == [(None, None)]
+    store.replace("late", "/late", {}, "m", 2)
+    monkeypatch.undo()
+    for read in (lambda: store.get_repository("late"), store.repositories):
+        with pytest.raises(ValueError, match="later version"):
+            read()
+
+
 def test_command_line(engine, repo, tmp_path):
     out, err = io.StringIO(), io.StringIO()
     assert main(["status", str(repo), "--json"], engine, out, err) == 0 and json.loads(out.getvalue())["indexed"]
