@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -144,6 +146,19 @@ def rt_cross_file(spark, sf_dir):
     return _index(render.imported(_t(spark, sf_dir, "nation"))).nodes.select("graph_id", "resolution", "source_file", "docstring")
 
 
+@query("""SELECT 's' || s_suppkey || '.py::g' AS graph_id, 'w' || s_suppkey || '.py' AS source_file, 5 AS line_start, CAST(7 + (s_suppkey % 3 > 0)::INT AS INT) AS line_end, 'Supplier ' || s_suppkey || '.' AS docstring,
+  CASE s_suppkey % 3 WHEN 0 THEN 'not_applicable' WHEN 1 THEN 'full' ELSE 'partial' END AS tool_resolution, CASE s_suppkey % 4 WHEN 0 THEN 'not_applicable' WHEN 3 THEN 'partial' ELSE 'full' END AS routing_resolution,
+  CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 't1 tools,t2 ' ELSE 't1 tools' END AS tools, CASE s_suppkey % 4 WHEN 1 THEN 'normal n2' WHEN 2 THEN 'conditional n2,conditional n3' ELSE '' END AS edges FROM supplier""")
+def rt_imported_bodies(spark, sf_dir):
+    """What functions in other files say of the nodes that use them: places, texts, states, tools and ways on."""
+    index, g = _index(render.bodies(_t(spark, sf_dir, "supplier"))), ["repo_id", "graph_id"]
+    listed = lambda rows, name, order, text: rows.groupBy(*g).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text.alias("t")))), lambda x: x["t"]), ",").alias(name))
+    tools = listed(index.tool_bindings, "tools", "binding_ord", F.concat("tool_name", F.lit(" "), F.coalesce("tool_source", F.lit(""))))
+    edges = listed(index.edges, "edges", "edge_ord", F.concat("type", F.lit(" "), "target"))
+    found = index.nodes.join(tools, g, "left").join(edges, g, "left")
+    return found.select("graph_id", "source_file", "line_start", "line_end", "docstring", "tool_resolution", "routing_resolution", *[F.coalesce(c, F.lit("")).alias(c) for c in ("tools", "edges")])
+
+
 @query(_CHAIN + """SELECT 'c' || c || '.py' AS path, 'g' AS of, n AS name, CAST(CASE WHEN k % 2 = 0 THEN 2 * e ELSE 0 END AS INT) AS defined_at, CAST(2 + 2 * evens + i AS INT) AS added_at FROM o""")
 def rt_parse_in_sql(spark, sf_dir):
     """Nodes and where their functions are, by table functions in SQL alone."""
@@ -248,10 +263,10 @@ def g_node_name(spark, sf_dir):
 
 # ---- the verbs, over an index of rendered modules
 
-def _engine(spark, modules: DataFrame) -> tuple[Engine, str]:
+def _engine(spark, modules: DataFrame, provider=None) -> tuple[Engine, str]:
     """An engine whose store holds `modules` as one repository, and that repository's folder, which is empty."""
     folder = tempfile.mkdtemp(prefix="flowlens-verbs-")
-    engine = Engine(spark, index_root=shared_dir(spark) + "/flowlens-verbs")
+    engine = Engine(spark, index_root=shared_dir(spark) + "/flowlens-verbs", provider=provider)
     parsed = keep("facts", facts(modules.withColumn("repo_id", F.lit(folder))))
     index = assemble(parsed)
     tables = {n: getattr(index, n) for n in ("graphs", "nodes", "edges", "routes", "tool_bindings")}
@@ -319,6 +334,35 @@ def a_repository_status(spark, sf_dir):
     return spark.createDataFrame([(a["indexed"], a.get("graph_count", 0), a.get("node_count", 0)) for a in found], "indexed boolean, graph_count long, node_count long")
 
 
+class _Md5Provider:
+    """Vectors that any SQL engine with MD5 can compute."""
+
+    name, dimension = "md5-16", 16
+
+    def column(self, text):
+        return vectors.hashed(text, self.dimension, vectors.md5_bucket)
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        buckets = [[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % self.dimension for t in re.findall(vectors.TOKEN, text.lower())] or [0] for text in texts]
+        return [[float(b.count(i)) for i in range(self.dimension)] for b in buckets]
+
+    def embed_query(self, query: str) -> list[float]:
+        return self.embed([query])[0]
+
+
+@query(_CHAIN + """, x AS (SELECT 'c' || c || '.py::g::node::' || n AS node_id, CASE WHEN k % 2 = 0 THEN 'def ' || n || '(state):' || chr(10) || '    return state' ELSE 'g.add_node("' || n || '", ' || n || ')' END AS text FROM o
+    UNION ALL SELECT NULL, 'def o' || min(o_orderkey) || '(state): return state' FROM orders),
+  v AS (SELECT node_id, list_transform(range(16), lambda i: CAST(len(list_filter(b, lambda z: z = i)) AS DOUBLE)) AS v FROM
+    (SELECT node_id, list_transform(list_filter(string_split_regex(lower(text), '[ \\t\\n._]+'), lambda z: z <> ''), lambda z: CAST('0x' || substr(md5(z), 1, 8) AS BIGINT) % 16) AS b FROM x))
+SELECT v.node_id, round(list_cosine_similarity(v.v, q.v), 5) AS score FROM v, v AS q WHERE q.node_id IS NULL AND v.node_id IS NOT NULL ORDER BY round(list_cosine_similarity(v.v, q.v), 9) DESC, v.node_id || '::chunk' LIMIT 10""")
+def a_semantic_search(spark, sf_dir):
+    """The ten nodes whose code is most like a function's, by the verb."""
+    orders = _t(spark, sf_dir, "orders")
+    engine, folder = _engine(spark, render.chains(orders), _Md5Provider())
+    found = engine.semantic_search_nodes(f"def o{orders.agg(F.min('o_orderkey')).first()[0]}(state): return state", folder, 10)
+    return spark.createDataFrame([(r["node_id"], round(r["score"], 5)) for r in found["results"]], "node_id string, score double")
+
+
 # ---- graphs made of events
 
 _EVENTS = """
@@ -365,10 +409,13 @@ def g_shortest_distance(spark, sf_dir):
     return _routes(spark, sf_dir)[1].select("graph_id", "from_node", "to_node", "hops")
 
 
-@query(_EVENTS + """, w(g, f, t, node, k, path, d) AS (SELECT g, f, t, f, CAST([] AS BIGINT[]), f, 0 FROM r
+_SHORTEST = _EVENTS + """, w(g, f, t, node, k, path, d) AS (SELECT g, f, t, f, CAST([] AS BIGINT[]), f, 0 FROM r
   UNION ALL SELECT w.g, w.f, w.t, e.b, list_append(w.k, e.p), w.path || '>' || e.b, w.d + 1 FROM w JOIN e ON e.g = w.g AND e.a = w.node JOIN dist ON dist.g = w.g AND dist.f = w.f AND dist.node = e.b AND dist.d = w.d + 1
    JOIN dist z ON z.g = w.g AND z.f = w.f AND z.node = w.t WHERE w.d < z.d)
-SELECT g AS graph_id, f AS from_node, t AS to_node, arg_min(path, k) AS route FROM w WHERE node = t GROUP BY g, f, t""")
+"""
+
+
+@query(_SHORTEST + "SELECT g AS graph_id, f AS from_node, t AS to_node, arg_min(path, k) AS route FROM w WHERE node = t GROUP BY g, f, t")
 def g_shortest_path(spark, sf_dir):
     return _routes(spark, sf_dir)[1].select("graph_id", "from_node", "to_node", F.array_join("route", ">").alias("route"))
 
@@ -381,6 +428,17 @@ def g_meeting_path(spark, sf_dir):
     return found.select("graph_id", "from_node", "to_node", F.array_join("route", ">").alias("route"))
 
 
+@query(_SHORTEST + """, h AS (SELECT g, f, t, r, unnest(range(len(r) - 1)) AS s FROM (SELECT g, f, t, string_split(arg_min(path, k), '>') AS r FROM w WHERE node = t GROUP BY g, f, t))
+SELECT h.g AS graph_id, h.f AS from_node, h.t AS to_node, CAST(h.s AS INT) AS step, e.a AS source, e.b AS target, CASE WHEN e.i % 3 = 0 THEN 'conditional' ELSE 'normal' END AS type,
+  CASE WHEN e.i % 3 = 0 THEN 'pick_' || e.a END AS condition_function, CASE WHEN e.i % 6 = 0 THEN 'v' || e.i END AS condition_value,
+  CASE WHEN e.i % 6 = 0 THEN 'known' WHEN e.i % 3 = 0 THEN 'not_derivable' END AS value_resolution
+FROM h JOIN e ON e.g = h.g AND e.a = h.r[h.s + 1] AND e.b = h.r[h.s + 2]""")
+def g_route_steps(spark, sf_dir):
+    """The hops of all routes, with the branches that they cross."""
+    edges, found = _routes(spark, sf_dir)
+    return graphops.route_steps(found, edges, _event_known(edges)).drop("repo_id")
+
+
 @query(_EVENTS + "SELECT r.g AS graph_id, r.f AS from_node, r.t AS to_node FROM r WHERE NOT EXISTS (SELECT 1 FROM dist WHERE dist.g = r.g AND dist.f = r.f AND dist.node = r.t)")
 def g_unreachable(spark, sf_dir):
     requests = _event_requests(_t(spark, sf_dir, "events"))
@@ -589,6 +647,16 @@ def s_list_order(spark, sf_dir):
     return listed.join(F.broadcast(start), "_p").select("graph_id", "n_nodes", (F.col("_start") + F.col("_i") - F.col("_first") + 1).cast("int").alias("place"))
 
 
+@query(_CHAIN + "SELECT graph_id, 'c' || c || '.py' AS file_path, CAST(cnt AS INT) AS n_nodes, (SELECT string_agg(n, ',' ORDER BY i) FROM o WHERE o.c = g.c) AS nodes FROM g WHERE c = (SELECT max(c) FROM g)")
+def s_get_graph(spark, sf_dir):
+    """One graph out of a store of all, with its parts."""
+    store, repo = _store(spark), f"point:{sf_dir}"
+    index = _index(render.chains(_t(spark, sf_dir, "orders")))
+    store.replace(repo, "/r", {n: getattr(index, n) for n in ("graphs", "nodes", "edges", "routes", "tool_bindings")}, "m", 16)
+    last = _t(spark, sf_dir, "orders").agg(F.max("o_custkey")).first()[0]
+    return store.get_graph(repo, f"c{last}.py::g").select("graph_id", "file_path", F.size("nodes").alias("n_nodes"), F.array_join(F.transform("nodes", lambda n: n["name"]), ",").alias("nodes"))
+
+
 @query(_CHAIN + "SELECT graph_id, CAST(cnt AS INT) AS n_nodes, (SELECT string_agg(n, ',' ORDER BY i) FROM o WHERE o.c = g.c) AS nodes FROM g")
 def s_nested_roundtrip(spark, sf_dir):
     from ..sources.store import from_json, to_json

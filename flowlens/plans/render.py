@@ -78,6 +78,16 @@ def imported(nation: DataFrame) -> DataFrame:
     return graphs.unionByName(_module(hops, F.concat(at(hop), F.lit(".py")), body))
 
 
+def bodies(supplier: DataFrame) -> DataFrame:
+    """Two modules a supplier: a graph of one node, and its function, whose key says which tools it binds and where it goes."""
+    k, key = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    use = F.concat(F.lit(HEAD + "from w"), key, F.lit(" import work\ng = StateGraph(dict)\ng.add_node(\"n\", work)\n"))
+    bound = F.when(k % 3 == 1, "    llm.bind_tools([t1, t2])\n").when(k % 3 == 2, "    llm.bind_tools([t1, *more])\n").otherwise("")
+    goes = F.when(k % 4 == 1, 'Command(goto="n2")').when(k % 4 == 2, 'Command(goto=["n2", "n3"])').when(k % 4 == 3, "Command(goto=pick(state))").otherwise("state")
+    body = F.concat(F.lit('from flowlib import Command\nfrom tools import t1\n\n\ndef work(state):\n    """Supplier '), key, F.lit('."""\n'), bound, F.lit("    return "), goes, F.lit("\n"))
+    return _module(supplier, F.concat(F.lit("s"), key, F.lit(".py")), use).unionByName(_module(supplier, F.concat(F.lit("w"), key, F.lit(".py")), body))
+
+
 def damaged(modules: DataFrame) -> DataFrame:
     """Every tenth module (by the number in its name) cut inside a bracket, every tenth after it with a byte order mark, one with bad bytes, one with half a surrogate pair in a literal."""
     n = F.regexp_extract("path", "([0-9]+)", 1).cast("long")
