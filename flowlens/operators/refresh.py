@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import keep
-from ..sources.scan import facts
+from ..sources.scan import facts, spread
 from .assemble import Index, assemble
 from .resolve import HOPS, links
 
@@ -57,7 +57,7 @@ def difference(stored: DataFrame, files: DataFrame, cut: Callable[[str, DataFram
     met = now.join(known, same, "left").select(*same, "_old", F.when(F.col("_old").isNull(), F.col("content")).alias("content"))
     status = cut("status", met)
     changed, unchanged = status.where("_old is null"), status.where("_old")
-    parsed = cut("parsed", facts(changed.select(*FILE, "content", "is_ignored")))
+    parsed = cut("parsed", facts(spread(changed.select(*FILE, "content", "is_ignored"))))
     current = stored.join(unchanged.select(*same), same, "left_semi").unionByName(parsed)
     gone = stored.select(*FILE).join(status.select(*FILE), FILE, "left_anti")
     touched = cut("touched", changed.select(*FILE).unionByName(gone).distinct())

@@ -19,7 +19,7 @@ from ..operators.assemble import assemble
 from ..operators.refresh import difference
 from ..operators.vector_index import VectorIndex
 from ..sources import table_function
-from ..sources.scan import facts
+from ..sources.scan import facts, spread
 from ..sources.store import Store, nested
 from . import render
 from .scratch import keep, shared_dir
@@ -43,8 +43,13 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _facts(modules: DataFrame) -> DataFrame:
+    """Facts of rendered modules, written out."""
+    return keep("facts", facts(spread(keep("modules", modules))))
+
+
 def _index(modules: DataFrame):
-    return assemble(keep("facts", facts(modules)))
+    return assemble(_facts(modules))
 
 
 # ---- rendered modules, parsed and assembled
@@ -164,7 +169,7 @@ def rt_parse_in_sql(spark, sf_dir):
     """Nodes and where their functions are, by table functions in SQL alone."""
     table_function.register(spark)
     view = f"modules_{uuid.uuid4().hex}"
-    keep("modules", render.chains(_t(spark, sf_dir, "orders"))).createOrReplaceTempView(view)
+    spread(keep("modules", render.chains(_t(spark, sf_dir, "orders")))).createOrReplaceTempView(view)
     try:
         return spark.sql(f"""
             SELECT n.path, n.of, n.name, coalesce(f.line_start, 0) AS defined_at, n.line_start AS added_at
@@ -187,7 +192,7 @@ def rt_refresh(spark, sf_dir):
     other = F.when(defined & (number % 2 == 0), F.regexp_replace("content", "Nation", "Other")).otherwise(F.col("content"))
     before = render.chains(orders.where("not (o_custkey % 10 = 0 and o_orderkey % 2 = 0)")).unionByName(nations.where(~(defined & (number % 3 == 0))).withColumn("content", other))
     gone = render.aliased(_t(spark, sf_dir, "nation"))
-    old = keep("facts", facts(before.unionByName(gone)))
+    old = _facts(before.unionByName(gone))
     store, repo, first = _store(spark), f"refresh:{sf_dir}", assemble(old)
     parts = ("graphs", "nodes", "edges", "routes", "tool_bindings")
     base = store.replace(repo, "/r", {n: getattr(first, n) for n in parts} | {"files": old}, "m", 16)
@@ -200,13 +205,13 @@ def rt_refresh(spark, sf_dir):
 @query(_CHAIN + """SELECT 'c' || c || '.py::g::node::' || n || '::chunk' AS chunk_id,
   CASE WHEN k % 2 = 0 THEN 'def ' || n || '(state):' || chr(10) || '    return state' ELSE 'g.add_node("' || n || '", ' || n || ')' END AS text FROM o""")
 def rt_chunk_text(spark, sf_dir):
-    parsed = keep("facts", facts(render.chains(_t(spark, sf_dir, "orders"))))
+    parsed = _facts(render.chains(_t(spark, sf_dir, "orders")))
     return embed.chunks(assemble(parsed).nodes, parsed, embed.HashingProvider()).select("chunk_id", "text")
 
 
 @query("SELECT DISTINCT 'c' || o_custkey || '.py' AS path, CASE o_custkey % 10 WHEN 0 THEN 'syntax_error' WHEN 2 THEN 'decode_error' ELSE 'ok' END AS parse_status FROM orders")
 def rt_parse_status(spark, sf_dir):
-    return facts(render.damaged(render.chains(_t(spark, sf_dir, "orders")))).select("path", "parse_status")
+    return _facts(render.damaged(render.chains(_t(spark, sf_dir, "orders")))).select("path", "parse_status")
 
 
 @query("""WITH c AS (SELECT c_nationkey AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, count(*) OVER (PARTITION BY c_nationkey) AS k FROM customer)
@@ -267,7 +272,7 @@ def _engine(spark, modules: DataFrame, provider=None) -> tuple[Engine, str]:
     """An engine whose store holds `modules` as one repository, and that repository's folder, which is empty."""
     folder = tempfile.mkdtemp(prefix="flowlens-verbs-")
     engine = Engine(spark, index_root=shared_dir(spark) + "/flowlens-verbs", provider=provider)
-    parsed = keep("facts", facts(modules.withColumn("repo_id", F.lit(folder))))
+    parsed = _facts(modules.withColumn("repo_id", F.lit(folder)))
     index = assemble(parsed)
     tables = {n: getattr(index, n) for n in ("graphs", "nodes", "edges", "routes", "tool_bindings")}
     tables["nodes"] = keep("nodes", tables["nodes"])

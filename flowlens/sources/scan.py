@@ -14,6 +14,26 @@ from ..schemas import FILE_DDL
 from .kernel import parse
 
 
+#: Parsing takes a second or so for as many files, or as many bytes, which shuffles and splits of files hold by the hundred.
+FILES_A_TASK, BYTES_A_TASK = 512, 1 << 19
+#: Tasks that a job can well have; beyond them each takes more.
+MOST_TASKS = 100_000
+
+
+def tasks(files: int, size: int) -> int:
+    """Into how many tasks the parsing of `files` files of `size` bytes together goes."""
+    return max(1, min(MOST_TASKS, max(-(-files // FILES_A_TASK), -(-size // BYTES_A_TASK))))
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """`files`, a written table, dealt out by hash into tasks that parse about equally long; its contents' lengths are read first.
+
+    Repeated rows of one path go to one task.
+    """
+    n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()
+    return files.repartition(tasks(n, size), "repo_id", "path")
+
+
 def facts(files: DataFrame) -> DataFrame:
     """One row of facts (schemas.FILE_DDL) for each row (repo_id, path, content, is_ignored) of `files`.
 

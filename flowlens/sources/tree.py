@@ -25,6 +25,7 @@ from pyspark.sql.types import StructType
 
 from ..plans.scratch import keep
 from .paths import PRUNED, UNREAD, Ignore, guard
+from .scan import tasks
 
 #: Files and folders that a task meets in a round before it gives back the rest; bytes of files in one Arrow batch at least.
 ENTRIES, BATCH = 10_000, 16 << 20
@@ -141,6 +142,7 @@ def read_tree(spark: SparkSession, root: str | Path) -> DataFrame:
                     rows, held = [], 0
         yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    # neighbours are often large together: files are dealt out by hash
-    listed = list_tree(spark, tree).select("path", "is_ignored").repartition(F.xxhash64("path"))
-    return listed.mapInArrow(work, FILES)
+    # neighbours are often large together: files are dealt out by hash, into tasks by what they hold, not by their names' lengths
+    listed = list_tree(spark, tree)
+    n, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return listed.select("path", "is_ignored").repartition(tasks(n, size), "path").mapInArrow(work, FILES)
