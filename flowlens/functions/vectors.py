@@ -16,8 +16,10 @@ def norm(v: Column | str) -> Column:
 
 def unit(v: Column | str) -> Column:
     """The vector at length 1, in doubles; a zero vector stays."""
-    size = norm(v)
-    return F.transform(v, lambda x: F.when(size == 0, x.cast("double")).otherwise(x.cast("double") / size))
+    # as variables of outer lambdas the vector and its length are computed once, not once a place
+    sized = F.transform(F.array(v), lambda u: F.struct(u.alias("v"), norm(u).alias("size")))
+    scaled = lambda s: F.transform(s["v"], lambda x: F.when(s["size"] == 0, x.cast("double")).otherwise(x.cast("double") / s["size"]))
+    return F.element_at(F.transform(sized, scaled), 1)
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

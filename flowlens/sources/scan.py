@@ -14,8 +14,9 @@ from ..schemas import FILE_DDL
 from .kernel import parse
 
 
-#: Parsing takes a second or so for as many files, or as many bytes, which shuffles and splits of files hold by the hundred.
-FILES_A_TASK, BYTES_A_TASK = 512, 1 << 19
+#: Parsing takes a few seconds for as many files, or as many bytes. A task writes a file of facts, and to open one costs
+#: every scan of them more than to read hundreds of small modules' facts.
+FILES_A_TASK, BYTES_A_TASK = 8192, 1 << 21
 #: Tasks that a job can well have; beyond them each takes more.
 MOST_TASKS = 100_000
 
