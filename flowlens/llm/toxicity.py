@@ -7,9 +7,11 @@ goes to counts that both classes share. So an expression that is rare in both cl
 other, and one that a class holds often tells how much likelier it is there.
 
 Most words of a toxic text are ordinary ones: its model takes SHARE of the words from the toxic class's estimate and the
-others from the ordinary one. Both log-likelihoods, divided by the text's length, are compared, and a logistic curve
-makes the difference a probability. It is fitted on the labelled texts themselves, each compared by counts of the
-texts of other folds.
+others from the ordinary one. Where it is the ordinary texts that have words of their own, that difference says little:
+it falls by SHARE a word at most. So the ordinary model that takes SHARE from the ordinary class's estimate and the
+others from the toxic one is held against the toxic one as well. Both differences, divided by the text's length, give a
+probability by a logistic curve that never falls in the first nor rises in the second. It is fitted on the labelled
+texts themselves, each compared by counts of the texts of other folds.
 """
 
 from __future__ import annotations
@@ -105,20 +107,21 @@ class Kneser:
 
 
 class Ratios:
-    """Sums over a text's words of the toxic model's log-likelihood less the ordinary one's."""
+    """Sums over a text's words of each class's mixed log-likelihood less the other class's."""
 
     def __init__(self, model: Kneser, share: float = SHARE):
         self.model, self.share = model, share
         self.place: dict[str, int] = {}
-        self.values = np.zeros(_KEPT + 1)
+        self.toxic, self.ordinary = np.zeros(_KEPT + 1), np.zeros(_KEPT + 1)
 
     def _add(self, word: str) -> None:
-        self.values[len(self.place)] = np.log1p(self.share * (self.model.ratio(word.strip(_EDGES)) - 1))
-        self.place[word] = len(self.place)
+        at, ratio = len(self.place), self.model.ratio(word.strip(_EDGES))
+        self.toxic[at], self.ordinary[at] = np.log1p(self.share * (ratio - 1)), np.log1p(self.share * (1 / ratio - 1))
+        self.place[word] = at
 
-    def text(self, text: str) -> tuple[float, int]:
-        """The difference, and the number of words."""
-        found, total = text.lower().split(), 0.0
+    def text(self, text: str) -> tuple[float, float, int]:
+        """The toxic model's difference, the ordinary one's, and the number of words."""
+        found, toxic, ordinary = text.lower().split(), 0.0, 0.0
         for at in range(0, len(found), _KEPT // 2):
             part = found[at : at + _KEPT // 2]
             new = set(part).difference(self.place)
@@ -126,8 +129,9 @@ class Ratios:
                 self.place, new = {}, set(part)
             for w in new:
                 self._add(w)
-            total += self.values[np.fromiter(map(self.place.__getitem__, part), dtype=np.int64, count=len(part))].sum()
-        return total, len(found)
+            places = np.fromiter(map(self.place.__getitem__, part), dtype=np.int64, count=len(part))
+            toxic, ordinary = toxic + self.toxic[places].sum(), ordinary + self.ordinary[places].sum()
+        return toxic, ordinary, len(found)
 
 
 def _score(batches, shared, name: str):
@@ -138,23 +142,42 @@ def _score(batches, shared, name: str):
     for batch in batches:
         columns = [batch.column(i) for i in range(batch.num_columns - 1)]
         sums = [ratios.text(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([x / max(1, n) for x, n in sums], pa.float64()), pa.array([n for _, n in sums], pa.int64())], names=[*batch.schema.names[:-1], *NAMES])
+        made = [pa.array([s[i] / max(1, s[2]) for s in sums], pa.float64()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*columns, *made, pa.array([s[2] for s in sums], pa.int64())], names=[*batch.schema.names[:-1], *NAMES])
 
 
-NAMES = ["ratio", "n_words"]
-_MADE = "ratio double, n_words long"
+NAMES = ["ratio", "counter", "n_words"]
+_MADE = "ratio double, counter double, n_words long"
 
 
-def _features(ratio, n, lib=np):
-    """The difference of both log-likelihoods per word, on two scales, and the text's length."""
+def _features(ratio, counter, n, lib=np):
+    """Both differences of log-likelihoods per word, on two scales each and rising with toxicity, and the text's length."""
     if lib is np:
-        return [300 * ratio, 20 * np.sqrt(np.maximum(ratio, 0.0)), np.log(np.maximum(n, 1.0)) - 5.0]
-    return [300 * ratio, 20 * F.sqrt(F.greatest(ratio, F.lit(0.0))), F.log(F.greatest(n, F.lit(1.0))) - 5.0]
+        root = lambda x: np.sqrt(np.maximum(x, 0.0))
+        return [300 * ratio, 20 * root(ratio), -300 * counter, -20 * root(counter), np.log(np.maximum(n, 1.0)) - 5.0]
+    root = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
+    return [300 * ratio, 20 * root(ratio), -300 * counter, -20 * root(counter), F.log(F.greatest(n, F.lit(1.0))) - 5.0]
 
 
-def fit_curve(ratio: np.ndarray, n: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Logistic weights (constant first) by Newton's method with a ridge."""
-    x = np.column_stack([np.ones(len(toxic)), *(np.clip(f, -50, 50) for f in _features(ratio, n))])
+#: Features that a score never falls in: all but the length.
+RISING = 4
+
+
+def fit_curve(ratio: np.ndarray, counter: np.ndarray, n: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic weights (constant first), none of RISING's negative: the most negative one is left out until there is none."""
+    x = np.column_stack([np.ones(len(toxic)), *(np.clip(f, -50, 50) for f in _features(ratio, counter, n))])
+    used = list(range(x.shape[1]))
+    while True:
+        w = np.zeros(x.shape[1])
+        w[used] = _newton(x[:, used], toxic, weight)
+        least = 1 + int(w[1 : RISING + 1].argmin())
+        if w[least] >= 0:
+            return w
+        used.remove(least)
+
+
+def _newton(x: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic weights by Newton's method with a ridge."""
     w = np.zeros(x.shape[1])
     ridge = np.diag([1e-3] + [0.05] * (x.shape[1] - 1))
     for _ in range(60):
@@ -196,11 +219,11 @@ def _fit(counted: DataFrame, fold: int = FOLDS) -> Kneser | None:
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", threshold: float = 0.3, sample: int = SAMPLE, folds: int = 4, held: int = 2) -> DataFrame:
-    """One row per row of `docs`: `key`, held_out, score (0 to 1), predicted (1 from `threshold`), ratio and n_words.
+    """One row per row of `docs`: `key`, held_out, score (0 to 1), predicted (1 from `threshold`), ratio, counter and n_words.
 
     `labels` has `key` and `label`; rows that held_out() is true for are not learnt from, nor are null labels; of
     several labels of a key the largest holds. At most `sample` texts of either class are learnt from, equal ones once.
-    ratio is the toxic model's log-likelihood less the ordinary one's, per word. Null and empty texts have no words
+    ratio is the toxic model's log-likelihood less the ordinary one's, per word, counter the other way round. Null and empty texts have no words
     and get the curve's value for none. Where labels or their texts lack a class every score is the share of toxic
     labels. Every row of `docs` is scored over its whole text, repeated rows and those without key each; an empty table
     gives none.
@@ -217,7 +240,7 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     names = [F.col("_doc").alias(key), F.col("_held").alias("held_out")]
 
     def constant() -> DataFrame:
-        return base.select(*names, F.lit(float(share)).alias("score"), F.lit(int(share >= threshold)).alias("predicted"), F.lit(0.0).alias("ratio"), F.lit(0).cast("long").alias("n_words"))
+        return base.select(*names, F.lit(float(share)).alias("score"), F.lit(int(share >= threshold)).alias("predicted"), F.lit(0.0).alias("ratio"), F.lit(0.0).alias("counter"), F.lit(0).cast("long").alias("n_words"))
 
     if not 0 < share < 1:
         return constant()
@@ -241,13 +264,13 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     # a bounded sample's rows
     parts = [once.where(F.col("_fold") == k).select("_y", "_times", "_text").mapInArrow(work(m), f"_y int, _times double, {_MADE}").toArrow() for k, m in enumerate(models[:FOLDS]) if m is not None]
     curve = [np.concatenate([p.column(c).to_numpy().astype(float) for p in parts] or [np.zeros(0)]) for c in ("_y", "_times", *NAMES)]
-    y, times, ratio, n = curve
+    y, times, ratio, counter, n = curve
     each = {c: sizes[c] / max(1.0, times[y == c].sum()) for c in (0, 1)}
     weight = times * np.where(y == 1, each[1], each[0]) * len(y) / sum(sizes.values())
-    w = fit_curve(ratio, n, y, weight)
+    w = fit_curve(ratio, counter, n, y, weight)
     work = work(models[FOLDS])
     scored = base.mapInArrow(work, f"_doc {kind}, _held boolean, {_MADE}")
     line = F.lit(float(w[0]))
-    for x, weight in zip(_features(F.col("ratio"), F.col("n_words").cast("double"), F), w[1:], strict=True):
+    for x, weight in zip(_features(F.col("ratio"), F.col("counter"), F.col("n_words").cast("double"), F), w[1:], strict=True):
         line = line + F.greatest(F.lit(-50.0), F.least(F.lit(50.0), x)) * float(weight)
     return scored.withColumn("score", 1 / (1 + F.exp(-line))).select(*names, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *NAMES)
