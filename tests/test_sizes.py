@@ -1,6 +1,10 @@
 """What must not grow faster than the input."""
 
+import ast
+from pathlib import Path
+
 from flowlens.functions import vectors
+from flowlens.sources import kernel
 from flowlens.sources.scan import tasks
 from pyspark.sql import functions as F
 
@@ -20,3 +24,13 @@ def test_unit_vectors_look_at_a_text_once(spark):
         assert abs(sum(x * x for x in r["v"]) - 1) < 1e-12
     edge = spark.createDataFrame([([0.0, 0.0],), ([],), (None,), ([3.0, 4.0],)], "v array<double>").select(vectors.unit(F.col("v")).alias("u"))
     assert [r["u"] for r in edge.collect()] == [[0.0, 0.0], [], None, [0.6, 0.8]]
+
+
+def test_a_module_is_walked_once(monkeypatch):
+    text = Path(kernel.__file__).read_text()
+    tree = ast.parse(text)
+    assert kernel._walk(tree) == list(ast.walk(tree))
+    small, walks, walk = b"g = StateGraph(dict)\n[g.add_node(n, f) for n in names]\ng.add_node('b', f)\n", [], kernel._walk
+    monkeypatch.setattr(kernel, "_walk", lambda t: walks.append(t) or walk(t))
+    assert [c["in_dynamic"] for c in kernel.parse(small)["calls"]] == [True, False]
+    assert sum(isinstance(t, ast.Module) for t in walks) == 1
