@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import DYNAMIC, FULL, PARTIAL
+from ..plans.scratch import keep
+from ..schemas import DYNAMIC, PARTIAL
+from .arrays import first_of_each, last_of_each, let, looked_up
 
 #: Modules that an import is followed through.
 HOPS = 3
@@ -39,40 +42,47 @@ def links(parsed: DataFrame) -> DataFrame:
     return from_imports(imports).select("repo_id", "path", F.explode(candidate_files()).alias("to")).distinct()
 
 
-def resolve(nodes: DataFrame, registered: DataFrame, functions: DataFrame, imports: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Bodies for partial nodes whose function's name is imported: repo_id, graph_id, node_id, name, ord and the function's facts.
+def _import_of(imports: Column, name: Column) -> Column:
+    """What the last from-import of a name says: module, level, original; null if there is none."""
+    named = F.filter(imports, lambda f: (f["kind"] == "from") & (f["original"] != "*") & (f["local"] == name))
+    return F.array_max(F.transform(named, lambda f, i: F.struct(f["ord"], i.alias("i"), f["module"], f["level"], f["original"])))
 
-    Where several files could hold the function, candidates are tried in order, each with all that it re-exports
-    before the next. A hop carries the order of its choices and the files that it came through, so circular imports
-    end.
+
+def _wanted(own: DataFrame) -> DataFrame:
+    """Partial nodes whose function, as the node's last registration names it, is imported: with what that import says."""
+    named = lambda a, b: F.struct(a["var"], a["name"], a["ord"], a["resolution"], b["func_kind"], b["func_name"])
+    both = let(F.col("registered"), lambda r: F.zip_with(first_of_each(r, "var", "name"), last_of_each(r, "var", "name"), named))
+    partial = F.filter(both, lambda n: (n["resolution"] == PARTIAL) & ~n["name"].startswith(DYNAMIC) & (n["func_kind"] == "name"))
+    led = F.filter(F.transform(partial, lambda n: F.struct(n.alias("n"), _import_of(F.col("imports"), n["func_name"]).alias("m"))), lambda x: x["m"].isNotNull())
+    each = own.where(F.exists("imports", lambda f: f["kind"] == "from")).select("repo_id", F.col("path").alias("of"), "path", F.explode(led).alias("_x"))
+    return each.select("repo_id", "of", "_x.n.var", "_x.n.name", "_x.n.ord", "path", "_x.m.module", "_x.m.level", "_x.m.original", F.array().cast("array<int>").alias("_key"), F.array("path").alias("_seen"))
+
+
+def resolve(own: DataFrame, parsed: DataFrame, modules: Callable[[Column], Column], cut: Callable[[str, DataFrame], DataFrame] = keep) -> DataFrame | None:
+    """Bodies for partial nodes whose function's name is imported: repo_id, path, var, name and ord of the node, source_file, the function's facts fn, and
+    sources, the modules that its tools come from. None if there are none.
+
+    `own` has imports and registered, in order of (var, name, ord), of files that hold graphs. Where several files could hold the function, candidates
+    are tried in order, each with all that it re-exports before the next. A hop carries the order of its choices and the files that it came through, so
+    circular imports end. Each hop is written out by `cut`, so that few names are sent to the files and files are not shuffled for them.
     """
-    imported = from_imports(imports)
-    at_top = functions.where("is_module")
-    w = Window.partitionBy("repo_id", "path", "name").orderBy("ord")
-    defined = at_top.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("repo_id", F.col("path").alias("to"), F.col("name").alias("original"), F.struct("line_start", "line_end", "docstring", "body_hash", "tools", "gotos").alias("fn"))
-    files = parsed.select("repo_id", F.col("path").alias("to")).distinct()
-    last = registered.groupBy("repo_id", "node_id").agg(F.max_by(F.struct("func_kind", "func_name"), "ord").alias("_r"))
-    wanted = nodes.where((F.col("resolution") == PARTIAL) & ~F.col("name").startswith(DYNAMIC)).select("repo_id", "node_id", "path").join(last, ["repo_id", "node_id"]).where("_r.func_kind = 'name'")
-    frontier = wanted.select("repo_id", "node_id", "path", F.col("_r.func_name").alias("local"), F.array().cast("array<int>").alias("_key"), F.array("path").alias("_seen"))
-    found = []
-    for _ in range(HOPS):
-        led = frontier.join(imported, ["repo_id", "path", "local"]).select("repo_id", "node_id", "original", "_key", "_seen", F.posexplode(candidate_files()).alias("_i", "to"))
-        open_ = led.where(~F.array_contains("_seen", F.col("to"))).join(files, ["repo_id", "to"]).join(defined, ["repo_id", "to", "original"], "left").withColumn("_key", F.concat("_key", F.array("_i")))
-        found.append(open_.where(F.col("fn").isNotNull()).select("repo_id", "node_id", "_key", "to", "fn"))
-        frontier = open_.where(F.col("fn").isNull()).select("repo_id", "node_id", F.col("to").alias("path"), F.col("original").alias("local"), "_key", F.concat("_seen", F.array("to")).alias("_seen"))
-    first = reduce(DataFrame.unionByName, found).groupBy("repo_id", "node_id").agg(F.min_by(F.struct("to", "fn"), "_key").alias("_b"))
-    return nodes.select("repo_id", "graph_id", "node_id", "name", "ord").join(first, ["repo_id", "node_id"]).select(
-        "repo_id",
-        "graph_id",
-        "node_id",
-        "name",
-        "ord",
-        F.col("_b.to").alias("source_file"),
-        F.col("_b.fn.line_start").alias("line_start"),
-        F.col("_b.fn.line_end").alias("line_end"),
-        F.col("_b.fn.docstring").alias("docstring"),
-        F.col("_b.fn.body_hash").alias("function_body_hash"),
-        F.lit(FULL).alias("resolution"),
-        F.col("_b.fn.tools").alias("tools"),
-        F.col("_b.fn.gotos").alias("gotos"),
-    )
+    node = ["repo_id", "of", "var", "name", "ord"]
+    files = parsed.select("repo_id", F.col("path").alias("to"), F.col("functions").alias("_functions"), F.col("imports").alias("_imports"))
+    at_top = F.filter("_functions", lambda f: f["is_module"] & (f["name"] == F.col("original")))
+    defined = F.array_min(F.transform(at_top, lambda f: F.struct(f["ord"], f.alias("fn"))))["fn"]
+    used = F.flatten(F.transform("fn.tools", lambda t: t["elements"]))
+    sources = F.when(F.size(used) > 0, let(modules(F.col("_imports")), lambda m: F.transform(used, lambda e: looked_up(m, e["base"])))).otherwise(F.array().cast("array<string>"))
+    frontier, found = cut("wanted", _wanted(own)), []
+    for hop in range(HOPS):
+        if frontier.isEmpty():
+            break
+        led = frontier.select(*node, "original", "_key", "_seen", F.posexplode(candidate_files()).alias("_i", "to"))
+        met = led.where(~F.array_contains("_seen", F.col("to"))).join(files, ["repo_id", "to"]).withColumn("fn", defined)
+        onward = F.when(F.col("fn").isNull(), _import_of(F.col("_imports"), F.col("original")))
+        step = cut(f"hop{hop}", met.select(*node, F.concat("_key", F.array("_i")).alias("_key"), F.concat("_seen", F.array("to")).alias("_seen"), F.col("to").alias("path"), "fn", sources.alias("sources"), onward.alias("_m")).where("fn is not null or _m is not null"))
+        found.append(step.where("fn is not null").select(*node, "_key", "path", "fn", "sources"))
+        frontier = step.where("fn is null").select(*node, "path", "_m.module", "_m.level", "_m.original", "_key", "_seen")
+    if not found:
+        return None
+    first = reduce(DataFrame.unionByName, found).groupBy(*node).agg(F.min_by(F.struct("path", "fn", "sources"), "_key").alias("_b"))
+    return cut("upgrades", first.select("repo_id", F.col("of").alias("path"), "var", "name", "ord", F.col("_b.path").alias("source_file"), "_b.fn", "_b.sources"))

@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..schemas import FILE_DDL
-from .kernel import parse
+from .kernel import parse, uncollected
 
 
 #: Parsing takes a few seconds for as many files, or as many bytes. A task writes a file of facts, and to open one costs
@@ -48,6 +48,8 @@ def facts(files: DataFrame) -> DataFrame:
     def work(batches):
         for batch in batches:
             repos, paths, flags, contents = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_pylist([{"repo_id": r, "path": p, "is_ignored": i, "digest": sha256(c).hexdigest()} | parse(c) for r, p, i, c in zip(repos, paths, flags, contents, strict=True)], schema=schema)
+            with uncollected():
+                found = [{"repo_id": r, "path": p, "is_ignored": i, "digest": sha256(c).hexdigest()} | parse(c) for r, p, i, c in zip(repos, paths, flags, contents, strict=True)]
+            yield pa.RecordBatch.from_pylist(found, schema=schema)
 
     return rows.mapInArrow(work, FILE_DDL)

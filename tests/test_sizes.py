@@ -4,8 +4,10 @@ import ast
 from pathlib import Path
 
 from flowlens.functions import vectors
+from flowlens.operators.assemble import assemble
+from flowlens.plans.scratch import keep
 from flowlens.sources import kernel
-from flowlens.sources.scan import tasks
+from flowlens.sources.scan import facts, tasks
 from pyspark.sql import functions as F
 
 
@@ -34,3 +36,12 @@ def test_a_module_is_walked_once(monkeypatch):
     monkeypatch.setattr(kernel, "_walk", lambda t: walks.append(t) or walk(t))
     assert [c["in_dynamic"] for c in kernel.parse(small)["calls"]] == [True, False]
     assert sum(isinstance(t, ast.Module) for t in walks) == 1
+
+
+def test_graphs_of_files_are_assembled_without_shuffles(spark):
+    source = "from flowlib import StateGraph\ndef a(s):\n    return Command(goto='b')\ng = StateGraph(dict)\ng.add_node('a', a)\ng.add_node('b', b)\ng.add_edge('a', 'b')\n"
+    parsed = keep("facts", facts(spark.createDataFrame([("r", f"f{i}.py", source) for i in range(3)], "repo_id string, path string, content string")))
+    index = assemble(parsed)
+    for name in ("graphs", "nodes", "edges", "routes", "tool_bindings"):
+        assert "Exchange" not in getattr(index, name)._jdf.queryExecution().executedPlan().toString(), name
+    assert {r["edge_id"] for r in index.edges.collect()} == {f"f{i}.py::g::edge::a-->b" for i in range(3)}
