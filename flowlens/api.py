@@ -200,7 +200,11 @@ class Engine:
         able = graphs.select("repo_id", "graph_id")
         for name in (from_node, to_node):
             if name not in (START, END):
-                able = able.join(nodes.where(F.col("name") == name).select("repo_id", "graph_id"), ["repo_id", "graph_id"], "left_semi")
+                # written out, so that few graphs are sent to all others and the search looks at no edges but theirs
+                holding = keep("holding", nodes.where(F.col("name") == name).select("repo_id", "graph_id").distinct())
+                able = able.join(holding, ["repo_id", "graph_id"], "left_semi")
+        able = keep("able", able)
+        edges = keep("edges", edges.join(able, ["repo_id", "graph_id"], "left_semi"))
         requests = able.select("*", F.lit(from_node).alias("from_node"), F.lit(to_node).alias("to_node"))
         found = graphops.shortest_routes(edges, requests, cut=keep)
         best = found.orderBy("graph_id").limit(1).collect()

@@ -3,7 +3,9 @@
 import ast
 from pathlib import Path
 
+from flowlens.api import Engine
 from flowlens.functions import vectors
+from flowlens.operators import graphops
 from flowlens.operators.assemble import assemble
 from flowlens.plans.scratch import keep
 from flowlens.sources import kernel
@@ -45,3 +47,13 @@ def test_graphs_of_files_are_assembled_without_shuffles(spark):
     for name in ("graphs", "nodes", "edges", "routes", "tool_bindings"):
         assert "Exchange" not in getattr(index, name)._jdf.queryExecution().executedPlan().toString(), name
     assert {r["edge_id"] for r in index.edges.collect()} == {f"f{i}.py::g::edge::a-->b" for i in range(3)}
+
+
+def test_a_route_is_searched_among_edges_of_graphs_that_hold_both_ends(spark, tmp_path, monkeypatch):
+    for n in "ab":
+        (tmp_path / f"{n}.py").write_text(f"from flowlib import StateGraph\ng = StateGraph(dict)\ng.add_node('{n}1', f)\ng.add_node('{n}2', f)\ng.add_edge('{n}1', '{n}2')\n")
+    engine, asked, search = Engine(spark), [], graphops.shortest_routes
+    engine.index_repo(tmp_path)
+    monkeypatch.setattr(graphops, "shortest_routes", lambda edges, requests, cut=None: asked.append({r["graph_id"] for r in edges.collect()}) or search(edges, requests, cut=cut))
+    assert engine.trace_path("a1", "a2", tmp_path)["route"] == ["a1", "a2"]
+    assert asked == [{"a.py::g"}]
