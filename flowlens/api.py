@@ -123,17 +123,15 @@ class Engine:
         repo, store = root.as_posix(), self._store(root)
         parsed = facts(read_tree(self.spark, root)).persist()
         try:
-            index = assemble(parsed)
-            nodes = index.nodes.persist()
-            tables = self._tables(index, nodes, parsed) | {"files": parsed}
+            index = assemble(parsed, keep)
+            tables = self._tables(index, parsed) | {"files": parsed}
             store.replace(repo, repo, tables, self.provider.name, self.provider.dimension)
-            nodes.unpersist()
         finally:
             parsed.unpersist()
         return self._indexed(store, repo, began)
 
-    def _tables(self, index: Index, nodes: DataFrame, parsed: DataFrame) -> dict[str, DataFrame]:
-        return {n: getattr(index, n) for n in ("graphs", "edges", "routes", "tool_bindings")} | {"nodes": nodes, "chunks": chunks(nodes, parsed, self.provider)}
+    def _tables(self, index: Index, parsed: DataFrame) -> dict[str, DataFrame]:
+        return {n: getattr(index, n) for n in ("graphs", "nodes", "edges", "routes", "tool_bindings")} | {"chunks": chunks(index.pieces, parsed, self.provider)}
 
     def _indexed(self, store: Store, repo: str, began: float) -> dict:
         counts = {n: store.table(repo, n).count() for n in ("graphs", "nodes", "edges")}
@@ -153,9 +151,8 @@ class Engine:
         if not known:
             return self.index_repo(path)
         found = difference(store.table(repo, "files", info.number), read_tree(self.spark, root))
-        nodes = keep("nodes", found.index.nodes)
         try:
-            store.refresh(info, found.stale, self._tables(found.index, nodes, found.scope) | {"files": found.files})
+            store.refresh(info, found.stale, self._tables(found.index, found.scope) | {"files": found.files})
         except Conflict:  # another writer came first, whose index is the one to start from
             return self.reindex(path)
         log.info("reindexed %s: %d files parsed, graphs of %d files assembled", repo, found.parsed.count(), found.stale.count())

@@ -11,7 +11,7 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 
 def norm(v: Column | str) -> Column:
-    return F.sqrt(F.aggregate(F.transform(v, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
 def unit(v: Column | str) -> Column:
@@ -51,7 +51,7 @@ def hashed(text: Column | str, dimension: int = 16, bucket=crc_bucket) -> Column
     places = F.sequence(F.lit(0), F.lit(dimension - 1))
 
     def counted(b: Column) -> Column:
-        return F.transform(places, lambda i: F.when(F.size(b) > 0, F.size(F.filter(b, lambda x: x == i))).otherwise((i == 0).cast("int")).cast("double"))
+        return F.transform(places, lambda i: F.when(F.size(b) > 0, F.size(b) - F.size(F.array_remove(b, i))).otherwise((i == 0).cast("int")).cast("double"))
 
     # as the variable of an outer lambda the buckets are computed once, not once a place
     return F.element_at(F.transform(F.array(found), counted), 1)

@@ -33,3 +33,9 @@ def last_of_each(rows: Column, *names: str) -> Column:
 def looked_up(entries: Column, key: Column) -> Column:
     """The value of `key` in a map, null if it has none."""
     return F.try_element_at(entries, key)
+
+
+def lines_between(lines: Column, start: Column, end: Column) -> Column:
+    """The lines numbered from `start` to `end`, counted from 1, of those that there are."""
+    size = F.greatest(F.least(end, F.size(lines)) - start + 1, F.lit(0))
+    return F.when(lines.isNotNull(), F.slice(lines, F.greatest(start, F.lit(1)), size))

@@ -67,4 +67,4 @@ def difference(stored: DataFrame, files: DataFrame, cut: Callable[[str, DataFram
     marked = current.join(needed, FILE, "left_semi").join(stale.withColumn("_stale", F.lit(True)), FILE, "left")
     # files that are only imported from hold no graphs here
     scope = cut("scope", marked.withColumn("is_ignored", F.col("is_ignored") | F.col("_stale").isNull()).drop("_stale"))
-    return Difference(current, parsed, stale, assemble(scope), scope)
+    return Difference(current, parsed, stale, assemble(scope, cut), scope)

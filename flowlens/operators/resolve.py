@@ -54,7 +54,10 @@ def _wanted(own: DataFrame) -> DataFrame:
     both = let(F.col("registered"), lambda r: F.zip_with(first_of_each(r, "var", "name"), last_of_each(r, "var", "name"), named))
     partial = F.filter(both, lambda n: (n["resolution"] == PARTIAL) & ~n["name"].startswith(DYNAMIC) & (n["func_kind"] == "name"))
     led = F.filter(F.transform(partial, lambda n: F.struct(n.alias("n"), _import_of(F.col("imports"), n["func_name"]).alias("m"))), lambda x: x["m"].isNotNull())
-    each = own.where(F.exists("imports", lambda f: f["kind"] == "from")).select("repo_id", F.col("path").alias("of"), "path", F.explode(led).alias("_x"))
+    # files none of whose nodes names an import need not be looked at closer
+    used = F.transform(F.filter("calls", lambda c: (c["method"] == "add_node") & (c["func_kind"] == "name")), lambda c: c["func_name"])
+    given = F.transform(F.filter("imports", lambda f: f["kind"] == "from"), lambda f: f["local"])
+    each = own.where(F.arrays_overlap(used, given)).select("repo_id", F.col("path").alias("of"), "path", F.explode(led).alias("_x"))
     return each.select("repo_id", "of", "_x.n.var", "_x.n.name", "_x.n.ord", "path", "_x.m.module", "_x.m.level", "_x.m.original", F.array().cast("array<int>").alias("_key"), F.array("path").alias("_seen"))
 
 
@@ -62,7 +65,7 @@ def resolve(own: DataFrame, parsed: DataFrame, modules: Callable[[Column], Colum
     """Bodies for partial nodes whose function's name is imported: repo_id, path, var, name and ord of the node, source_file, the function's facts fn, and
     sources, the modules that its tools come from. None if there are none.
 
-    `own` has imports and registered, in order of (var, name, ord), of files that hold graphs. Where several files could hold the function, candidates
+    `own` has imports, calls and registered, in order of (var, name, ord), of files that hold graphs. Where several files could hold the function, candidates
     are tried in order, each with all that it re-exports before the next. A hop carries the order of its choices and the files that it came through, so
     circular imports end. Each hop is written out by `cut`, so that few names are sent to the files and files are not shuffled for them.
     """

@@ -21,6 +21,7 @@ from functools import reduce
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import search as nearest
 from ..schemas import ADDED, NOT_APPLICABLE, PARTS, TABLES, VERSION, columns
@@ -201,7 +202,7 @@ class Store:
     # ---- writing
 
     def _write(self, repo_id: str, version: str, name: str, df: DataFrame | None, dimension: int) -> None:
-        df = self.spark.createDataFrame([], TABLES[name]) if df is None else df.select(*columns(name))
+        df = self._none(name) if df is None else df.select(*columns(name))
         path = "/".join([self.root, self.key(repo_id), version, name])
         df.write.parquet(path)
         # what was written is looked at, so that vectors are computed once
@@ -294,13 +295,17 @@ class Store:
         given = [paths] if isinstance(paths, str) else paths
         return self.spark.read.schema(TABLES[name]).parquet(*[re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in given])  # readers take patterns
 
+    def _none(self, name: str) -> DataFrame:
+        """An empty table, for which no Python is started."""
+        return self.spark.range(0, 0, 1, 1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(TABLES[name])])
+
     def _table(self, info: Repository, name: str) -> DataFrame:
         return migrated(self._read("/".join([self.root, self.key(info.repo_id), info.folder(name), name]), name), name, info.schema(name))
 
     def table(self, repo_id: str, name: str, number: int | None = None) -> DataFrame:
         """A table of a repository's index as it stands, or as version `number` had it; empty if there is none."""
         info = self.get_repository(repo_id, number)
-        return self._table(info, name) if info else self.spark.createDataFrame([], TABLES[name])
+        return self._table(info, name) if info else self._none(name)
 
     def list_graphs(self, repo_id: str) -> DataFrame:
         """Graphs in order of graph_id, with nodes, edges, routes and tool bindings nested."""
@@ -324,7 +329,7 @@ class Store:
             paths.setdefault(i.schema("chunks"), []).append("/".join([self.root, self.key(i.repo_id), i.folder("chunks"), "chunks"]))
         # a scan for each version of the schema, however many repositories
         scans = [migrated(self._read(p, "chunks"), "chunks", version) for version, p in sorted(paths.items())]
-        rows = reduce(DataFrame.unionByName, scans) if scans else self.spark.createDataFrame([], TABLES["chunks"])
+        rows = reduce(DataFrame.unionByName, scans) if scans else self._none("chunks")
         return nearest.top_k(rows, query, top_k, filters=filters)
 
 

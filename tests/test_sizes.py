@@ -5,7 +5,7 @@ from pathlib import Path
 
 from flowlens.api import Engine
 from flowlens.functions import vectors
-from flowlens.operators import graphops
+from flowlens.operators import embed, graphops
 from flowlens.operators.assemble import assemble
 from flowlens.plans.scratch import keep
 from flowlens.sources import kernel
@@ -57,3 +57,30 @@ def test_a_route_is_searched_among_edges_of_graphs_that_hold_both_ends(spark, tm
     monkeypatch.setattr(graphops, "shortest_routes", lambda edges, requests, cut=None: asked.append({r["graph_id"] for r in edges.collect()}) or search(edges, requests, cut=cut))
     assert engine.trace_path("a1", "a2", tmp_path)["route"] == ["a1", "a2"]
     assert asked == [{"a.py::g"}]
+
+
+def test_files_are_assembled_once_for_all_tables(spark):
+    source = "from flowlib import StateGraph\nfrom lib import b\ndef a(s):\n    return Command(goto='b')\ng = StateGraph(dict)\ng.add_node('a', a)\ng.add_node('b', b)\n"
+    files = [("r", "f.py", source), ("r", "lib.py", "def b(s):\n    'B.'\n    return s   \n")]
+    parsed = keep("facts", facts(spark.createDataFrame(files, "repo_id string, path string, content string")))
+    cuts = []
+    index = assemble(parsed, lambda name, df: cuts.append(name) or keep(name, df))
+    plain = assemble(parsed)
+    for name in ("graphs", "nodes", "edges", "routes", "tool_bindings", "pieces"):
+        plan = getattr(index, name)._jdf.queryExecution().optimizedPlan().toString()
+        assert "add_node" not in plan and "Join" not in plan, name
+        assert sorted(map(str, getattr(index, name).collect())) == sorted(map(str, getattr(plain, name).collect())), name
+    assert cuts == ["assembled"]
+    # lines of nodes in their graph's file are taken from its row, others are looked for
+    texts = embed.chunks(index.pieces, parsed, embed.HashingProvider())
+    assert {r["node_name"]: r["text"] for r in texts.collect()} == {"a": "def a(s):\n    return Command(goto='b')", "b": "def b(s):\n    'B.'\n    return s"}
+    own = embed.chunks(index.pieces.where("name = 'a'"), parsed, embed.HashingProvider())
+    assert "Join" not in own._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_functions_without_calls_are_not_walked(monkeypatch):
+    walks, walk = [], kernel._walk
+    monkeypatch.setattr(kernel, "_walk", lambda t: walks.append(t) or walk(t))
+    found = kernel.parse(b"def a(s):\n    return s\n@tool(x)\ndef b(s):\n    return s\ndef c(s): return Command(goto='a')\n")
+    assert [f["gotos"] for f in found["functions"]] == [[], [], [{"targets": ["a"], "ok": True}]]
+    assert [t.name for t in walks if not isinstance(t, ast.Module)] == ["b", "c"]
