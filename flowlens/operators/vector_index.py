@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ PER_CELL, PER_TOP, STEPS = 64, 50_000, 8
 CENTRE_BYTES = 64 << 20
 #: Rows of a block, queries that are compared with a block at once, cells that give the first k-th best.
 BLOCK, SLICE, FIRST = 512, 128, 4
+#: Numbers in a matrix that a task computes at once, rows that it encodes at once, bytes of query vectors that it gives on at once.
+PRODUCT, ENCODED_AT_ONCE, GIVEN_ON = 1 << 21, 1024, 8 << 20
 #: What sums of products of unit vectors may be off by.
 SLACK = 1e-6
 
@@ -76,7 +79,26 @@ class _Cells:
 
 
 def _closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmax(x @ centres.T - (centres * centres).sum(axis=1) / 2, axis=1)
+    """Place of the nearest centre of each row; products are made of so many rows at once that they stay small."""
+    half, rows = (centres * centres).sum(axis=1) / 2, max(1, PRODUCT // len(centres))
+    return np.concatenate([np.argmax(x[i : i + rows] @ centres.T - half, axis=1) for i in range(0, max(1, len(x)), rows)])
+
+
+def _parts(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most `rows` rows."""
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Tasks that are started here get SLICE rows at once: a row of a comparison holds a slice of queries and a block of codes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, SLICE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
 
 
 def _lloyd(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -179,9 +201,7 @@ class VectorIndex:
             sent, arrow = self.spark.sparkContext.broadcast(cells), to_arrow_schema(schema)
 
             def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    if not b.num_rows:
-                        continue
+                for b in (part for whole in batches for part in _parts(whole, ENCODED_AT_ONCE)):
                     x = _unit_rows(b.column(1))
                     place = sent.value.nearest(x)
                     beyond = x - sent.value.centre[place]
@@ -241,10 +261,12 @@ class VectorIndex:
         stats = self._read("cells").groupBy("cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"))
         if stats.isEmpty():
             return self.spark.createDataFrame([], CANDIDATES)
-        near = keep("first", self._compared(asked.withColumn("_t", F.lit(float("-inf"))), stats, k, probes, first=True))
+        with _small_batches(self.spark):
+            near = keep("first", self._compared(asked.withColumn("_t", F.lit(float("-inf"))), stats, k, probes, first=True))
         best = self._kth(near, k)
         bound = asked.join(best, asked["_q"] == best["q"], "left").select("_q", "_v", F.coalesce("t", F.lit(float("-inf"))).alias("_t"))
-        far = keep("second", self._compared(bound, stats, k, probes, first=False))
+        with _small_batches(self.spark):
+            far = keep("second", self._compared(bound, stats, k, probes, first=False))
         both = near.unionByName(far)
         last = self._kth(both, k)
         return both.join(last, "q", "left").where(F.col("high") >= F.coalesce("t", F.lit(float("-inf")))).drop("t")
@@ -269,9 +291,9 @@ class VectorIndex:
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """One row a cell and slice of queries that look into it."""
             cells, sizes, radius = sent.value
+            slice_of = max(1, min(SLICE, PRODUCT // len(cells.cell)))
             for b in batches:
-                for start in range(0, b.num_rows, SLICE):
-                    part = b.slice(start, SLICE)
+                for part in _parts(b, slice_of):
                     ids, x, t = part.column(0).to_numpy(), _unit_rows(part.column(1)), part.column(2).to_numpy()
                     base = x @ cells.centre.T
                     order = np.argsort(-base, axis=1, kind="stable")
@@ -284,17 +306,21 @@ class VectorIndex:
                     look = np.zeros(base.shape, bool)
                     np.put_along_axis(look, order, wanted, axis=1)
                     look &= (sizes > 0) & (base + radius + SLACK >= t[:, None])
-                    rows = []
+                    rows, size = [], 0
                     for c in np.flatnonzero(look.any(axis=0)):
                         q = np.flatnonzero(look[:, c])
                         rows.append({"top": int(cells.top[c]), "cell": int(cells.cell[c]), "ids": ids[q].tolist(), "vectors": x[q].tobytes(), "bases": base[q, c].tolist(), "bounds": t[q].tolist()})
+                        size += len(rows[-1]["vectors"])
+                        if size >= GIVEN_ON:
+                            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                            rows, size = [], 0
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
         found = to_arrow_schema(StructType.fromDDL(CANDIDATES))
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for r in b.to_pylist():
+                for r in (one.to_pylist()[0] for one in _parts(b, 1)):
                     ids, n = np.array(r["ids"]), len(r["codes"])
                     x = np.frombuffer(r["vectors"], np.float64).reshape(len(ids), -1)
                     code = np.frombuffer(b"".join(r["codes"]), np.uint8).reshape(n, -1).astype(np.float64) - 128

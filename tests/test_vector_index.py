@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
-from flowlens.operators.vector_index import BLOCK, VectorIndex
+from flowlens.operators import vector_index
+from flowlens.operators.vector_index import BLOCK, SLICE, VectorIndex
+from flowlens.plans.scratch import keep
 
 ROWS = "id long, v array<float>"
 
@@ -108,3 +110,20 @@ def test_odd_tables(spark, tmp_path):
     for bad in ([(1, None)], [(1, [1.0]), (2, [1.0, 2.0])], [(1, [])]):
         with pytest.raises(ValueError, match="dimensions"):
             made.build(spark.createDataFrame(bad, ROWS), "id", "v")
+
+
+def test_batches_and_products_stay_small(spark, index, points, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    was = spark.conf.get(name)
+    monkeypatch.setattr(vector_index, "keep", lambda n, df: seen.setdefault(n, spark.conf.get(name)) and keep(n, df))
+    queries = points[:3]
+    assert answers(index, spark, queries, 4) == plain(points, queries, 4)
+    # a row of a comparison holds a slice of queries and a block of codes
+    assert seen == {"asked": was, "first": str(SLICE), "second": str(SLICE)} and spark.conf.get(name) == was
+    rng = np.random.default_rng(1)
+    x, centres = rng.normal(size=(50, 4)), rng.normal(size=(7, 4))
+    expected = np.argmin(((x[:, None] - centres[None]) ** 2).sum(axis=2), axis=1)
+    for most in (1, 30, 1 << 21):
+        monkeypatch.setattr(vector_index, "PRODUCT", most)
+        assert vector_index._closest(x, centres).tolist() == expected.tolist()
+    assert vector_index._closest(x[:0], centres).tolist() == []
