@@ -36,6 +36,11 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def has_tokens(text: Column | str) -> Column:
+    """Whether a text has a token, found without looking through all of it; null has none."""
+    return F.coalesce(F.rlike(text, F.lit(TOKEN)), F.lit(False))
+
+
 def crc_bucket(dimension: int):
     return lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(dimension)).cast("int")
 

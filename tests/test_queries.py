@@ -66,3 +66,15 @@ def test_new_files_are_read_once(spark, tmp_path):
     (tmp_path / "src" / "b.py").write_text("def (\n")
     run()
     assert seen == [("a.py", "ok"), ("b.py", "syntax_error")]
+
+
+def test_texts_without_tokens_score_as_in_sql(spark, tmp_path):
+    texts = ["the of thanedble", "", "attion b c", " \n\t", "._. _", "The attion of_thanedble"]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    for name in ("t_semantic_search", "t_hash_embedding", "t_token_counts"):
+        got = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, con.execute(ORACLE_SQL[name]).fetchall())), name
+    assert [r["doc_id"] for r in QUERIES["t_semantic_search"](spark, str(tmp_path)).collect()] == [1, 3, 4, 5, 0, 2]
