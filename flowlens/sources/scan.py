@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..schemas import FILE_DDL
-from .kernel import parse, uncollected
+from .kernel import parse, uncollected, unwarned
 
 
 #: Parsing takes a few seconds for as many files, or as many bytes. A task writes a file of facts, and to open one costs
@@ -19,6 +19,8 @@ from .kernel import parse, uncollected
 FILES_A_TASK, BYTES_A_TASK = 8192, 1 << 21
 #: Tasks that a job can well have; beyond them each takes more.
 MOST_TASKS = 100_000
+#: Files whose facts are held as Python's objects at once.
+HELD = 512
 
 
 def tasks(files: int, size: int) -> int:
@@ -46,9 +48,9 @@ def facts(files: DataFrame) -> DataFrame:
     rows = files.select("repo_id", "path", ignored.alias("is_ignored"), F.coalesce(F.col("content").cast("binary"), F.lit(b"")).alias("content"))
 
     def work(batches):
-        for batch in batches:
+        for batch in (b.slice(i, HELD) for b in batches for i in range(0, b.num_rows, HELD)):
             repos, paths, flags, contents = (c.to_pylist() for c in batch.columns)
-            with uncollected():
+            with uncollected(), unwarned():
                 found = [{"repo_id": r, "path": p, "is_ignored": i, "digest": sha256(c).hexdigest()} | parse(c) for r, p, i, c in zip(repos, paths, flags, contents, strict=True)]
             yield pa.RecordBatch.from_pylist(found, schema=schema)
 

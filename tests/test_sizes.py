@@ -6,10 +6,11 @@ from pathlib import Path
 from flowlens.api import Engine
 from flowlens.functions import vectors
 from flowlens.operators import embed, graphops
-from flowlens.operators.assemble import assemble
+from flowlens.operators.assemble import assemble, import_modules, registrations
+from flowlens.operators.resolve import resolve
 from flowlens.plans.scratch import keep
 from flowlens.sources import kernel
-from flowlens.sources.scan import facts, tasks
+from flowlens.sources.scan import FILES_A_TASK, HELD, facts, tasks
 from pyspark.sql import functions as F
 
 
@@ -84,3 +85,58 @@ def test_functions_without_calls_are_not_walked(monkeypatch):
     found = kernel.parse(b"def a(s):\n    return s\n@tool(x)\ndef b(s):\n    return s\ndef c(s): return Command(goto='a')\n")
     assert [f["gotos"] for f in found["functions"]] == [[], [], [{"targets": ["a"], "ok": True}]]
     assert [t.name for t in walks if not isinstance(t, ast.Module)] == ["b", "c"]
+
+
+def test_warnings_are_switched_off_once_for_a_batch(monkeypatch, recwarn):
+    switched, catch = [], kernel.warnings.catch_warnings
+    monkeypatch.setattr(kernel.warnings, "catch_warnings", lambda: switched.append(1) or catch())
+    odd = b"x = '\\d'\nassert 1is 1\n"
+    with kernel.uncollected(), kernel.unwarned():
+        assert [kernel.parse(odd)["parse_status"] for _ in range(3)] == ["ok"] * 3
+    assert len(switched) == 1
+    # by itself a file is parsed without warnings as well, before and after a batch
+    assert kernel.parse(odd)["parse_status"] == "ok" and len(switched) == 2 and not recwarn.list
+
+
+def test_facts_are_made_a_few_files_at_a_time(spark, monkeypatch):
+    rows = [("r", f"f{i}.py", f"def f{i}(s):\n    return s\n") for i in range(1300)]
+    files = spark.createDataFrame(rows, "repo_id string, path string, content string").coalesce(1)
+    got = facts(files).select("path", "digest", F.element_at("functions", 1)["name"].alias("name"), F.size("lines").alias("n")).collect()
+    assert sorted((r["path"], r["name"], r["n"]) for r in got) == sorted((f"f{i}.py", f"f{i}", 2) for i in range(1300))
+    assert HELD < FILES_A_TASK
+
+
+def test_no_functions_are_looked_for_where_no_node_names_an_import(spark):
+    own = "from flowlib import StateGraph\nfrom parts import p1\ndef a(s):\n    return s\ng = StateGraph(dict)\ng.add_node('a', a)\ng.add_node('t', ToolNode([p1]))\n"
+    led = "from flowlib import StateGraph\nfrom lib import b\ng = StateGraph(dict)\ng.add_node('b', b)\n"
+    for source, expected in ((own, []), (led, ["wanted", "hop0", "upgrades"])):
+        rows = [("r", "f.py", source), ("r", "lib.py", "def b(s):\n    'B.'\n    return s\n")]
+        parsed = keep("facts", facts(spark.createDataFrame(rows, "repo_id string, path string, content string")))
+        cuts = []
+        registered = registrations(F.col("calls"), F.col("functions"))
+        found = resolve(parsed.select("repo_id", "path", "imports", "calls", registered.alias("registered")), parsed, import_modules, lambda name, df: cuts.append(name) or keep(name, df))
+        assert [c for c in cuts if c in ("wanted", "hop0", "upgrades")] == expected
+        assert (found is None) == (not expected) and (not expected or [r["source_file"] for r in found.collect()] == ["lib.py"])
+
+
+def test_tools_that_are_named_once_are_not_sorted(spark):
+    head = "from flowlib import StateGraph, ToolNode\nfrom parts import p1\nimport os.path as q\nfrom other import p2, p1 as p3\nfrom last import p1\ng = StateGraph(dict)\n"
+    once = head + "g.add_node('t', ToolNode([p3, p1, q.join, 'p9']))\ng.add_node('t', ToolNode([x()]))\n"
+    # in a body the last of a name says where it is from, and bodies of a node are taken in order
+    twice = head + "g.add_node('t', ToolNode([p1, z, q.p1]))\ng.add_node('t', ToolNode([p3.z, p2.p2]))\ng.add_node('u', ToolNode([p1]))\n"
+    parsed = keep("facts", facts(spark.createDataFrame([("r", "once.py", once), ("r", "twice.py", twice)], "repo_id string, path string, content string")))
+    index = assemble(parsed)
+    at = lambda r: (r["binding_ord"] >> 30, r["binding_ord"] & ((1 << 30) - 1))
+    got = {(r["node_id"].rsplit("::", 1)[1] + r["graph_id"][0], r["tool_name"]): (r["tool_source"], *at(r)) for r in index.tool_bindings.collect()}
+    assert got == {
+        ("to", "p3"): ("other", 0, 0),
+        ("to", "p1"): ("last", 0, 1),
+        ("to", "join"): ("os.path", 0, 2),
+        ("to", "p9"): (None, 0, 3),
+        ("to", "x"): (None, 1, 0),
+        ("tt", "p1"): ("os.path", 0, 0),
+        ("tt", "z"): (None, 0, 1),
+        ("tt", "p2"): ("other", 1, 1),
+        ("ut", "p1"): ("last", 2, 0),
+    }
+    assert "array_distinct" in index.tool_bindings._jdf.queryExecution().optimizedPlan().toString()
